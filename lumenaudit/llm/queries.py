@@ -6,18 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linewindows, mixing, simhash, substring
+from . import decontam, licenses, linewindows, mixing, mtree, quality, simhash, substring, toxicity, warc
 from .common import documents, table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op1(documents(spark, sf_dir))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op2(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.op3(documents(spark, sf_dir))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.op4(table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op5(documents(spark, sf_dir))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op6(documents(spark, sf_dir))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op7(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op8(documents(spark, sf_dir))
 

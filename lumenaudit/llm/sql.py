@@ -28,8 +28,8 @@ GROUP BY d.doc_id
 
 OP4 = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
@@ -57,6 +57,31 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, budget - whole * source_size - before)))::BIGINT AS taken FROM p
 """
 
+
+
+def _op6() -> str:
+    """The templates as a table; a word of a template votes for a start, and key words and all words are counted."""
+    from .licenses import SHARE, TEMPLATES
+
+    rows = ", ".join(f"('{t.label}', {str(t.base).upper()}, {k}, '{w}', {len(t.words)}, {t.key[0]}, {t.key[1]})" for t in TEMPLATES for k, w in enumerate(t.words))
+    return rf"""
+WITH d AS (SELECT doc_id, {ALNUM} AS w FROM documents), x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
+t(label, base, off, word, n, a, b) AS (VALUES {rows}),
+found AS (
+  SELECT doc_id, label, base, i - off + a AS start, count(*)::DOUBLE / n AS share
+  FROM x JOIN t USING (word) GROUP BY doc_id, label, base, i - off, n, a, b
+  HAVING count(*) FILTER (off >= a AND off < b) = b - a AND count(*)::DOUBLE / n >= {SHARE}
+), s AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+         array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS score
+  FROM found GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN s USING (doc_id)
+"""
+
+
 OP7 = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -114,6 +139,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_substring": OP3,
         "op4_topk": OP4,
         "op5_mixing": OP5,
+        "op6_licenses": _op6(),
         "op7_warc": OP7,
         "op9_linewindows": OP9,
         "op10_decontam": OP10,
