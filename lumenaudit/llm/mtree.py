@@ -81,41 +81,77 @@ class MTree:
         self.nodes[me] = (False, np.array([r for r, _, _ in parts]), np.array([up[int(r)] for r, _, _ in parts]), np.array([x.max() for _, _, x in parts]), children)
         return me
 
-    def search(self, query: int, q: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (ids, scores) here by score and then smaller id, but for the query's own; none below the floor."""
-        point = np.append(q.astype(np.float64), 0.0)
-        reach = float((q.astype(np.float64) ** 2).sum()) + self.m2
-        exact = np.abs(q).max(initial=0) * float(np.abs(self.vectors).max(initial=0)) * max(1, len(q)) < 2**53
-        as_q = q.astype(np.float64) if exact else q.astype(np.int64)
-        slack = 1e-9 * (1 + math.sqrt(reach))
-        best_ids, best, least = np.zeros(0, np.int64), np.zeros(0, np.int64), floor
-
-        def limit() -> float:
-            return math.inf if least == -math.inf else math.sqrt(max(0.0, reach - 2 * least)) + slack
-
-        to_root = float(_gap(point, self.root))
-        heap, serial, bound = [(to_root - self.radius, 0, self.top, to_root)], 0, limit()
-        while heap and heap[0][0] <= bound:
-            _, _, node, away = heapq.heappop(heap)
+    def __getstate__(self) -> dict:
+        """Without the lifted points, which follow from the vectors, and with these in as few bytes as hold them."""
+        most = int(np.abs(self.vectors).max(initial=0))
+        small = next(t for t in (np.int8, np.int16, np.int32, np.int64) if most <= np.iinfo(t).max)
+        return self.__dict__ | {"points": None, "vectors": self.vectors.astype(small)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.vectors = self.vectors.astype(np.int64)
+        self.points = lifted(self.vectors, self.m2)
+
+    def search(self, queries: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of the k best here of each query, but for its own id; none below its floor.
+
+        Best-first for a block of queries at once: the node with the least lower bound of any query comes next, with the
+        queries that it can still serve; each query keeps its own bound.
+        """
+        point = np.column_stack([q.astype(np.float64), np.zeros(len(q))])
+        reach = (point**2).sum(axis=1) + self.m2
+        exact = float(np.abs(q).max(initial=0)) * float(np.abs(self.vectors).max(initial=0)) * max(1, q.shape[1]) < 2**53
+        v, as_q = (self.vectors.astype(np.float64), q.astype(np.float64)) if exact else (self.vectors, q)
+        slack = 1e-9 * (1 + np.sqrt(reach))
+        least = floor.astype(np.float64).copy()  # a k-th best so far, or the floor
+        top = np.full((len(q), k), -math.inf)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def limit(of: np.ndarray) -> np.ndarray:
+            return np.where(np.isinf(least[of]), math.inf, np.sqrt(np.maximum(0.0, reach[of] - 2 * np.where(np.isinf(least[of]), 0, least[of]))) + slack[of])
+
+        bound = limit(np.arange(len(q)))
+        away = _gap(point, self.root)
+        low = np.maximum(0.0, away - self.radius)
+        heap, serial = [(float(low.min(initial=0)), 0, self.top, np.arange(len(q)), away, low)], 0
+        while heap:
+            _, _, node, own, away, low = heapq.heappop(heap)
+            open_ = low <= bound[own]
+            own, away = own[open_], away[open_]
+            if not len(own):
+                continue
             leaf, at, up, radii, children = self.nodes[node]
+            # What the stored distance to the parent's routing object rules out costs no computation.
+            fit = np.abs(away[:, None] - up[None, :]) - (0 if leaf else radii[None, :]) <= bound[own][:, None]
+            some = np.flatnonzero(fit.any(axis=0))
+            if not len(some):
+                continue
             if leaf:
-                at = at[np.abs(away - up) <= bound]
-                v = self.vectors[at]
-                scores = (v.astype(np.float64) @ as_q).astype(np.int64) if exact else v @ as_q
-                fit = (scores >= least) & (self.ids[at] != query)
-                best_ids, best = np.r_[best_ids, self.ids[at[fit]]], np.r_[best, scores[fit]]
-                order = np.lexsort((best_ids, -best))[:k]
-                best_ids, best = best_ids[order], best[order]
-                if len(best) == k:
-                    least, bound = max(least, int(best[-1])), 0.0
-                    bound = limit()
+                ids = self.ids[at[some]]
+                scores = as_q[own] @ v[at[some]].T
+                scores = np.where(queries[own][:, None] == ids[None, :], -math.inf, scores.astype(np.float64)) if exact else np.where(queries[own][:, None] == ids[None, :], np.iinfo(np.int64).min, scores)
+                r, c = np.nonzero((scores >= least[own][:, None]) & (queries[own][:, None] != ids[None, :]))
+                found.append((own[r], ids[c], scores[r, c].astype(np.int64)))
+                hit = np.unique(r)
+                if len(hit):
+                    top[own[hit]] = np.partition(np.concatenate([top[own[hit]], scores[hit].astype(np.float64)], axis=1), -k, axis=1)[:, -k:]
+                    least[own[hit]] = np.maximum(least[own[hit]], top[own[hit]].min(axis=1))
+                    bound[own[hit]] = limit(own[hit])
                 continue
-            near = np.flatnonzero(np.abs(away - up) - radii <= bound)  # the others cost no distance
-            for c, d in zip(near.tolist(), _gap(self.points[at[near]], point).tolist(), strict=True):
-                if (low := max(0.0, d - radii[c])) <= bound:
+            d = np.sqrt(((point[own][:, None, :] - self.points[at[some]][None, :, :]) ** 2).sum(axis=-1))
+            for j, c in enumerate(some.tolist()):
+                under = np.maximum(0.0, d[:, j] - radii[c])
+                go = fit[:, c] & (under <= bound[own])
+                if go.any():
                     serial += 1
-                    heapq.heappush(heap, (low, serial, children[c], d))
-        return best_ids, best
+                    heapq.heappush(heap, (float(under[go].min()), serial, children[c], own[go], d[go, j], under[go]))
+        r, ids, scores = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
+        good = scores >= least[r]
+        r, ids, scores = r[good], ids[good], scores[good]
+        order = np.lexsort((ids, -scores, r))
+        r, ids, scores = r[order], ids[order], scores[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        return queries[r[rank < k]], ids[rank < k], scores[rank < k]
 
 
 def _matrix(lists: list, width: int) -> np.ndarray:
@@ -179,9 +215,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         for b in parts:
             for block, tree in zip(b.column(0), b.column(1), strict=True):
                 (ids, q, floor), t = pickle.loads(block.as_py()), pickle.loads(tree.as_py())
-                found = [(i, *t.search(int(i), x, k, float(f))) for i, x, f in zip(ids, q, floor, strict=True)]
-                if found:
-                    yield pa.record_batch([pa.array(np.concatenate([np.full(len(a), i) for i, a, _ in found])), pa.array(np.concatenate([a for _, a, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], names=["query_id", "vec_id", "score"])
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in t.search(ids, q, k, floor)], names=["query_id", "vec_id", "score"])
 
     trees = routed.withColumn("shard", dealt(shards)).groupBy("pivot", "shard").applyInPandas(plant, "pivot int, shard int, tree binary")
     asked = routed.where("query").withColumn("b", dealt(blocks)).groupBy("pivot", "b").applyInPandas(gather, "pivot int, shard int, block binary")
