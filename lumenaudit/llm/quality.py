@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Documents on which the scorer is fitted, at most; chosen by a hash of their id.
 FIT_ROWS = 8_000
@@ -25,9 +26,21 @@ FIT_ROWS = 8_000
 DIMENSIONS = 1 << 14
 #: Documents that score below are rejected.
 KEEP = 0.5
-LABELLERS = ("symbols", "capitals", "trigrams", "loose_marks", "lines", "letters", "vocabulary", "lengths")
+LABELLERS = ("symbols", "capitals", "trigrams", "loose_marks", "lines", "letters", "vocabulary", "lengths", "function_words")
 #: Token shapes that are remembered per task.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
+#: Frequent words of English, German, French and Spanish, as they are and capitalised.
+FUNCTION_WORDS = tuple(
+    form.encode()
+    for w in (
+        "a an and are as at be by for from in is it of on or that the this to was with "
+        "auf das dem den der des die ein eine für im ist mit nicht und von zu "
+        "au aux avec ce dans elle en est et il la le les ne par pas pour que qui un une "
+        "como con del el las los más no para por se su sus una y"
+    ).split()
+    for form in (w, w.capitalize())
+)
+ZEROS = (0,) * len(FUNCTION_WORDS)
 
 _SHAPE = bytes(0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x39 if 0x30 <= b <= 0x39 else b for b in range(256))
 
@@ -51,19 +64,18 @@ def _vote(value: float, good: float, bad: float) -> int:
 
 
 class Reader:
-    """Votes and hashed features of a text; remembers the shapes of tokens."""
+    """Votes and hashed features of a text; remembers what token shapes are like."""
 
     def __init__(self) -> None:
         self.seen: dict[bytes, tuple[int, bool, bool]] = {}
 
-    def _token(self, w: bytes) -> tuple[int, bool, bool]:
-        """Bucket of the shape, whether marks stand in a row, and whether there are only marks."""
-        shape = w.translate(_SHAPE)
+    def _shape(self, shape: bytes) -> tuple[int, bool, bool]:
+        """Bucket of a token's shape, whether marks stand in a row, and whether there are only marks."""
         marks = [c not in b"Aa9" for c in shape]
         known = (zlib.crc32(b"shape:" + _squeezed(shape)) % DIMENSIONS, any(a and b for a, b in zip(marks, marks[1:], strict=False)), all(marks))
         if len(self.seen) >= REMEMBERED:
             self.seen.clear()
-        self.seen[w] = known
+        self.seen[shape] = known
         return known
 
     def read(self, text: bytes | None) -> tuple[tuple[int, ...], dict[int, float]]:
@@ -72,27 +84,27 @@ class Reader:
         if not words:
             return (0,) * len(LABELLERS), {}
         n, counts, seen = len(words), Counter(words), self.seen
-        shapes: Counter = Counter()
+        shaped = text.translate(_SHAPE)
+        shapes: dict[int, int] = {}
         rows = loose = 0
-        for w, c in counts.items():
-            bucket, in_row, only = seen.get(w) or self._token(w)
-            shapes[bucket] += c
+        for shape, c in Counter(shaped.split()).items():  # shapes are few, so the work is in the counting
+            bucket, in_row, only = seen.get(shape) or self._shape(shape)
+            shapes[bucket] = shapes.get(bucket, 0) + c
             rows += c * in_row
             loose += c * only
-        kinds = Counter(text.translate(_SHAPE))
-        upper, letters = kinds[0x41], kinds[0x41] + kinds[0x61]
-        blank = sum(kinds[c] for c in b" \t\r\n\v\f")
+        upper = shaped.count(b"A")
+        letters = upper + shaped.count(b"a")
         lines = [x for x in map(bytes.strip, text.split(b"\n")) if x]
-        three = 1 - len(set(zip(words, words[1:], words[2:], strict=False))) / max(1, n - 2)
         values = {
             "symbols": rows / n,
             "capitals": upper / max(1, letters),
-            "trigrams": max(0.0, three),
+            "trigrams": max(0.0, 1 - len(set(zip(words, words[1:], words[2:], strict=False))) / max(1, n - 2)),
             "loose_marks": loose / n,
             "lines": 1 - len(set(lines)) / len(lines),
-            "letters": letters / max(1, len(text) - blank),
+            "letters": letters / sum(map(len, words)),
             "vocabulary": 1 - len(counts) / n,
             "lengths": abs(len(text) / n - 6),
+            "function_words": sum(map(counts.get, FUNCTION_WORDS, ZEROS)) / n,
         }
         enough = n >= 16
         votes = (
@@ -104,6 +116,8 @@ class Reader:
             _vote(values["letters"], 0.9, 0.75) if enough else 0,
             _vote(values["vocabulary"], 0.45, 0.7) if 20 <= n <= 2000 else 0,
             _vote(values["lengths"], 3, 6) if n >= 20 else 0,
+            # Other languages than those of the list get no vote rather than a bad one: their counts are all zero.
+            _vote(values["function_words"], 0.15, 0.08) if n >= 50 and values["function_words"] else 0,
         )
         features = {b: math.sqrt(c / n) for b, c in shapes.items()}
         for name, value in values.items():
@@ -195,36 +209,38 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", tex
     return model, *fit(data)
 
 
-def scored(docs: DataFrame, fit_rows: int = FIT_ROWS, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """Per row: doc_id, votes, weak (the label model's probability of good), score, keep; with carry, docs' columns too.
+def scored(docs: DataFrame, fit_rows: int = FIT_ROWS, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with `__q`: a struct of votes, weak (the label model's probability of good), score and keep.
 
     Null and wordless texts get the scorer's bias and no votes. Rows are judged each on its own; no row, no result.
+    Only the text goes to Python, and only the judgement comes back.
     """
     model, weights, bias = train(docs, fit_rows, id_col, text_col)
-    posterior, default = model.posterior, 1 - model.prior
-    extra = docs.columns if carry else []
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("__text"), *(F.col(c).alias(f"__c_{c}") for c in extra))
+    posterior, prior = model.posterior, model.prior
+    kind = T.StructType.fromDDL("votes array<byte>, weak double, score double, keep boolean")
+    types = (pa.list_(pa.int8()), pa.float64(), pa.float64(), pa.bool_())
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(kind)
+    def judge(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = Reader()
-        for b in parts:
-            votes, weak, scores = [], [], []
-            for t in b.column(1).to_pylist():
-                v, f = reader.read(t)
+        for a in parts:
+            rows = []
+            for t in a:
+                v, f = reader.read(t.as_py())
                 z = bias + sum(weights[k] * x for k, x in f.items())
-                votes.append(list(v))
-                weak.append(1 - posterior.get(v, 1 - default))
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.record_batch([b.column(0), pa.array(votes, pa.list_(pa.int8())), pa.array(weak), pa.array(scores), pa.array([s >= keep for s in scores]), *b.columns[2:]], names=["doc_id", "votes", "weak", "score", "keep", *b.schema.names[2:]])
+                score = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+                rows.append((list(v), 1 - posterior.get(v, prior), score, score >= keep))
+            columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=kind.names)
 
-    out = "doc_id long, votes array<byte>, weak double, score double, keep boolean" + "".join(f", `__c_{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
-    return picked.mapInArrow(run, out)
+    return docs.withColumn("__q", judge(F.col(text_col).cast("binary")))
 
 
 def kept(docs: DataFrame, **more) -> DataFrame:
     """The documents that aren't rejected; same columns."""
-    return scored(docs, carry=True, **more).where("keep").select(*(F.col(f"__c_{c}").alias(c) for c in docs.columns))
+    return scored(docs, **more).where("__q.keep").drop("__q")
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    return scored(docs).select("doc_id", "votes", F.round("weak", 6).alias("weak"), F.round("score", 6).alias("score"), "keep")
+    q = scored(docs)
+    return q.select("doc_id", "__q.votes", F.round("__q.weak", 6).alias("weak"), F.round("__q.score", 6).alias("score"), "__q.keep")
