@@ -10,10 +10,12 @@ A rule that has no data is `not_measured`, never estimated; one that doesn't con
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -237,31 +239,46 @@ def facts(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     return wide.join(titles, "audit_id", "left").join(lost, "audit_id", "left").fillna(0, ["titled", "distinct_titles", "orphans"])
 
 
-def evaluate(pages: DataFrame, site: DataFrame, external: DataFrame, audited_on: Column | None = None, thresholds: dict | None = None, overrides: dict | None = None, rules: list[Rule] | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class _Compiled:
+    rules: list[Rule]
+    scores: list[Column]
+    structs: Column
+
+
+_COMPILED: dict[tuple, _Compiled] = {}
+
+
+def _compiled(thresholds: dict, overrides: dict) -> _Compiled:
+    """The columns of all rules. Building them takes thousands of calls to the JVM, so they are kept per settings."""
+    context = SparkContext._active_spark_context
+    key = (id(context and context._jsc), json.dumps([thresholds, overrides], sort_keys=True, default=str), tuple(map(id, _EXTRA)))
+    if key not in _COMPILED:
+        rules, scores, structs = catalog(thresholds), [], []
+        for r in rules:
+            measured = F.coalesce(r.measured, F.lit(False))
+            scores.append(F.when(measured, clamped(r.score)).otherwise(0.0).alias(f"score:{r.key}"))
+            own = C(f"`score:{r.key}`")
+            state = F.when(measured, r.status(own))
+            state = state.otherwise("not_measured") if r.applicable is None else state.when(F.coalesce(r.applicable, F.lit(False)), "not_measured").otherwise("not_applicable")
+            structs.append(F.struct(F.lit(r.key).alias("key"), F.array(*map(F.lit, r.pillars)).alias("pillars"), own.alias("score"), state.alias("status"), F.lit(float(overrides.get(r.key, r.weight))).alias("weight"), F.lit(r.tier).alias("evidence_tier")))
+        if len(_COMPILED) > 32:
+            _COMPILED.clear()
+        _COMPILED[key] = _Compiled(rules, scores, F.explode(F.array(*structs)).alias("r"))
+    return _COMPILED[key]
+
+
+def evaluate(pages: DataFrame, site: DataFrame, external: DataFrame, audited_on: Column | None = None, thresholds: dict | None = None, overrides: dict | None = None) -> DataFrame:
     """(audit_id, key, pillars, score, status, weight, evidence_tier, schema_version): all rules of every audit.
 
     An audit counts if any of the three tables has it. overrides: weights by rule key. audited_on: the reference date of
     freshness, over the columns of site and external; null means not measured.
     """
-    rules = rules or catalog(thresholds)
-    overrides = overrides or {}
-    known = facts(pages, rules).join(site, "audit_id", "full").join(external, "audit_id", "full").fillna(0, ["pages", "titled", "distinct_titles", "orphans"])
+    made = _compiled(thresholds or {}, overrides or {})
+    known = facts(pages, made.rules).join(site, "audit_id", "full").join(external, "audit_id", "full").fillna(0, ["pages", "titled", "distinct_titles", "orphans"])
     known = known.withColumn("audited_on", (audited_on if audited_on is not None else F.lit(None)).cast("date"))
-    rows = []
-    for r in rules:
-        measured = F.coalesce(r.measured, F.lit(False))
-        score = F.when(measured, clamped(r.score)).otherwise(0.0)
-        rows.append((r, measured, score))
     # Scores first, as columns, so that a status may look at its own without computing it again.
-    known = known.select("*", *(s.alias(f"score:{r.key}") for r, _, s in rows))
-    structs = []
-    for r, measured, _ in rows:
-        own = C(f"`score:{r.key}`")
-        graded = r.status(own)
-        state = F.when(measured, graded)
-        state = state.otherwise("not_measured") if r.applicable is None else state.when(F.coalesce(r.applicable, F.lit(False)), "not_measured").otherwise("not_applicable")
-        structs.append(F.struct(F.lit(r.key).alias("key"), F.array(*map(F.lit, r.pillars)).alias("pillars"), own.alias("score"), state.alias("status"), F.lit(float(overrides.get(r.key, r.weight))).alias("weight"), F.lit(r.tier).alias("evidence_tier")))
-    return known.select("audit_id", F.explode(F.array(*structs)).alias("r")).select("audit_id", "r.*", F.lit(SIGNAL_SCHEMA_VERSION).alias("schema_version"))
+    return known.select("*", *made.scores).select("audit_id", made.structs).select("audit_id", "r.*", F.lit(SIGNAL_SCHEMA_VERSION).alias("schema_version"))
 
 
 def evidence(pages: DataFrame, thresholds: dict | None = None, sample: int = SAMPLE) -> DataFrame:
