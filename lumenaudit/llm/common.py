@@ -10,6 +10,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Words of letters, digits and everything beyond ASCII.
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between them.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words between ASCII white space.
 SPACED = r"[^\x20\x09-\x0D]+"
 
