@@ -38,7 +38,9 @@ DATE = "1970-01-01T00:00:00Z"
 
 def dictionary(pages: DataFrame) -> bytes:
     """A dictionary from pages(id, payload); empty if they are too few or too small to train one."""
-    sample = pages.select("id", F.substring("payload", 1, SAMPLE_BYTES).alias("p")).where(F.length("p") > 0).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(SAMPLE_PAGES).collect()
+    # Ids are ranked first, so that payloads of the sample alone travel.
+    ids = pages.where((F.length("payload") > 0) & F.col("id").isNotNull()).select("id").distinct().orderBy(F.xxhash64("id", F.lit(7)), "id").limit(SAMPLE_PAGES)
+    sample = pages.join(ids, "id", "left_semi").select(F.substring("payload", 1, SAMPLE_BYTES).alias("p")).where(F.length("p") > 0).limit(SAMPLE_PAGES).collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r["p"]) for r in sample]).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -103,7 +105,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
                     path, done, n = f"{root}/{uuid.uuid4().hex}.warc.zst", 0, 0
-                    out = system.open_output_stream(path)
+                    out = system.open_output_stream(path, compression=None)  # the name would make Arrow compress it again
                     done += out.write(skippable(words)) or 0
                 frame = press.compress(record(*row))
                 out.write(frame)
@@ -160,7 +162,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
         for b in parts:
             for path in b.column(0).to_pylist():
                 rows, size = [], 0
-                with system.open_input_stream(path) as stream:
+                with system.open_input_stream(path, compression=None) as stream:
                     for raw in frames(stream):
                         heads, block = parsed(raw)
                         http, _, payload = block.partition(b"\r\n\r\n")
