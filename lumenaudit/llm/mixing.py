@@ -11,8 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACED_TABLE, written
 
@@ -22,16 +23,15 @@ WEIGHTS = (1, 2, 3)
 EPOCHS = 3
 
 
-def with_sizes(docs: DataFrame, text_col: str, columns: list[str]) -> DataFrame:
-    """The columns of docs, and `__size`: the words of the text."""
-    picked = docs.select(F.col(text_col).cast("binary").alias("__text"), *columns)
+def n_words(text: Column) -> Column:
+    """SPACED words of a text; only the text goes to Python."""
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            sizes = [len(t.translate(SPACED_TABLE).split()) if t else 0 for t in b.column(0).to_pylist()]
-            yield pa.record_batch([*b.columns[1:], pa.array(sizes, pa.int64())], names=[*b.schema.names[1:], "__size"])
+    @F.arrow_udf(T.LongType())
+    def count(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in parts:
+            yield pa.array([len(t.as_py().translate(SPACED_TABLE).split()) if t.is_valid else 0 for t in a], pa.int64())
 
-    return picked.mapInArrow(run, picked.drop("__text").schema.add("__size", "long"))
+    return count(text.cast("binary"))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -63,9 +63,8 @@ def plan(docs: DataFrame, carry: list[str] | None = None, weights: tuple[int, ..
     repeat an id follow each other in the order. With no words at all, all targets are zero.
     """
     carry = carry or []
-    ids = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col(text_col).alias("__t"), *(F.col(c).alias(f"__c_{c}") for c in carry))
-    carried = ["__id", "__source", *(f"__c_{c}" for c in carry)]
-    sized = with_sizes(ids, "__t", carried).withColumn("__key", F.md5(F.coalesce(F.col("__id").cast("string"), F.lit("null")).cast("binary")))
+    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary"))
+    sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), n_words(F.col(text_col)).alias("__size"), key.alias("__key"), *(F.col(c).alias(f"__c_{c}") for c in carry))
     narrow = written(sized.select("__source", "__key", "__size"))
     if not carry:
         sized = written(sized)
