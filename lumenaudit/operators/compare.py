@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import PILLARS
-from .scoring import PILLAR_WEIGHTS, global_scores, is_measured, pillar_scores
+from .scoring import PILLAR_WEIGHTS, global_scores, is_measured, scorecards
 
 C = F.col
 # What a difference in a field of the measurement profile means.
@@ -71,11 +71,11 @@ def common_keys(results: DataFrame, pairs: DataFrame) -> DataFrame:
     return side("left").intersect(side("right"))
 
 
-def _side_scores(results: DataFrame, pairs: DataFrame, side: str, keys: DataFrame | None, weights: dict[str, float] | None) -> tuple[DataFrame, DataFrame]:
+def _side(results: DataFrame, pairs: DataFrame, side: str, keys: DataFrame | None, weights: dict[str, float] | None) -> DataFrame:
+    """A side's global score and pillar scores, per pair."""
     rows = pairs_of(results, pairs, side)
     rows = rows if keys is None else rows.join(keys, ["pair_id", "key"], "left_semi")
-    scores = pillar_scores(rows.withColumnRenamed("pair_id", "audit_id"))
-    return scores.select(C("audit_id").alias("pair_id"), "pillar", C("score").alias(f"{side}_score")), global_scores(scores, weights).select(C("audit_id").alias("pair_id"), C("score").alias(f"{side}_global"))
+    return scorecards(rows.withColumnRenamed("pair_id", "audit_id"), weights).select(C("audit_id").alias("pair_id"), C("score").alias(f"{side}_global"), C("scores").alias(f"{side}_scores"))
 
 
 def compare(results: DataFrame, pairs: DataFrame, recompute: bool, weights: dict[str, float] | None = None, deltas: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -86,13 +86,13 @@ def compare(results: DataFrame, pairs: DataFrame, recompute: bool, weights: dict
     """
     weights = PILLAR_WEIGHTS if weights is None else weights
     keys = common_keys(results, pairs) if recompute else None
-    (lp, lg), (rp, rg) = (_side_scores(results, pairs, s, keys, weights) for s in ("left", "right"))
     # A pair without common rules has no rows to score; it is compared at zero.
-    grid = pairs.select("pair_id", F.explode(F.array(*(F.struct(F.lit(k).alias("n"), F.lit(p).alias("pillar")) for k, p in enumerate(PILLARS)))).alias("p")).select("pair_id", "p.*")
-    pillars = grid.join(lp, ["pair_id", "pillar"], "left").join(rp, ["pair_id", "pillar"], "left").fillna(0.0, ["left_score", "right_score"])
-    pillars = pillars.select("pair_id", "pillar", "left_score", "right_score", (F.bround(C("right_score") - C("left_score"), 2) if deltas else F.lit(None).cast("double")).alias("delta"))
-    totals = pairs.select("pair_id").join(lg, "pair_id", "left").join(rg, "pair_id", "left").fillna(0.0, ["left_global", "right_global"])
-    totals = totals.withColumn("global_delta", F.bround(C("right_global") - C("left_global"), 2) if deltas else F.lit(None).cast("double")).withColumn("recomputed", F.lit(recompute))
+    both = pairs.select("pair_id").join(_side(results, pairs, "left", keys, weights), "pair_id", "left").join(_side(results, pairs, "right", keys, weights), "pair_id", "left").fillna(0.0, ["left_global", "right_global"])
+    delta = lambda a, b: (F.bround(b - a, 2) if deltas else F.lit(None).cast("double"))
+    totals = both.select("pair_id", "left_global", "right_global", delta(C("left_global"), C("right_global")).alias("global_delta"), F.lit(recompute).alias("recomputed"))
+    of = lambda side, k: F.coalesce(F.get(f"{side}_scores", F.lit(k))["score"], F.lit(0.0))
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("pillar"), of("left", k).alias("left_score"), of("right", k).alias("right_score")) for k, p in enumerate(PILLARS))))
+    pillars = both.select("pair_id", each.alias("p")).select("pair_id", "p.*", delta(C("p.left_score"), C("p.right_score")).alias("delta"))
     criteria = criterion_deltas(results, pairs, recompute)
     return totals, pillars, criteria if deltas else criteria.limit(0)
 
@@ -139,5 +139,5 @@ def latest_audits(audits: DataFrame) -> DataFrame:
 
 def recalculated(results: DataFrame, audits: DataFrame) -> DataFrame:
     """audits with their global score computed anew from stored results, under default weights; coverage stays."""
-    fresh = global_scores(pillar_scores(results)).withColumnRenamed("score", "__score")
+    fresh = global_scores(results).withColumnRenamed("score", "__score")
     return audits.join(fresh, "audit_id", "left").withColumn("score_global", F.coalesce("__score", "score_global")).drop("__score")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clamped, share, status, steps
 from ..functions.urls import route_family
 from ..schema import SIGNAL_SCHEMA_VERSION
+from ..sources.html import ACTION_TYPES, PLATFORMS
 
 C = F.col
 
@@ -125,6 +126,12 @@ def _any(c: Column) -> Column:
     return F.coalesce(F.bool_or(c), F.lit(False))
 
 
+def _bits(c: str, names: tuple[str, ...]) -> Column:
+    """The names of a fixed list that any page has, as bits. Aggregates of this kind, unlike sets and texts, keep the
+    grouping in its fast, fixed-width form."""
+    return F.bit_or(reduce(lambda a, b: a + b, (F.when(F.array_contains(c, n), 1 << k).otherwise(0) for k, n in enumerate(names))))
+
+
 def _typed(*names: str) -> Column:
     return F.arrays_overlap("structured_data_types", F.array(*map(F.lit, names)))
 
@@ -144,7 +151,7 @@ def site_rules(thresholds: dict) -> list[Rule]:
     haystack = F.concat(F.lower("url"), F.lit(" "), F.lower(F.coalesce("title", F.lit(""))))
     has = lambda words, c: reduce(lambda a, b: a | b, (c.contains(w) for w in words))
     found = F.coalesce(F.try_element_at(C("aso.agent_usable_forms_detail"), F.lit("found")), F.lit(0))
-    types = F.array_distinct(F.flatten(F.collect_set("aso.action_schema_types")))
+    types, platforms = _bits("aso.action_schema_types", ACTION_TYPES), _bits("social_platforms", tuple(sorted(set(PLATFORMS.values()))))
     actions = C("aso.potential_actions")
     ratio = F.try_divide(C("sourced").cast("double"), C("content_pages"))
     return [
@@ -161,7 +168,7 @@ def site_rules(thresholds: dict) -> list[Rule]:
         Rule("geo.entity_density", 1.0, ("geo",), F.bround("density_mean", 2), C("density_mean").isNotNull(), {"density_mean": F.avg(dense)}),
         Rule("geo.primary_sources", 1.2, ("geo", "aeo"), of_pages("sourced", "content_pages"), C("content_pages") > 0, {"content_pages": F.count_if(content), "sourced": F.count_if(content & (F.size("external_link_domains") > 0))}, status=lambda s: F.when(ratio >= limit("ok_ratio"), "ok").when(ratio >= limit("warn_ratio"), "warning").otherwise("critical")),
         Rule("geo.authors", 1.2, ("geo", "aeo"), flag("authored"), pages, {"authored": _any(C("has_author"))}),
-        Rule("geo.cross_platform", 1.0, ("geo", "aso"), F.bround(F.least(F.lit(100.0), F.size("platforms") / 4.0 * 100), 2), pages, {"platforms": F.array_sort(F.array_distinct(F.flatten(F.collect_set("social_platforms"))))}),
+        Rule("geo.cross_platform", 1.0, ("geo", "aso"), F.bround(F.least(F.lit(100.0), F.bit_count("platforms") / 4.0 * 100), 2), pages, {"platforms": platforms}),
         Rule("geo.freshness", 1.0, ("geo", "aeo"), F.when(age < 90, 100.0).when(age < 365, 50.0).otherwise(0.0), age.isNotNull(), {"newest": F.max(date)}),
         Rule("gso.faqpage", 1.3, ("gso",), flag("faq"), pages, {"faq": _any(_typed("FAQPage"))}),
         Rule("gso.howto", 0.6, ("gso", "aso"), flag("howto"), pages, {"howto": _any(_typed("HowTo"))}),
@@ -170,14 +177,14 @@ def site_rules(thresholds: dict) -> list[Rule]:
         Rule("gso.qa_format", 1.0, ("gso", "aeo"), flag("questions"), pages, {"questions": _any(_typed("FAQPage") | (C("question_headings") >= 2))}),
         Rule("gso.longtail", 0.8, ("gso",), F.lit(0.0), F.lit(False)),
         Rule("aeo.author_credentials", 1.5, ("aeo",), F.when(C("credentialled"), 100.0).when(C("authored"), 50.0).otherwise(0.0), pages, {"credentialled": _any(C("author_has_credentials"))}),
-        Rule("aeo.about_page", 1.0, ("aeo",), F.when(C("about_url").isNotNull(), 100.0).otherwise(0.0), pages, {"about_url": F.min(F.when(has(ABOUT_HINTS, haystack), C("url")))}),
+        Rule("aeo.about_page", 1.0, ("aeo",), flag("about"), pages, {"about": _any(has(ABOUT_HINTS, haystack))}),
         Rule("aeo.defined_terms", 1.0, ("aeo",), flag("defined"), pages, {"defined": _any(_typed("DefinedTerm") | (C("definition_lists_count") > 0))}),
         Rule("aeo.dates_structured", 1.0, ("aeo", "geo"), flag("dated"), pages, {"dated": _any(C("has_structured_dates"))}),
         Rule("aeo.comparison_tables", 0.8, ("aeo",), flag("tabled"), pages, {"tabled": _any(C("tables_count") > 0), "bare_comparisons": F.count_if(has(COMPARE_HINTS, F.lower("url")) & (C("tables_count") == 0))}),
         Rule("aeo.answer_directness", 1.0, ("aeo", "gso"), of_pages("direct"), pages, {"direct": F.count_if(C("lead_paragraph_words") >= 20)}),
         Rule("aso.mcp_readiness", 1.8, ("aso",), F.when(C("tooling"), 100.0).when(C("partial_tooling"), 50.0).otherwise(0.0), pages, {"tooling": _any(C("aso.webmcp.has_register_tool") | C("aso.webmcp.has_tool_attributes")), "partial_tooling": _any(C("aso.webmcp.partial_signals"))}, tier="experimental"),
         Rule("aso.potential_actions", 1.6, ("aso",), F.when(C("executable"), 100.0).when(C("acting"), 50.0).otherwise(0.0), pages, {"executable": _any(F.arrays_overlap(actions, F.array(*map(F.lit, EXECUTABLE_ACTIONS)))), "acting": _any(F.size(actions) > 0)}, tier="experimental"),
-        Rule("aso.action_schema", 1.5, ("aso", "gso"), F.when(F.size("action_types") >= 2, 100.0).when(F.size("action_types") == 1, 50.0).otherwise(0.0), pages, {"action_types": types}, tier="experimental"),
+        Rule("aso.action_schema", 1.5, ("aso", "gso"), F.when(F.bit_count("action_types") >= 2, 100.0).when(F.bit_count("action_types") == 1, 50.0).otherwise(0.0), pages, {"action_types": types}, tier="experimental"),
         Rule("aso.accessible_forms", 0.8, ("aso",), F.when(C("forms_found") == 0, 100.0).otherwise(of_pages("forms_usable", "forms_found")), pages & ((C("forms_found") > 0) | (C("forms_usable") > 0)), {"forms_found": F.sum(found), "forms_usable": F.sum("aso.agent_usable_forms")}),
         Rule("aso.openapi", 0.8, ("aso",), flag("documented"), pages, {"documented": _any(F.size("aso.openapi_links") > 0)}, tier="experimental"),
         Rule("aso.agent_access", 1.2, ("aso", "geo"), share(C("agent_bots_checked") - F.size("blocked_agent_bots"), C("agent_bots_checked")), C("agent_bots_checked") > 0),

@@ -45,49 +45,66 @@ def coverage_label(c: Column) -> Column:
     return F.when(c >= 0.9, "complete").when(c >= 0.7, "substantial").when(c >= 0.4, "partial").otherwise("insufficient")
 
 
-def _weights() -> list[Column]:
-    return [F.coalesce(F.sum(F.when(c, C("weight"))), F.lit(0.0)).alias(n) for c, n in ((is_measured(), "measured_weight"), (is_applicable(), "applicable_weight"))]
+def _sums(results: DataFrame) -> DataFrame:
+    """One row per audit: for each pillar, and for all rules (`all`), a struct of score, coverage and counts.
+
+    One grouping by audit_id with fixed-width sums serves pillar scores, global score and coverage alike; rules need not
+    be exploded by pillar, and a pillar without rules comes out with zeros.
+    """
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    aggregates = []
+    for p in (*PILLARS, "all"):
+        own = F.lit(True) if p == "all" else F.array_contains("pillars", p)
+        aggregates += [
+            zero(F.when(own & is_measured(), C("weight"))).alias(f"{p}_mw"),
+            zero(F.when(own & is_applicable(), C("weight"))).alias(f"{p}_aw"),
+            zero(F.when(own & is_measured(), C("score") * C("weight"))).alias(f"{p}_ws"),
+            F.count_if(own & is_measured()).alias(f"{p}_m"),
+            F.count_if(own & ~is_measured()).alias(f"{p}_x"),
+            F.count_if(own & ~is_applicable()).alias(f"{p}_na"),
+        ]
+    sums = results.groupBy("audit_id").agg(*aggregates)
+
+    def scored(p: str) -> Column:
+        covered = F.bround(_ratio(C(f"{p}_mw"), C(f"{p}_aw")), 4)
+        # The coverage is rounded before it multiplies the weighted mean.
+        score = F.bround(_ratio(C(f"{p}_ws"), C(f"{p}_mw")) * covered, 2)
+        return F.struct(F.lit(p).alias("pillar"), score.alias("score"), covered.alias("coverage"), C(f"{p}_m").alias("measured"), C(f"{p}_x").alias("excluded"), C(f"{p}_na").alias("not_applicable")).alias(p)
+
+    return sums.select("audit_id", *map(scored, (*PILLARS, "all")))
 
 
 def coverage(results: DataFrame) -> DataFrame:
     """(audit_id, coverage, label): measured weight over applicable weight, each rule once."""
-    sums = results.groupBy("audit_id").agg(*_weights())
-    value = F.bround(_ratio(C("measured_weight"), C("applicable_weight")), 4)
-    return sums.select("audit_id", value.alias("coverage"), coverage_label(value).alias("label"))
+    return _sums(results).select("audit_id", C("all.coverage").alias("coverage"), coverage_label(C("all.coverage")).alias("label"))
 
 
 def pillar_scores(results: DataFrame) -> DataFrame:
     """(audit_id, pillar, score, coverage, measured, excluded, not_applicable): every pillar of every audit.
 
-    The score is the weighted mean of the measured rules, times the coverage (as rounded to four digits). A pillar
-    without rules has zeros. All five come from one grouping: an audit's rows bring empty ones of each pillar along.
+    The score is the weighted mean of the measured rules, times the coverage.
     """
-    tagged = results.select("audit_id", "score", "status", "weight", F.explode("pillars").alias("pillar"))
-    # One blank row per audit, pillar and task, by partial aggregation, so that no join is needed for empty pillars.
-    blank = results.select("audit_id").distinct().select("audit_id", F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("status"), F.lit(0.0).alias("weight"), F.explode(F.array(*map(F.lit, PILLARS))).alias("pillar"))
-    own = C("status").isNotNull()
-    sums = tagged.union(blank).groupBy("audit_id", "pillar").agg(
-        *_weights(),
-        F.coalesce(F.sum(F.when(is_measured(), C("score") * C("weight"))), F.lit(0.0)).alias("weighted"),
-        F.count_if(is_measured()).alias("measured"),
-        F.count_if(own & ~is_measured()).alias("excluded"),
-        F.count_if(C("status") == "not_applicable").alias("not_applicable"),
-    )
-    covered = F.bround(_ratio(C("measured_weight"), C("applicable_weight")), 4)
-    mean = _ratio(C("weighted"), C("measured_weight"))
-    return sums.select("audit_id", "pillar", F.bround(mean * covered, 2).alias("score"), covered.alias("coverage"), "measured", "excluded", "not_applicable")
+    return _sums(results).select("audit_id", F.explode(F.array(*PILLARS)).alias("p")).select("audit_id", "p.*")
+
+
+def _global(weights: dict[str, float] | None) -> Column:
+    """Weighted mean of the pillars with a measured rule and a positive weight, over the row of `_sums`; 0 without any."""
+    merged = {p: float(w) for p, w in (PILLAR_WEIGHTS | (weights or {})).items() if p in PILLARS and w > 0}
+    counted = {p: F.when(C(f"{p}.measured") > 0, F.lit(w)).otherwise(0.0) for p, w in merged.items()}
+    top, whole = F.lit(0.0), F.lit(0.0)
+    for p in sorted(counted):
+        top, whole = top + C(f"{p}.score") * counted[p], whole + counted[p]
+    return F.bround(_ratio(top, whole), 2)
 
 
-def _pillar_weight(weights: dict[str, float] | None) -> Column:
-    merged = PILLAR_WEIGHTS | (weights or {})
-    return F.element_at(F.create_map(*(F.lit(x) for kv in merged.items() for x in (kv[0], float(kv[1])))), C("pillar"))
+def global_scores(results: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(audit_id, score)."""
+    return _sums(results).select("audit_id", _global(weights).alias("score"))
 
 
-def global_scores(pillars: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """(audit_id, score): weighted mean of the pillars with a measured rule and a positive weight; 0 without any."""
-    w = F.when((C("measured") > 0) & (_pillar_weight(weights) > 0), _pillar_weight(weights))
-    sums = pillars.groupBy("audit_id").agg(F.sum(C("score") * w).alias("s"), F.sum(w).alias("w"))
-    return sums.select("audit_id", F.coalesce(F.bround(C("s") / C("w"), 2), F.lit(0.0)).alias("score"))
+def scorecards(results: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(audit_id, score, scores): global score and an array of structs (pillar, score), in canonical order."""
+    return _sums(results).select("audit_id", _global(weights).alias("score"), F.array(*(F.struct(F.lit(p).alias("pillar"), C(f"{p}.score").alias("score")) for p in PILLARS)).alias("scores"))
 
 
 def readiness(pages: DataFrame, site: DataFrame, external: DataFrame) -> DataFrame:
@@ -139,6 +156,5 @@ def issues(results: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
 
 def report(results: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(audit_id, score_global, coverage, coverage_label, pillars): one row per audit, ready to write or to serialise."""
-    pillars = pillar_scores(results)
-    per = pillars.groupBy("audit_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pillar", "score")))).alias("pillars"))
-    return global_scores(pillars, weights).withColumnRenamed("score", "score_global").join(coverage(results).withColumnRenamed("label", "coverage_label"), "audit_id").join(per, "audit_id")
+    pillars = F.create_map(*(x for p in sorted(PILLARS) for x in (F.lit(p), C(f"{p}.score"))))
+    return _sums(results).select("audit_id", _global(weights).alias("score_global"), C("all.coverage").alias("coverage"), coverage_label(C("all.coverage")).alias("coverage_label"), pillars.alias("pillars"))

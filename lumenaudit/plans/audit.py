@@ -22,10 +22,11 @@ class Audit:
     readiness: DataFrame
 
 
-def run(captures: DataFrame, site: DataFrame | None = None, external: DataFrame | None = None, audited_on: Column | None = None, thresholds: dict | None = None, overrides: dict | None = None, weights: dict | None = None, persist: bool = False) -> Audit:
+def run(captures: DataFrame, site: DataFrame | None = None, external: DataFrame | None = None, audited_on: Column | None = None, thresholds: dict | None = None, overrides: dict | None = None, weights: dict | None = None, persist: bool = True) -> Audit:
     """site and external signals are optional; what is missing is not measured (a missing sitemap scores 0).
 
-    persist: pages are parsed once for all outputs, and kept on executors' disks while they are used.
+    persist: pages are parsed once for all outputs, and kept on executors' disks until `signals.unpersist()`; what a lost
+    executor held is parsed again.
     """
     spark = captures.sparkSession
     site = site if site is not None else spark.createDataFrame([], struct(SITE_SIGNALS))
