@@ -184,7 +184,7 @@ FROM (SELECT pair_id, pillar FROM pairs, {r.PILLAR_TABLE}) g LEFT JOIN ps_left l
         "mention_rates": mentions,
         "run_costs": "VALUES ('r1', 150::BIGINT, round_even(75 * (40 / 1e6 * 0.15 + 400 / 1e6 * 0.60 + 0.01) + 75 * (40 / 1e6 * 0.075 + 400 / 1e6 * 0.30), 4)::DOUBLE), ('r2', 20::BIGINT, round_even(10 * (40 / 1e6 + 400 / 1e6 + 0.005), 4)::DOUBLE), ('r3', 0::BIGINT, 0.0::DOUBLE)".join(("SELECT col0 AS run_id, col1 AS calls, col2 AS total_usd FROM (", ")")),
         "search_periods": periods,
-        "serp_overviews": f"WITH {serp} SELECT * FROM found",
+        "serp_overviews": f"WITH {serp} SELECT audit_id, query, triggered, cited, position::DOUBLE AS position FROM found",
         "serp_metrics": f"WITH {serp} SELECT audit_id, avg(cited::INT) AS presence_rate, avg(triggered::INT) AS trigger_rate, avg(position) AS avg_position, count(*)::INT AS query_count FROM found GROUP BY audit_id",
         "page_speed": speed,
         "authority": authority,

@@ -234,7 +234,7 @@ def search_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def serp_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connectors.serp(_values(spark, SERP, "audit_id, query, target_domain, payload")).select("audit_id", "query", "triggered", "cited", "position")
+    return connectors.serp(_values(spark, SERP, "audit_id, query, target_domain, payload")).select("audit_id", "query", "triggered", "cited", C("position").cast("double").alias("position"))
 
 
 def serp_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
