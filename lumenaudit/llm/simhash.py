@@ -3,8 +3,9 @@
 Blocks. Fingerprints that differ in at most d of their bits, cut into d + k blocks, agree in at least k blocks. Each
 choice of k blocks is a table; two fingerprints meet in a table if they agree in its blocks. `exact_tables` picks k so
 that a table's key has about as many values as there are fingerprints: no pair within d is missed, and buckets stay
-small at any size. `sliced_tables` cuts a wide fingerprint into single blocks and finds pairs far beyond that bound
-with high probability; it serves where a similarity, not a Hamming distance, is asked for.
+small at any size. `sliced_tables` cuts a wide fingerprint into single blocks, several times over, and finds pairs far
+beyond that bound almost surely; it serves where a similarity, not a Hamming distance, is asked for. What meets there
+is a candidate only, and `near_links` compares the sets of shingles themselves.
 
 Equal fingerprints are grouped before anything is joined, so a group of copies is one row. Buckets are never expanded
 into pairs of rows: a task reads its buckets sorted, compares fingerprints as arrays, and emits a spanning forest.
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,12 @@ from .components import roots
 CHUNK = 1 << 15
 #: Buckets up to this many fingerprints are compared pair by pair.
 SMALL = 32
+#: Shingle sets are near copies from this Jaccard similarity on, as a fraction.
+NEAR = (4, 5)
+#: Lanes of the fingerprints that find them, lanes that travel with a key, and bits of those that may differ.
+NEAR_LANES, NEAR_HEAD, NEAR_DISTANCE = 8, 2, 40
+#: Of sets up to this size the smallest hashes are keys too: the bits of so few shingles follow no angle.
+SHORT = 20
 
 
 def lanes_of(hashes: np.ndarray, lanes: int) -> np.ndarray:
@@ -79,9 +87,10 @@ def exact_tables(rows: int, distance: int, bits: int = 64) -> np.ndarray:
     return _masks([np.concatenate(c) for c in itertools.combinations(blocks, k)], bits)
 
 
-def sliced_tables(bits: int, block: int = 16) -> np.ndarray:
-    """Masks of the single blocks of a wide fingerprint."""
-    return _masks(np.array_split(np.arange(bits), bits // block), bits)
+def sliced_tables(bits: int, block: int = 16, cuts: int = 4) -> np.ndarray:
+    """Masks of the single blocks of a wide fingerprint, whose bits are shuffled before every cut."""
+    r = np.random.default_rng(8)
+    return _masks([b for _ in range(cuts) for b in np.array_split(r.permutation(bits), bits // block)], bits)
 
 
 def _masks(sets: list[np.ndarray], bits: int) -> np.ndarray:
@@ -114,11 +123,19 @@ class _Forest:
         return a != b
 
 
-def _large(fp: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
-    """Links among the fingerprints of one large bucket: enough for its components, by index."""
+def _middle(fp: np.ndarray) -> np.intp:
+    """The fingerprint next to the majority of each bit: where many are copies of one, that one."""
+    bits = np.unpackbits(fp.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+    most = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(fp), bitorder="little").view("<u8").astype(np.uint64)
+    return np.argmin(_apart(fp, most))
+
+
+def _large(fp: np.ndarray, distance: int, middle: bool = False) -> Iterator[tuple[int, int]]:
+    """Links among the fingerprints of one large bucket: enough for its components, by index. middle: stars have the middle one as pivot."""
     forest, left = _Forest(), np.arange(len(fp))
     while len(left) > 1:
-        pivot, rest = left[0], left[1:]
+        at = int(_middle(fp[left])) if middle else 0
+        pivot, rest = left[at], np.delete(left, at)
         d = _apart(fp[rest], fp[pivot])
         near = rest[d <= distance]
         yield from ((pivot, x) for x in near if forest.add(int(pivot), int(x)))
@@ -132,13 +149,13 @@ def _large(fp: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
             ring = ring[~hit]
 
 
-def _links(key: np.ndarray, fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
+def _links(key: np.ndarray, fp: np.ndarray, distance: int, middle: bool = False) -> list[tuple[int, int]]:
     """Links, by index, among rows sorted by key; only those that a spanning forest needs."""
     starts = np.flatnonzero(np.r_[True, np.any(key[1:] != key[:-1], axis=1)])
     ends = np.r_[starts[1:], len(key)]
     found: list[tuple[int, int]] = []
     for s, e in zip(starts[ends - starts > SMALL], ends[ends - starts > SMALL], strict=True):
-        found += [(s + a, s + b) for a, b in _large(fp[s:e], distance)]
+        found += [(s + a, s + b) for a, b in _large(fp[s:e], distance, middle)]
     end = np.repeat(np.where(ends - starts > SMALL, 0, ends), ends - starts)
     at, step = np.flatnonzero(end > np.arange(len(key)) + 1), 1
     while len(at):
@@ -149,15 +166,43 @@ def _links(key: np.ndarray, fp: np.ndarray, distance: int) -> list[tuple[int, in
     return found
 
 
-def links(groups: DataFrame, distance: int, masks: np.ndarray) -> DataFrame:
-    """groups(fp, rep), fp distinct. (a, b) of reps, enough of them that fingerprints within the distance are connected."""
+def _pairs(key: np.ndarray, fp: np.ndarray, top: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of different tops within the distance, by index, among rows sorted by key; as many at a time as there are rows."""
+    starts = np.flatnonzero(np.r_[True, np.any(key[1:] != key[:-1], axis=1)])
+    ends = np.r_[starts[1:], len(key)]
+    end = np.repeat(ends, ends - starts)
+    at, step = np.flatnonzero(end > np.arange(len(key)) + 1), 1
+    while len(at):
+        hit = at[top[at] != top[at + step]]
+        hit = hit[_apart(fp[hit], fp[hit + step]) <= distance]
+        if len(hit):
+            yield hit, hit + step
+        step += 1
+        at = at[at + step < end[at]]
+
+
+def links(groups: DataFrame, distance: int, masks: np.ndarray, head: int | None = None, every: bool = False) -> DataFrame:
+    """groups(fp, rep). (a, b) of reps, enough of them that fingerprints within the distance are connected.
+
+    head: compare only so many lanes, which is all that travels. every: all pairs whose column `top` differs, not only
+    those that connect.
+    A column `low` of groups holds further keys by which a row meets others.
+    """
     lanes = masks.shape[1]
+    head = head or lanes
+    further = [c for c in ("low", "top") if c in groups.columns]
+    extra = ["top"] if every else []
 
     def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             if not b.num_rows:
                 continue
             fp, rep = b.column(0), b.column(1)
+            short = fp if head == lanes else pa.array([x[: 8 * head] for x in fp.to_pylist()], pa.binary())
+            own_top = [b.column(3)] if every else []
+            if further:
+                at = pc.list_parent_indices(b.column(2))
+                yield pa.record_batch([pa.array(np.full(len(at), -1, np.int32)), pc.list_flatten(b.column(2)), short.take(at), rep.take(at), *(x.take(at) for x in own_top)], names=["t", "key", "fp", "rep", *extra])
             words = np.frombuffer(b"".join(fp.to_pylist()), ">u8").reshape(-1, lanes).astype(np.uint64)
             for t, mask in enumerate(masks):
                 own = words & mask
@@ -165,7 +210,7 @@ def links(groups: DataFrame, distance: int, masks: np.ndarray) -> DataFrame:
                     key = np.zeros(len(own), np.uint64)
                     for k in range(lanes):  # for a 64-bit fingerprint the masked bits themselves, else a hash of them
                         key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ own[:, k] ^ (key >> np.uint64(29))
-                yield pa.record_batch([pa.array(np.full(len(own), t, np.int32)), pa.array(key.view(np.int64)), fp, rep], names=["t", "key", "fp", "rep"])
+                yield pa.record_batch([pa.array(np.full(len(own), t, np.int32)), pa.array(key.view(np.int64)), short, rep, *own_top], names=["t", "key", "fp", "rep", *extra])
 
     def link(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, forest = None, _Forest()
@@ -177,39 +222,124 @@ def links(groups: DataFrame, distance: int, masks: np.ndarray) -> DataFrame:
             cut = len(now) if pdf is None else int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if (key != key[-1]).any() else 0
             held = now.iloc[cut:]
             if cut:
-                fp, rep = np.frombuffer(b"".join(now["fp"].iloc[:cut]), ">u8").reshape(-1, lanes).astype(np.uint64), now["rep"].to_numpy()
-                pairs = [p for i, j in _links(key[:cut], fp, distance) if forest.add(*(p := (int(rep[i]), int(rep[j]))))]
+                fp, rep = np.frombuffer(b"".join(now["fp"].iloc[:cut]), ">u8").reshape(-1, head).astype(np.uint64), now["rep"].to_numpy()
+                if every:
+                    yield from (pd.DataFrame({"a": rep[i], "b": rep[j]}) for i, j in _pairs(key[:cut], fp, now["top"].to_numpy()[:cut], distance))
+                    continue
+                pairs = [p for i, j in _links(key[:cut], fp, distance, head < lanes) if forest.add(*(p := (int(rep[i]), int(rep[j]))))]
                 yield pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
-    dealt = groups.select("fp", "rep").where("rep is not null").mapInArrow(deal, "t int, key long, fp binary, rep long")
+    dealt = groups.select("fp", "rep", *further).where("rep is not null").mapInArrow(deal, "t int, key long, fp binary, rep long" + ", top long" * every)
     return dealt.repartition("t", "key").sortWithinPartitions("t", "key").mapInPandas(link, "a long, b long")
 
 
-def components(docs: DataFrame, shingle: int = 3, distance: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) per row of docs; component_id is the smallest doc_id that links reach.
 
-    With one lane, fingerprints within the distance are all found. With more, blocks of 16 bits serve, and pairs that
-    differ in fewer bits than there are blocks are all found, the rest with a chance that grows with their similarity.
+    Fingerprints within the distance are all found.
     Null or wordless texts share fingerprint zero and are linked like any other. A row whose doc_id is null gets the
     component of its fingerprint, and null if no row with an id has that. Repeated rows come back as often as they are.
     """
-    fps = written(fingerprints(docs, shingle, lanes, id_col, text_col))
+    fps = written(fingerprints(docs, shingle, 1, id_col, text_col))
     groups = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    masks = exact_tables(groups.count(), distance) if lanes == 1 else sliced_tables(64 * lanes)
-    up = roots(links(groups, distance, masks))
+    up = roots(links(groups, distance, exact_tables(groups.count(), distance)))
     named = groups.join(up, groups["rep"] == up["a"], "left").select("fp", F.coalesce("b", "rep").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates_out(docs: DataFrame, shingle: int = 5, distance: int = 36, lanes: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; of fewer words all are one shingle."""
+    h = xxhash.xxh64_intdigest
+    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)] if words else []
+    return np.unique(np.fromiter((h(g, 42) for g in grams), np.uint64))
+
+
+def set_fingerprint(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """As `fingerprint`, of a set of shingles: however often one stands in a text, it counts once."""
+    ones = np.zeros(64 * lanes, np.int64)
+    for k in range(0, len(hashes), 255):  # so many fit a byte
+        bits = lanes_of(hashes[k : k + 255], lanes).astype("<u8").view(np.uint8)
+        ones += np.add.reduce(np.unpackbits(bits, axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8").astype(np.uint64)
+
+
+def _sketches(docs: DataFrame, shingle: int, lanes: int) -> DataFrame:
+    """docs(doc_id, text): doc_id, a digest of the set of shingles, its fingerprint, and of a short set its smallest hashes.
+
+    Two sets of similarity NEAR share one of their n - ceil(0.8 n) + 1 smallest hashes each.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            sets = [shingle_set(spaced_words(t), shingle) for t in b.column(1).to_pylist()]
+            low = [s[: len(s) - -(-len(s) * NEAR[0] // NEAR[1]) + 1].view(np.int64) if len(s) <= SHORT else [] for s in sets]
+            fps = [set_fingerprint(s, lanes).astype(">u8").tobytes() for s in sets]
+            yield pa.record_batch([b.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(fps, pa.binary()), pa.array(low, pa.list_(pa.int64()))], names=["doc_id", "digest", "fp", "low"])
+
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, digest binary, fp binary, low array<long>")
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """pairs(a, b) with `alike`: whether the Jaccard similarity of their sets of shingles reaches NEAR."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            sets = [shingle_set(spaced_words(t), shingle).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "s"])
+
+    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())  # so its size is known before texts move
+    sets = written(docs.join(ids, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, s array<long>"))
+    x, y = (sets.select(F.col("doc_id").alias(c), F.col("s").alias(f"{c}s")) for c in ("a", "b"))
+    common = F.size(F.array_intersect("as", "bs"))
+    # No pair whose sizes alone rule it out needs its sets intersected.
+    sized = F.greatest(F.size("as"), F.size("bs")) * NEAR[0] <= F.least(F.size("as"), F.size("bs")) * NEAR[1]
+    alike = F.when(sized, common * NEAR[1] >= (F.size("as") + F.size("bs") - common) * NEAR[0]).otherwise(False)
+    return pairs.join(x, "a").join(y, "b").groupBy("a", "b").agg(F.max(alike).alias("alike"))
+
+
+def near_links(docs: DataFrame, groups: DataFrame, shingle: int) -> DataFrame:
+    """docs(doc_id, text), groups(fp, rep, low). (a, b), a above b, for the reps that links of similarity NEAR connect.
+
+    First only as many candidates are compared as connect all of them. Where they leave two apart that a candidate
+    joins, others may still hold: of such components every candidate is compared that isn't connected yet.
+    """
+    masks = sliced_tables(64 * NEAR_LANES)
+    pick = (F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+    def topped(df: DataFrame, up: DataFrame, *cols: str) -> DataFrame:
+        for c in cols:
+            df = df.join(up.select(F.col("a").alias(c), F.col("b").alias("__top")), c, "left").withColumn(f"{c}_top", F.coalesce("__top", c)).drop("__top")
+        return df
+
+    found = written(links(groups, NEAR_DISTANCE, masks, NEAR_HEAD).where("a <> b").select(*pick).distinct())
+    judged = written(_alike(docs, found, shingle))
+    good = judged.where("alike").select("a", "b")
+    up = roots(good)
+    open_ = written(topped(judged.where("not alike").select("a", "b"), up, "a", "b").where("a_top <> b_top").select("a", "b"))
+    if open_.isEmpty():
+        return up
+    whole = roots(found)
+    among = written(topped(open_, whole, "a").select(F.col("a_top").alias("rep_top")).distinct())
+    left = topped(groups.where("rep is not null"), whole, "rep").join(among, "rep_top", "left_semi").drop("rep_top")
+    left = topped(left, up, "rep").withColumnRenamed("rep_top", "top")
+    more = links(left, NEAR_DISTANCE, masks, NEAR_HEAD, every=True).where("a <> b").select(*pick).distinct()
+    apart = written(more.join(open_, ["a", "b"], "left_anti"))
+    return roots(good.union(written(_alike(docs, apart, shingle)).where("alike").select("a", "b")))
+
+
+def near_duplicates_out(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that are not the first of their component; columns as given.
 
-    The defaults compare 256-bit fingerprints of five-word shingles: 36 differing bits stand for a similarity (Jaccard)
-    of 0.82, as the angle between two bags of words is pi * 36 / 256. Rows with a null id are kept. Rows that repeat an
-    id stay together. Wordless texts say nothing of each other and are kept too.
+    Two texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more; 512-bit
+    fingerprints say which are compared. Rows with a null id are kept. Rows that repeat an id stay together. Wordless
+    texts say nothing of each other and are kept too.
     """
-    worded = docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
-    gone = components(worded, shingle, distance, lanes, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    worded = docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sketches = written(_sketches(worded, shingle, NEAR_LANES))
+    groups = written(sketches.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("low").alias("low")))
+    up = near_links(worded, groups, shingle)
+    named = groups.join(up, groups["rep"] == up["a"], "left").select("digest", F.coalesce("b", "rep").alias("component_id"))
+    gone = written(sketches.select("doc_id", "digest").join(named, "digest").where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
 
 

@@ -125,6 +125,37 @@ def test_near_duplicates_go(spark):
     assert sorted((x["doc_id"] for x in out.collect()), key=repr) == sorted([*range(20), 201, 202, None], key=repr)
 
 
+def shingle_jaccard(x, y):
+    a, b = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (x.split(), y.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_duplicates_are_brute_force(spark):
+    r = random.Random(5)
+    docs = []
+    for k in range(150):
+        w = [r.choice(WORDS) + str(r.randint(0, 999)) for _ in range(r.choice((8, 9, 12, 60, 200, 400)))]
+        docs.append((10 * k, " ".join(w)))
+        for j in range(1, 3):  # ends of other words: similarities on both sides of 0.8
+            n = len(w) - max(1, int(len(w) * r.choice((0.05, 0.09, 0.1, 0.11, 0.13, 0.2))))
+            docs.append((10 * k + j, " ".join([*w[:n], *(f"o{k}x{j}x{x}" for x in range(len(w) - n))])))
+        docs.append((10 * k + 3, " ".join(w[: len(w) - len(w) // 10])))
+    up = {i: i for i, _ in docs}
+
+    def top(x):
+        return x if up[x] == x else top(up[x])
+
+    for (i, x), (j, y) in ((p, q) for n, p in enumerate(docs) for q in docs[n + 1 : n + 4] if p[0] // 10 == q[0] // 10):
+        if shingle_jaccard(x, y) >= 0.8:
+            a, b = top(i), top(j)
+            up[max(a, b)] = min(a, b)
+    got = {x["doc_id"] for x in simhash.near_duplicates_out(frame(spark, docs)).collect()}
+    want = {i for i in up if up[i] == i}
+    assert 150 < len(want) < len(docs) - 100
+    # a miss has a chance of about one in a thousand; wrong links have none
+    assert want <= got and len(got - want) <= 2
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(50, 60), (60, 60), (None, 3)], "a long, b long")
     assert {(r["a"], r["b"]) for r in roots(links).collect()} == {(k, 0) for k in range(1, 41)} | {(60, 50)}
