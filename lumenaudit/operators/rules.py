@@ -38,8 +38,8 @@ TWITTER_WANTED = ("twitter:card", "twitter:title", "twitter:description", "twitt
 EXECUTABLE_ACTIONS = ("BuyAction", "OrderAction", "RegisterAction", "ReserveAction", "SubscribeAction")
 ABOUT_HINTS = ("about", "equipe", "mentions", "notre-histoire", "propos", "qui sommes", "qui-sommes", "team", "équipe")
 COMPARE_HINTS = ("/compare/",)
-#: Pages that a rule names as evidence, at most.
-SAMPLE = 10
+#: Pages that a rule names as evidence, at most; unsourced content pages have a longer list.
+SAMPLE, UNSOURCED = 10, 30
 
 
 def threshold(thresholds: dict, rule: str, name: str) -> float:
@@ -313,3 +313,21 @@ def offenders(pages: DataFrame, top: int | None = 10) -> DataFrame:
     ranked = rows.where("parity is not null" if top else "true").withColumn("rank", F.row_number().over(order))
     ranked = ranked.where(C("rank") <= top) if top else ranked
     return ranked.select("audit_id", "rank", "url", "raw_words", "rendered_words", "delta", F.bround(C("parity") * 100).cast("int").alias("parity_pct"))
+
+
+def affected(pages: DataFrame, thresholds: dict | None = None) -> DataFrame:
+    """(audit_id, key, urls): `evidence`, the first orphans and unsourced content pages, and all client-rendered pages by parity."""
+
+    def listed(key: str, rows: DataFrame, most: int | None) -> DataFrame:
+        if most:
+            rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("audit_id").orderBy("url"))).where(C("rank") <= most)
+        urls = F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda r: r["url"])
+        return rows.groupBy("audit_id").agg(urls.alias("urls")).select("audit_id", F.lit(key).alias("key"), "urls")
+
+    content = C("word_count") >= float(threshold(thresholds or {}, "geo.primary_sources", "min_content_words"))
+    unsourced = pages.where(content & (F.coalesce(F.size("external_link_domains"), F.lit(0)) <= 0)).select("audit_id", "url")
+    parts = [listed("links.orphans", orphans(pages), SAMPLE), listed("geo.ssr", offenders(pages, None), None), listed("geo.primary_sources", unsourced, UNSOURCED)]
+    out = evidence(pages, thresholds)
+    for part in parts:
+        out = out.unionByName(part)
+    return out

@@ -36,4 +36,4 @@ def run(captures: DataFrame, site: DataFrame | None = None, external: DataFrame
         signals = signals.persist(StorageLevel.DISK_ONLY)
     results = rules.evaluate(signals, site, external, audited_on, thresholds, overrides)
     pillars = scoring.pillar_scores(results)
-    return Audit(signals, results, pillars, scoring.report(results, weights), scoring.issues(results, rules.evidence(signals, thresholds)), scoring.readiness(signals, site, external))
+    return Audit(signals, results, pillars, scoring.report(results, weights), scoring.issues(results, rules.affected(signals, thresholds)), scoring.readiness(signals, site, external))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenaudit import schema
 from lumenaudit.operators import compare, rules, scoring
+from lumenaudit.plans import audit
 
 
 def pages(spark, *overrides):
@@ -166,3 +167,21 @@ def test_compare(spark):
     out = compare.compare_scorecards(r, broken, "l", "r", "descriptive")
     assert out["totals"].first()["global_delta"] is None
     assert out["criteria"].count() == 0
+
+
+def test_issues_name_the_pages_of_site_rules(spark):
+    """Orphans, client-rendered and unsourced pages reach audit.run's issues."""
+    url = "https://a.example/{}".format
+    rows = [{"url": url(n), "audit_id": "a", "word_count": 500, "internal_link_targets": [url(1)], "external_link_domains": [], "render_mode": "csr", "raw_word_count": w, "rendered_word_count": 100} for n, w in enumerate((30, 10, 20))]
+    rows += [{"url": url(9), "audit_id": "a", "word_count": 10, "internal_link_targets": [], "external_link_domains": [], "render_mode": "ssr"}]
+    rows += [{"url": f"https://b.example/{n:02}", "audit_id": "b", "word_count": 500, "external_link_domains": []} for n in range(40)]
+    p = pages(spark, *rows)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(audit.html, "extract", lambda captures: p)
+        got = {(r["audit_id"], r["key"]): r["affected_pages"] for r in audit.run(p, persist=False).issues.collect()}
+    assert got["a", "links.orphans"] == [url(2), url(9)]
+    assert got["a", "geo.ssr"] == [url(1), url(2), url(0)]
+    assert got["a", "geo.primary_sources"] == [url(0), url(1), url(2)]
+    assert got["b", "links.orphans"] == [f"https://b.example/{n:02}" for n in range(1, 11)]
+    assert got["b", "geo.primary_sources"] == [f"https://b.example/{n:02}" for n in range(30)]
+    assert got["a", "meta.title"] == [url(0), url(1), url(2), url(9)]
