@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+from .substring import LEAST
+
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = r"regexp_extract_all(" + LOWERED + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-OP3 = rf"""
-WITH lines AS (
-  SELECT doc_id, i, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+OP3 = r"""
+WITH pieces AS (
+  SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*|[.!?\n]+') AS p FROM documents)
+), placed AS (
+  SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a,
+         array_to_string(regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS norm
+  FROM pieces
 ), units AS (
-  SELECT doc_id, i, a, length(line) AS n, array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS norm,
-         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
-  FROM lines
+  SELECT doc_id, a, length(piece) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, row_number() OVER (PARTITION BY norm ORDER BY doc_id, a) AS r FROM placed WHERE norm <> ''
+), runs AS (
+  SELECT doc_id, min(a) AS a, max(a + n) AS b, count(*) AS units
+  FROM (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS g FROM units WHERE r > 1)
+  GROUP BY doc_id, g HAVING sum(n) >= {least}
+), kept AS (
+  SELECT p.doc_id, string_agg(piece, '' ORDER BY i) AS text FROM placed p LEFT JOIN runs r ON r.doc_id = p.doc_id AND p.a >= r.a AND p.a < r.b WHERE r.doc_id IS NULL GROUP BY p.doc_id
 ), gone AS (
-  SELECT doc_id, i, a, n FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, a) AS r FROM units WHERE words >= 4) WHERE r > 1
-), marked AS (
-  SELECT l.doc_id, l.i, l.a, l.line, g.i IS NOT NULL AS cut FROM lines l LEFT JOIN gone g USING (doc_id, i)
+  SELECT doc_id, sum(units)::INT AS n_removed, sum(b - a)::BIGINT AS removed_chars, string_agg(concat(a, '-', b), ',' ORDER BY a) AS spans FROM runs GROUP BY doc_id
 )
-SELECT d.doc_id, length(coalesce(any_value(text), ''))::BIGINT AS chars, count(*) FILTER (cut)::INT AS n_removed, coalesce(sum(length(line)) FILTER (cut), 0)::BIGINT AS removed_chars,
-       coalesce(string_agg(concat(a, '-', a + length(line)), ',' ORDER BY i) FILTER (cut), '') AS spans,
-       string_agg(CASE WHEN cut THEN '' WHEN i = m THEN line ELSE line || chr(10) END, '' ORDER BY i) AS kept_text
-FROM (SELECT *, max(i) OVER (PARTITION BY doc_id) AS m FROM marked) JOIN documents d USING (doc_id)
-GROUP BY d.doc_id
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed_chars, 0)::BIGINT AS removed_chars, length(coalesce(k.text, ''))::BIGINT AS kept_chars, coalesce(spans, '') AS spans, coalesce(k.text, '') AS text
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN gone USING (doc_id)
 """
 
 OP4 = """
@@ -136,7 +140,7 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op3_substring": OP3,
+        "op3_substring": OP3.replace("{least}", str(LEAST)),
         "op4_topk": OP4,
         "op5_mixing": OP5,
         "op6_licenses": _op6(),

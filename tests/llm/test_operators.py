@@ -209,37 +209,50 @@ def test_line_windows_need_no_python(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def lines_removed(docs, least=4):
+def units_removed(docs, unit, least):
+    """{(id, text): (kept text, spans)} by walking all units in order."""
     seen, out = set(), {}
-    for i, t in sorted({(i, t) for i, t, _ in docs}, key=lambda x: (x[0] is not None, x[0] or 0)):
-        kept, spans, at = [], [], 0
-        lines = (t or "").split("\n")
-        for n, x in enumerate(lines):
-            words = SPACED.findall(x.translate(LOWER))
-            last = n == len(lines) - 1
-            if len(words) >= least and " ".join(words) in seen:
-                spans.append((at, at + len(x)))
-            else:
-                kept.append(x if last else x + "\n")
-            if len(words) >= least:
+    for i, t in sorted({(i, t) for i, t, *_ in docs}, key=lambda x: (x[0] is not None, x[0] or 0)):
+        found, kept, at, spans = [], "", 0, []
+        for m in substring.UNITS[unit].finditer(t or ""):
+            if words := SPACED.findall(m[0].translate(LOWER)):
+                found.append((m.start(), m.end(), " ".join(words) in seen))
                 seen.add(" ".join(words))
-            at += len(x) + 1
-        out[i, t] = ("".join(kept), spans)
+        k = 0
+        while k < len(found):
+            j = k
+            while j < len(found) and found[j][2]:
+                j += 1
+            if j > k and sum(b - a for a, b, _ in found[k:j]) >= least:
+                spans.append((found[k][0], found[j - 1][1]))
+            k = max(j, k + 1)
+        for a, b in spans:
+            kept, at = kept + t[at:a], b
+        out[i, t] = (kept + (t or "")[at:], spans)
     return out
 
 
-def test_repeated_lines_are_brute_force(spark):
-    docs = [d for d in corpus() if d[0] != 9] + [(9, "Über alles hier nun\n\nund so weiter fort", "s"), (12, "nichts\nÜber  alles hier nun\nX", "s")]
-    docs = [d for k, d in enumerate(docs) if d[0] != 12 or k == len(docs) - 1]
-    want = lines_removed(docs)
-    got = sorted(((r["doc_id"], r["kept_text"], [(s["start"], s["end"]) for s in r["removed"]]) for r in substring.dedup(frame(spark, docs)).collect()), key=repr)
-    assert got == sorted(((i, *want[i, t]) for i, t, _ in docs), key=repr)
+@pytest.mark.parametrize(("unit", "least"), [("line", 1), ("sentence", 1), ("sentence", 60), ("paragraph", 1)])
+def test_repeated_units_are_brute_force(spark, unit, least):
+    docs = [d for d in corpus() if d[0] != 9] + [(9, "Über alles hier nun\n\nund so weiter. Fort", "s"), (15, "nichts\nÜber  alles hier nun\nX und so weiter. fort", "s"), (18, "漢字。漢字\n漢字。漢字", "s")]
+    docs = [d for k, d in enumerate(docs) if d[0] not in (15, 18) or k >= len(docs) - 2]
+    want = units_removed(docs, unit, least)
+    got = sorted(((r["doc_id"], r["text"], [(s["start"], s["end"]) for s in r["removed"]]) for r in substring.dedup(frame(spark, docs), unit, least).collect()), key=repr)
+    assert got == sorted(((i, *want[i, t]) for i, t, *_ in docs), key=repr)
+    assert any(spans for _, _, spans in got)
+
+
+def test_repeated_units_of_one_id(spark):
+    docs = frame(spark, [(1, "Same words here. More of one."), (1, "Same words here. Other of one."), (1, "Same words here. Other of one.")])
+    got = sorted(r["text"] for r in substring.dedup(docs, least=1).collect())
+    assert len(got) == 3 and len(set(got)) == 2 and sum(t.startswith("Same") for t in got) in (1, 2)
+    assert substring.op3(docs.limit(0)).count() == 0
 
 
 def test_paragraphs(spark):
     docs = frame(spark, [(1, "one two three four\nfive\n\nsix seven eight nine"), (2, "x\n\none two three four\nfive\n\ny")])
-    got = {r["doc_id"]: r["kept_text"] for r in substring.dedup(docs, unit="paragraph").collect()}
-    assert got == {1: "one two three four\nfive\n\nsix seven eight nine", 2: "x\n\n\ny"}
+    got = {r["doc_id"]: r["text"] for r in substring.dedup(docs, "paragraph", 1).collect()}
+    assert got == {1: "one two three four\nfive\n\nsix seven eight nine", 2: "x\n\ny"}
 
 
 # --- decontamination
