@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def _signature(links: DataFrame) -> tuple:
@@ -17,22 +17,24 @@ def roots(links: DataFrame) -> DataFrame:
 
     Alternates the small-star and large-star steps (Kiveris et al., 2014): every round is two groupings and two joins
     whose rows never outnumber the links, and the number of rounds grows with the logarithm of a component's size.
-    A hub is one key of a sort-merge join, which adaptive execution splits. Self links and nulls are left out.
+    Each node's smallest neighbour is written before the join, so that both sides are plain shuffles and adaptive
+    execution can split a hub. Self links and nulls are left out.
     """
-    now = written(
-        links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
+    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     sign = _signature(now)
     while sign[0]:
         # small star: a's smaller neighbours, and a, go to the smallest of them
-        low = now.groupBy("a").agg(F.min("b").alias("m"))
+        low = written(now.groupBy("a").agg(F.min("b").alias("m")))
         met = now.join(low, "a")
-        small = low.select("a", F.col("m").alias("b")).union(met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+        small = written(low.select("a", F.col("m").alias("b")).union(met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
         # large star: a node's larger neighbours go to the smallest of all its neighbours and itself
         both = small.union(small.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        best = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         then = written(both.join(best, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        if (after := _signature(then)) == sign:
+        after = _signature(then)
+        dropped(low, small, best, now)
+        now = then
+        if after == sign:
             break
-        now, sign = then, after
+        sign = after
     return now

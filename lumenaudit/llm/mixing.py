@@ -8,14 +8,10 @@ its whole self as often as its budget allows, then its first documents up to the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import SPACED_TABLE, written
+from .common import SPACED, unused, written
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -24,21 +20,16 @@ EPOCHS = 3
 
 
 def n_words(text: Column) -> Column:
-    """SPACED words of a text; only the text goes to Python."""
-
-    @F.arrow_udf(T.LongType())
-    def count(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for a in parts:
-            yield pa.array([len(t.as_py().translate(SPACED_TABLE).split()) if t.is_valid else 0 for t in a], pa.int64())
-
-    return count(text.cast("binary"))
+    """SPACED words of a text; none in a null."""
+    return F.coalesce(F.regexp_count(text, F.lit(SPACED)), F.lit(0)).cast("long")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """sources(source, source_size, n): with `target`, `budget` (the target in whole words) and `ranges`.
 
     Fills by weight until a source's cap, epochs * source_size, stops it: with sources ordered by cap per weight, the
-    level is the highest at which no later source is above its cap. There is a row per source, so a plain window serves.
+    level is the highest at which no later source is above its cap. There is a row per source, so a plain window serves,
+    which one task computes: a million sources are some tens of MB.
     """
     every = Window.partitionBy()
     place = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
@@ -59,15 +50,18 @@ def plan(docs: DataFrame, carry: list[str] | None = None, weights: tuple[int, ..
     """Per row of docs: doc_id, size, source_size, target, budget, taken, and the columns to carry under `__c_NAME`.
 
     `taken` counts words with repeats: the whole document once per whole epoch, and once more, or in part if the budget
-    ends inside it, in the last. Rows whose source is null are a source, the last. Null texts have no words. Rows that
-    repeat an id follow each other in the order. With no words at all, all targets are zero.
+    ends inside it, in the last. Rows whose source is null are a source, the last. Null and empty texts have no words
+    and give none; long ones count whole. The order's key is a hash of id and text, so rows that share an id, or have
+    none, spread like any others; rows that repeat id and text tie, are equal, and follow each other. With no words at
+    all, all targets are zero. An empty table gives an empty one. Columns of docs may have any names.
     """
     carry = carry or []
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary"))
+    text_hash = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), text_hash).cast("binary"))
     sized = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), n_words(F.col(text_col)).alias("__size"), key.alias("__key"), *(F.col(c).alias(f"__c_{c}") for c in carry))
-    narrow = written(sized.select("__source", "__key", "__size"))
-    if not carry:
-        sized = written(sized)
+    # What is carried may be whole texts, which aren't written once more for it.
+    sized = sized if carry else written(sized)
+    narrow = written(sized.select("__source", "__key", "__size")) if carry else sized
     per = written(targets(narrow.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size"), F.count("*").alias("n")), weights, epochs))
     spot = F.shiftright(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * F.col("ranges"), 32)
     of = lambda df: df.join(per, F.col("__source").eqNullSafe(F.col("source"))).withColumn("__range", spot)
@@ -87,7 +81,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars
     """The mix itself: a row per document and epoch, with the columns of docs, `epoch` (from 1) and `words`.
 
     The text is whole but where a source's budget ends inside a document; that copy is cut after its last word taken.
+    Where docs has columns of these two names, ours get underscores before them. Odd rows as in `plan`; documents
+    without words are in no mix.
     """
+    epoch, n = unused(docs.columns, "epoch", "words")
     out = plan(docs, docs.columns, id_col=id_col, text_col=text_col).where("taken > 0")
     each = out.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     words = F.least(F.col("size"), F.col("taken") - (F.col("epoch") - 1) * F.col("size"))
@@ -102,8 +99,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars
         else F.col(f"__c_{c}").alias(c)
         for c in docs.columns
     ]
-    return each.select(*columns, "epoch", "words")
+    return each.select(*columns, F.col("epoch").alias(epoch), F.col("words").alias(n))
 
 
 def op5(docs: DataFrame) -> DataFrame:
+    """The contract's digest of `plan`, which says what becomes of odd rows."""
     return plan(docs).select("doc_id", "size", "source_size", "target", "taken")

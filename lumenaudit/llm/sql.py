@@ -43,7 +43,7 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() O
 
 OP5 = rf"""
 WITH d AS (
-  SELECT doc_id, source, len({SPACED})::BIGINT AS size, md5(doc_id::VARCHAR) AS k FROM documents
+  SELECT doc_id, source, len({SPACED})::BIGINT AS size, md5(concat(coalesce(doc_id::VARCHAR, 'null'), ':', md5(coalesce(text, '')))) AS k FROM documents
 ), s AS (
   SELECT *, 3 * source_size AS cap, [1, 2, 3][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w
   FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)

@@ -205,7 +205,7 @@ def test_line_windows_are_brute_force(spark):
 
 
 def test_line_windows_need_no_python(spark):
-    plan = linewindows.dedup(frame(spark, corpus(8)))._jdf.queryExecution().toString()
+    plan = linewindows.dedup(frame(spark, corpus(8)).withColumnsRenamed({"w": "lines", "id": "STARTS"}))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
@@ -373,6 +373,7 @@ def test_mixing(spark):
     assert by == {s: int(targets[s] + 0.5) for s in totals}
     again = sorted(map(tuple, mixing.op5(frame(spark, docs).repartition(5)).collect()), key=repr)
     assert again == sorted(map(tuple, mixing.op5(frame(spark, docs)).collect()), key=repr)
+    assert mixing.mixed(frame(spark, docs).withColumnsRenamed({"w": "epoch", "id": "Words"})).columns[-2:] == ["_epoch", "_words"]
     whole = mixing.mixed(frame(spark, docs))
     assert whole.columns == [*frame(spark, docs).columns, "epoch", "words"]
     for r in whole.collect():
