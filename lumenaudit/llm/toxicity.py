@@ -1,17 +1,21 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, calibrated votes.
 
-Fitting. Of the labelled documents that may be learnt from, at most `FIT_ROWS` are taken by a hash of their id. Words, and
-beginnings of words (a stem has many endings), that stand in toxic ones far more often than chance allows (chi-square)
-become the index's terms; their document frequencies are counted over all documents. Each example is its TF-IDF vector over these terms; examples of equal vectors share an
-entry with their votes. Entries are sorted by their heaviest term and cut into blocks; a term's postings are stored block
-by block, with the block's largest weight.
-
-Scoring. A document's blocks are visited by falling upper bounds, and the search ends when the next bound is below the
-k-th best cosine: the neighbours are exact. Votes count by 1 / (0.05 + 1 - cosine). The vote is set against what it would
-have been on the examples themselves, each left out of its own vote (isotonic regression). A document with none of the
-terms is at distance 1 from every entry; it gets the share of toxic ones among such examples.
-
-The index is bounded by FIT_ROWS and TERMS whatever the corpus, so it is sent to every task.
+Fitting. Of the labelled documents that may be learnt from, at most `FIT_ROWS` are taken by a hash of their id. Terms are
+all their words and, since a stem has many endings, those beginnings of words that stand in toxic examples far more often
+than chance allows (chi-square). Document frequencies are counted over all documents. A text is its TF-IDF vector over
+all its terms; a word that no example holds has no posting, but counts in the norm as one that no document holds.
+Examples of equal vectors share an entry with their votes. Entries are sorted by their heaviest term and cut into
+blocks; a term's postings are stored block by block, with the block's largest weight (those of very common terms as
+rows of a matrix, which holds the same weights).
+
+Scoring. What the matrix gives is computed for many texts at once; it is a lower bound of every cosine. With the largest
+weights of the other terms it gives each block an upper bound. The blocks of the highest bounds are visited first; the
+k-th best score then is a floor, and all blocks whose bound reaches it are visited. No other block can hold a neighbour,
+so the neighbours are exact. Votes count by
+1 / (1.05 - cosine). The vote is set against what it would have been on the examples, each left out of its own vote
+(isotonic regression), and that calibrated share is the score.
+
+The index is bounded by FIT_ROWS whatever the corpus, so it is sent to every task.
 """
 
 from __future__ import annotations
@@ -26,14 +30,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, written
+from .common import alnum_words, dropped, written
 
-#: Labelled documents that are learnt from, and terms, at most.
-FIT_ROWS, TERMS = 20_000, 4_096
-#: A term must stand in so many toxic examples and this share of them, exceed this chi-square, and be so many times
+#: Labelled documents that are learnt from, at most.
+FIT_ROWS = 4_000
+#: A beginning must stand in so many toxic examples and this share of them, exceed this chi-square, and be so many times
 #: likelier in them. Near copies of an example don't count again, or their every word would seem to speak for its label.
 LEAST_DF, LEAST_SHARE, LEAST_CHI2, LEAST_LIFT = 3, 0.02, 12.0, 2.5
 NEIGHBOURS, BLOCK = 24, 64
+#: Blocks that are visited to find a floor.
+FIRST = 4
+#: A term that stands in over this share of the entries is a row of the matrix.
+COMMON = 1 / 16
+#: Texts that are searched for at a time.
+BATCH = 64
 #: Weight of the base rate in a vote, in examples.
 SMOOTH = 0.5
 TOXIC_AT = 0.3
@@ -43,130 +53,199 @@ STEMS = (4, 5, 6)
 REMEMBERED = 200_000
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers from each begin up to its end, one range after another."""
+    n = end - begin
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 class Terms:
-    """The terms of words: all of them, or those that are known."""
+    """Numbers of the terms that a word stands for: itself and its known beginnings."""
 
-    def __init__(self, known: set[str] | None = None) -> None:
+    def __init__(self, known: dict[bytes, int]) -> None:
         self.known, self.memory = known, {}
+        self.stems = any(t.endswith(b"*") for t in known)
 
-    def of(self, word: bytes) -> tuple[str, ...]:
-        if (found := self.memory.get(word)) is None:
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            w = word.decode("utf-8", "replace")
-            every = (w, *(w[:n] + "*" for n in STEMS if len(w) >= n))
-            found = self.memory[word] = every if self.known is None else tuple(t for t in every if t in self.known)
+    def _of(self, word: bytes) -> tuple[int, tuple[int, ...]]:
+        if len(self.memory) >= REMEMBERED:
+            self.memory.clear()
+        found = self.memory[word] = (self.known.get(word, -1), tuple(self.known[s] for s in beginnings(word) if s in self.known) if self.stems else ())
         return found
 
-    def counts(self, text: bytes | None) -> dict[str, int]:
-        out: dict[str, int] = {}
-        for w, c in Counter(alnum_words(text)).items():
-            for t in self.of(w):
-                out[t] = out.get(t, 0) + c
-        return out
+    def distinct(self, text: bytes | None) -> list[int]:
+        """The known terms of a text, each once."""
+        get, words, stems = self.memory.get, [], set()
+        for w in set(alnum_words(text)):
+            own, more = get(w) or self._of(w)
+            if own >= 0:
+                words.append(own)
+            if more:
+                stems.update(more)
+        return [*words, *stems]
+
+    def counts(self, counted: dict[bytes, int]) -> tuple[dict[int, int], list[int]]:
+        """Counts of known terms, and of each word that is none, of a text's counted words."""
+        get, out, stems = self.memory.get, {}, {}
+        rest: list[int] = []
+        for w, c in counted.items():
+            own, more = get(w) or self._of(w)
+            if own >= 0:
+                out[own] = c
+            else:
+                rest.append(c)
+            for t in more:
+                stems[t] = stems.get(t, 0) + c
+        return out | stems, rest
+
+
+def beginnings(word: bytes) -> list[bytes]:
+    w = word.decode("utf-8", "replace")
+    return [w[:n].encode() + b"*" for n in STEMS if len(w) >= n]
 
 
 class BlockMaxIndex:
     """Postings by term and block, and each block's largest weight of the term."""
 
-    def __init__(self, vectors: list[dict[str, float]]) -> None:
-        self.size = len(vectors)
-        posts: dict[str, dict[int, list[tuple[int, float]]]] = defaultdict(lambda: defaultdict(list))
-        for k, v in enumerate(vectors):
-            for t, w in v.items():
-                posts[t][k // BLOCK].append((k % BLOCK, w))
-        self.blocks = -(-self.size // BLOCK)
-        self.terms = {t: (np.array(list(b)), np.array([max(w for _, w in p) for p in b.values()]), {n: (np.array([k for k, _ in p]), np.array([w for _, w in p])) for n, p in b.items()}) for t, b in posts.items()}
-
-    def nearest(self, vector: dict[str, float], k: int) -> list[tuple[float, int]]:
-        """The k entries of highest positive cosine, ties to the smaller entry; vectors have length 1."""
-        held = [(w, self.terms[t]) for t, w in sorted(vector.items()) if t in self.terms]
-        bound = np.zeros(self.blocks)
-        for w, (at, most, _) in held:
-            bound[at] += w * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            for w, (_, _, posts) in held:
-                if b in posts:
-                    at, weight = posts[b]
-                    scores[at] += w * weight
-            best = sorted([*best, *((-scores[j], b * BLOCK + j) for j in np.flatnonzero(scores > 0).tolist())])[:k]
-        return [(min(1.0, -s), e) for s, e in best]
-
-
-def isotonic(x: list[float], y: list[float], w: list[float]) -> tuple[np.ndarray, np.ndarray]:
-    """Steps of the increasing function nearest to y: their first x and their values (pool adjacent violators)."""
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> None:
+        """vectors: term numbers and weights of each entry."""
+        self.size, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
+        term = np.concatenate([v[0] for v in vectors]) if vectors else np.zeros(0, np.int64)
+        weight = np.concatenate([v[1] for v in vectors]) if vectors else np.zeros(0)
+        entry = np.repeat(np.arange(self.size), [len(v[0]) for v in vectors])
+        held = np.bincount(term, minlength=terms)
+        common = np.flatnonzero(held > max(BLOCK, COMMON * self.size))
+        self.row = np.full(terms, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), self.blocks * BLOCK))
+        many = self.row[term] >= 0
+        self.matrix[self.row[term[many]], entry[many]] = weight[many]
+        self.matrix_max = self.matrix.reshape(len(common), self.blocks, BLOCK).max(axis=2) if len(common) else np.zeros((0, self.blocks))
+        term, weight, entry = term[~many], weight[~many], entry[~many]
+        order = np.lexsort((entry, term))
+        term, self.weight, self.entry = term[order], weight[order], entry[order].astype(np.int32)
+        block = self.entry // BLOCK
+        begin = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(term) else np.zeros(0, np.int64)
+        self.begin = np.r_[begin, len(term)]  # of every list of a term in a block
+        self.block = block[begin].astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, begin) if len(term) else np.zeros(0)
+        self.lists = np.searchsorted(term[begin], np.arange(terms + 1))  # a term's lists
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector (of length 1): cosines and numbers of the k entries of highest positive cosine, ties to the smaller number."""
+        if not self.size:
+            return [(np.zeros(0), np.zeros(0, np.int64))] * len(vectors)
+        dense = np.zeros((len(vectors), len(self.matrix)))
+        for q, (term, weight) in zip(dense, vectors, strict=True):
+            rows = self.row[term]
+            q[rows[rows >= 0]] = weight[rows >= 0]
+        started = dense @ self.matrix
+        return [self._best(s, term, weight, k) for s, (term, weight) in zip(started, vectors, strict=True)]
+
+    def _best(self, scores: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """scores: what the terms of the matrix give each entry, and thus a lower bound of its cosine."""
+        rare = self.row[term] < 0
+        begin, end = self.lists[term[rare]], self.lists[term[rare] + 1]
+        lists, w = _ranges(begin, end), np.repeat(weight[rare], end - begin)
+        block = self.block[lists]
+        bound = np.bincount(block, w * self.most[lists], self.blocks) + scores.reshape(self.blocks, BLOCK).max(axis=1)
+
+        def visit(chosen: np.ndarray) -> None:
+            own = chosen[block]
+            b, e = self.begin[lists[own]], self.begin[lists[own] + 1]
+            at = _ranges(b, e)
+            np.add(scores, np.bincount(self.entry[at], np.repeat(w[own], e - b) * self.weight[at], len(scores)), out=scores)
+
+        rest = np.ones(self.blocks, bool)
+        if self.blocks > FIRST:
+            first = np.zeros(self.blocks, bool)
+            first[np.argpartition(-bound, FIRST - 1)[:FIRST]] = True
+            visit(first)
+            floor = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+            rest = ~first & (bound >= floor - 1e-9)
+        visit(rest)
+        scores = scores[: self.size]
+        best = np.flatnonzero(scores > (np.partition(scores, -k)[-k] - 1e-8 if self.size > k else 0))
+        cosines = np.round(scores[best], 9)
+        best, cosines = best[cosines > 0], cosines[cosines > 0]
+        order = np.argsort(-cosines, kind="stable")[:k]
+        return np.minimum(1.0, cosines[order]), best[order]
+
+
+def isotonic(x: list[float], y: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """The increasing function nearest to y: mean x and value of its steps (pool adjacent violators)."""
     total: dict[float, list[float]] = defaultdict(lambda: [0.0, 0.0])
-    for a, b, c in zip(x, y, w, strict=True):
-        total[a][0] += b * c
-        total[a][1] += c
+    for a, b in zip(x, y, strict=True):
+        total[a][0] += b
+        total[a][1] += 1
     pools: list[list[float]] = []
     for a in sorted(total):
-        pools.append([a, *total[a]])
+        pools.append([a * total[a][1], *total[a]])
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
-            _, s, c = pools.pop()
-            pools[-1][1] += s
-            pools[-1][2] += c
-    return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
+            q = pools.pop()
+            pools[-1] = [u + v for u, v in zip(pools[-1], q, strict=True)]
+    return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
 class Model:
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, dict[str, int]]], k: int = NEIGHBOURS) -> None:
-        """examples: (id, label, counts of terms)."""
-        self.idf, self.k = idf, k
-        entries: dict[tuple, list] = {}
-        none = [0.5, 1.0]
+    """Examples, their index and the calibration, which `calibrate` sets."""
+
+    def __init__(self, terms: list[bytes], df: np.ndarray, documents: int, examples: list[tuple[int, int, dict[int, int]]], k: int = NEIGHBOURS) -> None:
+        """examples: (id, label, counts of terms by number)."""
+        self.terms, self.k = Terms({t: n for n, t in enumerate(terms)}), k
+        self.idf, self.unseen = np.log((1 + documents) / (1 + df)) + 1, math.log(1 + documents) + 1
+        entries: dict[bytes, list] = {}
+        empty = [0, 0]
         for i, label, counts in sorted(examples, key=lambda e: e[0]):
-            v = self.vector(counts)
-            if not v:
-                none[0], none[1] = none[0] + label, none[1] + 1
+            term, weight = self.vector(counts, [])
+            if not len(term):
+                empty = [empty[0] + label, empty[1] + 1]
                 continue
-            e = entries.setdefault(tuple((t, round(w, 9)) for t, w in sorted(v.items())), [v, 0, 0, []])
-            e[1], e[2] = e[1] + label, e[2] + 1
-            e[3] = [*e[3], i][:3]
-        order = sorted(entries.values(), key=lambda e: (max(e[0], key=lambda t: (e[0][t], t)), sorted(e[0].items())))
-        self.toxic = [e[1] for e in order]
-        self.many = [e[2] for e in order]
-        self.ids = [e[3] for e in order]
-        self.index = BlockMaxIndex([e[0] for e in order])
+            e = entries.setdefault(term.tobytes() + np.round(weight, 9).tobytes(), [term, weight, 0, 0, []])
+            e[2], e[3] = e[2] + label, e[3] + 1
+            e[4].append(i)
+        order = sorted(entries.values(), key=lambda e: (int(e[0][np.argmax(e[1])]), e[4][0]))
+        self.toxic, self.many = np.array([e[2] for e in order], float), np.array([e[3] for e in order], float)
+        self.ids = [e[4][:3] for e in order]
+        self.of = {i: n for n, e in enumerate(order) for i in e[4]}
+        self.index = BlockMaxIndex([(e[0], e[1]) for e in order], len(terms))
         self.base = sum(e[1] for e in examples) / max(1, len(examples))
-        self.none = none[0] / none[1] if examples else 0.0
-        raw, labels, weights = [], [], []
-        for n, e in enumerate(order):
-            near = self.index.nearest(e[0], k)
-            for label, c in ((1, e[1]), (0, e[2] - e[1])):
-                if c:
-                    raw.append(self._vote(near, n, label))
-                    labels.append(float(label))
-                    weights.append(float(c))
-        self.steps, self.values = isotonic(raw, labels, weights) if raw else (np.zeros(1), np.full(1, self.base))
-
-    def vector(self, counts: dict[str, int]) -> dict[str, float]:
-        v = {t: (1 + math.log(c)) * self.idf[t] for t, c in counts.items()}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in v.items()} if norm else {}
-
-    def _vote(self, near: list[tuple[float, int]], out: int = -1, label: int = 0) -> float:
+        self.none = (empty[0] + SMOOTH * self.base) / (empty[1] + SMOOTH)
+        self.steps, self.values = np.zeros(1), np.full(1, self.base)
+
+    def vector(self, counts: dict[int, int], rest: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms by number and their weights; words that aren't terms only lengthen the vector."""
+        term = np.fromiter(counts, np.int64, len(counts))
+        weight = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[term]
+        beyond = (1 + np.log(np.array(rest, float))) * self.unseen if rest else np.zeros(1)
+        norm = math.sqrt(float(weight @ weight + beyond @ beyond))
+        order = np.argsort(term)
+        return term[order], weight[order] / (norm or 1.0)
+
+    def vote(self, cosines: np.ndarray, entries: np.ndarray, out: int = -1, label: int = 0) -> float:
         """Share of toxic votes; of entry `out`, one example of that label doesn't vote."""
-        top, all_ = SMOOTH * self.base, SMOOTH
-        for cosine, e in near:
-            w = 1 / (1.05 - cosine)
-            top += w * (self.toxic[e] - (label if e == out else 0))
-            all_ += w * (self.many[e] - (1 if e == out else 0))
-        return top / all_
-
-    def score(self, counts: dict[str, int]) -> tuple[float, list[int], float]:
-        """Score, ids of example neighbours that speak for it, and the best cosine."""
-        near = self.index.nearest(self.vector(counts), self.k)
-        if not near:
-            return self.none, [], 0.0
-        raw = self._vote(near)
-        step = float(self.values[max(0, int(np.searchsorted(self.steps, raw, side="right")) - 1)])
-        # Part of the raw vote keeps the order within a step.
-        return min(1.0, max(0.0, 0.8 * step + 0.2 * raw)), [i for _, e in near for i in self.ids[e]][:5], near[0][0]
+        w, own = 1 / (1.05 - cosines), (entries == out).astype(float)
+        top = SMOOTH * self.base + w @ (self.toxic[entries] - label * own)
+        return float(top / (SMOOTH + w @ (self.many[entries] - own)))
+
+    def near(self, texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The neighbours of each text; none for one without known terms."""
+        vectors = [self.vector(*self.terms.counts(Counter(alnum_words(t)))) for t in texts]
+        return [n for at in range(0, len(vectors), BATCH) for n in self.index.nearest(vectors[at : at + BATCH], self.k)]
+
+    def calibrate(self, votes: list[tuple[float, int]]) -> None:
+        if votes:
+            self.steps, self.values = isotonic([round(v, 9) for v, _ in votes], [float(label) for _, label in votes])
+
+    def scores(self, texts: list[bytes | None]) -> list[tuple[float, list[int], float]]:
+        """Of each text: score, ids of the nearest examples, and the best cosine."""
+        out = []
+        for cosines, entries in self.near(texts):
+            if len(entries):
+                value = float(np.interp(round(self.vote(cosines, entries), 9), self.steps, self.values))
+                out.append((value, [i for e in entries[:5].tolist() for i in self.ids[e]][:5], float(cosines[0])))
+            else:
+                out.append((self.none, [], 0.0))
+        return out
 
 
 def held_out(c: Column) -> Column:
@@ -174,93 +253,98 @@ def held_out(c: Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _without_copies(texts: DataFrame) -> DataFrame:
-    """One text per label and smallest hash of five-word shingles, which near copies mostly share."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            words = [alnum_words(t) for t in b.column(2).to_pylist()]
-            least = [min((xxhash.xxh64_intdigest(b" ".join(w[k : k + 5])) for k in range(max(1, len(w) - 4))), default=0) >> 1 for w in words]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(least, pa.int64())], names=["doc_id", "label", "least"])
-
-    first = texts.select("doc_id", "label", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, label int, least long").groupBy("label", "least").agg(F.min("doc_id").alias("doc_id"))
-    return written(texts.join(first, ["doc_id", "label"], "left_semi"))
-
-
-def _terms(texts: DataFrame, terms: int) -> list[str]:
-    """texts(doc_id, label, text): the words that speak for toxicity."""
-    texts = _without_copies(texts)
-    sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    if not n1 or not n0:
-        return []
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = Terms()
-        for b in parts:
-            counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-            for label, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for w in {t for w in set(alnum_words(t)) for t in read.of(w)}:
-                    counts[w][label] += 1
-            yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], names=["term", "a", "b"])
-
-    df = texts.select("label", F.col("text").cast("binary")).mapInArrow(run, "term string, a long, b long").groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
-    a, b, n = F.col("a"), F.col("b"), n1 + n0
-    chi2 = n * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2)) / ((a + b) * (n - a - b + 1e-9) * n1 * n0)
-    lift = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
-    chosen = df.withColumn("chi2", chi2).where((a >= max(LEAST_DF, LEAST_SHARE * n1)) & (F.col("chi2") >= LEAST_CHI2) & (lift >= LEAST_LIFT)).orderBy(F.desc("chi2"), "term").limit(terms)
-    return sorted(r["term"] for r in chosen.collect())
-
-
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, terms: int = TERMS, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic") -> Model:
-    """learn: which labels may be learnt from (default: those whose id isn't held out)."""
+def speaking(examples: list[tuple[int, set[bytes]]]) -> list[bytes]:
+    """Beginnings of words that speak for toxicity, of examples (label, words)."""
+    held = {1: Counter(), 0: Counter()}
+    for label, words in examples:
+        held[label].update({s for w in words for s in beginnings(w)})
+    n1, n0 = sum(label for label, _ in examples), sum(1 - label for label, _ in examples)
+    n, out = n1 + n0, []
+    for s, a in held[1].items():
+        b = held[0][s]
+        if a < max(LEAST_DF, LEAST_SHARE * n1) or not n0:
+            continue
+        chi2 = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / ((a + b) * (n - a - b + 1e-9) * n1 * n0)
+        if chi2 >= LEAST_CHI2 and (a + 0.5) / (n1 + 1) >= LEAST_LIFT * (b + 0.5) / (n0 + 1):
+            out.append(s)
+    return sorted(out)
+
+
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic") -> Model:
+    """learn: which labels may be learnt from (default: those whose id isn't held out).
+
+    Labels without an id, and other values than 0 and 1, are left out; of several labels of an id the highest counts,
+    of several texts that with the smallest hash, and an id without text is an empty text.
+    """
     usable = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     usable = usable.where(~held_out(F.col("doc_id")) if learn is None else learn).groupBy("doc_id").agg(F.max("label").alias("label"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     # Labels may name documents that aren't there, so the sample is drawn from those that are.
     there = usable.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     sample = there.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(fit_rows)
-    rows = written(texts.join(sample, "doc_id"))
-    chosen = _terms(rows, terms)
-    known = set(chosen)
+    rows = written(texts.join(sample, "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            words = [alnum_words(t) for t in b.column(2).to_pylist()]
+            counts = [Counter(w) for w in words]
+            # Near copies mostly share the smallest hash of their five-word shingles.
+            least = [min((xxhash.xxh64_intdigest(b" ".join(w[k : k + 5])) for k in range(max(1, len(w) - 4))), default=0) >> 1 for w in words]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([list(c) for c in counts], pa.list_(pa.binary())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32())), pa.array(least, pa.int64())], names=["doc_id", "label", "words", "n", "least"])
+
+    found = rows.mapInArrow(count, "doc_id long, label int, words array<binary>, n array<int>, least long").collect()
+    found.sort(key=lambda r: r["doc_id"])
+    once = {(r["label"], r["least"]): r for r in reversed(found)}.values()
+    stems = speaking([(r["label"], set(map(bytes, r["words"]))) for r in once])
+    terms = [*sorted({bytes(w) for r in found for w in r["words"]}), *stems]
+    spark = docs.sparkSession
+    known = spark.sparkContext.broadcast({t: n for n, t in enumerate(terms)})
 
     def frequency(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n, read = Counter(), 0, Terms(known)
+        counts, n, read = Counter(), 0, Terms(known.value)
         for b in parts:
             for t in b.column(0).to_pylist():
-                counts.update(read.counts(t).keys())
+                counts.update(read.distinct(t))
                 n += 1
-        yield pa.record_batch([pa.array(["", *counts]), pa.array([n, *counts.values()], pa.int64())], names=["term", "n"])
+        yield pa.record_batch([pa.array([-1, *counts], pa.int32()), pa.array([n, *counts.values()], pa.int64())], names=["term", "n"])
 
-    df = {r["term"]: r["n"] for r in texts.select(F.col("text").cast("binary")).mapInArrow(frequency, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    total = df.get("", 0)
-    idf = {t: math.log((1 + total) / (1 + df.get(t, 0))) + 1 for t in chosen}
+    df = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    read = Terms({t: n for n, t in enumerate(terms)})
+    examples = [(r["doc_id"], r["label"], read.counts({bytes(w): c for w, c in zip(r["words"], r["n"], strict=True)})[0]) for r in found]
+    model = Model(terms, np.array([df.get(t, 0) for t in range(len(terms))], float), df.get(-1, 0), examples)
+    sent = spark.sparkContext.broadcast(model)
 
-    def example(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = Terms(known)
+    def leave_out(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            held = [read.counts(t) for t in b.column(2).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([list(c.items()) for c in held], pa.map_(pa.string(), pa.int32()))], names=["doc_id", "label", "counts"])
+            ids, own = b.column(0).to_pylist(), b.column(1).to_pylist()
+            near = sent.value.near(b.column(2).to_pylist())
+            votes = [sent.value.vote(*n, sent.value.of[i], label) if len(n[1]) else None for i, label, n in zip(ids, own, near, strict=True)]
+            yield pa.record_batch([pa.array(votes, pa.float64()), b.column(1)], names=["vote", "label"])
 
-    found = rows.select("doc_id", "label", F.col("text").cast("binary")).mapInArrow(example, "doc_id long, label int, counts map<string,int>").collect()
-    return Model(idf, [(r["doc_id"], r["label"], dict(r["counts"])) for r in found])
+    spread = max(1, min(64, -(-len(found) // 100)))
+    model.calibrate([(r["vote"], r["label"]) for r in rows.repartition(spread).mapInArrow(leave_out, "vote double, label int").where("vote is not null").collect()])
+    dropped(rows)
+    return model
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, score, cosine of the nearest entry, evidence (ids of near examples), terms that were met.
+    """Per row: doc_id, score, cosine of the nearest entry, evidence (ids of the nearest examples).
 
-    Null and empty texts have none of the terms. Rows are scored each on its own, so repeats get equal scores.
+    Null, empty and wordless texts, and texts of none of the examples' words, get the base rate, drawn to that of empty
+    examples. Texts of any length are read whole. Ties between neighbours go to the earlier entry. Rows are scored each
+    on its own, so repeats get equal scores; other columns of docs are not read; an empty table gives an empty one.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = Terms(set(model.idf))
         for b in parts:
-            counts = [read.counts(t) for t in b.column(1).to_pylist()]
-            out = [model.score(c) if c else (model.none, [], 0.0) for c in counts]
-            yield pa.record_batch([b.column(0), pa.array([s for s, _, _ in out], pa.float64()), pa.array([c for _, _, c in out], pa.float64()), pa.array([e for _, e, _ in out], pa.list_(pa.int64())), pa.array([sorted(c) for c in counts], pa.list_(pa.string()))], names=["doc_id", "score", "cosine", "evidence", "terms"])
+            out = sent.value.scores(b.column(1).to_pylist())
+            yield pa.record_batch([b.column(0), pa.array([s for s, _, _ in out], pa.float64()), pa.array([c for _, _, c in out], pa.float64()), pa.array([e for _, e, _ in out], pa.list_(pa.int64()))], names=["doc_id", "score", "cosine", "evidence"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double, cosine double, evidence array<long>, terms array<string>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double, cosine double, evidence array<long>")
 
 
 def op2(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The contract's columns, and cosine and evidence; `train` and `scored` say what becomes of odd rows."""
     out = scored(docs, train(docs, labels))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), "cosine", "evidence", "terms")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), "cosine", "evidence")

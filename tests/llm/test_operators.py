@@ -515,37 +515,122 @@ def test_label_model():
 def test_block_max_is_exact():
     r = random.Random(11)
     vectors = []
-    for _ in range(300):
-        v = {w: r.random() + 0.1 for w in r.sample(WORDS, r.randint(1, 4))}
-        n = sum(x * x for x in v.values()) ** 0.5
-        vectors.append({w: x / n for w, x in v.items()})
-    index = toxicity.BlockMaxIndex(vectors)
-    for v in vectors[:50]:
-        cosines = sorted((-round(sum(x * o.get(w, 0.0) for w, x in v.items()), 9), k) for k, o in enumerate(vectors))
-        want = [(-s, k) for s, k in cosines if s < 0][:10]
-        got = [(round(s, 9), k) for s, k in index.nearest(v, 10)]
-        assert [s for s, _ in got] == [min(1.0, s) for s, _ in want]
-
-
-def test_toxicity(spark):
+    for _ in range(1000):
+        at = sorted({int(40 * r.random() ** 3) for _ in range(r.randint(1, 9))})
+        w = np.array([r.choice((0.1, 0.5, 1.0)) + (t > 30) for t in at])
+        vectors.append((np.array(at), w / np.sqrt(w @ w)))
+    whole = np.zeros((1000, 40))
+    for k, (t, w) in enumerate(vectors):
+        whole[k, t] = w
+    index = toxicity.BlockMaxIndex(vectors, 40)
+    assert 0 < len(index.matrix) < 40 and index.blocks > toxicity.FIRST
+    for v, (cosines, entries) in zip(vectors[:80], index.nearest(vectors[:80], 10), strict=True):
+        every = np.round(sum(whole[:, t] * w for t, w in zip(*v, strict=True)), 9)
+        want = sorted(((-s, k) for k, s in enumerate(every.tolist()) if s > 0))[:10]
+        assert [(round(s, 6), k) for s, k in zip(cosines.tolist(), entries.tolist(), strict=True)] == [(round(min(1.0, -s), 6), k) for s, k in want]
+    assert [len(x) for x in toxicity.BlockMaxIndex([], 3).nearest([(np.array([0]), np.ones(1))], 5)[0]] == [0, 0]
+
+
+def toxic_rows(n=600):
     r = random.Random(12)
     prose = lambda: [r.choice(WORDS) + r.choice(WORDS) for _ in range(60)]
     rows, labels = [], []
-    for k in range(600):
+    for k in range(n):
         w, toxic = prose(), k % 6 == 0
         for _ in range(3 * toxic):
             w.insert(r.randint(0, 60), r.choice(["vilefool", "vilefools", "rotter", "dolt"]))
         rows.append((k, " ".join(w)))
         labels.append((k, int(toxic)))
-    docs = frame(spark, [*rows, (5000, None), (5001, ""), (7, rows[7][1])])
+    return rows, labels
+
+
+def test_toxicity(spark):
+    rows, labels = toxic_rows()
+    docs = frame(spark, [*rows, (5000, None), (5001, ""), (5002, "unheard of"), (5003, "alphabeta " * 40_000), (7, rows[7][1])])
     known = spark.createDataFrame([(i, 1, t, "x") for i, t in labels] + [(9999, 1, 1, "x"), (None, 1, 1, "x"), (3, None, None, "x")], "doc_id long, quality int, toxic int, text string")
     got = {x["doc_id"]: x for x in toxicity.op2(docs, known).collect()}
     out = {i for i, _ in labels if zlib.crc32(str(i).encode()) % 4 == 2}
     assert {i for i, x in got.items() if x["held_out"] and i < 5000} == out
     assert sum(got[i]["predicted"] == t for i, t in labels if i in out) >= 0.97 * len(out)
     assert all(0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.3) for x in got.values())
-    assert got[5000]["score"] == got[5001]["score"] < 0.3
+    assert got[5000]["score"] == got[5001]["score"] == got[5002]["score"] < 0.3
+    assert got[5003]["predicted"] == 0
+    assert {x["score"] for x in toxicity.op2(docs, known.limit(0)).collect()} == {0.0}
     flipped = known.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    assert {x["doc_id"]: x["score"] for x in toxicity.op2(docs, flipped).collect()} == {i: x["score"] for i, x in got.items()}
+    assert {x["doc_id"]: x["score"] for x in toxicity.op2(docs.repartition(5), flipped).collect()} == {i: x["score"] for i, x in got.items()}
     assert toxicity.op2(frame(spark, []), known).count() == 0
-    assert {x["score"] for x in toxicity.op2(docs, known.limit(0)).collect()} == {0.0}
+
+
+def test_toxicity_is_brute_force(spark):
+    """The whole query again from the texts: every cosine with every example, votes, calibration."""
+    import math
+    from collections import Counter
+
+    rows, labels = toxic_rows(240)
+    rows += [(1000, rows[6][1]), (1001, rows[12][1] + " extra words"), (1002, "dolt")]
+    got = {x["doc_id"]: x for x in toxicity.op2(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    text, words = dict(rows), {i: Counter(ALNUM.findall(t.translate(LOWER))) for i, t in rows}
+    learnt = [(i, t) for i, t in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    starts = lambda w: [w[:n] + "*" for n in (4, 5, 6) if len(w) >= n]
+    n1, n0 = sum(t for _, t in learnt), sum(1 - t for _, t in learnt)
+    stems = set()
+    for s in {s for i, t in learnt if t for w in words[i] for s in starts(w)}:
+        a, b = (sum(any(s in starts(w) for w in words[i]) for i, t in learnt if t == label) for label in (1, 0))
+        chi2 = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / ((a + b) * (n1 + n0 - a - b + 1e-9) * n1 * n0)
+        if a >= max(3, 0.02 * n1) and chi2 >= 12 and (a + 0.5) / (n1 + 1) >= 2.5 * (b + 0.5) / (n0 + 1):
+            stems.add(s)
+    assert stems
+    terms = {}
+    for i, c in words.items():
+        terms[i] = Counter(c)
+        for w, n in c.items():
+            for s in starts(w):
+                if s in stems:
+                    terms[i][s] += n
+    df = Counter(t for c in terms.values() for t in c)
+    known = {t for i, _ in learnt for t in terms[i]}
+    idf = lambda t: math.log((1 + len(rows)) / (1 + (df[t] if t in known else 0))) + 1
+    vectors = {}
+    for i, c in terms.items():
+        v = {t: (1 + math.log(n)) * idf(t) for t, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vectors[i] = {t: x / norm for t, x in v.items()}
+    groups = {}
+    for i, t in learnt:
+        groups.setdefault(tuple(sorted((w, round(x, 9)) for w, x in vectors[i].items())), []).append((i, t))
+    groups = sorted(groups.values())
+    base = n1 / (n1 + n0)
+
+    def vote(i, but=None):
+        near = sorted(((-round(sum(x * vectors[g[0][0]].get(w, 0) for w, x in vectors[i].items()), 9), k) for k, g in enumerate(groups)))
+        cut = near[23][0] if len(near) > 23 else 0
+        assert cut == 0 or sum(s == cut for s, _ in near) == 1  # no tie at the last neighbour
+        top, every = 0.5 * base, 0.5
+        for s, k in near[:24]:
+            for j, t in groups[k]:
+                if s < 0 and j != but:
+                    top, every = top + t / (1.05 - min(1.0, -s)), every + 1 / (1.05 - min(1.0, -s))
+        return top / every
+
+    left = sorted((round(vote(i, i), 9), t) for i, t in learnt)
+    fit = [(sum(x for x, _ in p) / len(p), sum(t for _, t in p) / len(p)) for p in pooled(left)]
+    for i in text:
+        want = float(np.interp(round(vote(i), 9), [x for x, _ in fit], [y for _, y in fit]))
+        assert got[i]["score"] == pytest.approx(want, abs=1e-6), i
+
+
+def pooled(points):
+    """Groups of neighbours until their mean labels increase."""
+    same: dict = {}
+    for x, t in points:
+        same.setdefault(x, []).append((x, t))
+    pools = [same[x] for x in sorted(same)]
+    mean = lambda p: sum(t for _, t in p) / len(p)
+    k = 0
+    while k + 1 < len(pools):
+        if mean(pools[k]) >= mean(pools[k + 1]) - 1e-12:
+            pools[k : k + 2] = [pools[k] + pools[k + 1]]
+            k = max(0, k - 1)
+        else:
+            k += 1
+    return pools
