@@ -6,13 +6,13 @@ a stretch between separators that is shorter than the shortest phrase is left ou
 phrases are sought backward through the wavelet ranks, their places come from the sampled suffix positions, and
 overlapping places merge into spans of words.
 
-The benchmark is what is broadcast. It is collected in blocks of at most `BLOCK_BYTES` of text, whatever its size; each
-block is one pass over the documents. A document is never split, so a place is found whole.
+The benchmark is what is broadcast. It is dealt into blocks of about `BLOCK_WINDOWS` windows, whatever its size or that
+of an item; each block is one pass over the documents, whose hits are written before the next block is gathered, so the
+driver and a worker hold one block. A document is never split, so a place is found whole.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, alnum_words, written
+from .common import ALNUM_TABLE, alnum_words, unused, written
 from .fmindex import FMIndex
 
 SHARD_WORDS = 2_000_000
-BLOCK_BYTES = 32_000_000
+#: Windows in a block; some 100 bytes each on the driver and in a worker.
+BLOCK_WINDOWS = 1_000_000
+#: Words of an item that are handled as one.
+ITEM_WORDS = 100_000
 #: Words in a window; an item of fewer is one window.
 WINDOW = 10
 #: Places that are resolved at a time.
@@ -36,18 +39,23 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
         self.number: dict[bytes, int] = {}
-        holders: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        names = {n: k for k, n in enumerate(sorted({n for n, _ in items}))}
+        rows, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int32)]
         for item, text in items:
-            words = [self.number.setdefault(w, len(self.number) + 1) for w in alnum_words(text)]
-            for k in range(max(1, len(words) - window + 1)) if words else ():
-                holders[tuple(words[k : k + window])].add(item)
-        rows = sorted(holders)
-        self.lengths = np.array([len(r) for r in rows], np.int64)
-        self.patterns = np.zeros((len(rows), window), np.int64)
-        for k, r in enumerate(rows):
-            self.patterns[k, window - len(r) :] = r
-        self.holders = [sorted(holders[r]) for r in rows]
-        self.shortest = int(self.lengths.min()) if rows else 0
+            words = np.array([self.number.setdefault(w, len(self.number) + 1) for w in alnum_words(text)], np.int32)
+            if len(words):
+                own = np.lib.stride_tricks.sliding_window_view(words, window) if len(words) >= window else np.pad(words, (window - len(words), 0))[None, :]
+                rows.append(own)
+                owners.append(np.full(len(own), names[item], np.int32))
+        self.names = list(names)
+        self.patterns, of = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        held = np.unique(np.stack([of.reshape(-1), np.concatenate(owners)], axis=1), axis=0)
+        self.owner, self.begin = held[:, 1], np.searchsorted(held[:, 0], np.arange(len(self.patterns) + 1))
+        self.lengths = (self.patterns > 0).sum(axis=1)
+        self.shortest = int(self.lengths.min()) if len(self.patterns) else 0
+
+    def holders(self, phrase: int) -> list[str]:
+        return [self.names[k] for k in self.owner[self.begin[phrase] : self.begin[phrase + 1]].tolist()]
 
 
 class _Shard:
@@ -96,7 +104,7 @@ class _Shard:
             for d, a, p in zip(docs[run].tolist(), begin.tolist(), phrase.tolist(), strict=True):
                 spans, items = out.setdefault(d, ([], set()))
                 spans.append((a, a + int(self.of.lengths[p])))
-                items.update(self.of.holders[p])
+                items.update(self.of.holders(p))
         return out
 
 
@@ -116,7 +124,7 @@ _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def _pass(docs: DataFrame, items: list[tuple[str, bytes]], window: int, shard_words: int) -> DataFrame:
     """docs(doc_id, th, text): one row each, (doc_id, th, n_words, spans, items), for one block of items."""
-    phrases = Phrases(items, window)
+    sent = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(shard: _Shard) -> pa.RecordBatch:
@@ -126,6 +134,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, bytes]], window: int, shard_wo
             ids, hashes = zip(*shard.keys, strict=True)
             return pa.record_batch([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(shard.words, pa.int64()), pa.array(spans, _ARROW_SPANS), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "th", "n_words", "spans", "items"])
 
+        phrases = sent.value
         shard = _Shard(phrases)
         for b in parts:
             for key, text in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), b.column(2).to_pylist(), strict=True):
@@ -139,32 +148,54 @@ def _pass(docs: DataFrame, items: list[tuple[str, bytes]], window: int, shard_wo
     return docs.mapInArrow(run, f"doc_id long, th long, n_words long, spans {SPANS}, items array<string>")
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def windows(benchmark: DataFrame, window: int, item_col: str, item_text_col: str, item_words: int) -> DataFrame:
+    """(item, text, n): the items in pieces of some item_words words that share window - 1 words, and their windows."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            rows = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = alnum_words(text)
+                for k in range(0, max(1, len(words) - window + 1), item_words) if words else ():
+                    piece = words[k : k + item_words + window - 1]
+                    rows.append((item, b" ".join(piece), max(1, len(piece) - window + 1)))
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.binary(), pa.int64()))], names=["item", "text", "n"])
+
+    picked = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("binary").alias("text"))
+    return picked.where("text is not null").mapInArrow(run, "item string, text binary, n long")
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_words: int = SHARD_WORDS, block_windows: int = BLOCK_WINDOWS, item_words: int = ITEM_WORDS) -> DataFrame:
     """Per row of docs: doc_id, th (a hash of the text), n_words, spans of hit words (merged, end exclusive), items.
 
-    Null texts have no words; items without words are no window; an item without an id goes by the empty string. Items
-    of equal words are all named. Rows that repeat both id and text come back as often as they are.
+    Null and empty texts have no words; items without words are no window; an item without an id goes by the empty
+    string. Texts and items of any length are read whole. Ties: items of equal words are all named. Rows that repeat
+    both id and text come back as often as they are. Empty tables give no rows or no hits; other columns are not read.
     """
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("binary").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = -(-total // block_bytes) or 1
+    items = written(windows(benchmark, window, item_col, item_text_col, item_words))
+    blocks = -(-(items.agg(F.sum("n")).first()[0] or 0) // block_windows) or 1
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
-    parts = [_pass(picked, [(r["item"], bytes(r["text"])) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()], window, shard_words) for k in range(blocks)]
-    if blocks == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    # A row of docs that occurs n times comes n times from each block; its groups are alike, so n rows stay.
-    grouped = every.groupBy("doc_id", "th").agg((F.count("*") / blocks).cast("int").alias("n"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    again = grouped.select("doc_id", "th", "n_words", "spans", "items", F.explode(F.sequence(F.lit(1), "n")).alias("k")).drop("k")
+    every: list[DataFrame] = []
+    for k in range(blocks):
+        part = _pass(picked, [(r["item"], bytes(r["text"])) for r in items.where(block == k).collect()], window, shard_words)
+        if blocks == 1:
+            return part
+        # The first pass has a row for every row of docs; of the others only hits matter, once for each text.
+        every.append(written(part if not every else part.where(F.size("spans") > 0).dropDuplicates(["doc_id", "th"])))
+    first, more, *rest = every
+    for p in rest:
+        more = more.unionByName(p)
+    more = written(more.groupBy(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th")).agg(F.flatten(F.collect_list("spans")).alias("more_spans"), F.flatten(F.collect_list("items")).alias("more_items")))
+    joined = first.join(more, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans = [[{"start": x, "end": y} for x, y in merged([(s["start"], s["end"]) for s in own])] for own in b.column(3).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(spans, _ARROW_SPANS), b.column(4)], names=b.schema.names)
 
-    return again.mapInArrow(run, every.schema)
+    both = lambda a, b: F.when(F.col(b).isNull(), F.col(a)).otherwise(F.concat(a, b))
+    return joined.select("doc_id", "th", "n_words", both("spans", "more_spans").alias("spans"), F.array_sort(F.array_distinct(both("items", "more_items"))).alias("items")).mapInArrow(run, first.schema)
 
 
 def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -183,22 +214,26 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", **more) -> DataFrame:
-    """docs without the words that benchmark items hold; same columns. A document of which no word is left goes."""
-    hits = written(find(docs, benchmark, id_col=id_col, text_col=text_col, **more).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans")).distinct())
-    joined = docs.withColumn("__h", F.xxhash64(text_col)).join(hits, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
+    """docs without the words that benchmark items hold; same columns, of any names. A document of which no word is left goes.
+
+    Odd rows as in `find`; a text that isn't hit comes back as it is.
+    """
+    own_id, own_th, spans, th, left = unused(docs.columns, "hit_id", "hit_hash", "spans", "hash", "left")
+    hits = written(find(docs, benchmark, id_col=id_col, text_col=text_col, **more).where(F.size("spans") > 0).select(F.col("doc_id").alias(own_id), F.col("th").alias(own_th), F.col("spans").alias(spans)).distinct())
+    joined = docs.withColumn(th, F.xxhash64(text_col)).join(hits, F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.col(th) == F.col(own_th)), "left")
 
     @F.udf("string", useArrow=True)
     def cut(text: bytes, spans: list) -> str | None:
         return None if spans is None else without_spans(text, [(s["start"], s["end"]) for s in spans]).decode("utf-8", "replace")
 
-    hit = F.col("__spans").isNotNull()
-    # Only the documents that are hit go through Python.
-    touched = joined.where(hit).withColumn("__text", cut(F.col(text_col).cast("binary"), "__spans")).where(F.col("__text").rlike(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"))
-    columns = [F.col("__text").alias(c) if c == text_col else F.length("__text").cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col(c) for c in docs.columns]
-    return joined.where(~hit).select(*docs.columns).unionByName(touched.select(*columns))
+    hit = F.col(spans).isNotNull()
+    # Only the texts that are hit go to Python; of the others a null does.
+    out = joined.withColumn(left, cut(F.when(hit, F.col(text_col).cast("binary")), F.col(spans))).where(~hit | F.col(left).rlike(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"))
+    return out.select(*(F.when(hit, F.col(left)).otherwise(F.col(c)).alias(c) if c == text_col else F.when(hit, F.length(left)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col(c) for c in docs.columns))
 
 
 def op10(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The contract's digest of `find`, which says what becomes of odd rows."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return find(docs, benchmark).select(
         "doc_id",

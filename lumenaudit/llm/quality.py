@@ -4,7 +4,8 @@ Labellers look at one trait each and vote good, bad or not at all; they overlap
 documents, pattern by pattern (at most 3^labellers rows reach the driver), and expectation-maximisation estimates how
 often each labeller is right on good and on bad documents, and how many are bad. A pattern's posterior is the soft label
 of its documents. On a bounded, hash-chosen sample (`FIT_ROWS`), a logistic scorer learns these labels from hashed
-features: the shapes of tokens and coarse statistics. It scores every document from its whole text.
+features that the labellers don't look at as such: words, how often words recur, and the shapes of tokens. It scores every document from its
+whole text.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import unused
+
 #: Documents on which the scorer is fitted, at most; chosen by a hash of their id.
-FIT_ROWS = 8_000
+FIT_ROWS = 4_000
 #: Hashed features.
-DIMENSIONS = 1 << 14
+DIMENSIONS = 1 << 16
 #: Documents that score below are rejected.
 KEEP = 0.5
 LABELLERS = ("symbols", "capitals", "trigrams", "loose_marks", "lines", "letters", "vocabulary", "lengths", "function_words")
-#: Token shapes that are remembered per task.
-REMEMBERED = 50_000
+#: Token shapes, and words, that are remembered per task.
+REMEMBERED = 100_000
 #: Frequent words of English, German, French and Spanish, as they are and capitalised.
 FUNCTION_WORDS = tuple(
     form.encode()
@@ -54,20 +57,23 @@ def _squeezed(shape: bytes) -> bytes:
     return bytes(out[:12])
 
 
-def _bucket(name: str, value: float) -> int:
-    return zlib.crc32(f"{name}:{math.floor(value * 10)}".encode()) % DIMENSIONS
-
-
 def _vote(value: float, good: float, bad: float) -> int:
     """Good on its side of `good`, bad beyond `bad`, else no vote."""
     return (1 if value <= good else -1 if value >= bad else 0) if good < bad else (1 if value >= good else -1 if value <= bad else 0)
 
 
 class Reader:
-    """Votes and hashed features of a text; remembers what token shapes are like."""
+    """Votes and hashed features of a text; remembers what token shapes are like, and buckets of words."""
 
     def __init__(self) -> None:
         self.seen: dict[bytes, tuple[int, bool, bool]] = {}
+        self.buckets: dict[bytes, int] = {}
+
+    def _word(self, word: bytes) -> int:
+        if len(self.buckets) >= REMEMBERED:
+            self.buckets.clear()
+        found = self.buckets[word] = zlib.crc32(b"word:" + word.lower()) % DIMENSIONS
+        return found
 
     def _shape(self, shape: bytes) -> tuple[int, bool, bool]:
         """Bucket of a token's shape, whether marks stand in a row, and whether there are only marks."""
@@ -78,7 +84,7 @@ class Reader:
         self.seen[shape] = known
         return known
 
-    def read(self, text: bytes | None) -> tuple[tuple[int, ...], dict[int, float]]:
+    def read(self, text: bytes | None, features: bool = True) -> tuple[tuple[int, ...], dict[int, float]]:
         """One vote per labeller, and features; texts of few words get few votes, and those without words none."""
         words = text.split() if text else []
         if not words:
@@ -119,11 +125,19 @@ class Reader:
             # Other languages than those of the list get no vote rather than a bad one: their counts are all zero.
             _vote(values["function_words"], 0.15, 0.08) if n >= 50 and values["function_words"] else 0,
         )
-        features = {b: math.sqrt(c / n) for b, c in shapes.items()}
-        for name, value in values.items():
-            if enough:
-                features[_bucket(name, value)] = 1.0
-        return votes, features
+        if not features:
+            return votes, {}
+        get, own = self.buckets.get, self._word
+        for w, c in counts.items():
+            bucket = get(w)
+            if bucket is None:
+                bucket = own(w)
+            shapes[bucket] = shapes.get(bucket, 0) + c
+        # How often words recur, in a text of that size.
+        for c, distinct in Counter(counts.values()).items():
+            bucket = zlib.crc32(b"times:%d:%d" % (c.bit_length(), n.bit_length())) % DIMENSIONS
+            shapes[bucket] = shapes.get(bucket, 0) + c * distinct
+        return votes, {b: math.sqrt(c / n) for b, c in shapes.items()}
 
 
 def _binary(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -136,7 +150,7 @@ def vote_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, counts = Reader(), Counter()
         for b in parts:
-            counts.update(reader.read(t)[0] for t in b.column(1).to_pylist())
+            counts.update(reader.read(t, False)[0] for t in b.column(1).to_pylist())
         yield pa.record_batch([pa.array([list(k) for k in counts], pa.list_(pa.int8())), pa.array(list(counts.values()), pa.int64())], names=["votes", "n"])
 
     counted = _binary(docs, id_col, text_col).mapInArrow(run, "votes array<byte>, n long").groupBy("votes").agg(F.sum("n").alias("n"))
@@ -171,7 +185,7 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def fit(rows: list[tuple[float, list[int], list[float]]], rounds: int = 300, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(rows: list[tuple[float, list[int], list[float]]], rounds: int = 200, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer for rows (probability of good, buckets, values), by Adam on all rows."""
     weights = np.zeros(DIMENSIONS + 1)
     weights[-1] = 2.0
@@ -203,17 +217,20 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", tex
             yield pa.record_batch([pa.array([list(v) for v, _ in read], pa.list_(pa.int8())), pa.array([list(f) for _, f in read], pa.list_(pa.int32())), pa.array([list(f.values()) for _, f in read], pa.list_(pa.float64()))], names=["votes", "at", "value"])
 
     picked = _binary(docs, id_col, text_col)
-    rows = picked.join(ids, picked["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "votes array<byte>, at array<int>, value array<double>").collect()
+    # Of several texts of an id that with the smallest hash counts, so that reruns agree.
+    once = picked.join(ids, picked["doc_id"] == ids["id"], "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = once.mapInArrow(run, "votes array<byte>, at array<int>, value array<double>").collect()
     # The sample comes from the same documents, so each of its patterns has a posterior. Sorted, for the sum of floats.
     data = sorted((1 - model.posterior[tuple(r["votes"])], list(r["at"]), list(r["value"])) for r in rows)
     return model, *fit(data)
 
 
-def scored(docs: DataFrame, fit_rows: int = FIT_ROWS, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with `__q`: a struct of votes, weak (the label model's probability of good), score and keep.
+def scored(docs: DataFrame, fit_rows: int = FIT_ROWS, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: a struct of votes, weak (the label model's probability of good), score and keep.
 
-    Null and wordless texts get the scorer's bias and no votes. Rows are judged each on its own; no row, no result.
-    Only the text goes to Python, and only the judgement comes back.
+    Null, empty and wordless texts get the scorer's bias and no votes; texts of any length are read whole. Rows are
+    judged each on its own, so repeats and ties are judged alike; an empty table gives an empty one. Columns of docs may
+    have any names. Only the text goes to Python, and only the judgement comes back.
     """
     model, weights, bias = train(docs, fit_rows, id_col, text_col)
     posterior, prior = model.posterior, model.prior
@@ -233,14 +250,18 @@ def scored(docs: DataFrame, fit_rows: int = FIT_ROWS, keep: float = KEEP, id_col
             columns = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=kind.names)
 
-    return docs.withColumn("__q", judge(F.col(text_col).cast("binary")))
+    (name,) = unused(docs.columns, "quality")
+    return docs.withColumn(name, judge(F.col(text_col).cast("binary"))), name
 
 
 def kept(docs: DataFrame, **more) -> DataFrame:
-    """The documents that aren't rejected; same columns."""
-    return scored(docs, **more).where("__q.keep").drop("__q")
+    """The documents that aren't rejected; same columns. Odd rows as in `scored`."""
+    out, name = scored(docs, **more)
+    return out.where(F.col(name)["keep"]).select(*docs.columns)
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    q = scored(docs)
-    return q.select("doc_id", "__q.votes", F.round("__q.weak", 6).alias("weak"), F.round("__q.score", 6).alias("score"), "__q.keep")
+    """Per document: votes, the label model's probability of good, score, keep. Odd rows as in `scored`."""
+    out, name = scored(docs.select("doc_id", "text"))
+    q = F.col(name)
+    return out.select("doc_id", q["votes"].alias("votes"), F.round(q["weak"], 6).alias("weak"), F.round(q["score"], 6).alias("score"), q["keep"].alias("keep"))

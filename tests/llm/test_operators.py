@@ -297,7 +297,7 @@ def exam():
     return docs, items
 
 
-@pytest.mark.parametrize("more", [{}, {"shard_words": 50}, {"block_bytes": 200}])
+@pytest.mark.parametrize("more", [{}, {"shard_words": 50}, {"block_windows": 20}, {"block_windows": 30, "item_words": 3}])
 def test_decontamination_is_brute_force(spark, exam, more):
     docs, items = exam
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -494,10 +494,49 @@ def test_quality(spark):
     assert right >= 0.95 * len(rows)
     assert sum(not got[i]["keep"] for i, _ in rows if i % 5) == 0
     assert {i: r["score"] for i, r in got.items()} == {r["doc_id"]: r["score"] for r in quality.op1(docs.repartition(5)).collect()}
-    assert quality.kept(docs).columns == docs.columns
+    clash = docs.withColumnsRenamed({"w": "quality", "id": "_quality"})
+    assert quality.kept(clash).columns == clash.columns
+    assert quality.kept(docs).count() == sum(got[i]["keep"] for i, _ in [*rows, (5000, 0), (5001, 0), (5002, 0), (3, 0)])
     assert quality.op1(frame(spark, [])).count() == 0
 
 
+def test_quality_is_brute_force(spark):
+    """EM document by document, and the scorer's features from the texts."""
+    import math
+    from collections import Counter
+
+    rows = junky(150)
+    got = {r["doc_id"]: r for r in quality.op1(frame(spark, rows)).collect()}
+    votes = {i: list(got[i]["votes"]) for i, _ in rows}
+    bad = {i: 0.9 if -1 in v else 0.05 for i, v in votes.items()}
+    for _ in range(100):
+        weight = 0.01 * len(rows)
+        right = [[(sum(p[i] for i, v in votes.items() if v[k] == sign) + prior * weight) / (sum(p[i] for i, v in votes.items() if v[k]) + weight) for k in range(len(quality.LABELLERS))] for p, sign, prior in ((bad, -1, 0.6), ({i: 1 - x for i, x in bad.items()}, 1, 0.95))]
+        share = (sum(bad.values()) + 1) / (len(rows) + 10)
+        held = [[min(0.999, max(0.001, x)) for x in r] for r in right]
+        for i, v in votes.items():
+            odds = math.log(share / (1 - share))
+            for k, x in enumerate(v):
+                odds += math.log(held[0][k] / (1 - held[1][k])) if x < 0 else math.log((1 - held[0][k]) / held[1][k]) if x > 0 else 0
+            bad[i] = 1 / (1 + math.exp(-max(-30, min(30, odds))))
+    assert {i: round(1 - x, 5) for i, x in bad.items()} == {i: pytest.approx(r["weak"], abs=2e-5) for i, r in got.items()}
+    _, weights, bias = quality.train(frame(spark, rows))
+    for i, text in rows:
+        words = text.encode().split()
+        found = Counter()
+        for w in words:
+            shape = re.sub(rb"[a-z]", b"a", re.sub(rb"[A-Z]", b"A", w))
+            found[b"shape:" + re.sub(rb"(.)\1+", rb"\1\1", shape)[:12]] += 1
+            found[b"word:" + w.lower()] += 1
+        for c in Counter(words).values():
+            found[b"times:%d:%d" % (c.bit_length(), len(words).bit_length())] += c
+        buckets = Counter()
+        for name, c in found.items():
+            buckets[zlib.crc32(name) % quality.DIMENSIONS] += c
+        z = bias + sum(weights[b] * math.sqrt(c / len(words)) for b, c in buckets.items())
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=2e-6)
+
+
 def test_label_model():
     r = np.random.default_rng(10)
     truth = r.random(20_000) < 0.2
