@@ -49,22 +49,28 @@ TEMPLATES = (
     template("apache", "apache license", True),
     template("gpl", "general public license", True),
     # Openings of well-known public licences, and notices that stand for one.
-    template("all-rights-reserved", "all rights reserved"),
     template("apache-2.0", "licensed under the [apache license version 2 0]"),
+    template("apache-text", "you may not use this file except in compliance with the license you may obtain a [copy of the license at http www apache org licenses license 2 0]"),
+    template("artistic", "[artistic license]"),
     template("agpl-3.0", "gnu [affero general public license] version 3"),
     template("bsd", "[redistribution and use in source and binary forms] with or without modification are permitted provided that the following conditions are met"),
     template("bsd-notice", "released under the [bsd license]"),
+    template("bsl-1.0", "[boost software license] version 1 0"),
+    template("cc0", "[cc0 1 0 universal]"),
     template("cc-by", "[creative commons attribution]"),
     template("cc-by-nc", "licensed under [cc by nc]"),
     template("cc-by-sa", "licensed under [cc by sa]"),
+    template("epl", "[eclipse public license]"),
+    template("eupl", "[european union public licence]"),
     template("gpl-2.0", "gnu [general public license version 2]"),
-    template("gpl-3.0", "this work is licensed under the gnu [general public license version 3]"),
+    template("gpl-3.0", "gnu [general public license version 3]"),
     template("gpl-text", "this program is [free software you can redistribute it] and or modify it under the terms of the gnu general public license"),
     template("isc", "[permission to use copy modify and or distribute this software] for any purpose with or without fee is hereby granted"),
     template("lgpl", "gnu [lesser general public license]"),
     template("mit-text", "[permission is hereby granted free of charge to any person] obtaining a copy of this software and associated documentation files"),
-    template("mpl-2.0", "this source code form is subject to the terms of the [mozilla public license] v 2 0"),
+    template("mpl-2.0", "[mozilla public license] v 2 0"),
     template("unlicense", "this is [free and unencumbered software released into the public domain]"),
+    template("zlib", "this software is provided [as is without any express or implied warranty in no event will the authors be held liable] for any damages arising from the use of this software"),
 )
 
 
@@ -109,7 +115,9 @@ def _starts(t: Template, rare: list[tuple[str, int]]) -> Column:
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, and `found`: structs (label, base, starts of the key phrase, share of the best).
 
-    A null text is an empty one; rows are judged each on its own, so repeats come back as often as they are.
+    A null text is an empty one; texts of any length are scanned whole. Rows are judged each on its own, so repeats come
+    back as often as they are and ties between places don't matter: all are returned. An empty table gives an empty one;
+    other columns are not read.
     """
     df = frequencies(docs, sorted({t.words[k] for t in templates for k in range(*t.key)}), text_col)
     rare = {t: rare_words(t, df) for t in templates}
@@ -123,6 +131,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: s
 
 
 def op6(docs: DataFrame) -> DataFrame:
+    """The contract's columns; `scan` says what becomes of odd rows."""
     found = scan(docs)
     base = F.flatten(F.transform(F.filter("found", lambda f: f["base"]), lambda f: F.transform(f["places"], lambda p: p["start"])))
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda f: f["label"]))), ",")

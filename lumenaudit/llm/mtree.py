@@ -6,9 +6,13 @@ integers; distances serve only as bounds, with slack for rounding, so ties are n
 
 Layout. Up to `PIVOTS` sampled vectors route every vector to its nearest; a pivot's vectors are dealt by a hash into
 shards of about `SHARD` (many equal vectors thus make many shards, not a large one), and each shard becomes one M-tree:
-a few rows of bytes, whatever the size of the table. Queries come in blocks that share a pivot. A block carries, for each
-query, the k-th best score among the sample, a floor under its k-th best overall; by it and by the pivots' covering radii
-a block skips shards. Blocks meet the shards they need by equality on the shard, so a task holds one block and one tree.
+a row of bytes, whatever the size of the table.
+
+Search. A query ranks the shards by the least distance that their pivot's covering radius allows and visits them in that
+order, 1, 4, 16, ... shards a round. After a round its k-th best score is the floor for the next, and shards that cannot
+reach it are left out, query by query. So where vectors have structure most shards are never visited, and where they
+have none, as in independent random ones, every shard must be, but only few rows of each come back. In a round every
+tree is loaded once per `ASKED` queries, which stream past it.
 """
 
 from __future__ import annotations
@@ -24,9 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
-PIVOTS, SAMPLE, SHARD, BLOCK = 256, 1024, 4096, 512
+#: Pivots at most, vectors a pivot at least, vectors that floors begin with, and vectors a shard.
+PIVOTS, PER_PIVOT, SAMPLE, SHARD = 256, 2048, 1024, 16_384
+#: Queries that one copy of a tree serves in a round, and that are searched for at a time.
+ASKED, BLOCK = 16_384, 512
+#: Shards that a query visits in a round, as a multiple of those of the round before.
+WIDER = 4
 #: Entries in a leaf page, children in an inner page.
 LEAF, FAN = 256, 16
 
@@ -162,68 +171,125 @@ def _matrix(lists: list, width: int) -> np.ndarray:
     return out
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 64) -> DataFrame:
+def _floors(ids: np.ndarray, q: np.ndarray, s_ids: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query in the sample."""
+    if len(s_ids) <= k:
+        return np.full(len(ids), -math.inf)
+    large = max(1, q.shape[1]) * float(np.abs(q).max(initial=0)) * float(np.abs(sample).max(initial=0)) >= 2**53
+    scores = (q.astype(object) @ sample.T.astype(object) if large else q.astype(np.float64) @ sample.T.astype(np.float64)).astype(np.float64)
+    return np.partition(np.where(ids[:, None] == s_ids[None, :], -math.inf, scores), -k, axis=1)[:, -k]
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 64, pivots: int = PIVOTS, per_pivot: int = PER_PIVOT, shard: int = SHARD, asked: int = ASKED) -> DataFrame:
     """(query_id, rank, vec_id, score): for every query row the k best of all other rows, by floor(factor * x) components.
 
-    Rows with a null id or an unusable vector take no part; rows that repeat id and vector count once; a candidate with
-    the query's id is its own. A shorter vector is taken as filled with zeros. No rows in, no rows out.
+    Rows with a null id or an unusable vector (null, or with null or non-finite components) take no part; an empty vector
+    and any other shorter one are taken as filled with zeros. Rows that repeat an id count once, with the smallest of its
+    vectors, component by component. Ties go to the smaller id. No rows in, no rows out; other columns are not read.
     """
-    every = written(
-        vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
-        .select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col), factor).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
-        .dropDuplicates(["id", "v"])
-    )
+    flagged = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col), factor).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
+    every = written(flagged.groupBy("id").agg(F.min("v").alias("v"), F.max("query").alias("query")))
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     n, m2, width = every.agg(F.count("*"), F.max(norm), F.max(F.size("v"))).first()
     n, m2, width = n, m2 or 0.0, width or 0
     sample = every.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     s_ids, s_vectors = np.array([r["id"] for r in sample], np.int64), _matrix([r["v"] for r in sample], width)
-    pivots = lifted(s_vectors[: min(PIVOTS, max(1, -(-n // SHARD)))], m2)
+    centres = lifted(s_vectors[: min(pivots, max(1, -(-n // per_pivot)))], m2)
+    if not n:
+        return every.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("score"))
 
     def route(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             points = lifted(_matrix(b.column(1).to_pylist(), width), m2)
-            apart = np.stack([_gap(points, p) for p in pivots], axis=1) if b.num_rows else np.zeros((0, 1))
-            yield pa.record_batch([*b.columns, pa.array(apart.argmin(axis=1).astype(np.int32)), pa.array(apart.min(axis=1) if b.num_rows else np.zeros(0))], names=[*b.schema.names, "pivot", "away"])
-
-    routed = written(every.mapInArrow(route, "id long, v array<long>, query boolean, pivot int, away double")) if n else every.select("*", F.lit(0).alias("pivot"), F.lit(0.0).alias("away"))
-    per = {r["pivot"]: r for r in routed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("away").alias("far"), F.count_if("query").alias("q")).collect()}
-    shards = [max(1, -(-per[p]["n"] // SHARD)) if p in per else 0 for p in range(max(1, len(pivots)))]
-    blocks = [max(1, -(-per[p]["q"] // BLOCK)) if p in per else 1 for p in range(max(1, len(pivots)))]
-    far = [per[p]["far"] if p in per else -1.0 for p in range(max(1, len(pivots)))]
-    dealt = lambda counts: F.pmod(F.xxhash64("id"), F.element_at(F.array(*map(F.lit, counts)), F.col("pivot") + 1)).cast("int")
+            apart = np.stack([_gap(points, p) for p in centres], axis=1)
+            yield pa.record_batch([*b.columns, pa.array(apart.argmin(axis=1).astype(np.int32)), pa.array(apart.min(axis=1))], names=[*b.schema.names, "pivot", "away"])
+
+    routed = written(every.mapInArrow(route, "id long, v array<long>, query boolean, pivot int, away double"))
+    per = {r["pivot"]: r for r in routed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("away").alias("far")).collect()}
+    shards = np.array([-(-per[p]["n"] // shard) if p in per else 0 for p in range(len(centres))])
+    far = np.array([per[p]["far"] if p in per else -math.inf for p in range(len(centres))])
+    before = np.cumsum(shards) - shards
+    narrow = next(t for t in (np.int8, np.int16, np.int32, np.int64) if math.sqrt(m2) < np.iinfo(t).max)  # as no component is above the norm
+    total = int(shards.sum())
+    dealt = F.element_at(F.array(*(F.lit(int(x)) for x in before)), F.col("pivot") + 1) + F.pmod(F.xxhash64("id"), F.element_at(F.array(*(F.lit(int(max(1, x))) for x in shards)), F.col("pivot") + 1)).cast("int")
 
     def plant(pdf: pd.DataFrame) -> pd.DataFrame:
-        pivot = int(pdf["pivot"].iloc[0])
-        tree = MTree(pdf["id"].to_numpy(np.int64), _matrix(list(pdf["v"]), width), m2, pivots[pivot])
-        return pd.DataFrame({"pivot": [pivot], "shard": [int(pdf["shard"].iloc[0])], "tree": [pickle.dumps(tree, 5)]})
-
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        """A block of queries, and the shards that it needs."""
-        ids, q = pdf["id"].to_numpy(np.int64), _matrix(list(pdf["v"]), width)
-        against = q.astype(object) @ s_vectors.T.astype(object) if max(1, width) * float(np.abs(q).max(initial=0)) * float(np.abs(s_vectors).max(initial=0)) >= 2**53 else (q.astype(np.float64) @ s_vectors.T.astype(np.float64))
-        seen = np.where(ids[:, None] == s_ids[None, :], -math.inf, against.astype(np.float64))
-        floor = np.partition(seen, -k, axis=1)[:, -k] if seen.shape[1] >= k else np.full(len(ids), -math.inf)
-        points = np.column_stack([q.astype(np.float64), np.zeros(len(q))])
-        reach = (points**2).sum(axis=1) + m2
-        bound = np.where(np.isinf(floor), math.inf, np.sqrt(np.maximum(0.0, reach - 2 * np.where(np.isinf(floor), 0, floor)))) + 1e-9 * (1 + np.sqrt(reach))
-        needed = [p for p, r in enumerate(far) if shards[p] and (_gap(points, pivots[p]) - r <= bound).any()]
-        pairs = [(p, s) for p in needed for s in range(shards[p])]
-        return pd.DataFrame({"pivot": [p for p, _ in pairs], "shard": [s for _, s in pairs], "block": [pickle.dumps((ids, q, floor), 5)] * len(pairs)})
+        tree = MTree(pdf["id"].to_numpy(np.int64), _matrix(list(pdf["v"]), width), m2, centres[int(pdf["pivot"].iloc[0])])
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "tree": [pickle.dumps(tree, 5)]})
+
+    trees = written(routed.withColumn("shard", dealt).groupBy("pivot", "shard").applyInPandas(plant, "shard int, tree binary"))
+
+    def ask(first: int, last: int):
+        """Of each query the first to last shard of its order, but for those that its floor rules out."""
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in parts:
+                ids, q = b.column(0).to_numpy(), _matrix(b.column(1).to_pylist(), width)
+                floor = np.array([-math.inf if x is None else x for x in b.column(2).to_pylist()])
+                floor = np.maximum(floor, _floors(ids, q, s_ids, s_vectors, k))
+                points = np.column_stack([q.astype(np.float64), np.zeros(len(q))])
+                reach = (points**2).sum(axis=1) + m2
+                bound = np.where(np.isinf(floor), math.inf, np.sqrt(np.maximum(0.0, reach - 2 * np.where(np.isinf(floor), 0, floor)))) + 1e-9 * (1 + np.sqrt(reach))
+                away = np.stack([_gap(points, p) for p in centres], axis=1)
+                low = np.maximum(0.0, away - far[None, :])
+                order = np.argsort(np.where(shards[None, :] > 0, low + 1e-6 * away, math.inf), axis=1, kind="stable")
+                own, at = [], []
+                for j, o in enumerate(order):
+                    upto = np.cumsum(shards[o])
+                    place = np.arange(first, min(last, total))
+                    slot = np.searchsorted(upto, place, side="right")
+                    slot = slot[fit := low[j, o[slot]] <= bound[j]]
+                    p = o[slot]
+                    at.append(before[p] + (place[fit] - upto[slot] + ids[j]) % shards[p])
+                    own.append(np.full(len(p), j))
+                own = np.concatenate(own) if own else np.zeros(0, np.int64)
+                near = order[:, 0][own]
+                take = pa.array(own)
+                yield pa.record_batch([pa.array(np.concatenate(at).astype(np.int32)), pa.array(near.astype(np.int32)), b.column(0).take(take), pa.array(floor[own]), pa.array([x.tobytes() for x in q.astype(narrow)], pa.binary()).take(take)], names=["shard", "near", "id", "floor", "payload"])
+
+        return run
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, held_shard = None, None
         for b in parts:
-            for block, tree in zip(b.column(0), b.column(1), strict=True):
-                (ids, q, floor), t = pickle.loads(block.as_py()), pickle.loads(tree.as_py())
-                yield pa.record_batch([pa.array(x, pa.int64()) for x in t.search(ids, q, k, floor)], names=["query_id", "vec_id", "score"])
-
-    trees = routed.withColumn("shard", dealt(shards)).groupBy("pivot", "shard").applyInPandas(plant, "pivot int, shard int, tree binary")
-    asked = routed.where("query").withColumn("b", dealt(blocks)).groupBy("pivot", "b").applyInPandas(gather, "pivot int, shard int, block binary")
-    pairs = written(asked).join(written(trees), ["pivot", "shard"]).select("block", "tree")
-    found = pairs.repartition(max(1, min(2000, sum(shards) * 2))).mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            shard_of, kinds = b.column(0).to_numpy(), b.column(2).to_numpy()
+            cuts = np.unique(np.r_[0, np.flatnonzero(np.diff(shard_of) | np.diff(kinds)) + 1, len(kinds)])
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if not kinds[s]:
+                    if held_shard != shard_of[s]:
+                        tree, held_shard = pickle.loads(b.column(6)[s].as_py()), shard_of[s]
+                    continue
+                for at in range(s, e, BLOCK):
+                    part = b.slice(at, min(BLOCK, e - at))
+                    q = np.frombuffer(b"".join(part.column(6).to_pylist()), narrow).reshape(part.num_rows, width).astype(np.int64)
+                    found = tree.search(part.column(4).to_numpy(), q, k, part.column(5).to_numpy())
+                    yield pa.record_batch([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
+
+    queries, best = routed.where("query").select("id", "v"), None
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    first = last = 0
+    while last < total:
+        first, last = last, last + WIDER ** (0 if not last else round(math.log(max(1, last - first), WIDER)) + 1)
+        if best is None:
+            state = queries.withColumn("floor", F.lit(None).cast("double"))
+        else:
+            floors = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+            state = queries.join(floors, F.col("id") == F.col("query_id"), "left").select("id", "v", F.when(F.col("n") >= k, F.col("least").cast("double")).alias("floor"))
+        wanted = written(state.mapInArrow(ask(first, last), "shard int, near int, id long, floor double, payload binary"))
+        counted = wanted.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(asked)).cast("int").alias("parts"))
+        # A shard that many queries want has a copy of its tree for each part of them.
+        copies = trees.join(counted, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(0).alias("near"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("floor"), F.col("tree").alias("payload"))
+        rows = wanted.join(counted, "shard").select("shard", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "near", "id", "floor", "payload")
+        met = copies.union(rows).repartition(max(1, min(10_000, total)), "shard", "part").sortWithinPartitions("shard", "part", "kind", "near")
+        found = met.mapInArrow(search, "query_id long, vec_id long, score long")
+        ranked = (found if best is None else found.union(best)).withColumn("rank", rank).where(F.col("rank") <= k)
+        done = best
+        best = written(ranked.select("query_id", "vec_id", "score"))
+        dropped(wanted, *([done] if done is not None else []))
+    dropped(trees, routed, every)
+    return best.withColumn("rank", rank).select("query_id", "rank", "vec_id", "score")
 
 
 def op4(embeddings: DataFrame) -> DataFrame:
+    """The contract's queries: ids divisible by 20. Odd rows as in `top_k`."""
     return top_k(embeddings, F.col("vec_id") % 20 == 0)

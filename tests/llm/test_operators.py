@@ -402,6 +402,8 @@ def test_licences(spark):
         (9, "Permission is hereby granted, free of charge, to any person obtaining a copy"),
         (10, "Permission is hereby granted, free of charge, to nobody"),
         (2, "Licensed under the Apache License, Version 2.0."),
+        (11, "under the terms of the GNU General Public License version 3"),
+        (12, "licensed under the Mozilla Public License v 2.0"),
     ]
     got = rows_of(licenses.op6(frame(spark, rows)), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
     want = []
@@ -414,6 +416,18 @@ def test_licences(spark):
     labels = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.op6(frame(spark, rows)).collect()}
     assert labels[2] == ("apache,apache-2.0", 1.0)
     assert labels[3] == ("gpl,gpl-3.0", 1.0)
+    assert labels[11][0] == "gpl,gpl-3.0" and labels[12] == ("mpl-2.0", 1.0)
+    for i, t in rows:  # every label and the score from the words alone
+        w = ALNUM.findall((t or "").translate(LOWER))
+        shares = {}
+        for x in licenses.TEMPLATES:
+            a, b = x.key
+            for k in range(len(w) - (b - a) + 1):
+                if tuple(w[k : k + b - a]) == x.words[a:b]:
+                    share = sum(0 <= k - a + j < len(w) and w[k - a + j] == y for j, y in enumerate(x.words)) / len(x.words)
+                    if share >= licenses.SHARE:
+                        shares[x.label] = max(share, shares.get(x.label, 0))
+        assert labels[i] == (",".join(sorted(shares)), pytest.approx(max(shares.values(), default=0.0)))
     assert labels[9][0] == "mit-text" and 0.6 <= labels[9][1] < 1
     assert labels[4] == labels[10] == ("", 0.0)
     assert not re.search("Python|Pandas|Arrow", licenses.op6(frame(spark, rows))._jdf.queryExecution().toString())
@@ -423,20 +437,31 @@ def test_licences(spark):
 # --- WARC
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, tmp_path):
     long = "<p>" + "ü" * 200
     pages = [(k, f"https://a.example/{k}", f"<html><body>{'text ' * (k % 7)}{k}</body></html>") for k in range(40)]
     pages += [(50, "https://a.example/x y\n", long), (51, None, long), (49, "u", long), (60, "u", None), (61, "u", ""), (62, "u", "short"), (63, "u", "short"), (49, "u", long), (None, "u", long)]
     df = spark.createDataFrame([(*p, "extra", "x") for p in pages], "page_id long, url string, html string, first string, digest string")
     payload = lambda h: (h or "").encode()
-    want = []
+    want, seen = [], set()
     for i, _, h in pages:
         same = [j for j, _, x in pages if j is not None and payload(x) == payload(h)]
-        revisit = len(payload(h)) >= 100 and i != min(same)
+        revisit = len(payload(h)) >= 100 and bool(same) and (i != min(same) or (i, h) in seen)
+        seen.add((i, h))
         want.append((i, len(payload(h)), hashlib.sha256(payload(h)).hexdigest(), "revisit" if revisit else "response", min(same) if revisit else None))
+    assert sum(w[3] == "revisit" for w in want) == 4
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     assert rows_of(warc.op7(df), *columns) == sorted(want, key=repr)
     assert warc.op7(df.limit(0)).count() == 0
+    folder = f"file://{tmp_path}/pages"
+    back = warc.read(warc.write(df, folder), folder).collect()
+    assert len({r["record_id"] for r in back}) == len(back) == len(pages)
+    assert sorted((bytes(r["payload"]) for r in back if r["payload"] is not None), key=repr) == sorted((payload(h) for (_, _, h), w in zip(pages, want, strict=True) if w[3] == "response"), key=repr)
+
+
+def test_warc_of_pages_without_ids(spark):
+    df = spark.createDataFrame([(None, "a", "x" * 200), (None, "b", "x" * 200)], "page_id long, url string, html string")
+    assert rows_of(warc.op7(df), "page_id", "record_type", "refers_to") == [(None, "response", None)] * 2
 
 
 def test_warc_file(spark, tmp_path):
@@ -459,23 +484,46 @@ def test_warc_file(spark, tmp_path):
 # --- top k
 
 
-def test_top_k_is_brute_force(spark):
-    r = np.random.default_rng(8)
-    vectors = [(int(k), [float(x) for x in v]) for k, v in enumerate(np.round(r.normal(size=(300, 6)), 1))]
-    vectors += [(1000 + k, vectors[0][1]) for k in range(30)] + [(2000, None), (2020, [float("nan")] * 6), (2040, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2060, [float("inf")] * 6), (20, vectors[20][1]), (None, vectors[1][1])]
-    df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<double>, pivot int, shard int")
+def best_of(vectors):
+    """Of unique ids: the 20 best of each query by all products."""
     fine = {i: np.floor(64 * np.array(v)).astype(int) for i, v in vectors if i is not None and v is not None and None not in v and np.isfinite(v).all()}
     want = []
     for q, v in fine.items():
         if q % 20 == 0:
             best = sorted((-int(v @ w), i) for i, w in fine.items() if i != q)[:20]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert rows_of(mtree.op4(df), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+    return sorted(want, key=repr)
+
+
+def test_top_k_is_brute_force(spark):
+    r = np.random.default_rng(8)
+    vectors = [(int(k), [float(x) for x in v]) for k, v in enumerate(np.round(r.normal(size=(300, 6)), 1))]
+    vectors += [(1000 + k, vectors[0][1]) for k in range(30)] + [(2000, None), (2020, [float("nan")] * 6), (2040, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2060, [float("inf")] * 6), (20, vectors[20][1]), (None, vectors[1][1])]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<double>, pivot int, shard int")
+    assert rows_of(mtree.op4(df), "query_id", "rank", "vec_id", "score") == best_of(vectors)
     few = df.where("vec_id in (20, 40, 41)")
     assert mtree.op4(few).count() == 4
     assert mtree.op4(df.limit(0)).count() == 0
 
 
+def test_top_k_of_an_id_with_two_vectors(spark):
+    vectors = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [2.0, 0.0]), (2, [0.7, 0.7]), (20, [1.0, 0.0]), (20, [0.0, 1.0]), (21, [])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert rows_of(mtree.op4(df), "query_id", "rank", "vec_id", "score") == best_of([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.7, 0.7]), (20, [0.0, 1.0]), (21, [0.0, 0.0])])
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_top_k_over_many_shards(spark, clustered):
+    """Dozens of pivots, shards, rounds and copies of trees."""
+    r = np.random.default_rng(9)
+    points = r.normal(size=(40, 8))[r.integers(0, 40, 1500)] * 3 + r.normal(size=(1500, 8)) * 0.05 if clustered else r.normal(size=(1500, 8))
+    points[700:900] = points[700]  # one vector that many ids share
+    vectors = [(k, [float(x) for x in v]) for k, v in enumerate(points)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = mtree.top_k(df, F.col("vec_id") % 20 == 0, pivots=24, per_pivot=10, shard=40, asked=16)
+    assert rows_of(got, "query_id", "rank", "vec_id", "score") == best_of(vectors)
+
+
 # --- classifiers
 
 
