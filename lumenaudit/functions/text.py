@@ -30,7 +30,8 @@ def fold(c: Column) -> Column:
 
 def mentioned(text: Column, brand: Column) -> Column:
     """Folded brand within folded text, no word character on either side. False for null or empty."""
-    pattern = F.concat(F.lit(r"(?U)(?<!\w)\Q"), brand, F.lit(r"\E(?!\w)"))
+    quoted = F.replace(brand, F.lit(r"\E"), F.lit(r"\E\\E\Q"))  # a brand may hold the mark that ends a quotation
+    pattern = F.concat(F.lit(r"(?U)(?<!\w)\Q"), quoted, F.lit(r"\E(?!\w)"))
     return F.coalesce((F.trim(brand) != "") & F.regexp_like(text, pattern), F.lit(False))
 
 

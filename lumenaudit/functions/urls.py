@@ -10,16 +10,52 @@ from pyspark.sql import functions as F
 DEFAULT_PORTS = {"http": "80", "https": "443"}
 # Second-level suffixes below which a registrable domain has three labels.
 COMPOUND_SUFFIXES = (
-    *("ac.jp co.jp go.jp ne.jp or.jp".split()),
-    *("ac.uk co.uk gov.uk ltd.uk me.uk org.uk plc.uk".split()),
-    *("co.in firm.in gen.in net.in org.in".split()),
-    *("co.kr or.kr".split()),
-    *("co.nz govt.nz net.nz org.nz".split()),
-    *("co.za gov.za org.za".split()),
-    *("com.ar com.hk com.mx com.sg com.tr com.tw".split()),
-    *("com.au edu.au gov.au id.au net.au org.au".split()),
-    *("com.br gov.br net.br org.br".split()),
-    *("com.cn gov.cn net.cn org.cn".split()),
+    "ac.jp",
+    "ac.uk",
+    "co.in",
+    "co.jp",
+    "co.kr",
+    "co.nz",
+    "co.uk",
+    "co.za",
+    "com.ar",
+    "com.au",
+    "com.br",
+    "com.cn",
+    "com.hk",
+    "com.mx",
+    "com.sg",
+    "com.tr",
+    "com.tw",
+    "edu.au",
+    "firm.in",
+    "gen.in",
+    "go.jp",
+    "gov.au",
+    "gov.br",
+    "gov.cn",
+    "gov.uk",
+    "gov.za",
+    "govt.nz",
+    "id.au",
+    "ltd.uk",
+    "me.uk",
+    "ne.jp",
+    "net.au",
+    "net.br",
+    "net.cn",
+    "net.in",
+    "net.nz",
+    "or.jp",
+    "or.kr",
+    "org.au",
+    "org.br",
+    "org.cn",
+    "org.in",
+    "org.nz",
+    "org.uk",
+    "org.za",
+    "plc.uk",
 )
 
 

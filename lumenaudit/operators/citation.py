@@ -94,6 +94,18 @@ def answered(asked: DataFrame, responses: DataFrame) -> DataFrame:
     return responses.join(asked.select("audit_id", "prompt_id", "engine", "repetition"), ["audit_id", "prompt_id", "engine", "repetition"], "left_semi")
 
 
+def tracking(prompts: DataFrame, engines: list[str], repetitions: int, responses: DataFrame, targets: DataFrame) -> DataFrame:
+    """Citation metrics of a tracking run: what its cells got for an answer; an audit whose every cell failed has no row."""
+    return citation_metrics(answered(cells(prompts, engines, repetitions), responses), targets)
+
+
+def dry_runs(prompts: DataFrame, engines: list[str], repetitions: int) -> DataFrame:
+    """(audit_id, prompt_count, call_volume, total_usd): what a run would ask and cost, without asking; prompts(audit_id, text)."""
+    counts = prompts.groupBy("audit_id").agg(F.count("*").alias("prompt_count"))
+    runs = counts.select(C("audit_id").alias("run_id"), F.array(*map(F.lit, engines)).cast("array<string>").alias("engines"), C("prompt_count").alias("prompts"), F.lit(repetitions).alias("repetitions"))
+    return counts.join(run_costs(runs).select(C("run_id").alias("audit_id"), C("calls").alias("call_volume"), "total_usd"), "audit_id")
+
+
 def run_costs(runs: DataFrame, prices: dict[str, tuple[float, float, float]] = PRICES, tokens_in: int = TOKENS_IN, tokens_out: int = TOKENS_OUT) -> DataFrame:
     """runs(run_id, engines, prompts, repetitions): calls and cost; an engine without a price costs nothing, but calls."""
     unit = F.create_map(*(F.lit(x) for e, (i, o, f) in sorted(prices.items()) for x in (e, float(tokens_in / 1e6 * i + tokens_out / 1e6 * o + f))))

@@ -47,9 +47,17 @@ def allowed_modes(kind: Column) -> Column:
     return F.when(kind.isin("exact", "compatible"), of(*MODES)).when(kind == "intersection", of(*MODES[1:])).otherwise(of(MODES[2]))
 
 
-def pairs_of(results: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
-    """A side's results under the pair's id; pairs(pair_id, left_id, right_id)."""
-    return results.join(pairs.select("pair_id", C(f"{side}_id").alias("audit_id")), "audit_id").drop("audit_id")
+def sided(results: DataFrame, pairs: DataFrame, common_only: bool = False) -> DataFrame:
+    """Results of both sides under (pair_id, side); pairs(pair_id, left_id, right_id). The results are read once.
+
+    common_only: of rules that both sides measured.
+    """
+    ends = pairs.select("pair_id", F.explode(F.array(F.struct(F.lit("left").alias("side"), C("left_id").alias("audit_id")), F.struct(F.lit("right").alias("side"), C("right_id").alias("audit_id")))).alias("e")).select("pair_id", "e.*")
+    rows = ends.join(results, "audit_id").drop("audit_id")
+    if not common_only:
+        return rows
+    both = F.count_if(is_measured()).over(Window.partitionBy("pair_id", "key"))
+    return rows.withColumn("both", both).where("both = 2").drop("both")
 
 
 def criterion_deltas(results: DataFrame, pairs: DataFrame, common_only: bool = False) -> DataFrame:
@@ -58,45 +66,40 @@ def criterion_deltas(results: DataFrame, pairs: DataFrame, common_only: bool = F
     A rule that one side lacks has no delta; a rule that wasn't measured still carries its zero. common_only: rules that
     both sides measured.
     """
-    side = lambda s: pairs_of(results, pairs, s).select("pair_id", "key", C("score").alias(f"{s}_score"), C("status").alias(f"{s}_status"), is_measured().alias(f"{s}_measured"))
-    both = side("left").join(side("right"), ["pair_id", "key"], "full")
-    if common_only:
-        both = both.where("left_measured and right_measured")
+    of = lambda c: [F.max(F.when(C("side") == s, C(c))).alias(f"{s}_{c}") for s in ("left", "right")]
+    both = sided(results, pairs, common_only).groupBy("pair_id", "key").agg(*of("score"), *of("status"))
     return both.select("pair_id", "key", "left_score", "right_score", F.bround(C("right_score") - C("left_score"), 2).alias("delta"), "left_status", "right_status")
 
 
-def common_keys(results: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(pair_id, key): rules that both sides measured."""
-    side = lambda s: pairs_of(results.where(is_measured()), pairs, s).select("pair_id", "key")
-    return side("left").intersect(side("right"))
-
-
-def _side(results: DataFrame, pairs: DataFrame, side: str, keys: DataFrame | None, weights: dict[str, float] | None) -> DataFrame:
-    """A side's global score and pillar scores, per pair."""
-    rows = pairs_of(results, pairs, side)
-    rows = rows if keys is None else rows.join(keys, ["pair_id", "key"], "left_semi")
-    return scorecards(rows.withColumnRenamed("pair_id", "audit_id"), weights).select(C("audit_id").alias("pair_id"), C("score").alias(f"{side}_global"), C("scores").alias(f"{side}_scores"))
-
-
 def compare(results: DataFrame, pairs: DataFrame, recompute: bool, weights: dict[str, float] | None = None, deltas: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(totals, pillars, criteria) of many pairs at once.
 
     recompute: both sides are scored again over the rules that both measured (intersection mode). deltas=False puts the
-    scores side by side only (descriptive mode over incompatible profiles) and returns no criteria.
+    scores side by side only (descriptive mode over incompatible profiles) and returns no criteria. Both sides of all
+    pairs are scored in one grouping.
     """
     weights = PILLAR_WEIGHTS if weights is None else weights
-    keys = common_keys(results, pairs) if recompute else None
+    scored = scorecards(sided(results, pairs, recompute).withColumn("audit_id", F.struct("pair_id", "side")), weights)
+    of = lambda s, c: F.max_by(c, F.when(C("audit_id.side") == s, 1)).alias(f"{s}_{c}")
+    wide = scored.groupBy(C("audit_id.pair_id").alias("pair_id")).agg(*(F.max(F.when(C("audit_id.side") == s, C("score"))).alias(f"{s}_global") for s in ("left", "right")), of("left", "scores"), of("right", "scores"))
     # A pair without common rules has no rows to score; it is compared at zero.
-    both = pairs.select("pair_id").join(_side(results, pairs, "left", keys, weights), "pair_id", "left").join(_side(results, pairs, "right", keys, weights), "pair_id", "left").fillna(0.0, ["left_global", "right_global"])
+    both = pairs.select("pair_id").join(wide, "pair_id", "left").fillna(0.0, ["left_global", "right_global"])
     delta = lambda a, b: (F.bround(b - a, 2) if deltas else F.lit(None).cast("double"))
     totals = both.select("pair_id", "left_global", "right_global", delta(C("left_global"), C("right_global")).alias("global_delta"), F.lit(recompute).alias("recomputed"))
-    of = lambda side, k: F.coalesce(F.get(f"{side}_scores", F.lit(k))["score"], F.lit(0.0))
-    each = F.explode(F.array(*(F.struct(F.lit(p).alias("pillar"), of("left", k).alias("left_score"), of("right", k).alias("right_score")) for k, p in enumerate(PILLARS))))
+    side = lambda s, k: F.coalesce(F.get(f"{s}_scores", F.lit(k))["score"], F.lit(0.0))
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("pillar"), side("left", k).alias("left_score"), side("right", k).alias("right_score")) for k, p in enumerate(PILLARS))))
     pillars = both.select("pair_id", each.alias("p")).select("pair_id", "p.*", delta(C("p.left_score"), C("p.right_score")).alias("delta"))
     criteria = criterion_deltas(results, pairs, recompute)
     return totals, pillars, criteria if deltas else criteria.limit(0)
 
 
+def gates(audits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair_id, comparability, differences, allowed_modes): what may be asked of each pair; audits(audit_id, measurement_profile)."""
+    side = lambda s: audits.select(C("audit_id").alias(f"{s}_id"), C("measurement_profile").alias(s))
+    both = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
+    return both.select("pair_id", comparability("left", "right").alias("comparability"), differences("left", "right").alias("differences"), allowed_modes(comparability("left", "right")).alias("allowed_modes"))
+
+
 def compare_scorecards(results: DataFrame, audits: DataFrame, left_id: str, right_id: str, mode: str = "strict") -> dict[str, object]:
     """Two audits (rows of audits: audit_id, measurement_profile) under a mode; raises NotComparable if it asks too much."""
     pair = audits.where(C("audit_id") == left_id).select(C("measurement_profile").alias("l")).crossJoin(audits.where(C("audit_id") == right_id).select(C("measurement_profile").alias("r")))

@@ -27,15 +27,61 @@ INTENTS = {
     "news": (0.05, 0.60),
 }
 STOP_WORDS = (
-    "and are aux avec avoir can celle celui cette chez comme dans des deux elle entre etre fait for from les leur leurs "
-    "notre nous our plus pour sans sont sur that the this tous tout toute une votre vous was will with you your"
-).split()
+    "and",
+    "are",
+    "aux",
+    "avec",
+    "avoir",
+    "can",
+    "celle",
+    "celui",
+    "cette",
+    "chez",
+    "comme",
+    "dans",
+    "des",
+    "deux",
+    "elle",
+    "entre",
+    "etre",
+    "fait",
+    "for",
+    "from",
+    "les",
+    "leur",
+    "leurs",
+    "notre",
+    "nous",
+    "our",
+    "plus",
+    "pour",
+    "sans",
+    "sont",
+    "sur",
+    "that",
+    "the",
+    "this",
+    "tous",
+    "tout",
+    "toute",
+    "une",
+    "votre",
+    "vous",
+    "was",
+    "will",
+    "with",
+    "you",
+    "your",
+)
 CONTENT = {
     "ecommerce": ("AggregateOffer", "Offer", "Product"),
     "software": ("SoftwareApplication", "WebApplication"),
     "editorial": ("Article", "BlogPosting", "NewsArticle"),
     "knowledge_base": ("DefinedTerm", "FAQPage", "HowTo"),
 }
+# What a topic's word and an entity are.
+TOPIC = "[a-zà-ÿ0-9]+"
+ENTITY = r"[A-ZÀ-Ý][A-Za-zà-ÿ0-9-]+(?:\s+[A-ZÀ-Ý][A-Za-zà-ÿ0-9-]+)*"
 #: Wording of a prompt by intent; {x} is a topic, {x} and {y} two subjects.
 WORDING = {
     "definitional": "What does {x} mean?",
@@ -76,7 +122,7 @@ def _top(terms: DataFrame, n: int) -> DataFrame:
 
 def topics(pages: DataFrame, known: DataFrame, top: int = TOPICS) -> DataFrame:
     """(audit_id, term, n, rank): words of four letters or more that are no stop word and not of the brand."""
-    words = _texts(pages).select("audit_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ0-9]+"), F.lit(0))).alias("term")).where((F.length("term") >= 4) & ~C("term").isin(STOP_WORDS))
+    words = _texts(pages).select("audit_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TOPIC), F.lit(0))).alias("term")).where((F.length("term") >= 4) & ~C("term").isin(*STOP_WORDS))
     # Counted before the brand filter, so that folding, the one Python step, sees each term once.
     counted = words.groupBy("audit_id", "term").agg(F.count("*").alias("n"))
     fair = counted.withColumn("f", fold(C("term"))).join(known.select("audit_id", "words"), "audit_id", "left").where(~F.coalesce(F.array_contains("words", C("f")), F.lit(False)))
@@ -86,7 +132,7 @@ def topics(pages: DataFrame, known: DataFrame, top: int = TOPICS) -> DataFrame:
 
 def entities(pages: DataFrame, known: DataFrame, top: int = ENTITIES) -> DataFrame:
     """(audit_id, term, n, rank): runs of capitalised words that share no word with the brand."""
-    found = _texts(pages).select("audit_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-ZÀ-Ý][A-Za-zà-ÿ0-9-]+(?:\s+[A-ZÀ-Ý][A-Za-zà-ÿ0-9-]+)*"), F.lit(0))).alias("term")).where(F.length("term") >= 3)
+    found = _texts(pages).select("audit_id", F.explode(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).alias("term")).where(F.length("term") >= 3)
     counted = found.groupBy("audit_id", "term").agg(F.count("*").alias("n")).withColumn("f", F.split(fold(C("term")), r"(?U)\s+"))
     fair = counted.join(known.select("audit_id", "words"), "audit_id", "left").where(~F.coalesce(F.arrays_overlap("words", "f"), F.lit(False)))
     order = Window.partitionBy("audit_id").orderBy(F.desc("n"), "term")
@@ -140,3 +186,20 @@ def balanced(pool: DataFrame, target: int = TARGET) -> DataFrame:
 
 def prompt_set(pages: DataFrame, domains: DataFrame, target: int = TARGET) -> DataFrame:
     return balanced(candidates(pages, domains), target)
+
+
+#: A set for a site of which only the name is known: intent, quality and wording; {d} is the domain, {b} the brand.
+MINIMAL = (
+    ("definitional", 0.8, "What does {d} do?"),
+    ("definitional", 0.7, "Who is behind {b}?"),
+    ("recommendation", 0.7, "Would you recommend {b}?"),
+    ("explanatory", 0.7, "How is {b} used?"),
+    ("comparative", 0.6, "What could one use instead of {b}?"),
+)
+
+
+def minimal_set(domains: DataFrame) -> DataFrame:
+    """(audit_id, place, intent, text, quality) from domains(audit_id, domain, brand); a null or empty brand is the domain."""
+    brand = F.coalesce(F.nullif(F.trim("brand"), F.lit("")), "domain")
+    each = F.explode(F.array(*(F.struct(F.lit(k + 1).alias("place"), F.lit(i).alias("intent"), F.replace(F.replace(F.lit(t), F.lit("{d}"), C("domain")), F.lit("{b}"), brand).alias("text"), F.lit(q).alias("quality")) for k, (i, q, t) in enumerate(MINIMAL))))
+    return domains.select("audit_id", each.alias("p")).select("audit_id", "p.*")

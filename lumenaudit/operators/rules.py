@@ -37,7 +37,7 @@ OG_REQUIRED = ("og:title", "og:description", "og:image", "og:url", "og:type")
 TWITTER_WANTED = ("twitter:card", "twitter:title", "twitter:description", "twitter:image")
 EXECUTABLE_ACTIONS = ("BuyAction", "OrderAction", "RegisterAction", "ReserveAction", "SubscribeAction")
 ABOUT_HINTS = ("about", "equipe", "mentions", "notre-histoire", "propos", "qui sommes", "qui-sommes", "team", "équipe")
-COMPARE_HINTS = ("/compare/",)
+COMPARE_HINTS = ("/compare/", "/compare-models")
 #: Pages that a rule names as evidence, at most; unsourced content pages have a longer list.
 SAMPLE, UNSOURCED = 10, 30
 
@@ -180,7 +180,7 @@ def site_rules(thresholds: dict) -> list[Rule]:
         Rule("aeo.about_page", 1.0, ("aeo",), flag("about"), pages, {"about": _any(has(ABOUT_HINTS, haystack))}),
         Rule("aeo.defined_terms", 1.0, ("aeo",), flag("defined"), pages, {"defined": _any(_typed("DefinedTerm") | (C("definition_lists_count") > 0))}),
         Rule("aeo.dates_structured", 1.0, ("aeo", "geo"), flag("dated"), pages, {"dated": _any(C("has_structured_dates"))}),
-        Rule("aeo.comparison_tables", 0.8, ("aeo",), flag("tabled"), pages, {"tabled": _any(C("tables_count") > 0), "bare_comparisons": F.count_if(has(COMPARE_HINTS, F.lower("url")) & (C("tables_count") == 0))}),
+        Rule("aeo.comparison_tables", 0.8, ("aeo",), flag("tabled"), pages, {"tabled": _any(C("tables_count") > 0), "bare_comparisons": F.count_if(has(COMPARE_HINTS, C("url")) & (C("tables_count") == 0))}),
         Rule("aeo.answer_directness", 1.0, ("aeo", "gso"), of_pages("direct"), pages, {"direct": F.count_if(C("lead_paragraph_words") >= 20)}),
         Rule("aso.mcp_readiness", 1.8, ("aso",), F.when(C("tooling"), 100.0).when(C("partial_tooling"), 50.0).otherwise(0.0), pages, {"tooling": _any(C("aso.webmcp.has_register_tool") | C("aso.webmcp.has_tool_attributes")), "partial_tooling": _any(C("aso.webmcp.partial_signals"))}, tier="experimental"),
         Rule("aso.potential_actions", 1.6, ("aso",), F.when(C("executable"), 100.0).when(C("acting"), 50.0).otherwise(0.0), pages, {"executable": _any(F.arrays_overlap(actions, F.array(*map(F.lit, EXECUTABLE_ACTIONS)))), "acting": _any(F.size(actions) > 0)}, tier="experimental"),

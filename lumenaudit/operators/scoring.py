@@ -11,24 +11,56 @@ C = F.col
 # Default pillar weights, and the effort of fixing a rule where it isn't 2.
 PILLAR_WEIGHTS = {"seo": 0.30, "geo": 0.22, "gso": 0.18, "aeo": 0.15, "aso": 0.15}
 EFFORT = {
-    1: (
-        "aeo.about_page aeo.author_credentials aeo.dates_structured aeo.defined_terms "
-        "aso.action_schema aso.agent_access aso.ai_discovery aso.openapi aso.potential_actions "
-        "crawl.redirects crawl.sitemap geo.authors geo.freshness geo.primary_sources "
-        "gso.breadcrumb gso.faqpage gso.howto gso.itemlist gso.qa_format "
-        "i18n.hreflang img.alt img.svg_alt links.internal "
-        "meta.canonical meta.description meta.robots meta.title meta.title_unique "
-        "og.complete struct.h1 struct.hierarchy struct.schema twitter.cards"
-    ).split(),
-    3: (
-        "aeo.llm_citation aso.mcp_readiness aso.nlweb authority.backlinks authority.opr "
-        "geo.citation_confidence geo.citation_rate geo.mention_rate geo.ssr gso.cwv_eligible "
-        "perf.cls perf.inp perf.lcp perf.lighthouse"
-    ).split(),
+    "aeo.about_page": 1,
+    "aeo.author_credentials": 1,
+    "aeo.dates_structured": 1,
+    "aeo.defined_terms": 1,
+    "aeo.llm_citation": 3,
+    "aso.action_schema": 1,
+    "aso.agent_access": 1,
+    "aso.ai_discovery": 1,
+    "aso.mcp_readiness": 3,
+    "aso.nlweb": 3,
+    "aso.openapi": 1,
+    "aso.potential_actions": 1,
+    "authority.backlinks": 3,
+    "authority.opr": 3,
+    "crawl.redirects": 1,
+    "crawl.sitemap": 1,
+    "geo.authors": 1,
+    "geo.citation_confidence": 3,
+    "geo.citation_rate": 3,
+    "geo.freshness": 1,
+    "geo.mention_rate": 3,
+    "geo.primary_sources": 1,
+    "geo.ssr": 3,
+    "gso.breadcrumb": 1,
+    "gso.cwv_eligible": 3,
+    "gso.faqpage": 1,
+    "gso.howto": 1,
+    "gso.itemlist": 1,
+    "gso.qa_format": 1,
+    "i18n.hreflang": 1,
+    "img.alt": 1,
+    "img.svg_alt": 1,
+    "links.internal": 1,
+    "meta.canonical": 1,
+    "meta.description": 1,
+    "meta.robots": 1,
+    "meta.title": 1,
+    "meta.title_unique": 1,
+    "og.complete": 1,
+    "perf.cls": 3,
+    "perf.inp": 3,
+    "perf.lcp": 3,
+    "perf.lighthouse": 3,
+    "struct.h1": 1,
+    "struct.hierarchy": 1,
+    "struct.schema": 1,
+    "twitter.cards": 1,
 }
 
 
-
 def is_measured() -> Column:
     return C("status").isin("ok", "warning", "critical")
 
@@ -142,7 +174,8 @@ def issues(results: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
 
     (audit_id, rank, key, severity, impact, effort, priority, bucket[, affected_pages]). evidence: (audit_id, key, urls).
     """
-    effort = F.when(C("key").isin(EFFORT[1]), 1).when(C("key").isin(EFFORT[3]), 3).otherwise(2)
+    of = lambda n: [k for k, e in EFFORT.items() if e == n]
+    effort = F.when(C("key").isin(of(1)), 1).when(C("key").isin(of(3)), 3).otherwise(2)
     impact = F.when(C("weight") < 1.0, 1).when(C("weight") < 1.8, 2).otherwise(3)
     severity = F.when(C("status") == "critical", 2).otherwise(1)
     open_ = results.where(C("status").isin("warning", "critical") & (C("evidence_tier") == "standard"))

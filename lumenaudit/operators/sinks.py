@@ -6,7 +6,7 @@ import html
 import json
 from hashlib import sha256
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .rules import catalog
@@ -15,6 +15,7 @@ from .scoring import issues, pillar_scores, report
 C = F.col
 # Extension of an artifact by type.
 EXTENSIONS = {"html_raw": "html.gz", "html_rendered": "html.gz", "report_json": "json", "report_markdown": "md", "report_html": "html", "report_pdf": "pdf", "screenshot": "png"}
+REPORT_TABLES = ("audits", "results", "pillars", "issues", "readiness", "signals")
 CSV_COLUMNS = ("url", "http", "render", "words", "js_delta", "alt_missing", "alt_total", "svg_unnamed", "svg_total", "forms_usable", "forms_total")
 
 
@@ -36,24 +37,86 @@ def active_connectors() -> Column:
     return F.array_sort(F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in asked.items())), lambda x: x.isNotNull()))
 
 
-def object_key(project: Column, run: Column, kind: Column, content: Column) -> Column:
-    """Content-addressed key, null where project or run isn't a plain path segment."""
+def object_key(project: Column, run: Column, kind: Column, digest: Column) -> Column:
+    """Content-addressed key from the content's SHA-256, null where project or run isn't a plain path segment."""
     plain = lambda c: (F.trim(c) != "") & ~c.rlike(r"[/\\]|\.\.")
     ext = F.element_at(F.create_map(*(F.lit(x) for kv in EXTENSIONS.items() for x in kv)), kind)
-    return F.when(plain(project) & plain(run), F.concat_ws("/", F.lit("projects"), F.trim(project), F.lit("runs"), F.trim(run), kind, F.concat(F.sha2(content.cast("binary"), 256), F.lit("."), ext)))
+    return F.when(plain(project) & plain(run), F.concat_ws("/", F.lit("projects"), F.trim(project), F.lit("runs"), F.trim(run), kind, F.concat(digest, F.lit("."), ext)))
+
+
+def _keyed(contents: DataFrame) -> DataFrame:
+    hashed = contents.withColumn("sha256", F.sha2(C("content").cast("binary"), 256))
+    return hashed.withColumn("object_key", object_key(C("project_id"), C("run_id"), C("type"), C("sha256"))).where("object_key is not null")
 
 
 def artifacts(contents: DataFrame) -> DataFrame:
-    """contents(project_id, run_id, type, content) to one row per key; equal contents are one artifact."""
-    keyed = contents.withColumn("object_key", object_key(C("project_id"), C("run_id"), C("type"), C("content"))).where("object_key is not null")
-    return keyed.groupBy("object_key").agg(F.first("type").alias("type"), F.sha2(F.first(C("content").cast("binary")), 256).alias("sha256"), F.first(F.octet_length("content")).cast("bigint").alias("bytes"))
+    """contents(project_id, run_id, type, content) to one row per key; equal contents are one artifact. Contents are
+    hashed where they are read; only keys, digests and sizes are grouped."""
+    return _keyed(contents).select("object_key", "type", "sha256", F.octet_length("content").cast("bigint").alias("bytes")).groupBy("object_key").agg(F.first("type").alias("type"), F.first("sha256").alias("sha256"), F.first("bytes").alias("bytes"))
+
+
+def put_artifacts(contents: DataFrame, path: str) -> None:
+    """Stores contents under their keys, as a Parquet table by project and run; those that are there already aren't written again."""
+    spark = contents.sparkSession
+    new = _keyed(contents).select(F.trim("project_id").alias("project_id"), F.trim("run_id").alias("run_id"), "object_key", "type", "sha256", C("content").cast("binary").alias("content"))
+    if _exists(spark, path):
+        new = new.join(spark.read.parquet(path).select("object_key"), "object_key", "left_anti")
+    new.dropDuplicates(["object_key"]).write.mode("append").partitionBy("project_id", "run_id").parquet(path)
+
+
+def get_artifacts(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """(object_key, type, sha256, content) of the keys that are there; a content that doesn't have its digest is an error."""
+    found = spark.read.parquet(path).join(keys.select("object_key").distinct(), "object_key", "left_semi")
+    fine = F.when(F.sha2("content", 256) == C("sha256"), C("content")).otherwise(F.raise_error(F.concat(F.lit("content and digest differ: "), "object_key")))
+    return found.select("object_key", "type", "sha256", fine.alias("content"))
+
+
+def artifacts_exist(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """keys(object_key) with `exists`."""
+    there = spark.read.parquet(path).select("object_key", F.lit(True).alias("exists"))
+    return keys.join(there, "object_key", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
 
+def save_report(tables: dict[str, DataFrame], path: str, run: str) -> None:
+    """Saves a run's tables (audits, results, pillars, issues, readiness, signals), all audits of the run together, below the path.
 
-def save_tables(tables: dict[str, DataFrame], path: str, partition: str | None = None, mode: str = "append") -> None:
-    """Each table as Parquet below the path, all of its columns (pages too, so that they can be scored again)."""
+    Saving a run again replaces what it saved, so a rerun doubles nothing. Pages are saved with all their columns, so
+    that they can be scored again.
+    """
     for name, df in tables.items():
-        w = df.write.mode(mode)
-        (w.partitionBy(partition) if partition and partition in df.columns else w).parquet(f"{path.rstrip('/')}/{name}")
+        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}/run={run}")
+
+
+def load_tables(spark: SparkSession, path: str, audits: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What `save_report` saved, of all audits or of those of audits(audit_id); of an audit that several runs have the last, by the run's name."""
+    base = path.rstrip("/")
+    every = {n: spark.read.option("mergeSchema", True).parquet(f"{base}/{n}").withColumn("run", C("run").cast("string")) for n in REPORT_TABLES if _exists(spark, f"{base}/{n}")}
+    last = every["audits"].groupBy("audit_id").agg(F.max("run").alias("run"))
+    last = last if audits is None else last.join(audits.select("audit_id").distinct(), "audit_id", "left_semi")
+    return {n: df.join(last, ["audit_id", "run"], "left_semi").drop("run") for n, df in every.items()}
+
+
+def load_report(spark: SparkSession, path: str, audits: DataFrame | None = None) -> DataFrame:
+    """(audit_id, document): reports of saved audits as JSON, from the rows as they were saved: scores, pillars, rules by
+    key, issues by priority, readiness."""
+    t = load_tables(spark, path, audits)
+    listed = lambda df, order, *cols: df.groupBy("audit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.struct(*cols).alias("x")))), lambda r: r["x"]).alias("rows"))
+    parts = {
+        "criteria": listed(t["results"], F.struct("key"), "key", "pillars", "score", "status", "weight", "evidence_tier"),
+        "pillar_scores": listed(t["pillars"], F.struct("pillar"), "pillar", "score", "coverage", "measured", "excluded", "not_applicable"),
+        "issues": listed(t["issues"], F.struct(-C("priority"), "key"), *(c for c in t["issues"].columns if c not in ("audit_id", "rank"))),
+    }
+    whole = t["audits"]
+    for name, rows in parts.items():
+        whole = whole.join(rows.withColumnRenamed("rows", name), "audit_id", "left")
+    if "readiness" in t:
+        whole = whole.join(t["readiness"].select("audit_id", F.struct(*(c for c in t["readiness"].columns if c != "audit_id")).alias("aso_readiness")), "audit_id", "left")
+    return whole.select("audit_id", F.to_json(F.struct(*whole.columns)).alias("document"))
 
 
 def new_domains(hosts: DataFrame, known: DataFrame) -> DataFrame:
@@ -113,8 +176,8 @@ def page_view(signals: DataFrame) -> DataFrame:
 
 
 def write_csv(view: DataFrame, path: str) -> None:
-    """All cells quoted, nulls empty."""
-    cells = [F.coalesce(C(c).cast("string"), F.lit("")).alias(c) for c in CSV_COLUMNS]
+    """All cells quoted, nulls empty. Spreadsheets take the first column's byte order mark as UTF-8."""
+    cells = [F.coalesce(C(c).cast("string"), F.lit("")).alias(("\ufeff" if c == CSV_COLUMNS[0] else "") + c) for c in CSV_COLUMNS]
     view.select(*cells).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import inputs_sql
 from . import rules_sql as r
 from ..operators.prompts import STOP_WORDS
 from ..operators.scoring import EFFORT
@@ -13,7 +14,7 @@ TITLE = "replace(replace(replace(replace(trim(regexp_extract(html, '(?is)<title[
 DOMAIN = "array_to_string(string_split(regexp_replace({}, '^www\\.', ''), '.')[-2:], '.')"
 #: Captures of the page table: one per URL.
 CAPTURES = f"caps AS (SELECT {HOST} AS audit_id, * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM pages) WHERE rn = 1)"
-PAIRS = "pairs AS (SELECT 'p' || s AS pair_id, 'site' || s AS left_id, 'site' || (s + 1) AS right_id FROM sites WHERE s % 2 = 0 AND s < 96)"
+PAIRS = "pairs AS (SELECT 'p' || s AS pair_id, 'site' || s AS left_id, 'site' || ((s + 1) % 97) AS right_id FROM sites)"
 HISTORY = "hist AS (SELECT 'h' || o_custkey AS host, lpad(o_orderkey::VARCHAR, 12, '0') AS audit_id, o_orderdate AS started_at, o_totalprice AS score_global FROM orders)"
 
 
@@ -37,10 +38,17 @@ d AS (
 
 
 def _effort() -> str:
-    listed = lambda n: ", ".join(f"'{k}'" for k in EFFORT[n])
+    listed = lambda n: ", ".join(f"'{k}'" for k, e in EFFORT.items() if e == n)
     return f"CASE WHEN key IN ({listed(1)}) THEN 1 WHEN key IN ({listed(3)}) THEN 3 ELSE 2 END"
 
 
+def _page_scores() -> str:
+    """(audit_id, url, key, score) of the rules that score single pages: what their mean is taken of."""
+    single = [k for k, (_, _, e) in r.PAGES.items() if e.startswith("round_even(avg(") and k not in ("i18n.hreflang", "geo.ssr", "geo.noise_ratio", "geo.entity_density")]
+    inner = lambda k: r.PAGES[k][2].removeprefix("round_even(avg(").removesuffix("), 2)")
+    return " UNION ALL ".join(f"SELECT audit_id, url, '{k}' AS key, {inner(k)} AS score FROM p" for k in single)
+
+
 def oracle_sql() -> dict[str, str]:
     page_scores = f"""
 WITH {CAPTURES}, f AS (
@@ -71,13 +79,16 @@ FROM caps"""
 SELECT host, {DOMAIN.format("host")} AS domain,
   CASE WHEN len(seg) = 0 THEN 'root' WHEN len(seg) > 1 AND regexp_full_match(seg[1], '[A-Za-z]{{2}}') THEN seg[2] ELSE seg[1] END AS family, count(*) AS pages, count(*) FILTER (url LIKE 'https://%') AS secure
 FROM (SELECT url, {HOST} AS host, {segments} AS seg FROM pages) GROUP BY ALL"""
-    waves = """
-WITH RECURSIVE o AS (SELECT o_orderkey AS k FROM orders), e AS (SELECT k, k * 2 + 7 - k % 7 AS d FROM o UNION ALL SELECT k, k + 7 FROM o),
-w0 AS (SELECT k, 0 AS depth FROM o WHERE k < 15),
-w1 AS (SELECT k, 1 AS depth FROM (SELECT DISTINCT d AS k FROM w0 JOIN e USING (k) WHERE d NOT IN (SELECT k FROM w0))),
-w2 AS (SELECT k, 2 AS depth FROM (SELECT DISTINCT d AS k FROM (SELECT k FROM w1 SEMI JOIN o USING (k)) JOIN e USING (k) WHERE d NOT IN (SELECT k FROM w0 UNION ALL SELECT k FROM w1))),
-w3 AS (SELECT k, 3 AS depth FROM (SELECT DISTINCT d AS k FROM (SELECT k FROM w2 SEMI JOIN o USING (k)) JOIN e USING (k) WHERE d NOT IN (SELECT k FROM w0 UNION ALL SELECT k FROM w1 UNION ALL SELECT k FROM w2)))
-SELECT 's' || (k % 7) AS audit_id, 'u' || k AS url, depth FROM (FROM w0 UNION ALL FROM w1 UNION ALL FROM w2 UNION ALL FROM w3) SEMI JOIN o USING (k)"""
+    wave = """,
+r{0} AS (SELECT s, j, row_number() OVER (PARTITION BY s ORDER BY 'u' || j) AS n FROM ({1})),
+t{0} AS (SELECT r.s, j FROM r{0} r LEFT JOIN (SELECT s, count(*) AS c FROM g GROUP BY s) USING (s) WHERE n + coalesce(c, 0) <= 300),
+g{0} AS (SELECT s, j, {0} AS depth FROM t{0} SEMI JOIN o USING (s, j))"""
+    waves = "WITH o AS (SELECT o_orderkey % 20 AS s, o_orderkey // 20 AS j, CASE WHEN o_orderkey % 40 IN (SELECT unnest(range(0, 40, 2))) THEN 7 ELSE 4 END AS w FROM orders), e AS (SELECT s, j, j * w + unnest(range(1, w + 1)) AS d FROM o)"
+    for n in range(4):
+        below = "SELECT s, j FROM o WHERE j = 0" if not n else f"SELECT DISTINCT s, d AS j FROM g{n - 1} JOIN e USING (s, j) ANTI JOIN (" + " UNION ALL ".join(f"SELECT s, j AS d FROM t{i}" for i in range(n)) + ") x USING (s, d)"
+        before = " UNION ALL ".join(f"SELECT s FROM g{i}" for i in range(n)) or "SELECT s FROM o WHERE FALSE"
+        waves += wave.format(n, below).replace("FROM g GROUP", f"FROM ({before}) GROUP")
+    waves += " SELECT 's' || s AS audit_id, 'u' || j AS url, depth FROM (" + " UNION ALL ".join(f"FROM g{n}" for n in range(4)) + ")"
     counts = ", ".join(f"'{w}'" for w in STOP_WORDS)
     topics = f"""
 WITH {CAPTURES}, t AS (SELECT audit_id, url, {TITLE} AS title FROM caps),
@@ -160,8 +171,8 @@ SELECT audit_id, row_number() OVER (PARTITION BY audit_id ORDER BY priority DESC
 SELECT audit_id, CASE WHEN has_webmcp AND n >= 2 THEN 'advanced' WHEN has_webmcp OR n >= 2 THEN 'ready' WHEN n >= 1 THEN 'basic' ELSE 'none' END AS readiness_level, has_webmcp OR n >= 2 AS agent_ready, has_webmcp, pot OR typ AS has_action_schema, has_agent_forms, has_openapi, n::INT AS action_signals,
   coalesce(endpoints, 0)::INT AS ai_discovery_endpoints, coalesce(nlweb = 'conformant', FALSE) AS has_nlweb, CASE WHEN brand = 2 THEN 50.0::DOUBLE END AS brand_coherence_score, blocked::INT AS blocked_agent_bots
 FROM h JOIN si USING (audit_id) JOIN ex USING (audit_id)""",
-        "rule_evidence": f"""{sql()}, e AS (SELECT audit_id, url, 'meta.title' AS key FROM p WHERE {title} < 80 UNION ALL SELECT audit_id, url, 'content.depth' FROM p WHERE least(100.0, word_count::DOUBLE / 800 * 100) < 80)
-SELECT audit_id, key, string_agg(url, ' ' ORDER BY url) AS urls FROM (SELECT *, row_number() OVER (PARTITION BY audit_id, key ORDER BY url) AS n FROM e) WHERE n <= 10 GROUP BY audit_id, key""",
+        "rule_evidence": f"""{sql()}, e AS ({_page_scores()})
+SELECT audit_id, key, string_agg(url, ' ' ORDER BY url) AS urls FROM (SELECT *, row_number() OVER (PARTITION BY audit_id, key ORDER BY url) AS n FROM e WHERE score < 80) WHERE n <= 10 GROUP BY audit_id, key""",
         "orphan_pages": f"{sql()} SELECT audit_id, url FROM (SELECT *, min(url) OVER (PARTITION BY s) AS home FROM p) WHERE url <> home AND url NOT IN (SELECT {url_of('linked')} FROM p WHERE linked IS NOT NULL)",
         "render_routes": f"""{sql()}, c AS (SELECT audit_id, {family} AS path, count(*) AS pages, count(*) FILTER (render_mode = 'ssr') AS ssr, count(*) FILTER (render_mode = 'csr') AS csr FROM p WHERE render_mode IS NOT NULL GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY csr DESC, pages DESC, path)::INT AS rank FROM c) WHERE rank <= 12""",
@@ -170,7 +181,11 @@ SELECT * EXCLUDE (parity), round_even(parity * 100, 0)::INT AS parity_pct FROM (
         "pages_explorer": f"{sql()} SELECT audit_id, url, js_delta, alt_missing, svg_unnamed FROM {view} WHERE contains(lower(url), 'models') ORDER BY coalesce(js_delta, -1) DESC, audit_id, url LIMIT 50",
         "pages_totals": f"{sql()} SELECT audit_id, count(*) AS pages, sum(alt_missing)::BIGINT AS alt_missing, sum(svg_unnamed)::BIGINT AS svg_unnamed, count(*) FILTER (render_mode = 'csr') AS csr FROM {view} GROUP BY audit_id",
         "criteria_groups": f"""{r.results()} SELECT split_part(pillars, ' ', 1) AS "group", count(*) AS n, count(*) FILTER (status = 'critical') AS critical FROM r WHERE {measured} AND list_contains(string_split(pillars, ' '), 'geo') GROUP BY ALL""",
-        "json_reports": f"{r.results()} SELECT audit_id, audit_id AS named, count(*)::INT AS criteria FROM r GROUP BY audit_id",
+        "json_reports": f"""{r.results()}, {r.pillars()}, {r.totals()}, i AS (
+  SELECT audit_id, key, round_even(CASE WHEN weight < 1 THEN 1 WHEN weight < 1.8 THEN 2 ELSE 3 END * CASE status WHEN 'critical' THEN 2 ELSE 1 END / {_effort()}::DOUBLE, 2) AS priority FROM r WHERE status IN ('warning', 'critical') AND evidence_tier = 'standard'
+), o AS (SELECT audit_id, arg_min(key, {{'p': -priority, 'k': key}}) AS first_issue, max(priority) AS first_priority FROM i GROUP BY audit_id)
+SELECT audit_id, audit_id AS named, count(*)::INT AS criteria, any_value(gs.score) AS score_global, any_value(ps.score) AS geo, max(key) AS last_rule, arg_max(status, key) AS last_status, any_value(first_issue) AS first_issue, any_value(first_priority) AS first_priority
+FROM r JOIN gs USING (audit_id) JOIN (SELECT * FROM ps WHERE pillar = 'geo') ps USING (audit_id) JOIN o USING (audit_id) GROUP BY audit_id""",
         "compare_totals": f"""{_compare()} SELECT pair_id, coalesce(l.score, 0) AS left_global, coalesce(x.score, 0) AS right_global, round_even(coalesce(x.score, 0) - coalesce(l.score, 0), 2) AS global_delta, TRUE AS recomputed
 FROM pairs LEFT JOIN gs_left l ON l.audit_id = pair_id LEFT JOIN gs_right x ON x.audit_id = pair_id""",
         "compare_pillars": f"""{_compare()} SELECT pair_id, pillar, coalesce(l.score, 0) AS left_score, coalesce(x.score, 0) AS right_score, round_even(coalesce(x.score, 0) - coalesce(l.score, 0), 2) AS delta
@@ -191,5 +206,4 @@ FROM (SELECT pair_id, pillar FROM pairs, {r.PILLAR_TABLE}) g LEFT JOIN ps_left l
         "theme_topics": topics,
         "artifact_store": f"SELECT DISTINCT 'projects/' || {HOST} || '/runs/r1/html_raw/' || sha256(html) || '.html.gz' AS object_key, sha256(html) AS sha256, octet_length(encode(html))::BIGINT AS bytes FROM pages",
         "event_windows": "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS from_ts, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
-    }
-
+    } | inputs_sql.oracle_sql()

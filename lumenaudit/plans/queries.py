@@ -14,7 +14,7 @@ from ..functions import urls
 from ..operators import citation, compare, explorer, prompts, rules, scoring, sinks
 from ..sources import connectors, crawl, discovery, html
 from ..streaming import captures as streaming
-from . import analogs, audit
+from . import analogs, audit, inputs
 
 C = F.col
 #: Inputs written out, as SQL that both engines read.
@@ -75,13 +75,15 @@ def url_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An analog of a crawl: lines link an order to two others; every seventh order is where a site's crawl begins."""
-    o = _table(spark, sf_dir, "orders").select(C("o_orderkey").alias("k"))
-    name = lambda c: F.concat(F.lit("u"), c.cast("string"))
-    site = lambda c: F.concat(F.lit("s"), (c % 7).cast("string"))
-    fetched = o.select(site(C("k")).alias("audit_id"), name(C("k")).alias("url"), name(C("k")).alias("final_url"))
-    edges = o.select(site(C("k")).alias("audit_id"), name(C("k")).alias("src"), F.explode(F.array(name(C("k") * 2 + 7 - C("k") % 7), name(C("k") + 7))).alias("dst"))
-    return crawl.crawl(o.where("k < 15").select(site(C("k")).alias("audit_id"), name(C("k")).alias("url")), fetched, edges, max_pages=40).select("audit_id", C("final_url").alias("url"), "depth")
+    """An analog of a crawl of all orders: twenty sites, each a tree of its orders in which one links to seven others, or
+    to four on every other site; the first is where the crawl begins. The default caps of pages and depth hold."""
+    o = _table(spark, sf_dir, "orders").select((C("o_orderkey") % 20).alias("s"), F.floor(C("o_orderkey") / 20).alias("j"))
+    name = lambda j: F.concat(F.lit("u"), j.cast("string"))
+    site = F.concat(F.lit("s"), C("s").cast("string")).alias("audit_id")
+    width = F.when(C("s") % 2 == 0, 7).otherwise(4)
+    fetched = o.select(site, name(C("j")).alias("url"), name(C("j")).alias("final_url"))
+    edges = o.select(site, name(C("j")).alias("src"), F.explode(F.transform(F.sequence(F.lit(1), width), lambda c: name(C("j") * width + c))).alias("dst"))
+    return crawl.crawl(o.where("j = 0").select(site, name(C("j")).alias("url")), fetched, edges).select("audit_id", C("final_url").alias("url"), "depth")
 
 
 def robots_access(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +121,7 @@ def agent_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.evidence(analogs.pages(spark, sf_dir)).where(C("key").isin("meta.title", "content.depth")).withColumn("urls", _joined("urls"))
+    return rules.evidence(analogs.pages(spark, sf_dir)).withColumn("urls", _joined("urls"))
 
 
 def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +151,8 @@ def criteria_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sinks.json_reports(_results(spark, sf_dir))
-    return d.select("audit_id", F.get_json_object("document", "$.audit_id").alias("named"), F.json_array_length(F.get_json_object("document", "$.criteria")).alias("criteria"))
+    at = lambda p: F.get_json_object("document", p)
+    return d.select("audit_id", at("$.audit_id").alias("named"), F.json_array_length(at("$.criteria")).alias("criteria"), at("$.score_global").cast("double").alias("score_global"), at("$.pillars.geo").cast("double").alias("geo"), at("$.criteria[66].key").alias("last_rule"), at("$.criteria[66].status").alias("last_status"), at("$.issues[0].key").alias("first_issue"), at("$.issues[0].priority").cast("double").alias("first_priority"))
 
 
 def markdown_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,8 +168,9 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = analogs.site(spark, sf_dir).select(F.substring("audit_id", 5, 9).cast("int").alias("s")).where("s % 2 = 0 and s < 96")
-    return s.select(F.concat(F.lit("p"), C("s").cast("string")).alias("pair_id"), F.concat(F.lit("site"), C("s").cast("string")).alias("left_id"), F.concat(F.lit("site"), (C("s") + 1).cast("string")).alias("right_id"))
+    """Every site beside the next, the last beside the first."""
+    s = analogs.site(spark, sf_dir).select(F.substring("audit_id", 5, 9).cast("int").alias("s"))
+    return s.select(F.concat(F.lit("p"), C("s").cast("string")).alias("pair_id"), F.concat(F.lit("site"), C("s").cast("string")).alias("left_id"), F.concat(F.lit("site"), ((C("s") + 1) % 97).cast("string")).alias("right_id"))
 
 
 def compare_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,4 +287,5 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k != "queries"}
+    own = {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k != "queries"}
+    return own | inputs.queries()

@@ -77,7 +77,8 @@ def valid_faq(payload: Column) -> Column:
     """A list, or one under `faq` or `questions`, whose every item has a question and an answer of some length."""
     item = "struct<question:string,q:string,answer:string,a:string>"
     p = _json(payload, f"faq array<{item}>, questions array<{item}>")
-    items = F.coalesce(_json(payload, f"array<{item}>"), F.when(F.size(p["faq"]) > 0, p["faq"]).otherwise(p["questions"]))
+    # An object read as a list would be a list of one.
+    items = F.coalesce(F.when(payload.rlike(r"^\s*\["), _json(payload, f"array<{item}>")), F.when(F.size(p["faq"]) > 0, p["faq"]).otherwise(p["questions"]))
     said = lambda i, a, b: F.coalesce(F.nullif(i[a], F.lit("")), i[b])
     fine = F.forall(items, lambda i: _long(said(i, "question", "q"), 10) & _long(said(i, "answer", "a"), 20))
     return F.coalesce((F.size(items) > 0) & fine, F.lit(False))
@@ -145,6 +146,23 @@ def search_comparison(rows: DataFrame) -> DataFrame:
     return both.select("*", delta("clicks", 0).cast("bigint").alias("clicks_delta"), delta("impressions", 0).cast("bigint").alias("impressions_delta"), delta("ctr", 4).alias("ctr_delta"), delta("avg_position", 1).alias("position_delta"))
 
 
+# Shortest and longest window of rank tracking, in days.
+WINDOW_DAYS = (1, 480)
+
+
+def search_windows(days: DataFrame, until: Column, n: int = 90, dimension: str = "query") -> DataFrame:
+    """days(audit_id, day, key, clicks, impressions, position), a row per day and key, to schema.GSC_ROW: the n days up
+    to `until` as the current period and the n days before them as the previous one, whose last day is the current
+    period's first. A key's position is the mean over impressions."""
+    if not WINDOW_DAYS[0] <= n <= WINDOW_DAYS[1]:
+        raise ValueError(f"a window has {WINDOW_DAYS[0]} to {WINDOW_DAYS[1]} days")
+    ends = {"current": until.cast("date"), "previous": F.date_sub(until, n)}
+    inside = F.filter(F.array(*(F.when(C("day").cast("date").between(F.date_sub(e, n), e), F.lit(p)) for p, e in ends.items())), lambda p: p.isNotNull())
+    sums = days.withColumn("period", F.explode(inside)).groupBy("audit_id", "period", "key").agg(F.sum("clicks").cast("bigint").alias("clicks"), F.sum("impressions").cast("bigint").alias("impressions"), F.sum(C("position") * C("impressions")).alias("p"), F.avg("position").alias("plain"))
+    position = F.coalesce(F.try_divide("p", "impressions"), "plain", F.lit(0.0))
+    return sums.select("audit_id", "period", F.lit(dimension).alias("dimension"), "key", "clicks", "impressions", F.coalesce(F.try_divide(C("clicks").cast("double"), C("impressions")), F.lit(0.0)).alias("ctr"), position.alias("position"))
+
+
 def answers(payloads: DataFrame) -> DataFrame:
     """payloads(audit_id, engine, prompt_id, repetition, web_search_enabled, payload) of four engines to
     schema.LLM_RESPONSE. A citation's position is its ordinal in the payload."""

@@ -47,7 +47,9 @@ class Robots:
                         self.groups[a][0].append((name == "allow", value))
 
     def _group(self, agent: str) -> tuple[list, list]:
-        named = [a for a in self.groups if a != "*" and a and a in agent.lower()]
+        name = agent.lower()
+        # An agent goes by its product name; a group's name is that or its beginning, up to a mark.
+        named = [a for a in self.groups if a != "*" and a and re.match(rf"{re.escape(a)}(?![a-z0-9])", name)]
         return self.groups.get(max(named, key=len) if named else "*", ([], []))
 
     @staticmethod
@@ -85,11 +87,36 @@ def allowed(robots_txt: Column, url: Column, agent: str) -> Column:
     @pandas_udf("boolean")
     def check(text: pd.Series, at: pd.Series) -> pd.Series:
         known: dict[str | None, Robots] = {}
-        return pd.Series([known.setdefault(t, Robots(t)).can_fetch(u or "", agent) for t, u in zip(text, at, strict=True)])
+        for t in text.unique():  # a file is parsed once for all its URLs
+            known[t] = Robots(t)
+        return pd.Series([known[t].can_fetch(u or "", agent) for t, u in zip(text, at, strict=True)])
 
     return check(robots_txt, url)
 
 
+def frontier(sites: DataFrame, files: DataFrame, agent: str = "*", respect_robots: bool = True, depth: int = INDEX_DEPTH, most: int = SITEMAP_URLS) -> DataFrame:
+    """(audit_id, url, place): where the crawl of every site begins: its home, then its sitemaps' URLs in order.
+
+    sites(audit_id, home, robots_txt); files(audit_id, url, content, content_type): sitemap files that answered. Sitemaps
+    are those that robots.txt declares and the default one. Only URLs of the site's own host that robots.txt allows.
+    """
+    from pyspark.sql import Window
+
+    from ..functions.urls import normalized
+
+    @pandas_udf("array<string>")
+    def declared(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: Robots(t).sitemaps)
+
+    named = sites.withColumn("n", normalized(F.col("home"))).where("n is not null").select("audit_id", "robots_txt", F.col("n.url").alias("home"), F.col("n.host").alias("host"), F.concat(F.col("n.origin"), F.lit("/sitemap.xml")).alias("default"))
+    begin = named.select("audit_id", "host", F.explode(F.array_union(F.coalesce(declared("robots_txt"), F.array().cast("array<string>")), F.array("default"))).alias("url"))
+    below = expanded(sitemaps(files), begin, depth, most)
+    every = named.select("audit_id", F.col("home").alias("url"), F.lit(0).alias("step")).union(below.join(named.select("audit_id", "home"), "audit_id").where("url <> home").select("audit_id", "url", F.lit(1)))
+    checked = every.join(named.select("audit_id", "robots_txt"), "audit_id")
+    checked = checked.where(allowed(F.col("robots_txt"), F.col("url"), agent)) if respect_robots else checked
+    return checked.select("audit_id", "url", F.row_number().over(Window.partitionBy("audit_id").orderBy("step", "url")).alias("place"))
+
+
 def _unzipped(data: bytes) -> bytes | None:
     try:
         z = zlib.decompressobj(wbits=16 + zlib.MAX_WBITS)

@@ -219,11 +219,47 @@ def test_saved_signals_score_again(spark, sf_dir, tmp_path):
     from lumenaudit.operators import rules
 
     a = audit.run(crawl.captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
-    sinks.save_tables({"page_signals": a.signals, "criterion_result": a.results}, str(tmp_path))
+    tables = {"audits": a.scores, "signals": a.signals, "results": a.results, "pillars": a.pillars, "issues": a.issues, "readiness": a.readiness}
+    for _ in range(2):  # saving again doubles nothing
+        sinks.save_report(tables, str(tmp_path), "r1")
+    sinks.save_report({"audits": a.scores.limit(1), "results": a.results.limit(0)}, str(tmp_path), "r0")
+    saved = sinks.load_tables(spark, str(tmp_path))
     none = lambda ddl: spark.createDataFrame([], schema.struct(ddl))
-    again = rules.evaluate(spark.read.parquet(str(tmp_path / "page_signals")), none(schema.SITE_SIGNALS), none(schema.EXTERNAL_SIGNALS))
+    again = rules.evaluate(saved["signals"], none(schema.SITE_SIGNALS), none(schema.EXTERNAL_SIGNALS))
     columns = ["audit_id", "key", "score", "status"]
-    assert sorted(map(tuple, again.select(columns).collect())) == sorted(map(tuple, spark.read.parquet(str(tmp_path / "criterion_result")).select(columns).collect()))
+    assert sorted(map(tuple, again.select(columns).collect())) == sorted(map(tuple, saved["results"].select(columns).collect()))
+    reports = {r["audit_id"]: json.loads(r["document"]) for r in sinks.load_report(spark, str(tmp_path)).collect()}
+    assert len(reports) == a.scores.count()
+    for r in a.scores.collect():
+        d = reports[r["audit_id"]]
+        assert d["score_global"] == r["score_global"] and [c["key"] for c in d["criteria"]] == sorted(c["key"] for c in d["criteria"]) and len(d["criteria"]) == 67 and len(d["pillar_scores"]) == 5
+        assert [(-i["priority"], i["key"]) for i in d["issues"]] == sorted((-i["priority"], i["key"]) for i in d["issues"])
+        assert d["aso_readiness"]["readiness_level"] in ("none", "basic", "ready", "advanced")
+    one = spark.createDataFrame([(next(iter(reports)),)], "audit_id string")
+    assert sinks.load_report(spark, str(tmp_path), one).count() == 1
+
+
+def test_stored_artifacts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "store")
+    rows = spark.createDataFrame([("p", "r", "html_raw", "x"), ("p", "r", "html_raw", "x"), ("p", "r", "report_json", "{}"), ("..", "r", "html_raw", "z")], "project_id string, run_id string, type string, content string")
+    for _ in range(2):
+        sinks.put_artifacts(rows, path)
+    keys = sinks.artifacts(rows).select("object_key").union(spark.createDataFrame([("gone",)], "object_key string"))
+    got = sinks.get_artifacts(spark, path, keys).select("type", F.col("content").cast("string").alias("c")).collect()
+    assert sorted(map(tuple, got)) == [("html_raw", "x"), ("report_json", "{}")]
+    assert sorted(r["exists"] for r in sinks.artifacts_exist(spark, path, keys).collect()) == [False, True, True]
+
+
+def test_messages(spark):
+    from pyspark.sql import functions as F
+
+    from lumenaudit.functions import messages
+
+    m = spark.range(1).select(messages.message(F.lit("coverage.line"), "fr", share=F.lit(80)).alias("a"), messages.message(F.lit("issue.line"), "fr", key=F.lit("{status}"), status=F.lit("x"), priority=F.lit(None)).alias("b"), messages.message(F.lit("none"), "xx").alias("c")).first()
+    assert m["a"] == "80 % of the rules' weight was measured" and m["c"] == "none" and m["b"].startswith("x : x")
+    assert messages.known("issue.line", "xx") and not messages.known("none") and messages.parameters("issue.line", "fr") == {"key", "status", "priority"}
 
 
 def test_artifact_keys(spark):
