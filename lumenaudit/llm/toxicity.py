@@ -8,10 +8,9 @@ Examples of equal vectors share an entry with their votes. Entries are sorted by
 blocks; a term's postings are stored block by block, with the block's largest weight (those of very common terms as
 rows of a matrix, which holds the same weights).
 
-Scoring. What the matrix gives is computed for many texts at once; it is a lower bound of every cosine. With the largest
-weights of the other terms it gives each block an upper bound. The blocks of the highest bounds are visited first; the
-k-th best score then is a floor, and all blocks whose bound reaches it are visited. No other block can hold a neighbour,
-so the neighbours are exact. Votes count by
+Scoring. What the matrix gives is computed for many texts at once; it is a lower bound of every cosine, and its k-th best
+is a floor. With the largest weights of the other terms it also gives each block an upper bound, and only blocks whose
+bound reaches the floor are visited. No other block can hold a neighbour, so the neighbours are exact. Votes count by
 1 / (1.05 - cosine). The vote is set against what it would have been on the examples, each left out of its own vote
 (isotonic regression), and that calibrated share is the score.
 
@@ -26,7 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,6 @@ FIT_ROWS = 4_000
 #: likelier in them. Near copies of an example don't count again, or their every word would seem to speak for its label.
 LEAST_DF, LEAST_SHARE, LEAST_CHI2, LEAST_LIFT = 3, 0.02, 12.0, 2.5
 NEIGHBOURS, BLOCK = 24, 64
-#: Blocks that are visited to find a floor.
-FIRST = 4
 #: A term that stands in over this share of the entries is a row of the matrix.
 COMMON = 1 / 16
 #: Texts that are searched for at a time.
@@ -47,10 +46,8 @@ BATCH = 64
 #: Weight of the base rate in a vote, in examples.
 SMOOTH = 0.5
 TOXIC_AT = 0.3
-#: Lengths of beginnings that may be terms; they end with a star.
+#: Lengths of beginnings that may be terms.
 STEMS = (4, 5, 6)
-#: Words whose terms a task remembers.
-REMEMBERED = 200_000
 
 
 def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -62,45 +59,40 @@ def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 class Terms:
     """Numbers of the terms that a word stands for: itself and its known beginnings."""
 
-    def __init__(self, known: dict[bytes, int]) -> None:
-        self.known, self.memory = known, {}
-        self.stems = any(t.endswith(b"*") for t in known)
-
-    def _of(self, word: bytes) -> tuple[int, tuple[int, ...]]:
-        if len(self.memory) >= REMEMBERED:
-            self.memory.clear()
-        found = self.memory[word] = (self.known.get(word, -1), tuple(self.known[s] for s in beginnings(word) if s in self.known) if self.stems else ())
-        return found
+    def __init__(self, words: dict[bytes, int], stems: dict[bytes, int]) -> None:
+        self.words, self.stems = words, stems
+        self.heads = {s[: min(STEMS)] for s in stems}  # bytes by which most words are seen to have no known beginning
 
     def distinct(self, text: bytes | None) -> list[int]:
         """The known terms of a text, each once."""
-        get, words, stems = self.memory.get, [], set()
-        for w in set(alnum_words(text)):
-            own, more = get(w) or self._of(w)
-            if own >= 0:
-                words.append(own)
-            if more:
-                stems.update(more)
-        return [*words, *stems]
-
-    def counts(self, counted: dict[bytes, int]) -> tuple[dict[int, int], list[int]]:
-        """Counts of known terms, and of each word that is none, of a text's counted words."""
-        get, out, stems = self.memory.get, {}, {}
+        found, heads, length = set(alnum_words(text)), self.heads, min(STEMS)
+        out = [self.words[w] for w in filter(self.words.__contains__, found)]
+        stems = {self.stems[s] for w in found if w[:length] in heads for s in beginnings(w) if s in self.stems}
+        return [*out, *stems]
+
+    def counts(self, text: bytes | None) -> tuple[dict[int, int], list[int]]:
+        """Counts of known terms, and of each word that is none."""
+        words, heads, length = self.words, self.heads, min(STEMS)
+        out: dict[int, int] = {}
+        stems: dict[int, int] = {}
         rest: list[int] = []
-        for w, c in counted.items():
-            own, more = get(w) or self._of(w)
-            if own >= 0:
-                out[own] = c
+        for w, c in Counter(alnum_words(text)).items():
+            if w in words:
+                out[words[w]] = c
             else:
                 rest.append(c)
-            for t in more:
-                stems[t] = stems.get(t, 0) + c
+            if w[:length] in heads:
+                for s in beginnings(w):
+                    if s in self.stems:
+                        stems[self.stems[s]] = stems.get(self.stems[s], 0) + c
         return out | stems, rest
 
 
 def beginnings(word: bytes) -> list[bytes]:
+    if word.isascii():
+        return [word[:n] for n in STEMS if len(word) >= n]
     w = word.decode("utf-8", "replace")
-    return [w[:n].encode() + b"*" for n in STEMS if len(w) >= n]
+    return [w[:n].encode() for n in STEMS if len(w) >= n]
 
 
 class BlockMaxIndex:
@@ -147,22 +139,14 @@ class BlockMaxIndex:
         begin, end = self.lists[term[rare]], self.lists[term[rare] + 1]
         lists, w = _ranges(begin, end), np.repeat(weight[rare], end - begin)
         block = self.block[lists]
-        bound = np.bincount(block, w * self.most[lists], self.blocks) + scores.reshape(self.blocks, BLOCK).max(axis=1)
-
-        def visit(chosen: np.ndarray) -> None:
-            own = chosen[block]
-            b, e = self.begin[lists[own]], self.begin[lists[own] + 1]
-            at = _ranges(b, e)
-            np.add(scores, np.bincount(self.entry[at], np.repeat(w[own], e - b) * self.weight[at], len(scores)), out=scores)
-
-        rest = np.ones(self.blocks, bool)
-        if self.blocks > FIRST:
-            first = np.zeros(self.blocks, bool)
-            first[np.argpartition(-bound, FIRST - 1)[:FIRST]] = True
-            visit(first)
-            floor = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-            rest = ~first & (bound >= floor - 1e-9)
-        visit(rest)
+        # k entries have at least the k-th best of what is known, so a block whose bound is below that holds no neighbour.
+        if self.size > k:
+            bound = np.bincount(block, w * self.most[lists], self.blocks) + scores.reshape(self.blocks, BLOCK).max(axis=1)
+            own = (bound >= np.partition(scores, -k)[-k] - 1e-9)[block]
+            lists, w = lists[own], w[own]
+        begin, end = self.begin[lists], self.begin[lists + 1]
+        at = _ranges(begin, end)
+        scores += np.bincount(self.entry[at], np.repeat(w, end - begin) * self.weight[at], len(scores))
         scores = scores[: self.size]
         best = np.flatnonzero(scores > (np.partition(scores, -k)[-k] - 1e-8 if self.size > k else 0))
         cosines = np.round(scores[best], 9)
@@ -189,33 +173,31 @@ def isotonic(x: list[float], y: list[float]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Examples, their index and the calibration, which `calibrate` sets."""
 
-    def __init__(self, terms: list[bytes], df: np.ndarray, documents: int, examples: list[tuple[int, int, dict[int, int]]], k: int = NEIGHBOURS) -> None:
-        """examples: (id, label, counts of terms by number)."""
-        self.terms, self.k = Terms({t: n for n, t in enumerate(terms)}), k
-        self.idf, self.unseen = np.log((1 + documents) / (1 + df)) + 1, math.log(1 + documents) + 1
+    def __init__(self, idf: np.ndarray, unseen: float, ids: list[int], labels: list[int], counts: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> None:
+        """counts: numbers of an example's terms, and how often it has each; unseen: the weight of a word that is no term."""
+        self.idf, self.unseen, self.k = idf, unseen, k
         entries: dict[bytes, list] = {}
         empty = [0, 0]
-        for i, label, counts in sorted(examples, key=lambda e: e[0]):
-            term, weight = self.vector(counts, [])
+        for i, label, own in sorted(zip(ids, labels, counts, strict=True), key=lambda e: e[0]):
+            term, weight = self.vector(*own, [])
             if not len(term):
                 empty = [empty[0] + label, empty[1] + 1]
                 continue
-            e = entries.setdefault(term.tobytes() + np.round(weight, 9).tobytes(), [term, weight, 0, 0, []])
+            e = entries.setdefault(xxhash.xxh3_128_digest(term.tobytes() + np.round(weight, 9).tobytes()), [term, weight, 0, 0, []])
             e[2], e[3] = e[2] + label, e[3] + 1
             e[4].append(i)
         order = sorted(entries.values(), key=lambda e: (int(e[0][np.argmax(e[1])]), e[4][0]))
         self.toxic, self.many = np.array([e[2] for e in order], float), np.array([e[3] for e in order], float)
         self.ids = [e[4][:3] for e in order]
         self.of = {i: n for n, e in enumerate(order) for i in e[4]}
-        self.index = BlockMaxIndex([(e[0], e[1]) for e in order], len(terms))
-        self.base = sum(e[1] for e in examples) / max(1, len(examples))
+        self.index = BlockMaxIndex([(e[0], e[1]) for e in order], len(idf))
+        self.base = sum(labels) / max(1, len(labels))
         self.none = (empty[0] + SMOOTH * self.base) / (empty[1] + SMOOTH)
         self.steps, self.values = np.zeros(1), np.full(1, self.base)
 
-    def vector(self, counts: dict[int, int], rest: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, term: np.ndarray, count: np.ndarray, rest: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Terms by number and their weights; words that aren't terms only lengthen the vector."""
-        term = np.fromiter(counts, np.int64, len(counts))
-        weight = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[term]
+        weight = (1 + np.log(count)) * self.idf[term]
         beyond = (1 + np.log(np.array(rest, float))) * self.unseen if rest else np.zeros(1)
         norm = math.sqrt(float(weight @ weight + beyond @ beyond))
         order = np.argsort(term)
@@ -227,19 +209,22 @@ class Model:
         top = SMOOTH * self.base + w @ (self.toxic[entries] - label * own)
         return float(top / (SMOOTH + w @ (self.many[entries] - own)))
 
-    def near(self, texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def near(self, terms: Terms, texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The neighbours of each text; none for one without known terms."""
-        vectors = [self.vector(*self.terms.counts(Counter(alnum_words(t)))) for t in texts]
+        vectors = []
+        for t in texts:
+            counts, rest = terms.counts(t)
+            vectors.append(self.vector(np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts)), rest))
         return [n for at in range(0, len(vectors), BATCH) for n in self.index.nearest(vectors[at : at + BATCH], self.k)]
 
     def calibrate(self, votes: list[tuple[float, int]]) -> None:
         if votes:
             self.steps, self.values = isotonic([round(v, 9) for v, _ in votes], [float(label) for _, label in votes])
 
-    def scores(self, texts: list[bytes | None]) -> list[tuple[float, list[int], float]]:
+    def scores(self, terms: Terms, texts: list[bytes | None]) -> list[tuple[float, list[int], float]]:
         """Of each text: score, ids of the nearest examples, and the best cosine."""
         out = []
-        for cosines, entries in self.near(texts):
+        for cosines, entries in self.near(terms, texts):
             if len(entries):
                 value = float(np.interp(round(self.vote(cosines, entries), 9), self.steps, self.values))
                 out.append((value, [i for e in entries[:5].tolist() for i in self.ids[e]][:5], float(cosines[0])))
@@ -253,25 +238,32 @@ def held_out(c: Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def speaking(examples: list[tuple[int, set[bytes]]]) -> list[bytes]:
-    """Beginnings of words that speak for toxicity, of examples (label, words)."""
-    held = {1: Counter(), 0: Counter()}
-    for label, words in examples:
-        held[label].update({s for w in words for s in beginnings(w)})
-    n1, n0 = sum(label for label, _ in examples), sum(1 - label for label, _ in examples)
-    n, out = n1 + n0, []
-    for s, a in held[1].items():
-        b = held[0][s]
-        if a < max(LEAST_DF, LEAST_SHARE * n1) or not n0:
-            continue
+def speaking(vocabulary: list[bytes], labels: np.ndarray, words: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
+    """Beginnings of words that speak for toxicity, of examples' labels and word numbers; and of each word their numbers, or -1."""
+    number: dict[bytes, int] = {}
+    of = np.full((len(vocabulary), len(STEMS)), -1, np.int32)
+    for w, word in enumerate(vocabulary):
+        for k, s in enumerate(beginnings(word)):
+            of[w, k] = number.setdefault(s, len(number))
+    held = np.zeros((2, len(number)))
+    for label, own in zip(labels.tolist(), words, strict=True):
+        found = np.unique(of[own])
+        held[label, found[found >= 0]] += 1
+    n1, n0 = float((labels == 1).sum()), float((labels == 0).sum())
+    b, a = held
+    n = n1 + n0
+    with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / ((a + b) * (n - a - b + 1e-9) * n1 * n0)
-        if chi2 >= LEAST_CHI2 and (a + 0.5) / (n1 + 1) >= LEAST_LIFT * (b + 0.5) / (n0 + 1):
-            out.append(s)
-    return sorted(out)
+        lift = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
+    chosen = (a >= max(LEAST_DF, LEAST_SHARE * n1)) & (chi2 >= LEAST_CHI2) & (lift >= LEAST_LIFT) & (n0 > 0)
+    names = np.array(list(number), object)[chosen] if len(number) else np.zeros(0, object)
+    rank = np.full(len(number) + 1, -1)
+    rank[np.flatnonzero(chosen)[np.argsort(names)]] = np.arange(len(names))
+    return sorted(names), rank[of]
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic") -> Model:
-    """learn: which labels may be learnt from (default: those whose id isn't held out).
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic") -> tuple[Model, Broadcast]:
+    """The model, and the numbers of its terms as executors have them. learn: which labels may be learnt from (default: those whose id isn't held out).
 
     Labels without an id, and other values than 0 and 1, are left out; of several labels of an id the highest counts,
     of several texts that with the smallest hash, and an id without text is an empty text.
@@ -292,42 +284,62 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, learn: C
             least = [min((xxhash.xxh64_intdigest(b" ".join(w[k : k + 5])) for k in range(max(1, len(w) - 4))), default=0) >> 1 for w in words]
             yield pa.record_batch([b.column(0), b.column(1), pa.array([list(c) for c in counts], pa.list_(pa.binary())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32())), pa.array(least, pa.int64())], names=["doc_id", "label", "words", "n", "least"])
 
-    found = rows.mapInArrow(count, "doc_id long, label int, words array<binary>, n array<int>, least long").collect()
-    found.sort(key=lambda r: r["doc_id"])
-    once = {(r["label"], r["least"]): r for r in reversed(found)}.values()
-    stems = speaking([(r["label"], set(map(bytes, r["words"]))) for r in once])
-    terms = [*sorted({bytes(w) for r in found for w in r["words"]}), *stems]
+    # As Arrow, not as objects: the driver holds some tens of bytes per word of an example.
+    found = rows.mapInArrow(count, "doc_id long, label int, words array<binary>, n array<int>, least long").toArrow().sort_by("doc_id").combine_chunks()
+    listed, many = (found.column(c).combine_chunks() if found.num_rows else pa.array([], t) for c, t in (("words", pa.list_(pa.binary())), ("n", pa.list_(pa.int32()))))
+    ids, labels_, least = found.column("doc_id").to_pylist(), found.column("label").to_numpy(), found.column("least").to_numpy()
+    vocabulary = pc.unique(listed.flatten())
+    vocabulary = vocabulary.take(pc.sort_indices(vocabulary))
+    number = pc.index_in(listed.flatten(), value_set=vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.r_[0, np.cumsum(pc.list_value_length(listed).to_numpy(zero_copy_only=False))].astype(np.int64)
+    often = many.flatten().to_numpy(zero_copy_only=False).astype(float)
+    words = [number[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    once = sorted({(label, x): k for k, (label, x) in reversed(list(enumerate(zip(labels_.tolist(), least.tolist(), strict=True))))}.values())
+    names = vocabulary.to_pylist()
+    stems, stem_of = speaking(names, labels_[once], [words[k] for k in once])
+    size = len(names) + len(stems)
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast({t: n for n, t in enumerate(terms)})
+    known = spark.sparkContext.broadcast(({w: n for n, w in enumerate(names)}, {t: len(names) + n for n, t in enumerate(stems)}))
+    del found, listed, many, vocabulary, names
 
     def frequency(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n, read = Counter(), 0, Terms(known.value)
+        counts, n, read = Counter(), 0, Terms(*known.value)
         for b in parts:
             for t in b.column(0).to_pylist():
                 counts.update(read.distinct(t))
                 n += 1
         yield pa.record_batch([pa.array([-1, *counts], pa.int32()), pa.array([n, *counts.values()], pa.int64())], names=["term", "n"])
 
-    df = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    read = Terms({t: n for n, t in enumerate(terms)})
-    examples = [(r["doc_id"], r["label"], read.counts({bytes(w): c for w, c in zip(r["words"], r["n"], strict=True)})[0]) for r in found]
-    model = Model(terms, np.array([df.get(t, 0) for t in range(len(terms))], float), df.get(-1, 0), examples)
+    seen = texts.select("text").mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(size + 1)  # its last place is that of term -1, the number of documents
+    df[seen.column("term").to_numpy()] = seen.column("n").to_numpy()
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+
+    def counted(k: int) -> tuple[np.ndarray, np.ndarray]:
+        own, n = words[k], often[cuts[k] : cuts[k + 1]]
+        at = stem_of[own]
+        hits = np.bincount(at[at >= 0], np.repeat(n, len(STEMS)).reshape(at.shape)[at >= 0], len(stems)) if len(stems) else np.zeros(0)
+        extra = np.flatnonzero(hits)
+        return np.concatenate([own, extra + size - len(stems)]), np.concatenate([n, hits[extra]])
+
+    model = Model(idf, math.log(1 + df[-1]) + 1, ids, labels_.tolist(), [counted(k) for k in range(len(ids))])
     sent = spark.sparkContext.broadcast(model)
 
     def leave_out(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(*known.value)
         for b in parts:
-            ids, own = b.column(0).to_pylist(), b.column(1).to_pylist()
-            near = sent.value.near(b.column(2).to_pylist())
-            votes = [sent.value.vote(*n, sent.value.of[i], label) if len(n[1]) else None for i, label, n in zip(ids, own, near, strict=True)]
+            near = sent.value.near(terms, b.column(2).to_pylist())
+            votes = [sent.value.vote(*n, sent.value.of[i], label) if len(n[1]) else None for i, label, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), near, strict=True)]
             yield pa.record_batch([pa.array(votes, pa.float64()), b.column(1)], names=["vote", "label"])
 
-    spread = max(1, min(64, -(-len(found) // 100)))
+    spread = max(1, min(64, -(-len(ids) // 100)))
     model.calibrate([(r["vote"], r["label"]) for r in rows.repartition(spread).mapInArrow(leave_out, "vote double, label int").where("vote is not null").collect()])
+    sent.unpersist()
     dropped(rows)
-    return model
+    return model, known
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, model: Model, known: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, score, cosine of the nearest entry, evidence (ids of the nearest examples).
 
     Null, empty and wordless texts, and texts of none of the examples' words, get the base rate, drawn to that of empty
@@ -337,8 +349,9 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(*known.value)
         for b in parts:
-            out = sent.value.scores(b.column(1).to_pylist())
+            out = sent.value.scores(terms, b.column(1).to_pylist())
             yield pa.record_batch([b.column(0), pa.array([s for s, _, _ in out], pa.float64()), pa.array([c for _, _, c in out], pa.float64()), pa.array([e for _, e, _ in out], pa.list_(pa.int64()))], names=["doc_id", "score", "cosine", "evidence"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double, cosine double, evidence array<long>")
@@ -346,5 +359,5 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def op2(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's columns, and cosine and evidence; `train` and `scored` say what becomes of odd rows."""
-    out = scored(docs, train(docs, labels))
+    out = scored(docs, *train(docs, labels))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), "cosine", "evidence")
