@@ -42,12 +42,18 @@ def places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return _sources(docs, id_col, text_col).select("id", "th", F.explode(hashed).alias("w")).select("id", "th", "w.*")
 
 
+def meet(every: DataFrame, first: DataFrame) -> DataFrame:
+    """The windows of `places` that aren't the first of their kind; first(h1, h2, first)."""
+    place = F.struct("id", "th", "pos")
+    return every.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("id", "th", "pos")
+
+
 def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, starts): sorted positions of a document's windows that stand somewhere earlier too."""
     every = written(places(docs, id_col, text_col))
     place = F.struct("id", "th", "pos")
     first = written(every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    later = written(every.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("id", "th", "pos"))
+    later = written(meet(every, first))
     dropped(every, first)
     return later.groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
 

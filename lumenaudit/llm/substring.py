@@ -62,12 +62,18 @@ def units(docs: DataFrame, unit: str = "sentence", id_col: str = "doc_id", text_
     return picked.mapInArrow(run, "doc_id long, th long, k int, a int, b int, h1 long, h2 long")
 
 
+def meet(every: DataFrame, first: DataFrame) -> DataFrame:
+    """The units of `units` that aren't the first of their kind; first(h1, h2, first)."""
+    place = F.struct("doc_id", "th", "a")
+    return every.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "th", "k", "a", "b")
+
+
 def repeats(docs: DataFrame, unit: str = "sentence", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, later): per document, sorted structs (k, a, b) of the units that stand somewhere earlier."""
     every = written(units(docs, unit, id_col, text_col))
     place = F.struct("doc_id", "th", "a")
     first = written(every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    later = written(every.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "th", "k", "a", "b"))
+    later = written(meet(every, first))
     dropped(every, first)
     return later.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("k", "a", "b"))).alias("later"))
 

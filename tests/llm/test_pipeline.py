@@ -61,3 +61,29 @@ def test_stages(spark, sf_dir):
 @pytest.mark.parametrize("k", range(5))
 def test_stage_of_nothing(spark, sf_dir, k):
     assert corpus_pipeline.STAGES[k][1](spark, documents(spark, sf_dir).limit(0), sf_dir).count() == 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, epoch int, words string, lines int, cuts int, spans int, hash int, quality double, gone string, left string, hit_id long"
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stage_of_odd_rows(spark, sf_dir, k):
+    """Nulls, empty and long texts, repeated ids and rows, ties, and columns whose names the stages might use."""
+    name, stage = corpus_pipeline.STAGES[k]
+    prose = [r["text"] for r in documents(spark, sf_dir).where("lang = 'en' and length(text) > 400 and not contains(text, '!!')").limit(12).collect()]
+    texts = [*prose, prose[0], prose[0] + " more", None, "", "  \n ", "Word. " * 30_000, "\n".join(["Same line here."] * 50)]
+    rows = [(n, t, "en", None if n % 5 == 0 else f"s{n % 3}") for n, t in enumerate(texts)] + [(2, prose[2], "en", "s1"), (2, prose[3], "en", "s1"), (None, prose[4], None, None), (None, None, None, None)]
+    docs = spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), 1, "w", 1, 2, 3, 4, 0.5, "g", "l", 7) for r in rows], ODD)
+    out = written(stage(spark, docs, sf_dir))
+    assert out.columns[: len(docs.columns)] == docs.columns
+    assert out.columns[len(docs.columns) :] == (["_epoch", "_words"] if k == 4 else [])
+    if k == 4:
+        assert all(r["_words"] == len(r["text"].split()) and r["n_chars"] == len(r["text"]) for r in out.collect())
+    else:
+        assert 10 <= out.count() <= docs.count()
+        kept = {(r["doc_id"], r["text"]) for r in out.collect()}
+        own = {(r[0], r[1]) for r in rows}
+        if k in (0, 2):
+            assert kept <= own
+        if k == 2:
+            assert not {(12, prose[0]), (13, prose[0] + " more")} & kept and (None, None) in kept
