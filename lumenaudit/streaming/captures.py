@@ -13,24 +13,30 @@ from ..schema import CAPTURE, EXTERNAL_SIGNALS, PAGE_SIGNALS, SITE_SIGNALS, stru
 from ..sources import html
 
 
+#: Parts of a batch's signals, by audit.
+BUCKETS = 64
+
+
 def read(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """Captures from Parquet files that appear in a folder."""
     return spark.readStream.schema(struct(CAPTURE)).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 def start(captures: DataFrame, signals_path: str, checkpoint: str, scored: Callable[[DataFrame, int], None], available_now: bool = False) -> StreamingQuery:
-    """Appends page signals to a table, partitioned by batch, and hands the scores of the touched audits to `scored`.
+    """Appends page signals to a table, partitioned by batch and audit bucket, and hands the scores of the touched audits to `scored`.
 
     A batch that runs again replaces its own partition, so each capture counts once. Of captures of one URL the latest
-    batch counts.
+    batch counts. A batch reads the buckets of the audits it touches, of all batches, and no others.
     """
 
     def batch(df: DataFrame, n: int) -> None:
         spark = df.sparkSession
-        html.extract(df).write.mode("overwrite").parquet(f"{signals_path}/batch={n}")
-        every = spark.read.schema(struct(f"{PAGE_SIGNALS}, batch bigint")).parquet(signals_path)
-        touched = every.where(F.col("batch") == n).select("audit_id").distinct()
-        latest = every.join(touched, "audit_id", "left_semi").groupBy("audit_id", "url").agg(F.max_by(F.struct(*(c for c in every.columns if c not in ("audit_id", "url", "batch"))), "batch").alias("s")).select("audit_id", "url", "s.*")
+        bucket = F.pmod(F.xxhash64("audit_id"), F.lit(BUCKETS)).cast("int")
+        html.extract(df).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{signals_path}/batch={n}")
+        every = spark.read.schema(struct(f"{PAGE_SIGNALS}, batch bigint, bucket int")).parquet(signals_path)
+        touched = every.where(F.col("batch") == n).select("audit_id", "bucket").distinct()
+        own = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # as many as there are buckets, at most
+        latest = every.where(F.col("bucket").isin(own)).join(touched.select("audit_id"), "audit_id", "left_semi").groupBy("audit_id", "url").agg(F.max_by(F.struct(*(c for c in every.columns if c not in ("audit_id", "url", "batch", "bucket"))), "batch").alias("s")).select("audit_id", "url", "s.*")
         results = rules.evaluate(latest, spark.createDataFrame([], struct(SITE_SIGNALS)), spark.createDataFrame([], struct(EXTERNAL_SIGNALS)))
         scored(scoring.report(results), n)
 

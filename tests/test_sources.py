@@ -15,7 +15,7 @@ from lumenaudit.functions import text, urls
 from lumenaudit.operators import prompts, sinks
 from lumenaudit.plans import audit
 from lumenaudit.plans.config import settings as config
-from lumenaudit.sources import connectors, crawl, discovery, html
+from lumenaudit.sources import connectors, crawl, discovery, fetching, html
 from lumenaudit.streaming import captures as streaming
 
 PAGE = """<!doctype html><html lang="en"><head><title> Blue Widgets | Acme </title>
@@ -135,6 +135,65 @@ def test_crawl(spark):
     assert crawl.crawl(frontier, fetched, edges, max_depth=0).count() == 1
 
 
+def test_frontier(spark):
+    sites = spark.createDataFrame([("a", "A.example", "User-agent: *\nDisallow: /x\nSitemap: https://a.example/m.xml"), ("b", "https://b.example/", "User-agent: *\nDisallow: /"), ("c", "c.example", None), ("d", "//", None)], "audit_id string, home string, robots_txt string")
+    locs = lambda *u: ("<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in u) + "</urlset>").encode()
+    files = spark.createDataFrame([("a", "https://a.example/m.xml", locs("https://a.example/2", "https://a.example/x/1", "https://a.example/", "https://o.example/"), None), ("a", "https://a.example/sitemap.xml", locs("https://a.example/1"), None), ("b", "https://b.example/sitemap.xml", locs("https://b.example/1"), None)], "audit_id string, url string, content binary, content_type string")
+    got = discovery.frontier(sites, files).orderBy("audit_id", "place").collect()
+    assert [(r["audit_id"], r["url"]) for r in got] == [("a", "https://a.example/"), ("a", "https://a.example/1"), ("a", "https://a.example/2"), ("c", "https://c.example/")]
+    assert discovery.frontier(sites, files, respect_robots=False).count() == 7
+
+
+def test_agents_by_name():
+    r = discovery.Robots("User-agent: bot\nDisallow: /\n\nUser-agent: GPTBot\nAllow: /")
+    assert r.can_fetch("https://a.example/x", "GPTBot/1.0") and r.can_fetch("https://a.example/x", "CCBot") and not r.can_fetch("https://a.example/x", "bot/2")
+
+
+def test_fetch_wave(spark):
+    def get(url):
+        if url.endswith("/gone"):
+            return None
+        if url.endswith("/broken"):
+            raise OSError("no answer")
+        return {"final_url": url + "/", "status_code": 201, "html": "<p>x</p>"}
+
+    wave = spark.createDataFrame([("a", "https://a.example/1", None), ("a", "https://a.example/gone", None), ("a", "https://a.example/broken", None), ("b", "https://b.example/1", 0.01), ("b", "https://b.example/2", 0.01), ("c", "http://127.0.0.1/", None)], "audit_id string, url string, crawl_delay double")
+    got = fetching.fetch_wave(wave, get, sleep=lambda s: None).collect()
+    assert sorted((r["final_url"], r["status_code"]) for r in got) == [("https://a.example/1/", 201), ("https://b.example/1/", 201), ("https://b.example/2/", 201)]
+
+
+def test_search_pages(spark):
+    held = [{"keys": [f"q{k}"], "clicks": k, "impressions": 2 * k, "ctr": 0.5, "position": 3.0} for k in range(250)]
+
+    def query(site, body):
+        if site != "https://a.example/" or body["dimensions"] == ["page"] and body["startRow"]:
+            return None
+        return {"rows": held[body["startRow"] : body["startRow"] + body["rowLimit"]]}
+
+    rows = [("a", "a.example", "current", d, "2026-01-01", "2026-03-31") for d in ("query", "page")] + [("b", "b.example", "current", "query", "2026-01-01", "2026-03-31")]
+    asked = spark.createDataFrame(rows, "audit_id string, domain string, period string, dimension string, start_date string, end_date string")
+    n = lambda **more: {(r["audit_id"], r["dimension"]): r["count"] for r in connectors.search_rows(fetching.search_pages(asked, query, **more)).groupBy("audit_id", "dimension").count().collect()}
+    assert n() == {("a", "query"): 250}
+    assert n(max_rows=120) == {("a", "query"): 120}
+    assert [r["p"][0] for r in spark.range(1).select(fetching.properties(F.lit("a.b")).alias("p")).collect()] == ["sc-domain:a.b"]
+
+
+def test_resources(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "sitemap.xml").write_bytes(b"<urlset><url><loc>https://a.example/</loc></url></urlset>")
+    r = fetching.resources(spark, str(tmp_path))
+    parsed = discovery.sitemaps(r.select(F.lit("a").alias("audit_id"), "url", "content", "content_type")).first()
+    assert parsed["valid"] and parsed["locs"] == ["https://a.example/"]
+
+
+def test_windows_of_days(spark):
+    days = spark.createDataFrame([("a", f"2026-01-{d:02d}", "q", 1, 10 * d, float(d)) for d in range(1, 12)], "audit_id string, day string, key string, clicks int, impressions int, position double")
+    got = {r["period"]: (r["clicks"], round(r["position"], 3)) for r in connectors.search_windows(days, F.lit("2026-01-11"), 3).collect()}
+    assert got == {"current": (4, round((64 + 81 + 100 + 121) / 38, 3)), "previous": (4, round((25 + 36 + 49 + 64) / 26, 3))}
+    with pytest.raises(ValueError):
+        connectors.search_windows(days, F.lit("2026-01-11"), 481)
+
+
 def test_urls(spark):
     cases = {"www.example.com/x": "example.com", "blog.example.com": "example.com", "https://shop.example.co.uk/": "example.co.uk", "": None, "//": None}
     df = spark.createDataFrame([(k,) for k in cases], "u string")
