@@ -90,6 +90,18 @@ def test_simhash_blocks_miss_nothing():
             assert any(x & int(m) == y & int(m) for m in masks)
 
 
+def test_simhash_splits_buckets(spark):
+    """Fingerprints that share sixteen bits get keys of more blocks, and still none within the distance is missed."""
+    r = np.random.default_rng(6)
+    base = [0xABCD000000000000 | int(x) for x in r.integers(0, 2**48, 200)]
+    prints = sorted({p ^ sum(1 << int(b) for b in r.choice(48, int(r.integers(0, 4)), replace=False)) for p in base for _ in range(3)})
+    groups = spark.createDataFrame([(p.to_bytes(8, "big"), k) for k, p in enumerate(prints)], "fp binary, rep long")
+    few, many = simhash.tables_for(groups, 3), simhash.tables_for(groups, 3, bucket=100)
+    assert simhash.largest_bucket(groups, few) == len(prints) > simhash.largest_bucket(groups, many) and len(many) > len(few)
+    parts = lambda masks: {(x["a"], x["b"]) for x in roots(simhash.links(groups, 3, masks)).collect()}
+    assert parts(few) == parts(many) != set()
+
+
 def test_simhash_large_bucket():
     r = np.random.default_rng(2)
     base = r.integers(0, 2**63, 4, dtype=np.uint64)
