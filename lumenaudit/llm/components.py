@@ -24,13 +24,14 @@ def roots(links: DataFrame) -> DataFrame:
     sign = _signature(now)
     while sign[0]:
         # small star: a's smaller neighbours, and a, go to the smallest of them
-        low = written(now.groupBy("a").agg(F.min("b").alias("m")))
+        n = sign[0]
+        low = written(now.groupBy("a").agg(F.min("b").alias("m")), n)
         met = now.join(low, "a")
-        small = written(low.select("a", F.col("m").alias("b")).union(met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
+        small = written(low.select("a", F.col("m").alias("b")).union(met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), n)
         # large star: a node's larger neighbours go to the smallest of all its neighbours and itself
         both = small.union(small.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        then = written(both.join(best, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        best = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), 2 * n)
+        then = written(both.join(best, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), n)
         after = _signature(then)
         dropped(low, small, best, now)
         now = then

@@ -40,6 +40,8 @@ BUCKET = 50_000
 NEAR = (4, 5)
 #: Lanes of the fingerprints that find them, lanes that travel with a key, and bits of those that may differ.
 NEAR_LANES, NEAR_HEAD, NEAR_DISTANCE = 8, 2, 38
+#: Bits of all lanes that may differ, where all candidates of a component are compared: three deviations above the mean at NEAR.
+NEAR_WHOLE = 103
 #: Chance that a pair at that similarity meets in no block.
 NEAR_MISS = 0.01
 #: Of sets up to this size the smallest hashes are keys too: the bits of so few shingles follow no angle.
@@ -196,11 +198,12 @@ def _links(key: np.ndarray, fp: np.ndarray, distance: int, middle: bool = False)
     return found
 
 
-def _pairs(key: np.ndarray, fp: np.ndarray, top: np.ndarray, size: np.ndarray, shared: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(key: np.ndarray, fp: np.ndarray, top: np.ndarray, size: np.ndarray, shared: np.ndarray, table: np.ndarray, masks: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of different tops within the distance, by index, among rows sorted by key; as many at a time as there are rows.
 
     size and shared: of a set of shingles, and how many of them any other set has. Two sets have no more in common than
-    the smaller `shared`, so pairs that cannot reach NEAR by it are left out.
+    the smaller `shared`, so pairs that cannot reach NEAR by it are left out. A pair that meets in several tables comes
+    from the first of them (a key of another kind, table -1, is the last).
     """
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     ends = np.r_[starts[1:], len(key)]
@@ -210,7 +213,11 @@ def _pairs(key: np.ndarray, fp: np.ndarray, top: np.ndarray, size: np.ndarray, s
         hit = at[top[at] != top[at + step]]
         hit = hit[np.minimum(shared[hit], shared[hit + step]) * sum(NEAR) >= (size[hit] + size[hit + step]) * NEAR[0]]
         hit = hit[_apart(fp[hit], fp[hit + step]) <= distance]
-        if len(hit):
+        apart = fp[hit] ^ fp[hit + step]
+        new = np.ones(len(hit), bool)
+        for t, mask in enumerate(masks):
+            new &= ((table[hit] >= 0) & (table[hit] <= t)) | np.any(apart & mask, axis=1)
+        if (hit := hit[new]).size:
             yield hit, hit + step
         step += 1
         at = at[at + step < end[at]]
@@ -241,14 +248,15 @@ def _by_key(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def links(groups: DataFrame, distance: int, masks: np.ndarray, head: int | None = None, every: bool = False) -> DataFrame:
     """groups(fp, rep). (a, b) of reps, enough of them that fingerprints within the distance are connected.
 
-    head: compare only so many lanes, which is all that travels. every: all pairs whose column `top` differs and whose
+    head: compare only so many lanes, which is all that travels, by default all. every: all pairs whose column `top` differs and whose
     columns `size` and `shared` allow it (see `_pairs`), not only those that connect.
     A column `low` of groups holds further keys by which a row meets others.
     """
     lanes = masks.shape[1]
     head = head or lanes
     low = ["low"] if "low" in groups.columns else []
-    extra = ["top", "size", "shared"] if every else []
+    carry = ["top", "size", "shared"] if every else []
+    extra = [*carry, "table"] if every else []
     names = ["key", *(f"f{k}" for k in range(head)), "rep", *extra]
 
     def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,17 +264,18 @@ def links(groups: DataFrame, distance: int, masks: np.ndarray, head: int | None
             if not b.num_rows:
                 continue
             words = np.frombuffer(b"".join(b.column(0).to_pylist()), ">u8").reshape(-1, lanes).astype(np.uint64)
-            carried = [*(pa.array(words[:, k].view(np.int64) if lanes == 1 else np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(head)), b.column(1), *(b.column(1 + k + len(low)) for k in range(1, len(extra) + 1))]
+            carried = [*(pa.array(words[:, k].view(np.int64) if lanes == 1 else np.ascontiguousarray(words[:, k]).view(np.int64)) for k in range(head)), b.column(1), *(b.column(1 + k + len(low)) for k in range(1, len(carry) + 1))]
+            in_table = lambda t, n: [pa.array(np.full(n, t, np.int64))] if every else []
             if low:
                 at = pc.list_parent_indices(b.column(2))
-                yield pa.record_batch([pc.list_flatten(b.column(2)), *(x.take(at) for x in carried)], names=names)
+                yield pa.record_batch([pc.list_flatten(b.column(2)), *(x.take(at) for x in carried), *in_table(-1, len(at))], names=names)
             for t, mask in enumerate(masks):
                 own = words & mask
                 with np.errstate(over="ignore"):
                     key = np.full(len(own), t + 1, np.uint64)
                     for k in range(lanes):  # a table's key is a hash of its number and the masked bits
                         key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ own[:, k] ^ (key >> np.uint64(29))
-                yield pa.record_batch([pa.array(key.view(np.int64)), *carried], names=names)
+                yield pa.record_batch([pa.array(key.view(np.int64)), *carried, *in_table(t, len(own))], names=names)
 
     def link(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forest = _Forest()
@@ -274,12 +283,12 @@ def links(groups: DataFrame, distance: int, masks: np.ndarray, head: int | None
             fp = np.stack([pdf[f"f{k}"].to_numpy(np.int64).view(np.uint64) for k in range(head)], axis=1)
             key, rep = pdf["key"].to_numpy(np.int64), pdf["rep"].to_numpy(np.int64)
             if every:
-                yield from (pd.DataFrame({"a": rep[i], "b": rep[j]}) for i, j in _pairs(key, fp, *(pdf[c].to_numpy(np.int64) for c in extra), distance))
+                yield from (pd.DataFrame({"a": rep[i], "b": rep[j]}) for i, j in _pairs(key, fp, *(pdf[c].to_numpy(np.int64) for c in extra), masks, distance))
                 continue
             pairs = [p for i, j in _links(key, fp, distance, head < lanes) if forest.add(*(p := (int(rep[i]), int(rep[j]))))]
             yield pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
-    dealt = groups.select("fp", "rep", *low, *(F.col(c).cast("long") for c in extra)).where("rep is not null").mapInArrow(deal, ", ".join(f"{n} long" for n in names))
+    dealt = groups.select("fp", "rep", *low, *(F.col(c).cast("long") for c in carry)).where("rep is not null").mapInArrow(deal, ", ".join(f"{n} long" for n in names))
     return dealt.repartition("key").sortWithinPartitions("key").mapInPandas(link, "a long, b long")
 
 
@@ -379,21 +388,22 @@ def near_links(docs: DataFrame, groups: DataFrame, shingle: int) -> DataFrame:
     groups = groups.where("rep is not null")
     masks = sliced_tables(64 * NEAR_LANES, groups.count())
     found = written(links(groups, NEAR_DISTANCE, masks, NEAR_HEAD).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    n = found.count()
     whole = roots(found)
     ends = found.select(F.col("a").alias("rep")).union(found.select("b"))
-    members = written(_topped(ends.groupBy("rep").agg(F.count("*").alias("n")), whole, "rep", "part"))
+    members = written(_topped(ends.groupBy("rep").agg(F.count("*").alias("n")), whole, "rep", "part"), 2 * n)
     sets = written(_sets(docs, members.select(F.col("rep").alias("doc_id")), shingle))
     centre = members.groupBy("part").agg(F.max_by("rep", F.struct("n", -F.col("rep"))).alias("b"))
-    star = members.join(written(centre), "part").where("rep <> b").select(F.col("rep").alias("a"), "b")
-    good = written(_alike(sets, star))
+    star = members.join(written(centre, n), "part").where("rep <> b").select(F.col("rep").alias("a"), "b")
+    good = written(_alike(sets, star), 2 * n)
     up = roots(good)
     tops = _topped(members, up, "rep", "top")
-    apart = written(tops.groupBy("part").agg(F.min("top").alias("x"), F.max("top").alias("y")).where("x <> y").select("part"))
+    apart = written(tops.groupBy("part").agg(F.min("top").alias("x"), F.max("top").alias("y")).where("x <> y").select("part"), n)
     left = tops.join(apart, "part", "left_semi").join(_shared(sets), "rep").where(F.col("shared") * NEAR[1] >= F.col("size") * NEAR[0])
-    left = written(groups.join(left.select("rep", "top", "size", "shared"), "rep"))
+    left = written(groups.join(left.select("rep", "top", "size", "shared"), "rep"), 2 * n)
     if left.isEmpty():
         return up
-    more = written(links(left, NEAR_DISTANCE, masks, NEAR_HEAD, every=True).distinct())
+    more = written(links(left, NEAR_WHOLE, masks, every=True).distinct())
     out = roots(good.union(_alike(sets, more)))
     dropped(found, members, sets, good, apart, left, more, up, whole)
     return out
