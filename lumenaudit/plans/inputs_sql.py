@@ -82,6 +82,14 @@ SELECT pair_id, kind AS comparability, array_to_string(d, ' ') AS differences, C
 c AS (SELECT audit_id, count(*)::INT AS criteria, min(key) AS first_rule, round_even(coalesce(sum(weight::DOUBLE) FILTER ({r.MEASURED}), 0) / sum(weight::DOUBLE) FILTER (status <> 'not_applicable'), 4) AS coverage FROM r GROUP BY audit_id),
 o AS (SELECT audit_id, count(*)::INT AS issues, arg_min(key, {{'p': -priority, 'k': key}}) AS first_issue FROM q GROUP BY audit_id)
 SELECT audit_id, gs.score AS score_global, c.coverage, criteria, issues, first_rule, first_issue, ps.score AS seo FROM gs JOIN c USING (audit_id) JOIN o USING (audit_id) JOIN ps USING (audit_id) WHERE pillar = 'seo'""",
+        "markdown_reports": f"""{issue}, {r.pillars()}, {r.totals()},
+c AS (SELECT audit_id, round_even(coalesce(sum(weight::DOUBLE) FILTER ({r.MEASURED}), 0) / sum(weight::DOUBLE) FILTER (status <> 'not_applicable'), 4) AS coverage FROM r GROUP BY audit_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY priority DESC, key) AS rank FROM q),
+i2 AS (SELECT audit_id, string_agg('| ' || concat_ws(' | ', rank, key, severity, priority, bucket) || ' |', chr(10) ORDER BY rank) AS rows FROM k GROUP BY audit_id),
+p2 AS (SELECT audit_id, string_agg('| ' || concat_ws(' | ', pillar, score, coverage, measured, excluded) || ' |', chr(10) ORDER BY pillar) AS rows FROM ps GROUP BY audit_id)
+SELECT audit_id, '# Audit of ' || audit_id || chr(10) || chr(10) || 'Score: ' || gs.score || ', coverage ' || coverage || ' (' || CASE WHEN coverage >= 0.9 THEN 'complete' WHEN coverage >= 0.7 THEN 'substantial' WHEN coverage >= 0.4 THEN 'partial' ELSE 'insufficient' END || ')' || chr(10) || chr(10) || '## Pillars' || chr(10) || chr(10)
+  || '| pillar | score | coverage | measured | excluded |' || chr(10) || '|---|---|---|---|---|' || chr(10) || p2.rows || chr(10) || chr(10) || '## Issues' || chr(10) || chr(10) || '| rank | rule | severity | priority | bucket |' || chr(10) || '|---|---|---|---|---|' || chr(10) || coalesce(i2.rows, '') || chr(10) AS document
+FROM gs JOIN c USING (audit_id) JOIN p2 USING (audit_id) LEFT JOIN i2 USING (audit_id)""",
         "affected_by_issue": f"""{issue}, gone AS (SELECT audit_id, url FROM (SELECT *, min(url) OVER (PARTITION BY s) AS home FROM p) WHERE url <> home AND url NOT IN (SELECT {url_of('linked')} FROM p WHERE linked IS NOT NULL)),
 e AS (
   SELECT audit_id, 'meta.title' AS key, url, 10 AS most FROM p WHERE {title} < 80 UNION ALL SELECT audit_id, 'content.depth', url, 10 FROM p WHERE least(100.0, word_count::DOUBLE / 800 * 100) < 80 UNION ALL SELECT audit_id, 'links.orphans', url, 10 FROM gone UNION ALL

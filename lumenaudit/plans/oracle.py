@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import inputs_sql
+from . import inputs_sql, pages_sql
 from . import rules_sql as r
 from ..operators.prompts import STOP_WORDS
 from ..operators.scoring import EFFORT
@@ -206,4 +206,4 @@ FROM (SELECT pair_id, pillar FROM pairs, {r.PILLAR_TABLE}) g LEFT JOIN ps_left l
         "theme_topics": topics,
         "artifact_store": f"SELECT DISTINCT 'projects/' || {HOST} || '/runs/r1/html_raw/' || sha256(html) || '.html.gz' AS object_key, sha256(html) AS sha256, octet_length(encode(html))::BIGINT AS bytes FROM pages",
         "event_windows": "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS from_ts, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
-    } | inputs_sql.oracle_sql()
+    } | inputs_sql.oracle_sql() | pages_sql.oracle_sql()

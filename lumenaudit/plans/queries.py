@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import citation, compare, explorer, prompts, rules, scoring, sinks
+from ..schema import PILLARS
 from ..sources import connectors, crawl, discovery, html
 from ..streaming import captures as streaming
 from . import analogs, audit, inputs
 
 C = F.col
 #: Inputs written out, as SQL that both engines read.
-URLS = "VALUES ('example.com'), ('HTTP://Example.COM:80/a?b=1#c'), ('https://user:pw@www.shop.example.co.uk:8443/x'), ('https://blog.example.com.'), ('http://10.0.0.1/'), ('ftp://example.com/'), ('//'), (''), ('https://localhost/a'), ('http://[::1]/')"
 SERP = """VALUES ('a', 'q1', 'x.example', '{"ai_overview": {"references": [{"link": "https://www.y.example/1"}, {"title": "none"}, {"link": "https://blog.x.example/2", "title": "t"}]}}'), ('a', 'q2', 'x.example', '{"ai_overview": {"sources": [{"url": "https://y.example/"}]}}'), ('a', 'q3', 'x.example', '{"organic": []}'), ('b', 'q1', 'z.example', 'not json')"""
 SPEED = """VALUES ('a', '{"loadingExperience": {"metrics": {"LARGEST_CONTENTFUL_PAINT_MS": {"percentile": 2300}, "CUMULATIVE_LAYOUT_SHIFT_SCORE": {"percentile": 5}}}, "lighthouseResult": {"categories": {"performance": {"score": 0.91}}}}'), ('b', '{"loadingExperience": {}}'), ('c', 'broken')"""
 RANKS = """VALUES ('a', '{"response": [{"status_code": 200, "page_rank_decimal": 4.5}]}', '{"tasks": [{"result": [{"domain_rank": 431}]}]}', NULL), ('b', '{"response": [{"status_code": 404, "page_rank_decimal": 9}]}', '{"tasks": []}', '{"tasks": [{"result": [{"items": [{"metrics": {"organic": {"etv": 999, "count": 3}}}]}]}]}'), ('c', '{}', NULL, NULL), ('d', NULL, NULL, '{}')"""
@@ -60,8 +60,14 @@ def page_rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def site_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole audit of every host of the page table."""
-    return audit.run(crawl.captures(_table(spark, sf_dir, "pages"))).scores
+    """The whole audit of every host of the page table: global score, coverage, and a column per pillar."""
+    scores = audit.run(crawl.captures(_table(spark, sf_dir, "pages"))).scores
+    return scores.select("audit_id", "score_global", "coverage", "coverage_label", *(F.element_at("pillars", p).alias(p) for p in sorted(PILLARS)))
+
+
+def page_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 67 rules of every host of the page table."""
+    return audit.run(crawl.captures(_table(spark, sf_dir, "pages"))).results.select("audit_id", "key", "score", "status")
 
 
 def host_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +76,20 @@ def host_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = _values(spark, URLS, "raw").withColumn("n", urls.normalized(C("raw")))
-    return u.select("raw", C("n.url").alias("url"), C("n.host").alias("host"), urls.registrable_domain(C("raw")).alias("domain"), urls.fetchable(C("raw")).alias("fetchable"))
+    """The pages' URLs in six odd forms, each normalised."""
+    p = _table(spark, sf_dir, "pages").select("page_id", "url", urls.host(C("url")).alias("h"), F.substring_index("url", "://", 1).alias("sch"))
+    rest = F.expr("substr(url, length(sch) + length(h) + 4)")
+    port = F.when(C("sch") == "https", ":443").otherwise(":80")
+    forms = (
+        F.concat(F.lit("  "), "url", F.lit("#f")),
+        F.concat("sch", F.lit("://"), F.upper("h"), rest),
+        F.concat("h", rest),
+        F.concat("sch", F.lit("://user:pw@"), "h", port, rest),
+        F.concat("sch", F.lit("://"), "h", F.lit(".:8443"), rest, F.lit("?x=1")),
+        F.concat(F.lit("ftp://"), "h"),
+    )
+    u = p.select("page_id", F.get(F.array(*forms), (C("page_id") % 6).cast("int")).alias("raw")).withColumn("n", urls.normalized(C("raw")))
+    return u.select("page_id", "raw", C("n.url").alias("url"), C("n.host").alias("host"), urls.registrable_domain(C("raw")).alias("domain"), urls.fetchable(C("raw")).alias("fetchable"))
 
 
 def crawl_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +105,16 @@ def crawl_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def robots_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "User-agent: *\\nDisallow: /private\\nAllow: /private/open\\nDisallow: /*.pdf$\\n\\nUser-agent: GPTBot\\nUser-agent: CCBot\\nDisallow: /\\nCrawl-delay: 2\\n"
-    sites = _values(spark, f"VALUES ('a', 'https://a.example/', '{text}', TRUE, 3), ('b', 'https://b.example/', NULL, FALSE, 0)", "audit_id, home, robots_txt, sitemap_valid, sitemap_url_count")
+    """Nations as sites with five kinds of robots.txt."""
+    n = _table(spark, sf_dir, "nation").select(C("n_nationkey").cast("int").alias("n"))
+    texts = (
+        F.lit(None).cast("string"),
+        F.lit("User-agent: GPTBot\nUser-agent: CCBot # both\nDisallow: /\nCrawl-delay: 2\n"),
+        F.lit("User-agent: *\nDisallow: /\n\nUser-agent: Google-Extended\nDisallow:\n"),
+        F.concat(F.lit("User-agent: *\nCrawl-delay: "), C("n").cast("string"), F.lit(".5\nDisallow: /private\nDisallow: /*.pdf$\n")),
+        F.lit("User-agent: claudebot\nDisallow: /*\nAllow: /x\n"),
+    )
+    sites = n.select(C("n").cast("string").alias("audit_id"), F.concat(F.lit("https://n"), C("n").cast("string"), F.lit(".example/")).alias("home"), F.get(F.array(*texts), C("n") % 5).alias("robots_txt"), (C("n") % 2 == 0).alias("sitemap_valid"), (C("n") * 3).alias("sitemap_url_count"))
     return discovery.site_signals(sites).withColumn("blocked_agent_bots", _joined("blocked_agent_bots"))
 
 
