@@ -165,6 +165,32 @@ def html_report(document: dict) -> str:
     )
 
 
+def pdf_report(document: dict, width: int = 92, height: int = 58) -> bytes:
+    """A report (the parsed JSON of one audit) as a PDF of plain text pages, width characters by height lines.
+
+    Characters beyond Windows-1252 become question marks; parentheses and backslashes are escaped.
+    """
+    cell = lambda x: "" if x is None else str(x)
+    lines = [f"Audit of {cell(document.get('audit_id'))}", "", f"Score {cell(document.get('score_global'))}, coverage {cell(document.get('coverage'))}", "", "Pillars"]
+    lines += [f"  {k:<6}{cell(v):>8}" for k, v in sorted((document.get("pillars") or {}).items())]
+    lines += ["", "Issues"] + [f"  {cell(i.get('rank')):>3}  {cell(i.get('key')):<28}{cell(i.get('severity')):<10}{cell(i.get('priority')):>6}  {cell(i.get('bucket'))}" for i in document.get("issues") or []]
+    lines = [part for line in lines for part in ([line[k : k + width] for k in range(0, len(line), width)] or [""])]
+    pages = [lines[k : k + height] for k in range(0, len(lines), height)]
+    quoted = lambda t: t.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)").encode("cp1252", "replace")
+    # Objects: catalog, page tree, font, then a page and its content for each page.
+    kids = b" ".join(b"%d 0 R" % (4 + 2 * k) for k in range(len(pages)))
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [%s] /Count %d >>" % (kids, len(pages)), b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding >>"]
+    for k, page in enumerate(pages):
+        text = b"BT /F1 9 Tf 12 TL 48 780 Td " + b" ".join(b"(%s) Tj T*" % quoted(t) for t in page) + b" ET"
+        objects += [b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (5 + 2 * k), b"<< /Length %d >>\nstream\n%s\nendstream" % (len(text), text)]
+    out, at = b"%PDF-1.4\n", []
+    for n, body in enumerate(objects, 1):
+        at.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, body)
+    table = b"".join(b"%010d 00000 n \n" % x for x in at)
+    return out + b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(at) + 1, table, len(at) + 1, len(out))
+
+
 def page_view(signals: DataFrame) -> DataFrame:
     """The page table of the dashboard: derived counts are null where a part is."""
     forms = F.try_element_at(C("aso.agent_usable_forms_detail"), F.lit("found"))

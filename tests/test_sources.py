@@ -298,6 +298,20 @@ def test_saved_signals_score_again(spark, sf_dir, tmp_path):
     assert sinks.load_report(spark, str(tmp_path), one).count() == 1
 
 
+def test_pdf_report():
+    import re
+
+    doc = {"audit_id": "a(b)\\é漢", "score_global": 51.2, "pillars": {"seo": 1.0}, "issues": [{"rank": k, "key": f"rule.{k}", "severity": "critical", "priority": 4.0, "bucket": "high"} for k in range(1, 130)]}
+    pdf = sinks.pdf_report(doc)
+    assert pdf.startswith(b"%PDF-1.4") and pdf.endswith(b"%%EOF\n") and pdf.count(b"/Type /Page ") == 3
+    assert b"(Audit of a\\(b\\)\\\\\xe9?) Tj" in pdf and b"rule.129" in pdf
+    start = int(re.search(rb"startxref\n(\d+)", pdf)[1])
+    assert pdf[start : start + 4] == b"xref"
+    for n, at in enumerate(re.findall(rb"(\d{10}) 00000 n", pdf), 1):  # every object stands where the table says
+        assert pdf[int(at) :].startswith(b"%d 0 obj" % n)
+    assert sinks.pdf_report({}).count(b"/Type /Page ") == 1
+
+
 def test_stored_artifacts(spark, tmp_path):
     from pyspark.sql import functions as F
 
