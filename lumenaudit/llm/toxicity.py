@@ -2,8 +2,8 @@
 
 Fitting. Of the labelled documents that may be learnt from, at most `FIT_ROWS` are taken by a hash of their id. Terms are
 all their words and, since a stem has many endings, those beginnings of words that stand in toxic examples far more often
-than chance allows (chi-square). Document frequencies are counted over all documents. A text is its TF-IDF vector over
-all its terms; a word that no example holds has no posting, but counts in the norm as one that no document holds.
+than chance allows (chi-square); terms that do weigh `BOOST` times as much. Document frequencies are counted over all
+documents. A text is its TF-IDF vector over all its terms; a word that no example holds has no posting, but counts in the norm as one that no document holds.
 Examples of equal vectors share an entry with their votes. Entries are sorted by their heaviest term and cut into
 blocks; a term's postings are stored block by block, with the block's largest weight (those of very common terms as
 rows of a matrix, which holds the same weights).
@@ -35,7 +35,9 @@ from .common import alnum_words, dropped, written
 
 #: Labelled documents that are learnt from, at most.
 FIT_ROWS = 4_000
-#: A beginning must stand in so many toxic examples and this share of them, exceed this chi-square, and be so many times
+#: How much more a term weighs that speaks for toxicity.
+BOOST = 3.0
+#: Such a term must stand in so many toxic examples and this share of them, exceed this chi-square, and be so many times
 #: likelier in them. Near copies of an example don't count again, or their every word would seem to speak for its label.
 LEAST_DF, LEAST_SHARE, LEAST_CHI2, LEAST_LIFT = 3, 0.02, 12.0, 2.5
 NEIGHBOURS, BLOCK = 24, 64
@@ -238,26 +240,30 @@ def held_out(c: Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def speaking(vocabulary: list[bytes], labels: np.ndarray, words: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
-    """Beginnings of words that speak for toxicity, of examples' labels and word numbers; and of each word their numbers, or -1."""
-    number: dict[bytes, int] = {}
-    of = np.full((len(vocabulary), len(STEMS)), -1, np.int32)
-    for w, word in enumerate(vocabulary):
-        for k, s in enumerate(beginnings(word)):
-            of[w, k] = number.setdefault(s, len(number))
-    held = np.zeros((2, len(number)))
-    for label, own in zip(labels.tolist(), words, strict=True):
-        found = np.unique(of[own])
-        held[label, found[found >= 0]] += 1
+def speaking(labels: np.ndarray, terms: list[np.ndarray], size: int) -> np.ndarray:
+    """Which terms speak for toxicity, of examples' labels and term numbers (each once; below 0 is none)."""
+    held = np.zeros((2, size))
+    for label, own in zip(labels.tolist(), terms, strict=True):
+        held[label, own[own >= 0]] += 1
     n1, n0 = float((labels == 1).sum()), float((labels == 0).sum())
     b, a = held
     n = n1 + n0
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / ((a + b) * (n - a - b + 1e-9) * n1 * n0)
         lift = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
-    chosen = (a >= max(LEAST_DF, LEAST_SHARE * n1)) & (chi2 >= LEAST_CHI2) & (lift >= LEAST_LIFT) & (n0 > 0)
+    return (a >= max(LEAST_DF, LEAST_SHARE * n1)) & (chi2 >= LEAST_CHI2) & (lift >= LEAST_LIFT) & (n0 > 0)
+
+
+def speaking_stems(vocabulary: list[bytes], labels: np.ndarray, words: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
+    """Beginnings of words that speak for toxicity, sorted, and of each word their numbers, or -1."""
+    number: dict[bytes, int] = {}
+    of = np.full((len(vocabulary), len(STEMS)), -1, np.int32)
+    for w, word in enumerate(vocabulary):
+        for k, s in enumerate(beginnings(word)):
+            of[w, k] = number.setdefault(s, len(number))
+    chosen = speaking(labels, [np.unique(of[own]) for own in words], len(number))
     names = np.array(list(number), object)[chosen] if len(number) else np.zeros(0, object)
-    rank = np.full(len(number) + 1, -1)
+    rank = np.full(len(number) + 1, -1)  # its last place is that of -1, no beginning
     rank[np.flatnonzero(chosen)[np.argsort(names)]] = np.arange(len(names))
     return sorted(names), rank[of]
 
@@ -296,7 +302,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, learn: C
     words = [number[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     once = sorted({(label, x): k for k, (label, x) in reversed(list(enumerate(zip(labels_.tolist(), least.tolist(), strict=True))))}.values())
     names = vocabulary.to_pylist()
-    stems, stem_of = speaking(names, labels_[once], [words[k] for k in once])
+    own = [words[k] for k in once]
+    stems, stem_of = speaking_stems(names, labels_[once], own)
+    boost = np.r_[np.where(speaking(labels_[once], own, len(names)), BOOST, 1.0), np.full(len(stems), BOOST)]
     size = len(names) + len(stems)
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(({w: n for n, w in enumerate(names)}, {t: len(names) + n for n, t in enumerate(stems)}))
@@ -313,7 +321,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, learn: C
     seen = texts.select("text").mapInArrow(frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(size + 1)  # its last place is that of term -1, the number of documents
     df[seen.column("term").to_numpy()] = seen.column("n").to_numpy()
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1) * boost
 
     def counted(k: int) -> tuple[np.ndarray, np.ndarray]:
         own, n = words[k], often[cuts[k] : cuts[k + 1]]

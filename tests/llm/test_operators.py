@@ -713,13 +713,15 @@ def test_toxicity_is_brute_force(spark):
     learnt = [(i, t) for i, t in labels if zlib.crc32(str(i).encode()) % 4 != 2]
     starts = lambda w: [w[:n] + "*" for n in (4, 5, 6) if len(w) >= n]
     n1, n0 = sum(t for _, t in learnt), sum(1 - t for _, t in learnt)
-    stems = set()
-    for s in {s for i, t in learnt if t for w in words[i] for s in starts(w)}:
-        a, b = (sum(any(s in starts(w) for w in words[i]) for i, t in learnt if t == label) for label in (1, 0))
+
+    def speaks(holds):
+        a, b = (sum(holds(i) for i, t in learnt if t == label) for label in (1, 0))
         chi2 = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / ((a + b) * (n1 + n0 - a - b + 1e-9) * n1 * n0)
-        if a >= max(3, 0.02 * n1) and chi2 >= 12 and (a + 0.5) / (n1 + 1) >= 2.5 * (b + 0.5) / (n0 + 1):
-            stems.add(s)
-    assert stems
+        return a >= max(3, 0.02 * n1) and chi2 >= 12 and (a + 0.5) / (n1 + 1) >= 2.5 * (b + 0.5) / (n0 + 1)
+
+    stems = {s for s in {s for i, t in learnt if t for w in words[i] for s in starts(w)} if speaks(lambda i, s=s: any(s in starts(w) for w in words[i]))}
+    loud = stems | {w for w in {w for i, t in learnt if t for w in words[i]} if speaks(lambda i, w=w: w in words[i])}
+    assert stems and loud - stems
     terms = {}
     for i, c in words.items():
         terms[i] = Counter(c)
@@ -729,7 +731,7 @@ def test_toxicity_is_brute_force(spark):
                     terms[i][s] += n
     df = Counter(t for c in terms.values() for t in c)
     known = {t for i, _ in learnt for t in terms[i]}
-    idf = lambda t: math.log((1 + len(rows)) / (1 + (df[t] if t in known else 0))) + 1
+    idf = lambda t: (math.log((1 + len(rows)) / (1 + (df[t] if t in known else 0))) + 1) * (3 if t in loud else 1)
     vectors = {}
     for i, c in terms.items():
         v = {t: (1 + math.log(n)) * idf(t) for t, n in c.items()}
