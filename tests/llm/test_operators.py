@@ -198,11 +198,6 @@ def windows_removed(docs):
     return out
 
 
-def unique_ids(docs):
-    """Without rows of one id and several texts, whose order isn't that of the brute force."""
-    return [d for d in docs if d[0] is not None and d[0] != 9 or d[0] == 9 and d[2] == "s1"]
-
-
 def test_line_windows_are_brute_force(spark):
     docs = [d for d in corpus() if not (d[0] == 9 and d[2] != "s1")]
     docs = [d for d in docs if d[0] != 9 or d[1] is not None]
@@ -216,6 +211,16 @@ def test_line_windows_are_brute_force(spark):
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in out.collect())
 
 
+def test_line_windows_of_one_id(spark):
+    """Texts of one id rank by their hashes: one of them keeps the shared lines, and equal rows are treated alike."""
+    shared = "one\ntwo\nthree\n"
+    docs = frame(spark, [(1, shared + "a"), (1, shared + "b"), (1, shared + "b"), (2, shared + "c"), (None, None), (3, "")])
+    got = sorted(((r["doc_id"], r["kept_text"]) for r in linewindows.op9(docs).collect()), key=repr)
+    assert got[-1] == (None, "") and got.count((2, "c")) == 1 and got.count((3, "")) == 1
+    first = [t for i, t in got if i == 1]
+    assert sorted(first) in (sorted([shared + "a", "b", "b"]), sorted(["a", shared + "b", shared + "b"]))
+
+
 def test_line_windows_need_no_python(spark):
     plan = linewindows.dedup(frame(spark, corpus(8)).withColumnsRenamed({"w": "lines", "id": "STARTS"}))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -589,15 +594,16 @@ def junky(n=400, seed=9):
 
 def test_quality(spark):
     rows = junky()
-    docs = frame(spark, [*rows, (5000, None), (5001, ""), (5002, "Short one."), (3, rows[3][1])])
+    docs = frame(spark, [*rows, (5000, None), (5001, ""), (5002, "Short one."), (3, rows[3][1]), (5003, " ".join(t for _, t in rows if "***" not in t) * 20), (5004, "spam! " * 60_000)])
     got = {r["doc_id"]: r for r in quality.op1(docs).collect()}
     right = sum(got[i]["keep"] == bool(i % 5) for i, _ in rows)
     assert right >= 0.95 * len(rows)
     assert sum(not got[i]["keep"] for i, _ in rows if i % 5) == 0
     assert {i: r["score"] for i, r in got.items()} == {r["doc_id"]: r["score"] for r in quality.op1(docs.repartition(5)).collect()}
+    assert not got[5004]["keep"]
     clash = docs.withColumnsRenamed({"w": "quality", "id": "_quality"})
     assert quality.kept(clash).columns == clash.columns
-    assert quality.kept(docs).count() == sum(got[i]["keep"] for i, _ in [*rows, (5000, 0), (5001, 0), (5002, 0), (3, 0)])
+    assert quality.kept(docs).count() == sum(got[i]["keep"] for i, _ in [*rows, *((i, 0) for i in (5000, 5001, 5002, 5003, 5004, 3))])
     assert quality.op1(frame(spark, [])).count() == 0
 
 
