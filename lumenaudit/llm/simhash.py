@@ -202,7 +202,7 @@ def _pairs(key: np.ndarray, fp: np.ndarray, top: np.ndarray, size: np.ndarray, s
     """Pairs of different tops within the distance, by index, among rows sorted by key; as many at a time as there are rows.
 
     size and shared: of a set of shingles, and how many of them any other set has. Two sets have no more in common than
-    the smaller `shared`, so pairs that cannot reach NEAR by it are left out. A pair that meets in several tables comes
+    the smaller `shared`, so pairs that cannot reach NEAR by it are left out. Short sets may differ in more bits. A pair that meets in several tables comes
     from the first of them (a key of another kind, table -1, is the last).
     """
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -212,7 +212,8 @@ def _pairs(key: np.ndarray, fp: np.ndarray, top: np.ndarray, size: np.ndarray, s
     while len(at):
         hit = at[top[at] != top[at + step]]
         hit = hit[np.minimum(shared[hit], shared[hit + step]) * sum(NEAR) >= (size[hit] + size[hit + step]) * NEAR[0]]
-        hit = hit[_apart(fp[hit], fp[hit + step]) <= distance]
+        short = np.minimum(size[hit], size[hit + step]) <= SHORT
+        hit = hit[_apart(fp[hit], fp[hit + step]) <= np.where(short, distance * 7 // 5, distance)]
         apart = fp[hit] ^ fp[hit + step]
         new = np.ones(len(hit), bool)
         for t, mask in enumerate(masks):
@@ -248,8 +249,8 @@ def _by_key(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def links(groups: DataFrame, distance: int, masks: np.ndarray, head: int | None = None, every: bool = False) -> DataFrame:
     """groups(fp, rep). (a, b) of reps, enough of them that fingerprints within the distance are connected.
 
-    head: compare only so many lanes, which is all that travels, by default all. every: all pairs whose column `top` differs and whose
-    columns `size` and `shared` allow it (see `_pairs`), not only those that connect.
+    head: compare only so many lanes, which is all that travels, by default all. every: all pairs whose column `top`
+    differs and whose columns `size` and `shared` allow it (see `_pairs`), not only those that connect.
     A column `low` of groups holds further keys by which a row meets others.
     """
     lanes = masks.shape[1]
@@ -295,11 +296,10 @@ def links(groups: DataFrame, distance: int, masks: np.ndarray, head: int | None
 def components(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) per row of docs; component_id is the smallest doc_id that links reach.
 
-    Fingerprints within the distance are all found.
-    Null or wordless texts share fingerprint zero and are linked like any other; texts are taken whole. A row whose doc_id is null gets the
-    component of its fingerprint, and null if no row with an id has that. Repeated rows come back as often as they are; ids that
-    repeat with different texts may come back with several components. An empty table gives an empty one; other columns
-    are not read.
+    Fingerprints within the distance are all found. Null or wordless texts share fingerprint zero and are linked like any
+    other; texts are taken whole. A row whose doc_id is null gets the component of its fingerprint, and null if no row with
+    an id has that. Repeated rows come back as often as they are; ids that repeat with different texts may come back with
+    several components. An empty table gives an empty one; other columns are not read.
     """
     fps = written(fingerprints(docs, shingle, 1, id_col, text_col))
     groups = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
