@@ -35,8 +35,13 @@ def spaced_words(text: bytes | None) -> list[bytes]:
     return text.translate(SPACED_TABLE).split() if text else []
 
 
-def ascii_lower(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
+def lower_for_ascii(c: Column) -> Column:
+    """A text whose words compare with lower-case ASCII words as if only A-Z were lower-cased.
+
+    `lower` is several times faster than `translate`, which looks up every character. It changes other letters too, but
+    into ASCII only the Kelvin sign; a text with one goes the slow way.
+    """
+    return F.when(c.contains("\u212a"), F.translate(c, UPPER, LOWER)).otherwise(F.lower(c))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BETWEEN, ascii_lower
+from .common import BETWEEN, lower_for_ascii
 
 FOUND = "array<struct<label:string,base:boolean,places:array<struct<start:bigint,share:double>>>>"
 #: Least share of a template's words that must stand in place.
@@ -76,7 +76,7 @@ TEMPLATES = (
 
 def words_of(text: Column) -> Column:
     """Split at what ALNUM leaves out, which is several times faster than extracting matches."""
-    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
+    return F.array_remove(F.split(lower_for_ascii(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def frequencies(docs: DataFrame, words: list[str], text_col: str = "text") -> dict[str, int]:

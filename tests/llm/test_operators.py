@@ -462,6 +462,7 @@ def test_licences(spark):
         (2, "Licensed under the Apache License, Version 2.0."),
         (11, "under the terms of the GNU General Public License version 3"),
         (12, "licensed under the Mozilla Public License v 2.0"),
+        (13, "MIT LICENSE, İSC ÉCOLE \u212aey mit\u0130license MIT license\u212a"),
     ]
     got = rows_of(licenses.op6(frame(spark, rows)), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
     want = []
