@@ -23,11 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df, written as Parquet into the shared folder and read again: computed once, and no lineage before it."""
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The rows of df, written as Parquet into the shared folder and read again: computed once, and no lineage before it.
+
+    rows: narrow rows that there are at most; they come in files of some 200,000, not in one per task.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(8 + rows // 200_000)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
