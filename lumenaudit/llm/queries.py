@@ -1,4 +1,4 @@
-"""The ten operators as queries: each over the whole of its table."""
+"""The operators as queries: each over the whole of its table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, linewindows, mixing, mtree, quality, simhash, substring, toxicity, warc
+from . import conversations, decontam, licenses, linewindows, mixing, mtree, negatives, quality, simhash, substring, tokenids, toxicity, warc
 from .common import documents, table
 
 
@@ -50,5 +50,19 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op10(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.op11(table(spark, sf_dir, "conversations"))
+
+
+def op12_tokenids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # where vocabularies are on this machine; the operator takes any file
+
+    return tokenids.op12(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.op13(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
