@@ -23,6 +23,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,16 @@ from .warc import arrow_uri
 
 #: A file ends with the document that passes this size. Keys of a bucket. Bytes that a reader fetches at once.
 FILE_BYTES, BUCKET, FETCH = 64 << 20, 100_000, 4 << 20
+#: Texts that are encoded at a time.
+TEXTS = 256
 #: Bits of a level per key that is left; smaller is more compact, larger needs fewer levels.
 GAMMA = 2.0
 MAGIC = b"MPHIDX01"
 #: Words whose ids an encoder keeps.
-KEPT = 400_000
-#: Where a text may be cut before it is encoded: at these spaces, and between a letter and such a mark. No token holds both.
-CUT = re.compile(r"[\t\n\r]|(?<=[A-Za-z])(?=[.,;:!?])")
+KEPT = 600_000
+#: Words of Latin letters alone, whatever their case, and marks that may follow one. No token holds letters and such a mark.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+MARKS = ".,;:!?"
 
 PLACES = "file int, start long, length long"
 
@@ -50,38 +54,89 @@ class Encoder:
     """Ids of whole texts, word by word, for tokenizers that drop white space: then a text's ids are those of its words.
 
     Whether the tokenizer does so is read from its normaliser and pre-tokenizer; others get whole texts. Words' ids are
-    kept in two generations of at most `KEPT` each, so that memory is bounded and frequent words stay.
+    kept in two generations of at most `KEPT` each, so that memory is bounded and frequent words stay. New words of
+    letters alone need no search for pieces, as each is one, which ends with the mark of a word's end: they are encoded
+    all at once.
     """
 
     def __init__(self, vocabulary: str, kind: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.kind, self.young, self.old = kind, {}, {}
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.by_word = by_words(vocabulary)
+        if self.by_word:
+            # ASCII letters in lower case stand for themselves; others are lowered and spelt byte by byte.
+            self.ascii, self.latin = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+            self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.latin.normalizer = normalizers.Lowercase()
+            self.latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            ids, mark = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+            self.ends = np.zeros(max(ids.values()) + 1, bool)
+            self.ends[[i for t, i in ids.items() if t.endswith(mark)]] = True
+            # Upper case may be lowered at once, but not where it could make the text of an added token.
+            self.added = [t.content[:1].encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+            self.marks = dict(zip(MARKS.encode(), self._encoded(list(MARKS)), strict=True))
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return self._encoded(texts)
-        words = [CUT.sub(" ", t).split(" ") for t in texts]
-        new = {w for ws in words for w in ws if w not in self.young}
-        if len(self.young) + len(new) > KEPT:
-            self.old, self.young = self.young, {}
-            new = {w for ws in words for w in ws}
+    def _letters(self, tokenizer, words: list[bytes]) -> None:
+        """Puts the ids of words of letters into the young generation."""
+        if words:
+            ids = np.array(tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.kind)
+            ends, raw = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist(), ids.tobytes()
+            self.young.update(zip(words, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Puts the ids of words into the young generation."""
         known = self.old.keys() & new
         self.young.update((w, self.old[w]) for w in known)
-        rest = list(new - known)
-        self.young.update(zip(rest, self._encoded(rest), strict=True))
-        return [b"".join(map(self.young.__getitem__, ws)) for ws in words]
+        plain, bodies, marked, rest = set(), set(), [], []
+        for w in new - known:
+            if w.isalpha() and w.islower():
+                plain.add(w)
+                continue
+            body = w[:-1] if w[-1] in self.marks else w
+            if body.isalpha() and body.islower():
+                plain.add(body)
+            elif LATIN.fullmatch(body.decode()):
+                bodies.add(body)
+            else:
+                rest.append(w)
+                continue
+            if len(body) < len(w):
+                marked.append((w, body))
+        self._letters(self.ascii, list(plain.difference(self.young)))
+        self._letters(self.latin, list(bodies.difference(self.young)))
+        self.young.update((w, self.young[body] + self.marks[w[-1]]) for w, body in marked)
+        self.young.update(zip(rest, self._encoded([w.decode() for w in rest]), strict=True))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of UTF-8 texts, as bytes."""
+        if not self.by_word:
+            return self._encoded([t.decode() for t in texts])
+        if len(self.young) > KEPT:
+            self.old, self.young = self.young, {}
+        words = [(t if any(a in t for a in self.added) else t.lower()).split() for t in texts]  # at ASCII white space
+        found = [list(map(self.young.get, ws)) for ws in words]
+        gaps = []
+        for ids, ws in zip(found, words, strict=True):
+            k = -1
+            for _ in range(ids.count(None)):
+                k = ids.index(None, k + 1)
+                gaps.append((ids, k, ws[k]))
+        self._learn({w for _, _, w in gaps})
+        for ids, k, w in gaps:
+            ids[k] = self.young[w]
+        return list(map(b"".join, found))
 
 
 def by_words(vocabulary: str) -> bool:
     """Whether no token of this tokenizer (its JSON) reaches over white space, or over a letter and a mark after it.
 
-    True of one kind only: it lower-cases, normalises, then keeps the matches of the pattern below, byte by byte.
+    True of one kind only: it lower-cases, normalises, then keeps the matches of the pattern below, byte by byte, and
+    marks where a word ends.
     """
     found = json.loads(vocabulary)
     normal, split = found.get("normalizer") or {}, found.get("pre_tokenizer") or {}
@@ -91,7 +146,7 @@ def by_words(vocabulary: str) -> bool:
     pattern = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
     cut = first["type"] == "Split" and first["pattern"] == pattern and first["behavior"] == "Removed" and first["invert"]
     marks = re.compile(r"\s|[A-Za-z][.,;:!?]")
-    return bool(plain and cut and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] for x in more) and not any(marks.search(x["content"]) or x["lstrip"] or x["rstrip"] or x["single_word"] for x in found.get("added_tokens", [])))
+    return bool(plain and cut and found["model"].get("end_of_word_suffix") and "Lowercase" in str(normal) and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] for x in more) and not any(marks.search(x["content"]) or x["lstrip"] or x["rstrip"] or x["single_word"] for x in found.get("added_tokens", [])))
 
 
 _ENCODERS: dict[tuple[int, str], Encoder] = {}
@@ -308,7 +363,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: st
     key = docs.schema[id_col].dataType.simpleString()
     order = [F.asc_nulls_last("key"), F.asc("row")]
     # The row number keeps apart what shares an id, so that no range grows with such a group.
-    placed = docs.select(F.col(id_col).alias("key"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    placed = docs.select(F.col(id_col).alias("key"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -329,9 +384,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: st
 
         for b in parts:
             keys, texts = b.column(0), b.column(2)
-            for s in range(0, b.num_rows, 64):  # a few texts at a time
+            for s in range(0, b.num_rows, TEXTS):
                 at = []
-                some = texts.slice(s, 64).to_pylist()
+                some = texts.slice(s, TEXTS).to_pylist()
                 keyed = keys.slice(s, len(some))
                 finished = []
                 for raw in encoder.encode(some):
@@ -350,7 +405,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: st
         if out is not None:
             yield closed(keys)
 
-    made = written(placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"key {key}, part int, seq int, row long, start long, length long, path string"))
+    encoded = placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"key {key}, part int, seq int, row long, start long, length long, path string")
+    made = written(encoded.repartition(docs.sparkSession.sparkContext.defaultParallelism))  # narrow rows, in a few files
     line = Window.orderBy("part", "seq")
     ahead = line.rowsBetween(Window.unboundedPreceding, -1)
     sums = lambda c: F.coalesce(F.sum(c).over(ahead), F.lit(0))

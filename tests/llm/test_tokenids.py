@@ -23,7 +23,7 @@ def frame(spark, rows):
 
 def texts():
     r = random.Random(1)
-    odd = ["", None, " \n\t ", "Élan É x\x1cy \x85 z w", "Don't stop. It's 3.5, (ok)! <|endoftext|> end", "a.b,c;d:e!f?g", "e.́ é. e;̸", "K. ΣΑΣ. İ!", "no\rcarriage\x0bfeed\x0cform", "日本語 テスト。", "x" * 3000 + ".", "A. " * 5000, "we'll've 'tis", "…?!?!.", "  　"]
+    odd = ["", None, " \n\t ", "Élan É x\x1cy \x85 z w", "Don't stop. It's 3.5, (ok)! <|endoftext|> end", "a.b,c;d:e!f?g", "e.́ é. e;̸", "K. ΣΑΣ. İ!", "no\rcarriage\x0bfeed\x0cform", "日本語 テスト。", "x" * 3000 + ".", "A. " * 5000, "we'll've 'tis", "Über ÀÉÎ ŉ Ǆ ɏ ×÷ naïve. œuvre, ß! İstanbul ſ Ωm K", "x.y. a.. b?! É. é,", "<|ENDOFTEXT|> UPPER <|endoftext|>", "LIKE This", "…?!?!.", "  　"]
     words = "".join(map(chr, [*range(33, 127), 0xE9, 0xDF, 0x301, 0x2019, 0x4E2D]))
     return odd + [" ".join("".join(r.choice(words) for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 60))) for _ in range(120)]
 
@@ -107,4 +107,4 @@ def test_encoder_generations(monkeypatch):
     some = [f"word{k % 13} other{k % 7}. end" for k in range(60)]
     tokenizer = Tokenizer.from_file(VOCABULARY)
     for t in some:
-        assert np.frombuffer(encoder.encode([t])[0], "<u2").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode([t.encode()])[0], "<u2").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
