@@ -40,9 +40,58 @@ def words(c: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda w: w != ""))
 
 
-def share(part: Column, whole: Column, digits: int = 2, factor: float = 100.0) -> Column:
-    """part / whole * factor, rounded half-even; null for an empty whole."""
-    return F.bround(F.try_divide(part.cast("double"), whole.cast("double")) * factor, digits)
+def rounded_sql(x: str, digits: int = 2) -> str:
+    """`rounded` of the SQL expression x, which is best a column, as it is named several times."""
+    return f"({cents_sql(x, digits)} / {float(10**digits)}D)"
+
+
+def cents_sql(x: str, digits: int = 2) -> str:
+    """The integer nearest to x * 10^digits, where x stands for exactly its binary value; ties go to the even one.
+
+    Products of a double's upper 26 bits and of its lower 27 by a power of ten are exact, so the sign of what x * 10^digits
+    is above or below a half can be told without error.
+    """
+    p, upper = f"{float(10**digits)}D", f"({x} * 134217729D - ({x} * 134217729D - {x}))"
+    low = f"floor({x} * {p})"
+    over = f"(({upper} * {p} - {low} - 0.5D) + ({x} - {upper}) * {p})"
+    return f"({low} + CASE WHEN {over} > 0 THEN 1 WHEN {over} < 0 THEN 0 ELSE pmod({low}, 2) END)"
+
+
+def rounded(c: Column, digits: int = 2) -> Column:
+    """The double nearest to c at so many digits, as Python's round gives it: 2.675 is below its middle, 0.125 a tie.
+
+    Spark's own functions round the shortest text of a double, where 2.675 is a tie.
+    """
+    # A function of one array entry, so that the expression of c stands in the plan once.
+    return F.get(F.transform(F.array(c.cast("double")), lambda x: _rounded(x, digits)), F.lit(0))
+
+
+def _rounded(x: Column, digits: int) -> Column:
+    p = F.lit(float(10**digits))
+    low = F.floor(x * p)
+    upper = x * 134217729.0 - (x * 134217729.0 - x)
+    over = (upper * p - low - 0.5) + (x - upper) * p
+    return (low + F.when(over > 0, 1).when(over < 0, 0).otherwise(F.pmod(low, F.lit(2)))) / p
+
+
+#: Doubles are summed in integers of this part.
+UNITS = float(1 << 50)
+
+
+def units(c: Column, size: float = UNITS) -> Column:
+    """A double (below 2^63 / size) in whole units, cut."""
+    return F.floor(c * size).cast("decimal(19,0)")
+
+
+def steady_sum(c: Column, size: float = UNITS, times: Column | None = None) -> Column:
+    """The sum of doubles, each in whole units, so that their order doesn't matter."""
+    whole = units(c, size)
+    return F.sum(whole if times is None else whole * times.cast("decimal(19,0)")).cast("double") / size
+
+
+def share(part: Column, whole: Column, factor: float = 100.0) -> Column:
+    """part / whole * factor, not rounded; null for an empty whole."""
+    return F.try_divide(part.cast("double"), whole.cast("double")) * factor
 
 
 def clamped(c: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .addresses import address, closed
+
 DEFAULT_PORTS = {"http": "80", "https": "443"}
 # Second-level suffixes below which a registrable domain has three labels.
 COMPOUND_SUFFIXES = (
@@ -117,12 +119,14 @@ def route_family(url: Column) -> Column:
     return F.coalesce(F.when(localized, F.get(segments, F.lit(1))).otherwise(F.get(segments, F.lit(0))), F.lit("root"))
 
 
+def local_name(name: Column) -> Column:
+    """Whether a host is a name of the inside: this machine, the local network, or the metadata service of a cloud."""
+    return name.isin("localhost", "metadata.goog", "metadata.google.internal") | name.rlike(r"\.(localhost|local|internal)$")
+
+
 def fetchable(url: Column) -> Column:
     """The part of the request guard that needs no name lookup: http or https, no user info, no local name, and no
-    private, loopback, link-local or reserved IPv4 literal, nor any IPv6 literal of those kinds."""
+    literal of an address that isn't public, however it is written."""
     name = F.regexp_replace(host(url), r"\.$", "")
-    local = name.isin("localhost", "metadata.google.internal") | name.rlike(r"\.(localhost|local|internal)$")
-    private4 = name.rlike(r"^(0|10|127)\.|^192\.168\.|^172\.(1[6-9]|2\d|3[01])\.|^169\.254\.|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|^192\.0\.[02]\.|^198\.(1[89]|51)\.|^203\.0\.113\.|^(22[4-9]|2[34]\d|25[0-5])\.") & name.rlike(r"^\d+\.\d+\.\d+\.\d+$")
-    private6 = name.rlike(r"^\[?(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*)\]?$")
     scheme = F.lower(part(url, "PROTOCOL"))
-    return F.coalesce(scheme.isin("http", "https") & part(url, "USERINFO").isNull() & (name != "") & ~local & ~private4 & ~private6, F.lit(False))
+    return F.coalesce(scheme.isin("http", "https") & part(url, "USERINFO").isNull() & (name != "") & ~local_name(name) & ~F.coalesce(closed(address(name)), F.lit(False)), F.lit(False))

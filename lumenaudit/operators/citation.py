@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, mentioned
+from ..functions.text import fold, mentioned, rounded, steady_sum
 from ..functions.urls import registrable_domain
 
 C = F.col
@@ -16,7 +16,7 @@ DATAFORSEO_CALL, DATAFORSEO_CALLS, SERP_PROBE, SERP_PROBES = 0.01, 2, 0.015, 3
 
 
 def _rate(part: Column, whole: Column) -> Column:
-    return F.coalesce(F.bround(F.try_divide(part.cast("double"), whole), 4), F.lit(0.0))
+    return F.coalesce(rounded(F.try_divide(part.cast("double"), whole), 4), F.lit(0.0))
 
 
 def prepared(responses: DataFrame, targets: DataFrame) -> DataFrame:
@@ -60,7 +60,8 @@ def metrics(ready: DataFrame) -> DataFrame:
     )
     sums = cells.groupingSets([[C("audit_id")], [C("audit_id"), C("engine")]], "audit_id", "engine").agg(
         *(F.sum(c).alias(c) for c in ("n", "retrieval", "cited", "mentions", "known", "hits", "rivals", "positions", "placed")),
-        F.avg(F.when(C("cited") > 0, C("cited") / C("retrieval"))).alias("confidence"),
+        steady_sum(F.when(C("cited") > 0, C("cited") / C("retrieval"))).alias("confidence"),
+        F.count_if(C("cited") > 0).alias("confident"),
         F.max("n").alias("repetitions"),
         F.count_distinct("prompt_id").alias("prompts"),
     )
@@ -72,9 +73,9 @@ def metrics(ready: DataFrame) -> DataFrame:
         _rate(C("cited"), C("retrieval")).alias("citation_rate"),
         _rate(C("mentions"), C("n")).alias("mention_rate"),
         F.when(closed > 0, _rate(C("known"), closed)).alias("knowledge_presence"),
-        F.coalesce(F.bround("confidence", 4), F.lit(0.0)).alias("citation_confidence"),
-        F.bround(F.try_divide(C("hits").cast("double"), C("hits") + C("rivals")), 4).alias("share_of_voice"),
-        F.bround(F.try_divide(C("positions").cast("double"), C("placed")), 2).alias("average_position"),
+        F.coalesce(rounded(F.try_divide(C("confidence"), C("confident")), 4), F.lit(0.0)).alias("citation_confidence"),
+        rounded(F.try_divide(C("hits").cast("double"), C("hits") + C("rivals")), 4).alias("share_of_voice"),
+        rounded(F.try_divide(C("positions").cast("double"), C("placed")), 2).alias("average_position"),
         "repetitions",
         "prompts",
     )
@@ -111,11 +112,11 @@ def run_costs(runs: DataFrame, prices: dict[str, tuple[float, float, float]] = P
     unit = F.create_map(*(F.lit(x) for e, (i, o, f) in sorted(prices.items()) for x in (e, float(tokens_in / 1e6 * i + tokens_out / 1e6 * o + f))))
     each = C("prompts") * C("repetitions")
     cost = F.transform("engines", lambda e: F.coalesce(F.try_element_at(unit, e), F.lit(0.0)) * each)
-    return runs.select("run_id", (each * F.size("engines")).cast("long").alias("calls"), F.bround(F.aggregate(cost, F.lit(0.0), lambda a, x: a + x), 4).alias("total_usd"))
+    return runs.select("run_id", (each * F.size("engines")).cast("long").alias("calls"), rounded(F.aggregate(cost, F.lit(0.0), lambda a, x: a + x), 4).alias("total_usd"))
 
 
 def audit_costs(settings: DataFrame) -> DataFrame:
     """settings(audit_id, connector): a line per paid or free connector that is on, and its worst-case cost."""
     calls = F.when(C("connector") == "dataforseo", DATAFORSEO_CALLS).when(C("connector") == "serpapi", SERP_PROBES).when(C("connector") == "llm_citation", 0).otherwise(1)
     unit = F.when(C("connector") == "dataforseo", DATAFORSEO_CALL).when(C("connector") == "serpapi", SERP_PROBE).otherwise(0.0)
-    return settings.distinct().select("audit_id", "connector", calls.alias("calls"), unit.alias("unit_usd"), F.bround(calls * unit, 4).alias("total_usd"))
+    return settings.distinct().select("audit_id", "connector", calls.alias("calls"), unit.alias("unit_usd"), rounded(calls * unit, 4).alias("total_usd"))

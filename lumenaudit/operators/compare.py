@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import rounded
 from ..schema import PILLARS
 from .scoring import PILLAR_WEIGHTS, global_scores, is_measured, scorecards
 
@@ -68,7 +69,7 @@ def criterion_deltas(results: DataFrame, pairs: DataFrame, common_only: bool = F
     """
     of = lambda c: [F.max(F.when(C("side") == s, C(c))).alias(f"{s}_{c}") for s in ("left", "right")]
     both = sided(results, pairs, common_only).groupBy("pair_id", "key").agg(*of("score"), *of("status"))
-    return both.select("pair_id", "key", "left_score", "right_score", F.bround(C("right_score") - C("left_score"), 2).alias("delta"), "left_status", "right_status")
+    return both.select("pair_id", "key", "left_score", "right_score", rounded(C("right_score") - C("left_score")).alias("delta"), "left_status", "right_status")
 
 
 def compare(results: DataFrame, pairs: DataFrame, recompute: bool, weights: dict[str, float] | None = None, deltas: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -84,7 +85,7 @@ def compare(results: DataFrame, pairs: DataFrame, recompute: bool, weights: dict
     wide = scored.groupBy(C("audit_id.pair_id").alias("pair_id")).agg(*(F.max(F.when(C("audit_id.side") == s, C("score"))).alias(f"{s}_global") for s in ("left", "right")), of("left", "scores"), of("right", "scores"))
     # A pair without common rules has no rows to score; it is compared at zero.
     both = pairs.select("pair_id").join(wide, "pair_id", "left").fillna(0.0, ["left_global", "right_global"])
-    delta = lambda a, b: (F.bround(b - a, 2) if deltas else F.lit(None).cast("double"))
+    delta = lambda a, b: (rounded(b - a) if deltas else F.lit(None).cast("double"))
     totals = both.select("pair_id", "left_global", "right_global", delta(C("left_global"), C("right_global")).alias("global_delta"), F.lit(recompute).alias("recomputed"))
     side = lambda s, k: F.coalesce(F.get(f"{s}_scores", F.lit(k))["score"], F.lit(0.0))
     each = F.explode(F.array(*(F.struct(F.lit(p).alias("pillar"), side("left", k).alias("left_score"), side("right", k).alias("right_score")) for k, p in enumerate(PILLARS))))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, mentioned
+from ..functions.text import fold, mentioned, rounded
 from ..functions.urls import registrable_domain
 
 C = F.col
@@ -170,7 +170,7 @@ def candidates(pages: DataFrame, domains: DataFrame) -> DataFrame:
     first = Window.partitionBy("audit_id", "f").orderBy("step", "rank", "other")
     unbiased = every.withColumn("n", F.row_number().over(first)).where("n = 1").join(known.select("audit_id", fold(C("brand")).alias("brand"), "label"), "audit_id", "left").where(~mentioned(C("f"), C("brand")) & ~mentioned(C("f"), C("label")))
     base = F.element_at(F.create_map(*(F.lit(x) for i, (_, q) in INTENTS.items() for x in (i, q))), C("intent"))
-    return unbiased.select("audit_id", "intent", "text", F.bround(F.least(F.lit(1.0), base + F.when(F.trim("slot").contains(" "), 0.1).otherwise(0.0)), 4).alias("quality"))
+    return unbiased.select("audit_id", "intent", "text", rounded(F.least(F.lit(1.0), base + F.when(F.trim("slot").contains(" "), 0.1).otherwise(0.0)), 4).alias("quality"))
 
 
 def balanced(pool: DataFrame, target: int = TARGET) -> DataFrame:

@@ -2,8 +2,13 @@
 
 A rule is a set of aggregates over the pages of an audit, a score over these (and over the audit's site and external
 signals), and what makes it measured. All page aggregates run in a single grouping by audit_id with partial aggregation:
-one exchange of one row per audit and task. Three facts need their own small plans, joined on audit_id: distinct titles,
-orphans (an anti join on the link graph), and nothing else. `register` adds a rule without touching the engine.
+one exchange of one row per audit and task. Two facts need their own small plans, joined on audit_id: distinct titles and
+orphans (an anti join on the link graph). The scores of an audit are one array of doubles, which becomes a row per rule;
+what follows from a score (rounding, status) is one expression over these rows. `register` adds a rule without touching
+the engine.
+
+Pages' scores are rounded to two digits and summed as integers of hundredths, so a mean doesn't depend on the order of
+pages; and `rounded` looks at the binary value of a double.
 
 A rule that has no data is `not_measured`, never estimated; one that doesn't concern the audit is `not_applicable`.
 """
@@ -19,10 +24,11 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clamped, share, status, steps
+from ..functions.text import cents_sql, clamped, rounded, rounded_sql, share, status, steps
 from ..functions.urls import route_family
 from ..schema import SIGNAL_SCHEMA_VERSION
 from ..sources.html import ACTION_TYPES, PLATFORMS
+from .states import Fact, any_page, bits, count, newest, shares, title_key, total
 
 C = F.col
 
@@ -53,13 +59,14 @@ class Rule:
     key: str
     weight: float
     pillars: tuple[str, ...]
-    score: Column
+    score: Column  # before it is rounded
     measured: Column
-    facts: dict[str, Column] = field(default_factory=dict)  # aggregates over pages, by name
+    facts: dict[str, Fact] = field(default_factory=dict)  # aggregates over pages, by name
     applicable: Column | None = None
-    status: Callable[[Column], Column] = status  # of the score
+    status: Callable[[Column], Column] = status  # of the rounded score
     tier: str = "standard"
     page: Column | None = None  # a page's own score, for evidence
+    inputs: dict[str, Column] = field(default_factory=dict)  # columns of pages that the facts name
 
 
 _EXTRA: list[Callable[[dict], Rule]] = []
@@ -100,7 +107,7 @@ def _hierarchy() -> Column:
 
 def page_rules(thresholds: dict) -> list[Rule]:
     """Rules that score each page; an audit's score is the mean over its pages."""
-    og = F.bround(_present("open_graph", OG_REQUIRED) / float(len(OG_REQUIRED)) * 100, 2)
+    og = _present("open_graph", OG_REQUIRED) / float(len(OG_REQUIRED)) * 100
     cards = _present("twitter_card", TWITTER_WANTED)
     depth = float(threshold(thresholds, "content.depth", "target_words"))
     table = [
@@ -118,18 +125,19 @@ def page_rules(thresholds: dict) -> list[Rule]:
         ("links.internal", 0.8, "seo", F.when(C("internal_links").between(3, 100), 100.0).when(C("internal_links") == 0, 0.0).otherwise(60.0)),
         ("crawl.redirects", 0.5, "seo", steps(C("redirects"), (1, 100), (3, 50))),
     ]
-    name = lambda key: "mean_" + key.replace(".", "_")
-    return [Rule(key, w, tuple(p.split()), F.bround(C(name(key)), 2), C("pages") > 0, {name(key): F.avg(e)}, page=e) for key, w, p, e in table]
-
+    broken = ("content.depth", "content.text_ratio", "og.complete")
+    rules = []
+    for key, w, p, e in table:
+        name = key.replace(".", "_")
+        # Scores that are whole numbers need no rounding.
+        cents, inputs = (F.expr(cents_sql(f"page_{name}")), {f"page_{name}": e}) if key in broken else ((e * 100).cast("long"), {})
+        rules.append(Rule(key, w, tuple(p.split()), _mean(f"sum_{name}", "pages"), C("pages") > 0, {f"sum_{name}": total(cents)}, page=rounded(e) if inputs else e, inputs=inputs))
+    return rules
 
-def _any(c: Column) -> Column:
-    return F.coalesce(F.bool_or(c), F.lit(False))
 
-
-def _bits(c: str, names: tuple[str, ...]) -> Column:
-    """The names of a fixed list that any page has, as bits. Aggregates of this kind, unlike sets and texts, keep the
-    grouping in its fast, fixed-width form."""
-    return F.bit_or(reduce(lambda a, b: a + b, (F.when(F.array_contains(c, n), 1 << k).otherwise(0) for k, n in enumerate(names))))
+def _mean(cents: str, n: str) -> Column:
+    """The mean of n scores from their sum in hundredths."""
+    return F.try_divide(C(cents) / 100.0, C(n))
 
 
 def _typed(*names: str) -> Column:
@@ -140,6 +148,7 @@ def site_rules(thresholds: dict) -> list[Rule]:
     """Rules over all pages of an audit and its site signals."""
     pages, flag = C("pages") > 0, lambda c: F.when(C(c), 100.0).otherwise(0.0)
     of_pages = lambda part, whole="pages": share(C(part), C(whole))
+    cents = lambda c: total(F.expr(cents_sql(c)))
     limit = lambda n: float(threshold(thresholds, "geo.primary_sources", n))
     content = C("word_count") >= limit("min_content_words")
     parity = F.when(C("raw_word_count").isNotNull() & C("rendered_word_count").isNotNull(), F.when(C("rendered_word_count") <= 0, 1.0).otherwise(F.least(F.lit(1.0), C("raw_word_count") / F.greatest("rendered_word_count", F.lit(1))))).otherwise(F.when(C("render_mode") == "ssr", 1.0).otherwise(0.0))
@@ -151,42 +160,42 @@ def site_rules(thresholds: dict) -> list[Rule]:
     haystack = F.concat(F.lower("url"), F.lit(" "), F.lower(F.coalesce("title", F.lit(""))))
     has = lambda words, c: reduce(lambda a, b: a | b, (c.contains(w) for w in words))
     found = F.coalesce(F.try_element_at(C("aso.agent_usable_forms_detail"), F.lit("found")), F.lit(0))
-    types, platforms = _bits("aso.action_schema_types", ACTION_TYPES), _bits("social_platforms", tuple(sorted(set(PLATFORMS.values()))))
+    types, platforms = bits("aso.action_schema_types", ACTION_TYPES), bits("social_platforms", tuple(sorted(set(PLATFORMS.values()))))
     actions = C("aso.potential_actions")
     ratio = F.try_divide(C("sourced").cast("double"), C("content_pages"))
     return [
         Rule("meta.title_unique", 1.0, ("seo",), of_pages("distinct_titles", "titled"), F.coalesce(C("titled"), F.lit(0)) > 0),
-        Rule("links.orphans", 0.7, ("seo",), F.bround(100 - F.try_divide(C("orphans").cast("double"), C("pages") - 1) * 100, 2), C("pages") > 1),
-        Rule("img.alt", 0.5, ("seo",), of_pages("with_alt", "images"), C("images") > 0, {"images": F.sum("images_total"), "with_alt": F.sum("images_with_alt")}, status=lambda s: F.when((s >= 80) & (C("images") - C("with_alt") >= threshold(thresholds, "img.alt", "max_missing")), "warning").otherwise(status(s))),
-        Rule("img.svg_alt", 0.4, ("seo",), of_pages("named_icons", "icons"), C("icons") > 0, {"icons": F.sum("svg_total"), "named_icons": F.sum("svg_accessible")}),
-        Rule("crawl.indexable", 1.2, ("seo",), of_pages("indexable"), pages, {"indexable": F.count_if((C("status_code") == 200) & _indexable(C("meta_robots")))}),
+        Rule("links.orphans", 0.7, ("seo",), 100 - F.try_divide(C("orphans").cast("double"), C("pages") - 1) * 100, C("pages") > 1),
+        Rule("img.alt", 0.5, ("seo",), of_pages("with_alt", "images"), C("images") > 0, {"images": total(C("images_total")), "with_alt": total(C("images_with_alt"))}, status=lambda s: F.when((s >= 80) & (C("images") - C("with_alt") >= threshold(thresholds, "img.alt", "max_missing")), "warning").otherwise(status(s))),
+        Rule("img.svg_alt", 0.4, ("seo",), of_pages("named_icons", "icons"), C("icons") > 0, {"icons": total(C("svg_total")), "named_icons": total(C("svg_accessible"))}),
+        Rule("crawl.indexable", 1.2, ("seo",), of_pages("indexable"), pages, {"indexable": count((C("status_code") == 200) & _indexable(C("meta_robots")))}),
         Rule("crawl.sitemap", 0.8, ("seo",), F.when(C("sitemap_valid"), 100.0).otherwise(0.0), F.lit(True)),
-        Rule("crawl.https", 1.0, ("seo",), of_pages("secure"), pages, {"secure": F.count_if(C("url").startswith("https://"))}),
-        Rule("i18n.hreflang", 0.5, ("seo",), F.bround("hreflang_mean", 2), C("hreflang_pages") > 0, {"hreflang_pages": F.count_if(F.size("hreflang") > 0), "hreflang_mean": F.avg(F.when(F.size("hreflang") > 0, F.when(F.map_contains_key("hreflang", "x-default"), 100.0).otherwise(70.0)))}, applicable=C("hreflang_pages") > 0),
-        Rule("geo.ssr", 1.8, ("geo", "aeo", "aso"), F.bround(C("parity") * 100, 2), C("moded") > 0, {"moded": F.count("render_mode"), "parity": F.avg(F.when(C("render_mode").isNotNull(), parity))}),
-        Rule("geo.noise_ratio", 0.8, ("geo",), F.bround("signal_mean", 2), C("signal_mean").isNotNull(), {"signal_mean": F.avg(F.when(C("main_text_ratio") >= 0.20, 100.0).otherwise(C("main_text_ratio") / 0.20 * 100))}),
-        Rule("geo.entity_density", 1.0, ("geo",), F.bround("density_mean", 2), C("density_mean").isNotNull(), {"density_mean": F.avg(dense)}),
-        Rule("geo.primary_sources", 1.2, ("geo", "aeo"), of_pages("sourced", "content_pages"), C("content_pages") > 0, {"content_pages": F.count_if(content), "sourced": F.count_if(content & (F.size("external_link_domains") > 0))}, status=lambda s: F.when(ratio >= limit("ok_ratio"), "ok").when(ratio >= limit("warn_ratio"), "warning").otherwise("critical")),
-        Rule("geo.authors", 1.2, ("geo", "aeo"), flag("authored"), pages, {"authored": _any(C("has_author"))}),
-        Rule("geo.cross_platform", 1.0, ("geo", "aso"), F.bround(F.least(F.lit(100.0), F.bit_count("platforms") / 4.0 * 100), 2), pages, {"platforms": platforms}),
-        Rule("geo.freshness", 1.0, ("geo", "aeo"), F.when(age < 90, 100.0).when(age < 365, 50.0).otherwise(0.0), age.isNotNull(), {"newest": F.max(date)}),
-        Rule("gso.faqpage", 1.3, ("gso",), flag("faq"), pages, {"faq": _any(_typed("FAQPage"))}),
-        Rule("gso.howto", 0.6, ("gso", "aso"), flag("howto"), pages, {"howto": _any(_typed("HowTo"))}),
-        Rule("gso.breadcrumb", 1.0, ("gso",), flag("breadcrumb"), pages, {"breadcrumb": _any(_typed("BreadcrumbList"))}),
-        Rule("gso.itemlist", 0.8, ("gso",), flag("listed"), pages, {"listed": _any(_typed("ItemList") | (C("tables_count") > 0))}),
-        Rule("gso.qa_format", 1.0, ("gso", "aeo"), flag("questions"), pages, {"questions": _any(_typed("FAQPage") | (C("question_headings") >= 2))}),
+        Rule("crawl.https", 1.0, ("seo",), of_pages("secure"), pages, {"secure": count(C("url").startswith("https://"))}),
+        Rule("i18n.hreflang", 0.5, ("seo",), _mean("hreflang_sum", "hreflang_pages"), C("hreflang_pages") > 0, {"hreflang_pages": count(F.size("hreflang") > 0), "hreflang_sum": total(F.when(F.size("hreflang") > 0, F.when(F.map_contains_key("hreflang", "x-default"), 10_000).otherwise(7_000)))}, applicable=C("hreflang_pages") > 0),
+        Rule("geo.ssr", 1.8, ("geo", "aeo", "aso"), F.try_divide(C("parity"), C("moded")) * 100, C("moded") > 0, {"moded": count(C("render_mode").isNotNull()), "parity": shares(F.when(C("render_mode").isNotNull(), parity))}),
+        Rule("geo.noise_ratio", 0.8, ("geo",), _mean("signal_sum", "signal_pages"), C("signal_pages") > 0, {"signal_pages": count(C("main_text_ratio").isNotNull()), "signal_sum": cents("page_signal")}, inputs={"page_signal": F.when(C("main_text_ratio") >= 0.20, 100.0).otherwise(C("main_text_ratio") / 0.20 * 100)}),
+        Rule("geo.entity_density", 1.0, ("geo",), _mean("density_sum", "worded"), C("worded") > 0, {"worded": count(C("word_count") > 0), "density_sum": cents("page_density")}, inputs={"page_density": dense}),
+        Rule("geo.primary_sources", 1.2, ("geo", "aeo"), of_pages("sourced", "content_pages"), C("content_pages") > 0, {"content_pages": count(content), "sourced": count(content & (F.size("external_link_domains") > 0))}, status=lambda s: F.when(ratio >= limit("ok_ratio"), "ok").when(ratio >= limit("warn_ratio"), "warning").otherwise("critical")),
+        Rule("geo.authors", 1.2, ("geo", "aeo"), flag("authored"), pages, {"authored": any_page(C("has_author"))}),
+        Rule("geo.cross_platform", 1.0, ("geo", "aso"), F.least(F.lit(100.0), F.bit_count("platforms") / 4.0 * 100), pages, {"platforms": platforms}),
+        Rule("geo.freshness", 1.0, ("geo", "aeo"), F.when(age < 90, 100.0).when(age < 365, 50.0).otherwise(0.0), age.isNotNull(), {"newest": newest(date)}),
+        Rule("gso.faqpage", 1.3, ("gso",), flag("faq"), pages, {"faq": any_page(_typed("FAQPage"))}),
+        Rule("gso.howto", 0.6, ("gso", "aso"), flag("howto"), pages, {"howto": any_page(_typed("HowTo"))}),
+        Rule("gso.breadcrumb", 1.0, ("gso",), flag("breadcrumb"), pages, {"breadcrumb": any_page(_typed("BreadcrumbList"))}),
+        Rule("gso.itemlist", 0.8, ("gso",), flag("listed"), pages, {"listed": any_page(_typed("ItemList") | (C("tables_count") > 0))}),
+        Rule("gso.qa_format", 1.0, ("gso", "aeo"), flag("questions"), pages, {"questions": any_page(_typed("FAQPage") | (C("question_headings") >= 2))}),
         Rule("gso.longtail", 0.8, ("gso",), F.lit(0.0), F.lit(False)),
-        Rule("aeo.author_credentials", 1.5, ("aeo",), F.when(C("credentialled"), 100.0).when(C("authored"), 50.0).otherwise(0.0), pages, {"credentialled": _any(C("author_has_credentials"))}),
-        Rule("aeo.about_page", 1.0, ("aeo",), flag("about"), pages, {"about": _any(has(ABOUT_HINTS, haystack))}),
-        Rule("aeo.defined_terms", 1.0, ("aeo",), flag("defined"), pages, {"defined": _any(_typed("DefinedTerm") | (C("definition_lists_count") > 0))}),
-        Rule("aeo.dates_structured", 1.0, ("aeo", "geo"), flag("dated"), pages, {"dated": _any(C("has_structured_dates"))}),
-        Rule("aeo.comparison_tables", 0.8, ("aeo",), flag("tabled"), pages, {"tabled": _any(C("tables_count") > 0), "bare_comparisons": F.count_if(has(COMPARE_HINTS, C("url")) & (C("tables_count") == 0))}),
-        Rule("aeo.answer_directness", 1.0, ("aeo", "gso"), of_pages("direct"), pages, {"direct": F.count_if(C("lead_paragraph_words") >= 20)}),
-        Rule("aso.mcp_readiness", 1.8, ("aso",), F.when(C("tooling"), 100.0).when(C("partial_tooling"), 50.0).otherwise(0.0), pages, {"tooling": _any(C("aso.webmcp.has_register_tool") | C("aso.webmcp.has_tool_attributes")), "partial_tooling": _any(C("aso.webmcp.partial_signals"))}, tier="experimental"),
-        Rule("aso.potential_actions", 1.6, ("aso",), F.when(C("executable"), 100.0).when(C("acting"), 50.0).otherwise(0.0), pages, {"executable": _any(F.arrays_overlap(actions, F.array(*map(F.lit, EXECUTABLE_ACTIONS)))), "acting": _any(F.size(actions) > 0)}, tier="experimental"),
+        Rule("aeo.author_credentials", 1.5, ("aeo",), F.when(C("credentialled"), 100.0).when(C("authored"), 50.0).otherwise(0.0), pages, {"credentialled": any_page(C("author_has_credentials"))}),
+        Rule("aeo.about_page", 1.0, ("aeo",), flag("about"), pages, {"about": any_page(has(ABOUT_HINTS, haystack))}),
+        Rule("aeo.defined_terms", 1.0, ("aeo",), flag("defined"), pages, {"defined": any_page(_typed("DefinedTerm") | (C("definition_lists_count") > 0))}),
+        Rule("aeo.dates_structured", 1.0, ("aeo", "geo"), flag("dated"), pages, {"dated": any_page(C("has_structured_dates"))}),
+        Rule("aeo.comparison_tables", 0.8, ("aeo",), flag("tabled"), pages, {"tabled": any_page(C("tables_count") > 0), "bare_comparisons": count(has(COMPARE_HINTS, C("url")) & (C("tables_count") == 0))}),
+        Rule("aeo.answer_directness", 1.0, ("aeo", "gso"), of_pages("direct"), pages, {"direct": count(C("lead_paragraph_words") >= 20)}),
+        Rule("aso.mcp_readiness", 1.8, ("aso",), F.when(C("tooling"), 100.0).when(C("partial_tooling"), 50.0).otherwise(0.0), pages, {"tooling": any_page(C("aso.webmcp.has_register_tool") | C("aso.webmcp.has_tool_attributes")), "partial_tooling": any_page(C("aso.webmcp.partial_signals"))}, tier="experimental"),
+        Rule("aso.potential_actions", 1.6, ("aso",), F.when(C("executable"), 100.0).when(C("acting"), 50.0).otherwise(0.0), pages, {"executable": any_page(F.arrays_overlap(actions, F.array(*map(F.lit, EXECUTABLE_ACTIONS)))), "acting": any_page(F.size(actions) > 0)}, tier="experimental"),
         Rule("aso.action_schema", 1.5, ("aso", "gso"), F.when(F.bit_count("action_types") >= 2, 100.0).when(F.bit_count("action_types") == 1, 50.0).otherwise(0.0), pages, {"action_types": types}, tier="experimental"),
-        Rule("aso.accessible_forms", 0.8, ("aso",), F.when(C("forms_found") == 0, 100.0).otherwise(of_pages("forms_usable", "forms_found")), pages & ((C("forms_found") > 0) | (C("forms_usable") > 0)), {"forms_found": F.sum(found), "forms_usable": F.sum("aso.agent_usable_forms")}),
-        Rule("aso.openapi", 0.8, ("aso",), flag("documented"), pages, {"documented": _any(F.size("aso.openapi_links") > 0)}, tier="experimental"),
+        Rule("aso.accessible_forms", 0.8, ("aso",), F.when(C("forms_found") == 0, 100.0).otherwise(of_pages("forms_usable", "forms_found")), pages & ((C("forms_found") > 0) | (C("forms_usable") > 0)), {"forms_found": total(found), "forms_usable": total(C("aso.agent_usable_forms"))}),
+        Rule("aso.openapi", 0.8, ("aso",), flag("documented"), pages, {"documented": any_page(F.size("aso.openapi_links") > 0)}, tier="experimental"),
         Rule("aso.agent_access", 1.2, ("aso", "geo"), share(C("agent_bots_checked") - F.size("blocked_agent_bots"), C("agent_bots_checked")), C("agent_bots_checked") > 0),
     ]
 
@@ -196,15 +205,15 @@ def external_rules() -> list[Rule]:
     there = lambda c: C(c).isNotNull()
     vital = lambda n: F.try_element_at(C("core_web_vitals"), F.lit(n))
     endings = {"lcp": (1.5, 2500, 4000), "cls": (1.2, 0.1, 0.25), "inp": (1.2, 200, 500)}
-    rate = lambda c: F.bround(clamped(C(c) * 100), 2)
+    rate = lambda c: clamped(C(c) * 100)
     met = lambda n: f"citation_metrics.{n}"
-    ctr = F.when(C("gsc.total_impressions") > 0, F.bround(C("gsc.avg_ctr") * 100, 2))
+    ctr = F.when(C("gsc.total_impressions") > 0, rounded(C("gsc.avg_ctr") * 100))
     endpoints = F.size(F.map_filter("ai_discovery_endpoints", lambda k, v: v))
     return [
         Rule("seo.avg_position", 2.0, ("seo",), steps(C("gsc.avg_position"), (3, 100), (10, 75), (20, 50), otherwise=25), there("gsc.avg_position")),
         Rule("seo.click_through_rate", 1.5, ("seo",), F.when(ctr >= 5, 100.0).when(ctr >= 2, 75.0).when(ctr >= 0.5, 50.0).otherwise(25.0), ctr.isNotNull()),
-        Rule("authority.opr", 1.0, ("seo",), F.bround(clamped(C("open_page_rank") * 10), 2), there("open_page_rank")),
-        Rule("authority.backlinks", 1.0, ("seo",), F.bround(F.least(F.lit(100.0), F.log10(C("referring_domains") + 1.0) * 25), 2), there("referring_domains")),
+        Rule("authority.opr", 1.0, ("seo",), clamped(C("open_page_rank") * 10), there("open_page_rank")),
+        Rule("authority.backlinks", 1.0, ("seo",), F.least(F.lit(100.0), F.log10(C("referring_domains") + 1.0) * 25), there("referring_domains")),
         *(Rule(f"perf.{n}", w, ("seo", "gso"), steps(vital(n), (good, 100), (fair, 50)), vital(n).isNotNull()) for n, (w, good, fair) in endings.items()),
         Rule("perf.lighthouse", 1.0, ("seo", "gso"), rate("lighthouse_performance"), there("lighthouse_performance")),
         Rule("geo.citation_rate", 2.0, ("geo",), rate(met("citation_rate")), there("citation_metrics")),
@@ -212,14 +221,14 @@ def external_rules() -> list[Rule]:
         Rule("geo.citation_confidence", 0.8, ("geo",), rate(met("citation_confidence")), there("citation_metrics")),
         Rule("geo.knowledge_presence", 0.8, ("geo",), rate(met("knowledge_presence")), there(met("knowledge_presence"))),
         Rule("geo.share_of_voice", 1.0, ("geo",), rate(met("share_of_voice")), there(met("share_of_voice"))),
-        Rule("geo.citation_position", 0.8, ("geo",), F.bround(F.greatest(F.lit(0.0), 100 - (C(met("average_position")) - 1) * 20), 2), there(met("average_position"))),
+        Rule("geo.citation_position", 0.8, ("geo",), F.greatest(F.lit(0.0), 100 - (C(met("average_position")) - 1) * 20), there(met("average_position"))),
         Rule("gso.cwv_eligible", 1.2, ("gso",), F.when((vital("lcp") <= 2500) & (vital("cls") <= 0.1) & (vital("inp") <= 200), 100.0).otherwise(0.0), vital("lcp").isNotNull() & vital("cls").isNotNull() & vital("inp").isNotNull()),
         Rule("gso.ai_overview_presence", 1.5, ("gso", "geo"), rate("aio_metrics.presence_rate"), there("aio_metrics.presence_rate")),
         Rule("aeo.kg_presence", 1.5, ("aeo", "geo", "aso"), F.when(C("kg_presence"), 100.0).otherwise(0.0), there("kg_presence")),
         Rule("aeo.llm_citation", 2.0, ("aeo",), rate(met("citation_rate")), there("citation_metrics")),
-        Rule("aso.ai_discovery", 1.4, ("aso",), F.bround(endpoints / 4.0 * 100, 2), there("ai_discovery_endpoints"), tier="experimental"),
+        Rule("aso.ai_discovery", 1.4, ("aso",), endpoints / 4.0 * 100, there("ai_discovery_endpoints"), tier="experimental"),
         Rule("aso.nlweb", 1.0, ("aso",), F.when(C("nlweb_status") == "conformant", 100.0).when(C("nlweb_status") == "present", 50.0).otherwise(0.0), there("nlweb_status"), tier="experimental"),
-        Rule("aso.brand_coherence", 1.3, ("aso", "aeo"), F.bround(F.aggregate(F.map_values("brand_coherence"), F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size("brand_coherence"), F.lit(1)) * 100, 2), F.coalesce(F.size("brand_coherence"), F.lit(0)) > 0),
+        Rule("aso.brand_coherence", 1.3, ("aso", "aeo"), F.aggregate(F.map_values("brand_coherence"), F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size("brand_coherence"), F.lit(1)) * 100, F.coalesce(F.size("brand_coherence"), F.lit(0)) > 0),
     ]
 
 
@@ -237,11 +246,16 @@ def orphans(pages: DataFrame) -> DataFrame:
     return pages.select("audit_id", "url").join(edges, ["audit_id", "url"], "left_anti").join(home, "audit_id").where("url <> home").select("audit_id", "url")
 
 
+def declared(rules: list[Rule]) -> tuple[dict[str, Fact], dict[str, Column]]:
+    """All facts that rules ask for, and the columns of pages that these name."""
+    return {n: f for r in rules for n, f in r.facts.items()}, {n: c for r in rules for n, c in r.inputs.items()}
+
+
 def facts(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row per audit with everything that rules ask of its pages."""
-    asked = {n: c for r in rules for n, c in r.facts.items()}
-    wide = pages.groupBy("audit_id").agg(F.count("*").alias("pages"), *(c.alias(n) for n, c in sorted(asked.items())))
-    titles = pages.where(F.trim("title") != "").groupBy("audit_id").agg(F.count("*").alias("titled"), F.count_distinct(F.lower(F.trim("title"))).alias("distinct_titles"))
+    asked, inputs = declared(rules)
+    wide = pages.withColumns({n: c.cast("double") for n, c in inputs.items()}).groupBy("audit_id").agg(F.count("*").alias("pages"), *(f.aggregate().alias(n) for n, f in sorted(asked.items())))
+    titles = pages.where(title_key().isNotNull()).groupBy("audit_id").agg(F.count("*").alias("titled"), F.count_distinct(title_key()).alias("distinct_titles"))
     lost = orphans(pages).groupBy("audit_id").agg(F.count("*").alias("orphans"))
     return wide.join(titles, "audit_id", "left").join(lost, "audit_id", "left").fillna(0, ["titled", "distinct_titles", "orphans"])
 
@@ -249,8 +263,9 @@ def facts(pages: DataFrame, rules: list[Rule]) -> DataFrame:
 @dataclass(frozen=True)
 class _Compiled:
     rules: list[Rule]
-    scores: list[Column]
-    structs: Column
+    raw: Column  # the scores of all rules in order, not rounded; null is not measured
+    states: Column  # by place: statuses that don't follow from the score alone
+    named: list[Column]  # of a rule's row, by its place
 
 
 _COMPILED: dict[tuple, _Compiled] = {}
@@ -261,17 +276,22 @@ def _compiled(thresholds: dict, overrides: dict) -> _Compiled:
     context = SparkContext._active_spark_context
     key = (id(context and context._jsc), json.dumps([thresholds, overrides], sort_keys=True, default=str), tuple(map(id, _EXTRA)))
     if key not in _COMPILED:
-        rules, scores, structs = catalog(thresholds), [], []
-        for r in rules:
+        rules, raw, states = catalog(thresholds), [], []
+        for k, r in enumerate(rules):
             measured = F.coalesce(r.measured, F.lit(False))
-            scores.append(F.when(measured, clamped(r.score)).otherwise(0.0).alias(f"score:{r.key}"))
-            own = C(f"`score:{r.key}`")
-            state = F.when(measured, r.status(own))
-            state = state.otherwise("not_measured") if r.applicable is None else state.when(F.coalesce(r.applicable, F.lit(False)), "not_measured").otherwise("not_applicable")
-            structs.append(F.struct(F.lit(r.key).alias("key"), F.array(*map(F.lit, r.pillars)).alias("pillars"), own.alias("score"), state.alias("status"), F.lit(float(overrides.get(r.key, r.weight))).alias("weight"), F.lit(r.tier).alias("evidence_tier")))
+            raw.append(F.when(measured, clamped(r.score)))
+            state = F.when(measured, r.status(rounded(clamped(r.score)))) if r.status is not status else None
+            if r.applicable is not None:
+                state = (F.when(F.lit(False), "") if state is None else state).when(~measured & ~F.coalesce(r.applicable, F.lit(False)), "not_applicable")
+            if state is not None:
+                states += [F.lit(k), state]
+        quoted = lambda words: "array(" + ", ".join(f"'{w}'" for w in words) + ")"
+        doubles = ", ".join(f"{float(overrides.get(r.key, r.weight))!r}D" for r in rules)
+        of = lambda sql, name: F.expr(f"get({sql}, place)").alias(name)
+        named = [of(quoted(r.key for r in rules), "key"), of("array(" + ", ".join(quoted(r.pillars) for r in rules) + ")", "pillars"), of(f"array({doubles})", "weight"), of(quoted(r.tier for r in rules), "evidence_tier")]
         if len(_COMPILED) > 32:
             _COMPILED.clear()
-        _COMPILED[key] = _Compiled(rules, scores, F.explode(F.array(*structs)).alias("r"))
+        _COMPILED[key] = _Compiled(rules, F.array(*raw), F.create_map(*states) if states else F.create_map().cast("map<int,string>"), named)
     return _COMPILED[key]
 
 
@@ -281,11 +301,19 @@ def evaluate(pages: DataFrame, site: DataFrame, external: DataFrame, audited_on:
     An audit counts if any of the three tables has it. overrides: weights by rule key. audited_on: the reference date of
     freshness, over the columns of site and external; null means not measured.
     """
+    return evaluate_facts(facts(pages, _compiled(thresholds or {}, overrides or {}).rules), site, external, audited_on, thresholds, overrides)
+
+
+def evaluate_facts(known: DataFrame, site: DataFrame, external: DataFrame, audited_on: Column | None = None, thresholds: dict | None = None, overrides: dict | None = None) -> DataFrame:
+    """`evaluate`, from a row of facts per audit: of `facts`, or of states that were kept (`states.facts_of`)."""
     made = _compiled(thresholds or {}, overrides or {})
-    known = facts(pages, made.rules).join(site, "audit_id", "full").join(external, "audit_id", "full").fillna(0, ["pages", "titled", "distinct_titles", "orphans"])
+    known = known.join(site, "audit_id", "full").join(external, "audit_id", "full").fillna(0, ["pages", "titled", "distinct_titles", "orphans"])
     known = known.withColumn("audited_on", (audited_on if audited_on is not None else F.lit(None)).cast("date"))
-    # Scores first, as columns, so that a status may look at its own without computing it again.
-    return known.select("*", *made.scores).select("audit_id", made.structs).select("audit_id", "r.*", F.lit(SIGNAL_SCHEMA_VERSION).alias("schema_version"))
+    each = known.select("audit_id", made.states.alias("states"), F.posexplode(made.raw).alias("place", "raw"))
+    state = F.coalesce(F.try_element_at("states", C("place")), F.when(C("score").isNull(), "not_measured").otherwise(status(C("score"))))
+    scored = each.select("audit_id", "states", "place", F.expr(rounded_sql("raw")).alias("score"))
+    key, pillars, weight, tier = made.named
+    return scored.select("audit_id", key, pillars, F.coalesce("score", F.lit(0.0)).alias("score"), state.alias("status"), weight, tier, F.lit(SIGNAL_SCHEMA_VERSION).alias("schema_version"))
 
 
 def evidence(pages: DataFrame, thresholds: dict | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -312,7 +340,7 @@ def offenders(pages: DataFrame, top: int | None = 10) -> DataFrame:
     order = Window.partitionBy("audit_id").orderBy(F.asc_nulls_last("parity"), F.desc("delta"), "url")
     ranked = rows.where("parity is not null" if top else "true").withColumn("rank", F.row_number().over(order))
     ranked = ranked.where(C("rank") <= top) if top else ranked
-    return ranked.select("audit_id", "rank", "url", "raw_words", "rendered_words", "delta", F.bround(C("parity") * 100).cast("int").alias("parity_pct"))
+    return ranked.select("audit_id", "rank", "url", "raw_words", "rendered_words", "delta", rounded(C("parity") * 100, 0).cast("int").alias("parity_pct"))
 
 
 def affected(pages: DataFrame, thresholds: dict | None = None) -> DataFrame:

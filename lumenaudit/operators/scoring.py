@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import rounded, rounded_sql
 from ..schema import PILLARS
 
 C = F.col
@@ -77,33 +78,42 @@ def coverage_label(c: Column) -> Column:
     return F.when(c >= 0.9, "complete").when(c >= 0.7, "substantial").when(c >= 0.4, "partial").otherwise("insufficient")
 
 
+#: Weights are summed in integers of this part.
+WEIGHT_UNITS = 1e9
+
+
+def _units(weight: Column) -> Column:
+    return F.rint(weight * WEIGHT_UNITS).cast("long")
+
+
 def _sums(results: DataFrame) -> DataFrame:
     """One row per audit: for each pillar, and for all rules (`all`), a struct of score, coverage and counts.
 
     One grouping by audit_id with fixed-width sums serves pillar scores, global score and coverage alike; rules need not
-    be exploded by pillar, and a pillar without rules comes out with zeros.
+    be exploded by pillar, and a pillar without rules comes out with zeros. Scores are summed in hundredths and weights in
+    billionths, as integers, so the order of rows doesn't matter.
     """
-    zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
-    aggregates = []
-    for p in (*PILLARS, "all"):
+    aggregates, names = [], (*PILLARS, "all")
+    for p in names:
         own = F.lit(True) if p == "all" else F.array_contains("pillars", p)
+        of = lambda flag, c, own=own: F.coalesce(F.sum(F.when(own & C(flag), C(c))), F.lit(0))
         aggregates += [
-            zero(F.when(own & is_measured(), C("weight"))).alias(f"{p}_mw"),
-            zero(F.when(own & is_applicable(), C("weight"))).alias(f"{p}_aw"),
-            zero(F.when(own & is_measured(), C("score") * C("weight"))).alias(f"{p}_ws"),
-            F.count_if(own & is_measured()).alias(f"{p}_m"),
-            F.count_if(own & ~is_measured()).alias(f"{p}_x"),
-            F.count_if(own & ~is_applicable()).alias(f"{p}_na"),
+            of("measured", "w").alias(f"{p}_mw"),
+            of("applicable", "w").alias(f"{p}_aw"),
+            of("measured", "ws").alias(f"{p}_ws"),
+            F.count_if(own & C("measured")).alias(f"{p}_m"),
+            F.count_if(own & ~C("measured")).alias(f"{p}_x"),
+            F.count_if(own & ~C("applicable")).alias(f"{p}_na"),
         ]
-    sums = results.groupBy("audit_id").agg(*aggregates)
-
-    def scored(p: str) -> Column:
-        covered = F.bround(_ratio(C(f"{p}_mw"), C(f"{p}_aw")), 4)
-        # The coverage is rounded before it multiplies the weighted mean.
-        score = F.bround(_ratio(C(f"{p}_ws"), C(f"{p}_mw")) * covered, 2)
-        return F.struct(F.lit(p).alias("pillar"), score.alias("score"), covered.alias("coverage"), C(f"{p}_m").alias("measured"), C(f"{p}_x").alias("excluded"), C(f"{p}_na").alias("not_applicable")).alias(p)
-
-    return sums.select("audit_id", *map(scored, (*PILLARS, "all")))
+    units = results.select("audit_id", "pillars", is_measured().alias("measured"), is_applicable().alias("applicable"), _units(C("weight")).alias("w"), (F.rint(C("score") * 100).cast("long") * _units(C("weight"))).alias("ws"))
+    ratio = lambda part, whole: _ratio(C(part).cast("double"), C(whole))
+    sums = units.groupBy("audit_id").agg(*aggregates)
+    # A step at a time, so that each value is a column when it is rounded: the coverage before it multiplies the mean.
+    sums = sums.withColumns({f"{p}_c": ratio(f"{p}_mw", f"{p}_aw") for p in names})
+    sums = sums.withColumns({f"{p}_c": F.expr(rounded_sql(f"{p}_c", 4)) for p in names})
+    sums = sums.withColumns({f"{p}_s": _ratio(C(f"{p}_ws") / 100.0, C(f"{p}_mw")) * C(f"{p}_c") for p in names})
+    one = lambda p: F.struct(F.lit(p).alias("pillar"), F.expr(rounded_sql(f"{p}_s")).alias("score"), C(f"{p}_c").alias("coverage"), C(f"{p}_m").alias("measured"), C(f"{p}_x").alias("excluded"), C(f"{p}_na").alias("not_applicable")).alias(p)
+    return sums.select("audit_id", *map(one, names))
 
 
 def coverage(results: DataFrame) -> DataFrame:
@@ -121,12 +131,12 @@ def pillar_scores(results: DataFrame) -> DataFrame:
 
 def _global(weights: dict[str, float] | None) -> Column:
     """Weighted mean of the pillars with a measured rule and a positive weight, over the row of `_sums`; 0 without any."""
-    merged = {p: float(w) for p, w in (PILLAR_WEIGHTS | (weights or {})).items() if p in PILLARS and w > 0}
-    counted = {p: F.when(C(f"{p}.measured") > 0, F.lit(w)).otherwise(0.0) for p, w in merged.items()}
-    top, whole = F.lit(0.0), F.lit(0.0)
-    for p in sorted(counted):
-        top, whole = top + C(f"{p}.score") * counted[p], whole + counted[p]
-    return F.bround(_ratio(top, whole), 2)
+    merged = {p: round(float(w) * WEIGHT_UNITS) for p, w in (PILLAR_WEIGHTS | (weights or {})).items() if p in PILLARS and w > 0}
+    top, whole = F.lit(0), F.lit(0)
+    for p, w in sorted(merged.items()):
+        counted = F.when(C(f"{p}.measured") > 0, F.lit(w)).otherwise(F.lit(0)).cast("long")
+        top, whole = top + F.rint(C(f"{p}.score") * 100).cast("long") * counted, whole + counted
+    return rounded(_ratio(top / 100.0, whole))
 
 
 def global_scores(results: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -152,7 +162,7 @@ def readiness(pages: DataFrame, site: DataFrame, external: DataFrame) -> DataFra
     every = seen.join(site.select("audit_id", "blocked_agent_bots"), "audit_id", "full").join(external.select("audit_id", "ai_discovery_endpoints", "brand_coherence", "nlweb_status"), "audit_id", "full").fillna(False)
     n = C("has_potential").cast("int") + C("has_agent_forms").cast("int") + C("has_openapi").cast("int")
     level = F.when(C("has_webmcp") & (n >= 2), "advanced").when(C("has_webmcp") | (n >= 2), "ready").when(n >= 1, "basic").otherwise("none")
-    brand = F.when(F.size("brand_coherence") > 0, F.bround(F.aggregate(F.map_values("brand_coherence"), F.lit(0.0), lambda a, x: a + x) / F.size("brand_coherence") * 100, 2))
+    brand = F.when(F.size("brand_coherence") > 0, rounded(F.aggregate(F.map_values("brand_coherence"), F.lit(0.0), lambda a, x: a + x) / F.size("brand_coherence") * 100))
     return every.select(
         "audit_id",
         level.alias("readiness_level"),
@@ -179,7 +189,7 @@ def issues(results: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     impact = F.when(C("weight") < 1.0, 1).when(C("weight") < 1.8, 2).otherwise(3)
     severity = F.when(C("status") == "critical", 2).otherwise(1)
     open_ = results.where(C("status").isin("warning", "critical") & (C("evidence_tier") == "standard"))
-    rated = open_.select("audit_id", "key", C("status").alias("severity"), "pillars", impact.alias("impact"), effort.alias("effort"), F.bround(impact * severity / effort.cast("double"), 2).alias("priority"))
+    rated = open_.select("audit_id", "key", C("status").alias("severity"), "pillars", impact.alias("impact"), effort.alias("effort"), rounded(impact * severity / effort.cast("double")).alias("priority"))
     rated = rated.withColumn("bucket", F.when(C("priority") >= 3, "high").when(C("priority") >= 1, "medium").otherwise("low"))
     if evidence is not None:
         rated = rated.join(evidence.select("audit_id", "key", C("urls").alias("affected_pages")), ["audit_id", "key"], "left")

@@ -103,10 +103,10 @@ def _select(columns: dict[str, str]) -> str:
     return ", ".join(f"{e} AS {n}" for n, e in columns.items())
 
 
-def sql() -> str:
-    """Common table expressions p (pages), si and ex (one row per site) for DuckDB."""
+def sql(where: str = "") -> str:
+    """Common table expressions p (pages, of the orders that a condition picks), si and ex (one row per site) for DuckDB."""
     return (
-        "WITH keys AS (SELECT o_orderkey AS k, o_orderkey % 97 AS s FROM orders), sites AS (SELECT DISTINCT s FROM keys), "
+        f"WITH keys AS (SELECT o_orderkey AS k, o_orderkey % 97 AS s FROM orders {where}), sites AS (SELECT DISTINCT o_orderkey % 97 AS s FROM orders), "
         f"p AS (SELECT k, s, {_select(PAGE)} FROM keys), si AS (SELECT {_select(SITE)} FROM sites), ex AS (SELECT {_select(EXTERNAL)} FROM sites)"
     )
 

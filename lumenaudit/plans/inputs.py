@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.messages import message
 from ..functions.text import words
-from ..operators import citation, compare, prompts, rules, scoring, sinks
+from ..operators import citation, compare, prompts, rules, scoring, sinks, states
 from ..shared import shared_dir, written
-from ..sources import connectors, discovery, html
+from ..sources import connectors, discovery, guard, html, robots, services
 from . import analogs, markup
 
 C = F.col
@@ -55,6 +55,13 @@ def markup_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signals(spark, sf_dir).select("audit_id", "url", "aso.webmcp.has_register_tool", "aso.webmcp.has_tool_attributes", "aso.webmcp.tool_count", "aso.webmcp.partial_signals", C("aso.agent_usable_forms").alias("forms_usable"), form("found"), form("no_action"), form("no_fields"), form("no_label"))
 
 
+def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup pages beside a rendering that adds up to 160 words: what both count, and what that says of the page."""
+    more = F.concat(F.lit("<p>"), F.repeat(F.lit("more "), (40 * (F.substring_index("url", "/", -1).cast("int") % 5)).cast("int")), F.lit("</p></main>"))
+    s = html.extract(markup.captures(spark, sf_dir).withColumn("rendered_html", F.replace("html", F.lit("</main>"), more)))
+    return s.select("audit_id", "url", "render_mode", "render_source", "raw_word_count", "rendered_word_count", "word_count")
+
+
 def content_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.content_types(analogs.pages(spark, sf_dir))
 
@@ -77,13 +84,68 @@ def _sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def sitemap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discovery.sitemaps(_sites(spark, sf_dir)[1]).select("audit_id", "url", "valid", "is_index", F.size("locs").alias("locations"))
+    return discovery.sitemaps(_sites(spark, sf_dir)[1], chunk=3).groupBy("audit_id", "url", "valid", "is_index").agg(F.sum(F.size("locs")).cast("int").alias("locations"))
 
 
 def crawl_frontiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.frontier(*_sites(spark, sf_dir))
 
 
+#: Hosts of requests, by a page's number modulo how many there are; the first four kinds may be asked.
+HOSTS = ("ok.example", "198.51.99.7", "0x5DB8D822", "[2606:4700::1]", "2130706433", "0177.0.0.1", "[::ffff:10.0.0.1]", "mixed.example", "lost.example", "metadata.google.internal")
+
+
+def guarded_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests made of the pages: hosts of all kinds, a few hops that relative locations name, and some that end inside."""
+    k, kinds = C("page_id"), len(HOSTS) + 2
+    kind, hops, inside = k % kinds, F.floor(k / kinds) % 8, F.floor(k / (kinds * 8)) % 3 == 1
+    origin = F.when(kind < len(HOSTS), F.concat(F.lit("https://"), F.get(F.array(*map(F.lit, HOSTS)), kind.cast("int")))).when(kind == len(HOSTS), F.lit("ftp://ok.example")).otherwise(F.lit("https://me@ok.example"))
+    asked = _table(spark, sf_dir, "pages").select(k.alias("request_id"), origin.alias("origin"), F.concat(origin, F.lit("/p"), k.cast("string")).alias("url"), kind.alias("kind"), hops.alias("hops"), inside.alias("inside"))
+    at = lambda n: F.concat(F.lit("c"), n.cast("string"), F.lit("-"), C("request_id").cast("string"))
+    steps = asked.where("kind < 4").select("*", F.explode(F.sequence(F.lit(0).cast("long"), C("hops"))).alias("n"))
+    url = F.when(C("n") == 0, C("url")).otherwise(F.concat("origin", F.lit("/"), at(C("n"))))
+    on = F.when(C("n") < C("hops"), F.concat(F.when(C("n") % 2 == 0, "../x/./../").otherwise(""), at(C("n") + 1), F.lit("#part"))).when(C("inside"), F.lit("//169.254.169.254/x"))
+    answers = steps.select(url.alias("url"), F.when(on.isNotNull(), 302).otherwise(200).alias("status"), on.alias("location"))
+    resolved = spark.createDataFrame([("OK.example.", "93.184.216.34"), ("ok.example", "2606:4700::2"), ("mixed.example", "93.184.216.34"), ("mixed.example", "10.1.2.3")], "host string, address string")
+    return guard.followed(asked.select("request_id", "url"), answers, resolved)
+
+
+def robots_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' pages on sites with and without a robots.txt, asked for by two agents."""
+    text = "User-agent: *\nDisallow: /s/1\nAllow: /s/10 # longer\nDisallow: /*.pdf$\n\nUser-agent: GPTBot\nUser-agent: other\nDisallow: /%73/\nAllow: /s/2*5\n"
+    sites = _table(spark, sf_dir, "nation").select(C("n_nationkey").cast("string").alias("audit_id"), F.when(C("n_nationkey") % 3 != 0, F.lit(text)).alias("robots_txt"))
+    k = C("s_suppkey")
+    pages = _table(spark, sf_dir, "supplier").select((k % 25).cast("string").alias("audit_id"), F.concat(F.lit("https://n.example/s/"), k.cast("string"), F.when(k % 4 == 0, ".pdf").when(k % 4 == 1, "?x").otherwise("")).alias("url"))
+    return robots.allowed(pages, sites, ["GPTBot/1.2", "anyone"])
+
+
+def paged_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days as a service that gives a hundred rows at a time, read through the data source with a filter on days and one on keys."""
+    folder = shared_dir(spark)
+    _days(spark, sf_dir).select(F.date_format("day", "yyyy-MM-dd").alias("on"), C("key").cast("long").alias("k"), "clicks", "impressions", "position").repartition("on").sortWithinPartitions("on", "k").write.partitionBy("on").parquet(folder)
+    uri = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+
+    def query(site: str, body: dict) -> dict | None:
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        if site != "https://shop.example/":
+            return None
+        system, path = fs.FileSystem.from_uri(f"{uri}/on={body['startDate']}")
+        if system.get_file_info(path).type == fs.FileType.NotFound:
+            return {}
+        rows = sorted(ds.dataset(path, filesystem=system).to_table().to_pylist(), key=lambda r: r["k"])
+        wanted = [f["expressions"] for f in body.get("filters", []) if f["operator"] == "equals"]
+        rows = [r for r in rows if all(str(r["k"]) in w for w in wanted)][body["startRow"] : body["startRow"] + body["rowLimit"]]
+        return {"rows": [{"keys": [str(r["k"])], "clicks": r["clicks"], "impressions": r["impressions"], "ctr": r["clicks"] / 100, "position": r["position"]} for r in rows]}
+
+    services.register(spark, services.searches("paged_searches", query))
+    read = lambda: spark.read.format("paged_searches").option("domain", "shop.example").option("start_date", "2024-01-01").option("end_date", "2024-01-31").option("max_rows", 1_000_000).load()
+    week = read().where("day between '2024-01-08' and '2024-01-10'")
+    some = read().where(C("key").isin("3", "14", "15") & (C("day") > F.lit("2024-01-20").cast("date")))
+    return week.union(some).select(C("day").cast("string").alias("day"), "key", "clicks", "impressions", "ctr", "position")
+
+
 # --- payloads
 
 
@@ -205,6 +267,20 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.evaluate(analogs.pages(spark, sf_dir), analogs.site(spark, sf_dir), analogs.external(spark, sf_dir), F.lit(analogs.AUDITED_ON))
 
 
+def incremental_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the sites' pages arrive late, some go, some change: the scores from the log of states, without the pages."""
+    pages = analogs.pages(spark, sf_dir).withColumn("__k", F.substring_index("url", "/", -1).cast("long") % 10)
+    of = lambda *ks: pages.where(C("__k").isin(*ks)).drop("__k")
+    older = of(5).withColumn("word_count", C("word_count") + 100).withColumn("title", F.lit("an old title")).withColumn("has_author", F.lit(True)).withColumn("content_date", F.lit("2026-05-31"))
+    asked, path = rules.declared(rules.catalog()), shared_dir(spark)
+    states.append(path, states.state(of(1, 2, 3, 4, 6, 7).unionByName(older), *asked), "0")
+    states.append(path, states.change(of(3), of(8, 9), *asked), "1")
+    states.append(path, states.change(older, of(5, 0), *asked), "2")
+    known = states.facts_of(states.read(spark, path), asked[0])
+    results = rules.evaluate_facts(known, analogs.site(spark, sf_dir), analogs.external(spark, sf_dir), F.lit(analogs.AUDITED_ON))
+    return results.select("audit_id", "key", "score", "status")
+
+
 def stored_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every audit saved twice and loaded again as a report."""
     results, path = written(_results(spark, sf_dir)), shared_dir(spark)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..operators import prompts
 from . import rules_sql as r
 from .analogs import sql, url_of
+from .inputs import HOSTS
 
 KEYS = "k AS (SELECT p_partkey AS k, p_partkey % 13 AS s, 'shop' || (p_partkey % 13) || '.example' AS audit_id, 'https://shop' || (p_partkey % 13) || '.example/p/' || p_partkey AS url FROM part)"
 #: Words of a markup page's main part; its navigation has three more.
@@ -44,6 +45,7 @@ SELECT audit_id, url, len(own)::INT AS internal_links, (k % 3)::INT AS external_
         "markup_data": f"""WITH {KEYS} SELECT audit_id, url, CASE k % 6 WHEN 0 THEN 'Product' WHEN 1 THEN 'Article Person TechArticle' WHEN 3 THEN 'Organization SearchAction' ELSE '' END AS types, k % 6 IN (1, 3) AS has_author, k % 6 = 1 AS author_has_credentials, k % 6 = 1 AS has_structured_dates,
   CASE WHEN k % 6 = 1 THEN '2026-01-0' || (1 + k % 9) END AS content_date, CASE WHEN k % 6 = 3 THEN 'github' ELSE '' END AS platforms, CASE WHEN k % 6 = 3 THEN 'SearchAction' ELSE '' END AS actions, CASE WHEN k % 6 = 0 THEN 'Product' ELSE '' END AS action_types FROM k""",
         "markup_agents": f"""WITH {KEYS} SELECT audit_id, url, k % 9 = 0 AS has_register_tool, k % 8 = 0 AS has_tool_attributes, (k % 8 = 0)::INT AS tool_count, FALSE AS partial_signals, (k % 5 = 1)::INT AS forms_usable, (k % 5 > 0)::INT AS forms_found, (k % 5 = 2)::INT AS forms_no_action, (k % 5 = 3)::INT AS forms_no_fields, (k % 5 = 4)::INT AS forms_no_label FROM k""",
+        "rendered_pages": f"""WITH {KEYS}, n AS (SELECT *, {MAIN} + 3 AS raw, {MAIN} + 3 + 40 * (k % 5) AS after FROM k) SELECT audit_id, url, CASE WHEN after >= 1.5 * raw AND after - raw >= 100 THEN 'csr' ELSE 'ssr' END AS render_mode, 'dom_diff' AS render_source, raw::INT AS raw_word_count, after::INT AS rendered_word_count, after::INT AS word_count FROM n""",
         "content_kinds": f"""{sql()} SELECT audit_id, CASE WHEN bool_or(list_contains(string_split(types, ','), 'Product')) THEN 'ecommerce' WHEN bool_or(types LIKE '%DefinedTerm%' OR types LIKE '%FAQPage%' OR types LIKE '%HowTo%') THEN 'knowledge_base' ELSE 'general' END AS content_type FROM p GROUP BY audit_id""",
         "sitemap_files": """WITH n AS (SELECT s_suppkey % 25 AS n, count(*) AS c FROM supplier GROUP BY 1)
 SELECT n::VARCHAR AS audit_id, 'https://n' || n || '.example/' || f AS url, f <> 'extra.xml' AS valid, f = 'sitemap.xml' AS is_index, (CASE f WHEN 'list.xml' THEN c + 1 WHEN 'sitemap.xml' THEN 1 ELSE 0 END)::INT AS locations FROM n, (VALUES ('list.xml'), ('sitemap.xml'), ('extra.xml')) t(f)""",
@@ -52,6 +54,17 @@ SELECT n::VARCHAR AS audit_id, 'https://n' || n || '.example/' || f AS url, f <>
   SELECT s_suppkey % 25, 1, 'https://n' || (s_suppkey % 25) || '.example/s/' || s_suppkey FROM supplier WHERE s_suppkey % 25 % 5 = 0 OR NOT starts_with(s_suppkey::VARCHAR, '1') OR starts_with(s_suppkey::VARCHAR, '10')
 )
 SELECT n::VARCHAR AS audit_id, url, row_number() OVER (PARTITION BY n ORDER BY step, url)::INT AS place FROM u WHERE n IN (SELECT n_nationkey FROM nation)""",
+        "guarded_requests": f"""WITH r AS (
+  SELECT page_id AS k, page_id % 12 AS kind, page_id // 12 % 8 AS hops, (page_id // 96 % 3 = 1)::INT AS inside, CASE page_id % 12 {" ".join(f"WHEN {n} THEN 'https://{h}'" for n, h in enumerate(HOSTS))} WHEN 10 THEN 'ftp://ok.example' ELSE 'https://me@ok.example' END AS origin FROM pages
+), f AS (SELECT *, origin || '/p' || k AS url, CASE WHEN kind < 4 THEN least(hops + inside, 5) ELSE 0 END AS n FROM r)
+SELECT k AS request_id, url, CASE WHEN kind >= 4 OR n = 0 THEN url WHEN hops + inside <= 5 AND inside = 1 THEN 'https://169.254.169.254/x' ELSE origin || '/c' || n || '-' || k END AS final_url, n::INT AS redirects,
+  CASE WHEN kind >= 4 OR hops + inside <= 5 AND inside = 1 THEN NULL WHEN hops + inside > 5 THEN 302 ELSE 200 END::INT AS status,
+  CASE WHEN kind = 10 THEN 'scheme' WHEN kind = 11 THEN 'user' WHEN kind = 9 THEN 'name' WHEN kind = 8 THEN 'unresolved' WHEN kind >= 4 THEN 'address' WHEN hops + inside > 5 THEN 'redirects' WHEN inside = 1 THEN 'address' END AS refused FROM f""",
+        "robots_verdicts": """WITH p AS (SELECT (s_suppkey % 25)::VARCHAR AS audit_id, s_suppkey % 25 % 3 = 0 AS free, s_suppkey::VARCHAR AS k, CASE s_suppkey % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '?x' ELSE '' END AS e FROM supplier)
+SELECT audit_id, 'https://n.example/s/' || k || e AS url, asked, coalesce(CASE WHEN free THEN TRUE WHEN asked = 'anyone' THEN e <> '.pdf' AND (NOT starts_with(k, '1') OR starts_with(k, '10')) ELSE regexp_matches(k || e, '^2.*5') END, TRUE) AS allowed FROM p, (VALUES ('GPTBot/1.2'), ('anyone')) a(asked)""",
+        "paged_searches": f"""WITH {DAYS}, s AS (SELECT day::VARCHAR AS day, key, clicks, impressions, clicks / 100::DOUBLE AS ctr, position FROM days)
+SELECT * FROM s WHERE day BETWEEN '2024-01-08' AND '2024-01-10' UNION ALL SELECT * FROM s WHERE key IN ('3', '14', '15') AND day > '2024-01-20' AND day <= '2024-01-31'""",
+        "incremental_scores": f"{r.results(sql('WHERE o_orderkey % 10 <> 3'))} SELECT audit_id, key, score, status FROM r",
         "engine_answers": """WITH c AS (SELECT *, (conv_id + turn) % 4 AS e, 'www.a' || turn || '.example' AS d FROM conversations WHERE role = 'assistant')
 SELECT ['openai', 'anthropic', 'gemini', 'perplexity'][e + 1] AS engine, 'm' || (e + 1) AS model, conv_id::VARCHAR AS prompt_id, turn::INT AS repetition, text || CASE WHEN e = 2 THEN '!' ELSE '' END AS response_text,
   CASE e WHEN 1 THEN '1:' || d || ':t,2:' || d || ':t' WHEN 3 THEN '1:b.example:-,2:' || d || ':-' ELSE '1:' || d || ':t' END AS cites FROM c""",
@@ -79,11 +92,11 @@ d AS (SELECT pair_id, list_filter([CASE WHEN (a % 4 = 3) <> (b % 4 = 3) THEN 'ac
 c AS (SELECT pair_id, d, CASE WHEN len(d) = 0 THEN 'exact' WHEN list_has_any(d, ['pillar_weights', 'rule_catalog_digest']) THEN 'incompatible' WHEN list_contains(d, 'active_connectors') THEN 'intersection' ELSE 'compatible' END AS kind FROM d)
 SELECT pair_id, kind AS comparability, array_to_string(d, ' ') AS differences, CASE kind WHEN 'incompatible' THEN 'descriptive' WHEN 'intersection' THEN 'intersection descriptive' ELSE 'strict intersection descriptive' END AS allowed_modes FROM c""",
         "stored_reports": f"""{issue}, {r.pillars()}, {r.totals()},
-c AS (SELECT audit_id, count(*)::INT AS criteria, min(key) AS first_rule, round_even(coalesce(sum(weight::DOUBLE) FILTER ({r.MEASURED}), 0) / sum(weight::DOUBLE) FILTER (status <> 'not_applicable'), 4) AS coverage FROM r GROUP BY audit_id),
+c AS (SELECT audit_id, count(*)::INT AS criteria, min(key) AS first_rule, {r.coverage()} AS coverage FROM r GROUP BY audit_id),
 o AS (SELECT audit_id, count(*)::INT AS issues, arg_min(key, {{'p': -priority, 'k': key}}) AS first_issue FROM q GROUP BY audit_id)
 SELECT audit_id, gs.score AS score_global, c.coverage, criteria, issues, first_rule, first_issue, ps.score AS seo FROM gs JOIN c USING (audit_id) JOIN o USING (audit_id) JOIN ps USING (audit_id) WHERE pillar = 'seo'""",
         "markdown_reports": f"""{issue}, {r.pillars()}, {r.totals()},
-c AS (SELECT audit_id, round_even(coalesce(sum(weight::DOUBLE) FILTER ({r.MEASURED}), 0) / sum(weight::DOUBLE) FILTER (status <> 'not_applicable'), 4) AS coverage FROM r GROUP BY audit_id),
+c AS (SELECT audit_id, {r.coverage()} AS coverage FROM r GROUP BY audit_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY priority DESC, key) AS rank FROM q),
 i2 AS (SELECT audit_id, string_agg('| ' || concat_ws(' | ', rank, key, severity, priority, bucket) || ' |', chr(10) ORDER BY rank) AS rows FROM k GROUP BY audit_id),
 p2 AS (SELECT audit_id, string_agg('| ' || concat_ws(' | ', pillar, score, coverage, measured, excluded) || ' |', chr(10) ORDER BY pillar) AS rows FROM ps GROUP BY audit_id)
@@ -92,7 +105,7 @@ SELECT audit_id, '# Audit of ' || audit_id || chr(10) || chr(10) || 'Score: ' ||
 FROM gs JOIN c USING (audit_id) JOIN p2 USING (audit_id) LEFT JOIN i2 USING (audit_id)""",
         "affected_by_issue": f"""{issue}, gone AS (SELECT audit_id, url FROM (SELECT *, min(url) OVER (PARTITION BY s) AS home FROM p) WHERE url <> home AND url NOT IN (SELECT {url_of('linked')} FROM p WHERE linked IS NOT NULL)),
 e AS (
-  SELECT audit_id, 'meta.title' AS key, url, 10 AS most FROM p WHERE {title} < 80 UNION ALL SELECT audit_id, 'content.depth', url, 10 FROM p WHERE least(100.0, word_count::DOUBLE / 800 * 100) < 80 UNION ALL SELECT audit_id, 'links.orphans', url, 10 FROM gone UNION ALL
+  SELECT audit_id, 'meta.title' AS key, url, 10 AS most FROM p WHERE {title} < 80 UNION ALL SELECT audit_id, 'content.depth', url, 10 FROM p WHERE round_even(least(100.0, word_count::DOUBLE / 800 * 100), 2) < 80 UNION ALL SELECT audit_id, 'links.orphans', url, 10 FROM gone UNION ALL
   SELECT audit_id, 'geo.primary_sources', url, 30 FROM p WHERE word_count >= 300 AND outside = 0 UNION ALL SELECT audit_id, 'geo.ssr', url, 1000000000 FROM p WHERE render_mode = 'csr'
 )
 SELECT audit_id, key, least(count(*), any_value(most))::INT AS pages, CASE WHEN key <> 'geo.ssr' THEN min(url) END AS first_page FROM e JOIN q USING (audit_id, key) GROUP BY audit_id, key""",

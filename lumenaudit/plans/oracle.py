@@ -7,7 +7,6 @@ from . import rules_sql as r
 from ..operators.prompts import STOP_WORDS
 from ..operators.scoring import EFFORT
 from .analogs import sql, url_of
-from .queries import RANKS, RESPONSES, SERP, SPEED
 
 HOST = "regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1)"
 TITLE = "replace(replace(replace(replace(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
@@ -44,9 +43,8 @@ def _effort() -> str:
 
 def _page_scores() -> str:
     """(audit_id, url, key, score) of the rules that score single pages: what their mean is taken of."""
-    single = [k for k, (_, _, e) in r.PAGES.items() if e.startswith("round_even(avg(") and k not in ("i18n.hreflang", "geo.ssr", "geo.noise_ratio", "geo.entity_density")]
-    inner = lambda k: r.PAGES[k][2].removeprefix("round_even(avg(").removesuffix("), 2)")
-    return " UNION ALL ".join(f"SELECT audit_id, url, '{k}' AS key, {inner(k)} AS score FROM p" for k in single)
+    single = [k for k, (_, _, e) in r.PAGES.items() if r.page_score(e) != e and k not in ("i18n.hreflang", "geo.noise_ratio", "geo.entity_density")]
+    return " UNION ALL ".join(f"SELECT audit_id, url, '{k}' AS key, {r.page_score(r.PAGES[k][2])} AS score FROM p" for k in single)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -98,20 +96,18 @@ w AS (SELECT audit_id, unnest(regexp_extract_all(lower(title), '[a-zà-ÿ0-9]+')
 c AS (SELECT audit_id, term, count(*) AS n FROM w JOIN b USING (audit_id) WHERE length(term) >= 4 AND term NOT IN ({counts}) AND NOT list_contains(words, term) GROUP BY audit_id, term)
 SELECT audit_id, term, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY n DESC, term) AS rank FROM c) WHERE rank <= 12"""
     cites = f"""
-WITH x AS (SELECT * FROM ({RESPONSES}) AS t(audit_id, engine, prompt_id, repetition, response_text, web, cites)),
-y AS (
-  SELECT audit_id, engine, prompt_id, web, list_filter(list_transform(list_filter(string_split(cites, ','), lambda c: c <> ''), lambda c: {{'d': regexp_replace(split_part(c, ':', 1), '^www\\.', ''), 'p': split_part(c, ':', 2)::INT}}), lambda c: TRUE) AS c,
-    CASE WHEN audit_id = 't' THEN 'example.com' ELSE 'u.example' END AS target, coalesce(regexp_matches(lower(response_text), CASE WHEN audit_id = 't' THEN '(^|[^a-z])example($|[^a-z])' ELSE '(^|[^a-z])u($|[^a-z])' END), FALSE) AS said
-  FROM x
-), z AS (
-  SELECT *, list_filter(c, lambda v: v.d = target) AS own, len(list_filter(c, lambda v: v.d = 'rival.org' AND audit_id = 't')) AS rivals FROM y
+WITH x AS (
+  SELECT 'a' || (conv_id % 5) AS audit_id, 'e' || (conv_id % 3) AS engine, conv_id, turn % 4 <> 3 AS web, (conv_id + turn) % 4 AS kind,
+    coalesce(regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])the($|[^\\p{{L}}\\p{{N}}_])'), FALSE) AS said
+  FROM conversations WHERE role = 'assistant'
+), z AS (SELECT *, (kind IN (1, 2))::INT AS own, CASE kind WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS rivals, CASE kind WHEN 1 THEN 1 WHEN 2 THEN 2 END AS place FROM x
 ), cell AS (
-  SELECT audit_id, engine, prompt_id, count(*) AS n, count(*) FILTER (web) AS ret, count(*) FILTER (web AND len(own) > 0) AS cited, count(*) FILTER (said) AS said, count(*) FILTER (said AND NOT web) AS known,
-    sum(CASE WHEN web THEN len(own) ELSE 0 END) AS hits, sum(CASE WHEN web THEN rivals ELSE 0 END) AS rivals, sum(CASE WHEN web THEN list_min(list_transform(own, lambda v: v.p)) END) AS pos, count(CASE WHEN web THEN list_min(list_transform(own, lambda v: v.p)) END) AS placed
+  SELECT audit_id, engine, conv_id AS prompt_id, count(*) AS n, count(*) FILTER (web) AS ret, count(*) FILTER (web AND own > 0) AS cited, count(*) FILTER (said) AS said, count(*) FILTER (said AND NOT web) AS known,
+    sum(CASE WHEN web THEN own ELSE 0 END) AS hits, sum(CASE WHEN web THEN rivals ELSE 0 END) AS rivals, sum(CASE WHEN web THEN place END) AS pos, count(CASE WHEN web THEN place END) AS placed
   FROM z GROUP BY ALL
 )
 SELECT audit_id, coalesce(engine, 'all') AS engine, sum(n)::BIGINT AS responses, coalesce(round_even(sum(cited)::DOUBLE / nullif(sum(ret), 0), 4), 0) AS citation_rate, round_even(sum(said)::DOUBLE / sum(n), 4) AS mention_rate,
-  round_even(sum(known)::DOUBLE / nullif(sum(n) - sum(ret), 0), 4) AS knowledge_presence, coalesce(round_even(avg(CASE WHEN cited > 0 THEN cited::DOUBLE / ret END), 4), 0) AS citation_confidence,
+  round_even(sum(known)::DOUBLE / nullif(sum(n) - sum(ret), 0), 4) AS knowledge_presence, coalesce(round_even({r._steady("CASE WHEN cited > 0 THEN cited::DOUBLE / ret END")} / nullif(count(CASE WHEN cited > 0 THEN 1 END), 0), 4), 0) AS citation_confidence,
   round_even(sum(hits)::DOUBLE / nullif(sum(hits) + sum(rivals), 0), 4) AS share_of_voice, round_even(sum(pos)::DOUBLE / nullif(sum(placed), 0), 2) AS average_position, max(n)::BIGINT AS repetitions, count(DISTINCT prompt_id) AS prompts
 FROM cell GROUP BY GROUPING SETS ((audit_id), (audit_id, engine))"""
     mentions = """
@@ -119,39 +115,32 @@ WITH x AS (SELECT 'e' || (conv_id % 3) AS engine, conv_id, turn % 4 <> 3 AS web,
 c AS (SELECT engine, conv_id, count(*) AS n, count(*) FILTER (said) AS said, count(*) FILTER (NOT web) AS closed, count(*) FILTER (said AND NOT web) AS known FROM x GROUP BY ALL)
 SELECT coalesce(engine, 'all') AS engine, sum(n)::BIGINT AS responses, round_even(sum(said)::DOUBLE / sum(n), 4) AS mention_rate, round_even(sum(known)::DOUBLE / nullif(sum(closed), 0), 4) AS knowledge_presence, max(n)::BIGINT AS repetitions, count(DISTINCT conv_id) AS prompts
 FROM c GROUP BY GROUPING SETS ((), (engine))"""
-    periods = """
+    P = "1073741824e0"
+    periods = f"""
 WITH q AS (
   SELECT ts >= '2024-01-16' AS cur, user_id, count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'view') AS i, sum(user_id % 30)::DOUBLE / count(*) + 1 AS pos
   FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL
 ), s AS (
-  SELECT sum(c) FILTER (cur) AS cc, sum(i) FILTER (cur) AS ci, round_even(avg(round_even(pos, 1)) FILTER (cur), 1) AS cp, sum(c) FILTER (NOT cur) AS pc, sum(i) FILTER (NOT cur) AS pi, round_even(avg(pos) FILTER (NOT cur), 1) AS pp FROM q
+  SELECT sum(c) FILTER (cur) AS cc, sum(i) FILTER (cur) AS ci, round_even({r._steady("CASE WHEN cur THEN round_even(pos, 1) END", P)} / count(CASE WHEN cur THEN 1 END), 1) AS cp, sum(c) FILTER (NOT cur) AS pc, sum(i) FILTER (NOT cur) AS pi, round_even({r._steady("CASE WHEN NOT cur THEN pos END", P)} / count(CASE WHEN NOT cur THEN 1 END), 1) AS pp FROM q
 ), t AS (SELECT *, round_even(cc::DOUBLE / ci, 4) AS cr, round_even(pc::DOUBLE / pi, 4) AS pr FROM s)
 SELECT 'e' AS audit_id, cc::BIGINT AS current_clicks, ci::BIGINT AS current_impressions, cr AS current_ctr, cp AS current_avg_position, pc::BIGINT AS previous_clicks, pi::BIGINT AS previous_impressions, pr AS previous_ctr, pp AS previous_avg_position,
   (cc - pc)::BIGINT AS clicks_delta, (ci - pi)::BIGINT AS impressions_delta, round_even(cr - pr, 4) AS ctr_delta, round_even(cp - pp, 1) AS position_delta FROM t"""
-    serp = f"""
-serp AS (
-  SELECT audit_id, query, target_domain, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM ({SERP}) AS t(audit_id, query, target_domain, payload)
-), refs AS (
-  SELECT audit_id, query, (j->'ai_overview') IS NOT NULL AS triggered, target_domain, coalesce(j->'ai_overview'->'references', j->'ai_overview'->'sources') AS refs FROM serp
-), named AS (
-  SELECT audit_id, query, min(i) AS position FROM (SELECT audit_id, query, target_domain, unnest(range(json_array_length(refs)::INT)) + 1 AS i, refs FROM refs)
-  WHERE contains(regexp_replace(regexp_extract(coalesce(refs->(i - 1)::INT->>'link', refs->(i - 1)::INT->>'url', ''), '^[a-z]+://([^/]+)', 1), '^www\\.', ''), target_domain) GROUP BY ALL
-), found AS (SELECT audit_id, query, coalesce(triggered, FALSE) AS triggered, position IS NOT NULL AS cited, position::INT AS position FROM refs LEFT JOIN named USING (audit_id, query))"""
-    metrics = "json_extract(p, '$.loadingExperience.metrics.{}.percentile')::DOUBLE"
-    speed = f"""
-SELECT audit_id, {metrics.format("LARGEST_CONTENTFUL_PAINT_MS")} AS lcp, round_even({metrics.format("CUMULATIVE_LAYOUT_SHIFT_SCORE")} / 100, 4) AS cls, {metrics.format("INTERACTION_TO_NEXT_PAINT")} AS inp, json_extract(p, '$.lighthouseResult.categories.performance.score')::DOUBLE AS lighthouse_performance
-FROM (SELECT audit_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS p FROM ({SPEED}) AS t(audit_id, payload))"""
-    authority = f"""
-SELECT audit_id, CASE WHEN json_extract(opr, '$.response[0].status_code')::INT = 200 THEN json_extract(opr, '$.response[0].page_rank_decimal')::DOUBLE END AS page_rank,
-  coalesce(round_even(least(10.0::DOUBLE, floor(json_extract(analytics, '$.tasks[0].result[0].domain_rank')::DOUBLE) / 100), 2),
-    CASE WHEN labs IS NOT NULL THEN round_even(least(10.0::DOUBLE, log10(coalesce(json_extract(labs, '$.tasks[0].result[0].items[0].metrics.organic.etv')::DOUBLE, 0) + 1) * 2.5), 2) END) AS authority
-FROM (SELECT audit_id, opr::JSON AS opr, analytics::JSON AS analytics, labs::JSON AS labs FROM ({RANKS}) AS t(audit_id, opr, analytics, labs))"""
+    serp = """
+found AS (SELECT 'a' || (c_custkey % 50) AS audit_id, c_name AS query, c_custkey % 5 IN (0, 1, 3) AS triggered, c_custkey % 5 IN (0, 1) AS cited, CASE c_custkey % 5 WHEN 0 THEN 3 WHEN 1 THEN 1 END AS position FROM customer)"""
+    speed = """
+SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 AND ok THEN 1500 + p_partkey % 3000 END::DOUBLE AS lcp, CASE WHEN p_partkey % 4 <> 0 AND ok THEN round_even((p_partkey % 40) / 100::DOUBLE, 4) END AS cls, CASE WHEN p_partkey % 5 <> 0 AND ok THEN 100 + p_partkey % 600 END::DOUBLE AS inp,
+  CASE WHEN p_partkey % 6 <> 0 AND ok THEN (p_partkey % 101) / 100::DOUBLE END AS lighthouse_performance
+FROM (SELECT p_partkey, p_partkey % 11 <> 0 AS ok FROM part)"""
+    authority = """
+SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN (s_suppkey % 100) / 10::DOUBLE END AS page_rank,
+  CASE WHEN s_suppkey % 4 <> 0 THEN round_even(least(10.0::DOUBLE, (s_suppkey * 7 % 1100) / 100::DOUBLE), 2) WHEN s_suppkey % 5 > 0 THEN round_even(least(10.0::DOUBLE, log10(CASE WHEN s_suppkey % 5 = 1 THEN 0 ELSE s_suppkey * s_suppkey % 100000 END + 1.0::DOUBLE) * 2.5), 2) END AS authority
+FROM supplier"""
     view = "(SELECT audit_id, url, rendered_word_count - raw_word_count AS js_delta, images_total - images_with_alt AS alt_missing, svg_total - svg_accessible AS svg_unnamed, render_mode FROM p)"
     family = "CASE k % 4 WHEN 0 THEN 'models' WHEN 1 THEN 'glossary' WHEN 2 THEN 'compare' ELSE 'blog' END"
     parity = "CASE WHEN rendered_word_count <= 0 THEN 1.0 ELSE least(1.0, raw_word_count::DOUBLE / rendered_word_count) END"
     title = "CASE WHEN coalesce(title, '') = '' THEN 0 WHEN length(title) < 30 THEN 60 WHEN length(title) > 60 THEN 70 ELSE 100 END"
     measured = r.MEASURED
-    return {
+    made = {
         "page_basics": basics,
         "page_rule_scores": page_scores,
         "host_pages": hosts,
@@ -159,7 +148,7 @@ FROM (SELECT audit_id, opr::JSON AS opr, analytics::JSON AS analytics, labs::JSO
         "rule_scores": f"{r.results()} SELECT audit_id, key, pillars, score, status, weight::DOUBLE AS weight, evidence_tier FROM r",
         "pillar_scores": f"{r.results()}, {r.pillars()} SELECT * FROM ps",
         "global_scores": f"""{r.results()}, {r.pillars()}, {r.totals()},
-c AS (SELECT audit_id, round_even(coalesce(sum(weight::DOUBLE) FILTER ({measured}), 0) / sum(weight::DOUBLE) FILTER (status <> 'not_applicable'), 4) AS coverage FROM r GROUP BY audit_id)
+c AS (SELECT audit_id, {r.coverage()} AS coverage FROM r GROUP BY audit_id)
 SELECT audit_id, gs.score AS score_global, coverage, CASE WHEN coverage >= 0.9 THEN 'complete' WHEN coverage >= 0.7 THEN 'substantial' WHEN coverage >= 0.4 THEN 'partial' ELSE 'insufficient' END AS coverage_label FROM gs JOIN c USING (audit_id)""",
         "issue_plan": f"""{r.results()}, i AS (
   SELECT audit_id, key, status AS severity, CASE WHEN weight < 1 THEN 1 WHEN weight < 1.8 THEN 2 ELSE 3 END AS impact, {_effort()} AS effort FROM r WHERE status IN ('warning', 'critical') AND evidence_tier = 'standard'
@@ -181,6 +170,7 @@ SELECT * EXCLUDE (parity), round_even(parity * 100, 0)::INT AS parity_pct FROM (
         "pages_explorer": f"{sql()} SELECT audit_id, url, js_delta, alt_missing, svg_unnamed FROM {view} WHERE contains(lower(url), 'models') ORDER BY coalesce(js_delta, -1) DESC, audit_id, url LIMIT 50",
         "pages_totals": f"{sql()} SELECT audit_id, count(*) AS pages, sum(alt_missing)::BIGINT AS alt_missing, sum(svg_unnamed)::BIGINT AS svg_unnamed, count(*) FILTER (render_mode = 'csr') AS csr FROM {view} GROUP BY audit_id",
         "criteria_groups": f"""{r.results()} SELECT split_part(pillars, ' ', 1) AS "group", count(*) AS n, count(*) FILTER (status = 'critical') AS critical FROM r WHERE {measured} AND list_contains(string_split(pillars, ' '), 'geo') GROUP BY ALL""",
+        "pillar_criteria": f"""{r.results()}, e AS (SELECT *, unnest(string_split(pillars, ' ')) AS pillar FROM r) SELECT pillar, split_part(pillars, ' ', 1) AS "group", count(*) AS n, count(*) FILTER ({measured}) AS measured FROM e GROUP BY ALL""",
         "json_reports": f"""{r.results()}, {r.pillars()}, {r.totals()}, i AS (
   SELECT audit_id, key, round_even(CASE WHEN weight < 1 THEN 1 WHEN weight < 1.8 THEN 2 ELSE 3 END * CASE status WHEN 'critical' THEN 2 ELSE 1 END / {_effort()}::DOUBLE, 2) AS priority FROM r WHERE status IN ('warning', 'critical') AND evidence_tier = 'standard'
 ), o AS (SELECT audit_id, arg_min(key, {{'p': -priority, 'k': key}}) AS first_issue, max(priority) AS first_priority FROM i GROUP BY audit_id)
@@ -192,12 +182,16 @@ FROM pairs LEFT JOIN gs_left l ON l.audit_id = pair_id LEFT JOIN gs_right x ON x
 FROM (SELECT pair_id, pillar FROM pairs, {r.PILLAR_TABLE}) g LEFT JOIN ps_left l ON l.audit_id = pair_id AND l.pillar = g.pillar LEFT JOIN ps_right x ON x.audit_id = pair_id AND x.pillar = g.pillar""".replace("SELECT pair_id, pillar, coalesce", "SELECT pair_id, g.pillar, coalesce"),
         "compare_criteria": f"{_deltas()} SELECT * FROM d",
         "compare_changes": f"{_deltas()} SELECT pair_id, rank::INT AS rank, key, delta FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY abs(delta) DESC, key) AS rank FROM d WHERE delta <> 0) WHERE rank <= 15",
+        "scorecard_comparison": f"""{r.results()}, {r.pillars()}, {r.totals()}, x AS (SELECT * FROM r WHERE audit_id = 'site4'), y AS (SELECT * FROM r WHERE audit_id = 'site8')
+SELECT 'site4|site8' AS pair_id, x.key, x.score AS left_score, y.score AS right_score, round_even(y.score - x.score, 2) AS delta, x.status AS left_status, y.status AS right_status, round_even((SELECT score FROM gs WHERE audit_id = 'site8') - (SELECT score FROM gs WHERE audit_id = 'site4'), 2) AS global_delta, 'exact' AS comparability FROM x JOIN y USING (key)""",
+        "domain_audits": f"WITH {HISTORY}, n AS (SELECT lpad(l_orderkey::VARCHAR, 12, '0') AS audit_id, count(*) AS c FROM lineitem GROUP BY 1) SELECT audit_id, started_at, coalesce(c, 0) AS criteria FROM hist LEFT JOIN n USING (audit_id) WHERE host = 'h1'",
         "latest_audits": f"WITH {HISTORY} SELECT host, audit_id, score_global, audits FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY started_at DESC, audit_id DESC) AS n, count(*) OVER (PARTITION BY host) AS audits FROM hist) WHERE n = 1",
         "successive_audits": f"WITH {HISTORY} SELECT left_id || '|' || right_id AS pair_id, left_id, right_id FROM (SELECT audit_id AS right_id, lag(audit_id) OVER (PARTITION BY host ORDER BY started_at, audit_id) AS left_id FROM hist) WHERE left_id IS NOT NULL",
         "recalculated_scores": f"{r.results()}, {r.pillars()}, {r.totals()} SELECT audit_id, score AS score_global FROM gs",
         "citation_metrics": cites,
         "mention_rates": mentions,
-        "run_costs": "VALUES ('r1', 150::BIGINT, round_even(75 * (40 / 1e6 * 0.15 + 400 / 1e6 * 0.60 + 0.01) + 75 * (40 / 1e6 * 0.075 + 400 / 1e6 * 0.30), 4)::DOUBLE), ('r2', 20::BIGINT, round_even(10 * (40 / 1e6 + 400 / 1e6 + 0.005), 4)::DOUBLE), ('r3', 0::BIGINT, 0.0::DOUBLE)".join(("SELECT col0 AS run_id, col1 AS calls, col2 AS total_usd FROM (", ")")),
+        "run_costs": """WITH c AS (SELECT conv_id, count(*) FILTER (role = 'user') * (conv_id % 4 + 1) AS n FROM conversations GROUP BY conv_id)
+SELECT conv_id::VARCHAR AS run_id, n * (conv_id % 5) AS calls, round_even(CASE WHEN conv_id % 5 > 0 THEN n * (40 / 1e6 * 0.15 + 400 / 1e6 * 0.60 + 0.01) ELSE 0 END + CASE WHEN conv_id % 5 > 2 THEN n * (40 / 1e6 * 0.075 + 400 / 1e6 * 0.30) ELSE 0 END + CASE WHEN conv_id % 5 > 3 THEN n * (40 / 1e6 + 400 / 1e6 + 0.005) ELSE 0 END, 4) AS total_usd FROM c""",
         "search_periods": periods,
         "serp_overviews": f"WITH {serp} SELECT audit_id, query, triggered, cited, position::DOUBLE AS position FROM found",
         "serp_metrics": f"WITH {serp} SELECT audit_id, avg(cited::INT) AS presence_rate, avg(triggered::INT) AS trigger_rate, avg(position) AS avg_position, count(*)::INT AS query_count FROM found GROUP BY audit_id",
@@ -207,3 +201,4 @@ FROM (SELECT pair_id, pillar FROM pairs, {r.PILLAR_TABLE}) g LEFT JOIN ps_left l
         "artifact_store": f"SELECT DISTINCT 'projects/' || {HOST} || '/runs/r1/html_raw/' || sha256(html) || '.html.gz' AS object_key, sha256(html) AS sha256, octet_length(encode(html))::BIGINT AS bytes FROM pages",
         "event_windows": "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS from_ts, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     } | inputs_sql.oracle_sql() | pages_sql.oracle_sql()
+    return {k: r.binary(v) for k, v in made.items()}

@@ -58,7 +58,7 @@ def results() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    share = f"round_even(coalesce(sum(weight::DOUBLE) FILTER ({r.MEASURED}), 0) / sum(weight::DOUBLE) FILTER (status <> 'not_applicable'), 4)"
+    share = r.coverage()
     return {
         "page_signals": f"{pages()} SELECT audit_id, url, title, h1_count, word_count, text_ratio, internal_links, 0::INT AS external_links, entity_count, lead_paragraph_words, main_text_ratio, render_mode, 0::INT AS tables_count, 0::INT AS images_total FROM p",
         "page_audits": f"{results()} SELECT audit_id, key, score, status FROM r",

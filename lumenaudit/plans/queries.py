@@ -1,11 +1,12 @@
 """The engine's operators as queries over the driver's tables; oracle.py has the SQL of each that SQL can express.
 
-Where the tables hold nothing of the kind, a query runs over analogs (see analogs.py) or over rows written out here.
+Where the tables hold nothing of the kind, a query runs over analogs (see analogs.py) or over payloads that Spark makes of rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,24 +19,11 @@ from ..streaming import captures as streaming
 from . import analogs, audit, inputs
 
 C = F.col
-#: Inputs written out, as SQL that both engines read.
-SERP = """VALUES ('a', 'q1', 'x.example', '{"ai_overview": {"references": [{"link": "https://www.y.example/1"}, {"title": "none"}, {"link": "https://blog.x.example/2", "title": "t"}]}}'), ('a', 'q2', 'x.example', '{"ai_overview": {"sources": [{"url": "https://y.example/"}]}}'), ('a', 'q3', 'x.example', '{"organic": []}'), ('b', 'q1', 'z.example', 'not json')"""
-SPEED = """VALUES ('a', '{"loadingExperience": {"metrics": {"LARGEST_CONTENTFUL_PAINT_MS": {"percentile": 2300}, "CUMULATIVE_LAYOUT_SHIFT_SCORE": {"percentile": 5}}}, "lighthouseResult": {"categories": {"performance": {"score": 0.91}}}}'), ('b', '{"loadingExperience": {}}'), ('c', 'broken')"""
-RANKS = """VALUES ('a', '{"response": [{"status_code": 200, "page_rank_decimal": 4.5}]}', '{"tasks": [{"result": [{"domain_rank": 431}]}]}', NULL), ('b', '{"response": [{"status_code": 404, "page_rank_decimal": 9}]}', '{"tasks": []}', '{"tasks": [{"result": [{"items": [{"metrics": {"organic": {"etv": 999, "count": 3}}}]}]}]}'), ('c', '{}', NULL, NULL), ('d', NULL, NULL, '{}')"""
-RESPONSES = """VALUES
-('t', 'e1', 'p1', 1, 'Example is good', TRUE, 'example.com:1,rival.org:2'), ('t', 'e1', 'p1', 2, 'nothing here', TRUE, 'rival.org:1'),
-('t', 'e2', 'p1', 1, 'About example.', TRUE, 'www.example.com:2'), ('t', 'e2', 'p2', 1, 'EXAMPLE again', TRUE, 'example.com:1,rival.org:3'),
-('t', 'e1', 'p2', 1, 'Example, without search', FALSE, ''), ('t', 'e2', 'p3', 1, 'examples only', FALSE, ''), ('u', 'e1', 'p1', 1, NULL, TRUE, '')"""
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM ({rows}) AS t({columns})")
-
-
 def _joined(c: str):
     return F.array_join(c, " ")
 
@@ -175,6 +163,13 @@ def criteria_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.groupBy("group").agg(F.count("*").alias("n"), F.count_if(C("status") == "critical").alias("critical"))
 
 
+def pillar_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subset view of every pillar, nothing hidden: how many rules each group of it has, and how many are measured."""
+    results = _results(spark, sf_dir)
+    views = (explorer.criteria(results, (), p).groupBy(F.lit(p).alias("pillar"), "group").agg(F.count("*").alias("n"), F.count_if(scoring.is_measured()).alias("measured")) for p in PILLARS)
+    return reduce(DataFrame.union, views)
+
+
 def json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sinks.json_reports(_results(spark, sf_dir))
     at = lambda p: F.get_json_object("document", p)
@@ -215,6 +210,19 @@ def compare_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.changes(compare.criterion_deltas(_results(spark, sf_dir), _pairs(spark, sf_dir))).select("pair_id", "rank", "key", "delta")
 
 
+def scorecard_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sites under one profile, compared rule by rule in strict mode, beside the difference of their scores."""
+    audits = inputs._profiles(spark, sf_dir).select(F.concat(F.lit("site"), "audit_id").alias("audit_id"), "measurement_profile")
+    found = compare.compare_scorecards(_results(spark, sf_dir), audits, "site4", "site8", "strict")
+    return found["criteria"].join(found["totals"].select("pair_id", "global_delta"), "pair_id").withColumn("comparability", F.lit(found["comparability"]))
+
+
+def domain_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audits of one host, a line item being a rule's result."""
+    results = _table(spark, sf_dir, "lineitem").select(F.lpad(C("l_orderkey").cast("string"), 12, "0").alias("audit_id"))
+    return compare.audits_of(_history(spark, sf_dir), results, "h1").select("audit_id", "started_at", "criteria")
+
+
 def latest_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.latest_audits(_history(spark, sf_dir)).select("host", "audit_id", "score_global", "audits")
 
@@ -231,15 +239,16 @@ def recalculated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- citations, searches, other services
 
 
-def _answers(spark: SparkSession) -> DataFrame:
-    r = _values(spark, RESPONSES, "audit_id, engine, prompt_id, repetition, response_text, web_search_enabled, cites")
-    cites = F.transform(F.filter(F.split("cites", ","), lambda c: c != ""), lambda c: F.struct(F.lit(None).cast("string").alias("url"), F.split(c, ":")[0].alias("domain"), F.lit(None).cast("string").alias("title"), F.split(c, ":")[1].cast("int").alias("position")))
-    return r.withColumn("citations", cites)
-
-
 def citation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = spark.createDataFrame([("t", "https://www.example.com/", "Éxample", ["rival.org"]), ("u", "u.example", None, [])], "audit_id string, domain string, brand string, competitors array<string>")
-    return citation.citation_metrics(_answers(spark), targets).withColumn("engine", F.coalesce("engine", F.lit("all")))
+    """An analog over conversations: an assistant's turn is an answer that cites up to two sites; the brand is that of the domain."""
+    c = _table(spark, sf_dir, "conversations").where(C("role") == "assistant")
+    cite = lambda url, domain, place: F.struct(F.lit(url).cast("string").alias("url"), F.lit(domain).cast("string").alias("domain"), F.lit(None).cast("string").alias("title"), F.lit(place).alias("position"))
+    own, rival, by_url = cite(None, "www.the.example", 1), cite("https://x.example/", "rival.org", 1), cite("https://blog.the.example/p", " ", 2)
+    kind = (C("conv_id") + C("turn")) % 4
+    cites = F.when(kind == 0, F.array().cast("array<struct<url:string,domain:string,title:string,position:int>>")).when(kind == 1, F.array(own)).when(kind == 2, F.array(rival, by_url)).otherwise(F.array(rival, rival))
+    r = c.select(F.concat(F.lit("a"), (C("conv_id") % 5).cast("string")).alias("audit_id"), F.concat(F.lit("e"), (C("conv_id") % 3).cast("string")).alias("engine"), C("conv_id").cast("string").alias("prompt_id"), C("turn").cast("int").alias("repetition"), C("text").alias("response_text"), (C("turn") % 4 != 3).alias("web_search_enabled"), cites.alias("citations"))
+    targets = r.select("audit_id", F.lit("https://www.the.example/").alias("domain"), F.lit(" ").alias("brand"), F.array(F.lit("https://rival.org")).alias("competitors")).distinct()
+    return citation.citation_metrics(r, targets).withColumn("engine", F.coalesce("engine", F.lit("all")))
 
 
 def mention_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,35 +260,59 @@ def mention_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = spark.createDataFrame([("r1", ["openai", "gemini"], 15, 5), ("r2", ["unknown", "perplexity"], 5, 2), ("r3", [], 5, 2)], "run_id string, engines array<string>, prompts int, repetitions int")
-    return citation.run_costs(runs)
+    """A conversation as a run: its user's turns are the prompts."""
+    c = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(C("role") == "user").alias("prompts"))
+    engines = F.slice(F.array(*map(F.lit, ("openai", "unknown", "gemini", "perplexity"))), F.lit(1), (C("conv_id") % 5).cast("int"))
+    return citation.run_costs(c.select(C("conv_id").cast("string").alias("run_id"), engines.alias("engines"), "prompts", (C("conv_id") % 4 + 1).alias("repetitions")))
 
 
 def search_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An analog over events: a user is a query, views are impressions, clicks clicks; two windows of fifteen days."""
     e = _table(spark, sf_dir, "events").where(C("event_type").isin("view", "click"))
     period = F.when(C("ts") >= "2024-01-16", "current").otherwise("previous")
-    rows = e.groupBy(period.alias("period"), C("user_id").cast("string").alias("key")).agg(F.count_if(C("event_type") == "click").alias("clicks"), F.count_if(C("event_type") == "view").alias("impressions"), (F.bround(F.sum(C("user_id") % 30), 0) / F.count("*") + 1).alias("position"))
+    rows = e.groupBy(period.alias("period"), C("user_id").cast("string").alias("key")).agg(F.count_if(C("event_type") == "click").alias("clicks"), F.count_if(C("event_type") == "view").alias("impressions"), (F.sum(C("user_id") % 30).cast("double") / F.count("*") + 1).alias("position"))
     return connectors.search_comparison(rows.select(F.lit("e").alias("audit_id"), "period", F.lit("query").alias("dimension"), "key", "clicks", "impressions", F.lit(0.0).alias("ctr"), "position"))
 
 
+def _searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as searches for one of fifty shops: four kinds of payload, and broken ones."""
+    k = C("c_custkey")
+    shop = F.concat(F.lit("shop"), (k % 50).cast("string"), F.lit(".example"))
+    ref = lambda link, url: F.struct(link.alias("link"), url.alias("url"), F.lit("t").alias("title"))
+    none = F.lit(None).cast("string")
+    other, own, named = ref(F.lit("https://www.other.example/1"), none), ref(F.concat(F.lit("https://blog."), shop, F.lit("/2")), none), ref(none, F.concat(F.lit("https://"), shop, F.lit("/3")))
+    over = lambda name, *refs: F.to_json(F.struct(F.struct(F.array(*refs).alias(name)).alias("ai_overview")))
+    payload = F.when(k % 5 == 0, over("references", other, ref(none, F.lit("")), own)).when(k % 5 == 1, over("sources", named, other)).when(k % 5 == 2, F.lit('{"organic": []}')).when(k % 5 == 3, over("references", other)).otherwise(F.lit("not json"))
+    return _table(spark, sf_dir, "customer").select(F.concat(F.lit("a"), (k % 50).cast("string")).alias("audit_id"), C("c_name").alias("query"), shop.alias("target_domain"), payload.alias("payload"))
+
+
 def serp_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connectors.serp(_values(spark, SERP, "audit_id, query, target_domain, payload")).select("audit_id", "query", "triggered", "cited", C("position").cast("double").alias("position"))
+    return connectors.serp(_searches(spark, sf_dir)).select("audit_id", "query", "triggered", "cited", C("position").cast("double").alias("position"))
 
 
 def serp_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connectors.serp_metrics(connectors.serp(_values(spark, SERP, "audit_id, query, target_domain, payload")))
+    return connectors.serp_metrics(connectors.serp(_searches(spark, sf_dir)))
 
 
 def page_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _values(spark, SPEED, "audit_id, payload").withColumn("s", connectors.page_speed(C("payload")))
+    """Parts as pages whose speed was measured; some values are missing, and every eleventh payload is broken."""
+    k = C("p_partkey")
+    metric = lambda there, v, name: F.when(there, F.struct(v.alias("percentile"))).alias(name)
+    metrics = F.struct(metric(k % 3 != 0, 1500 + k % 3000, "LARGEST_CONTENTFUL_PAINT_MS"), metric(k % 4 != 0, k % 40, "CUMULATIVE_LAYOUT_SHIFT_SCORE"), metric(k % 5 != 0, 100 + k % 600, "INTERACTION_TO_NEXT_PAINT"))
+    whole = F.to_json(F.struct(F.struct(metrics.alias("metrics")).alias("loadingExperience"), F.struct(F.struct(F.struct(F.when(k % 6 != 0, k % 101 / 100).alias("score")).alias("performance")).alias("categories")).alias("lighthouseResult")))
+    p = _table(spark, sf_dir, "part").select(k, F.when(k % 11 == 0, F.substring(whole, 1, 20)).otherwise(whole).alias("payload")).withColumn("s", connectors.page_speed(C("payload")))
     v = lambda n: F.try_element_at(C("s.core_web_vitals"), F.lit(n)).alias(n)
-    return p.select("audit_id", v("lcp"), v("cls"), v("inp"), "s.lighthouse_performance")
+    return p.select("p_partkey", v("lcp"), v("cls"), v("inp"), "s.lighthouse_performance")
 
 
 def authority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _values(spark, RANKS, "audit_id, opr, analytics, labs")
-    return r.select("audit_id", connectors.open_page_rank(C("opr")).alias("page_rank"), connectors.authority(C("analytics"), C("labs")).alias("authority"))
+    """Suppliers as domains with answers of two rank services, some without a rank."""
+    k = C("s_suppkey")
+    opr = F.to_json(F.struct(F.array(F.struct(F.when(k % 3 == 0, 404).otherwise(200).alias("status_code"), (k % 100 / 10).alias("page_rank_decimal"))).alias("response")))
+    ranked = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.when(k % 4 != 0, k * 7 % 1100).alias("domain_rank"))).alias("result"))).alias("tasks")))
+    traffic = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(F.struct(F.struct(F.struct((k * k % 100_000).alias("etv"), F.lit(3).alias("count")).alias("organic")).alias("metrics"))).alias("items"))).alias("result"))).alias("tasks")))
+    labs = F.when(k % 5 == 1, "{}").when(k % 5 > 1, traffic)
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", connectors.open_page_rank(opr).alias("page_rank"), connectors.authority(ranked, labs).alias("authority"))
 
 
 # --- themes and prompts

@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import rounded, steady_sum
 from ..functions.urls import host
 
 C = F.col
+#: Positions are summed in integers of this part.
+POSITION_UNITS = float(1 << 30)
 
 
 def _json(payload: Column, ddl: str) -> Column:
@@ -23,7 +26,7 @@ def page_speed(payload: Column) -> Column:
     m = "struct<percentile:double>"
     p = _json(payload, f"loadingExperience struct<metrics:struct<LARGEST_CONTENTFUL_PAINT_MS:{m},CUMULATIVE_LAYOUT_SHIFT_SCORE:{m},INTERACTION_TO_NEXT_PAINT:{m}>>, lighthouseResult struct<categories:struct<performance:struct<score:double>>>")
     metrics = p["loadingExperience"]["metrics"]
-    pairs = [("lcp", metrics["LARGEST_CONTENTFUL_PAINT_MS"]["percentile"]), ("cls", F.bround(metrics["CUMULATIVE_LAYOUT_SHIFT_SCORE"]["percentile"] / 100, 4)), ("inp", metrics["INTERACTION_TO_NEXT_PAINT"]["percentile"])]
+    pairs = [("lcp", metrics["LARGEST_CONTENTFUL_PAINT_MS"]["percentile"]), ("cls", rounded(metrics["CUMULATIVE_LAYOUT_SHIFT_SCORE"]["percentile"] / 100, 4)), ("inp", metrics["INTERACTION_TO_NEXT_PAINT"]["percentile"])]
     vitals = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs)), lambda e: e["value"].isNotNull()))
     return F.struct(F.when(F.size(vitals) > 0, vitals).alias("core_web_vitals"), p["lighthouseResult"]["categories"]["performance"]["score"].alias("lighthouse_performance"))
 
@@ -39,7 +42,7 @@ def authority(analytics: Column, labs: Column) -> Column:
     rank = F.get(F.get(_json(analytics, "tasks array<struct<result:array<struct<domain_rank:double>>>>")["tasks"], F.lit(0))["result"], F.lit(0))["domain_rank"]
     organic = F.get(F.get(F.get(_json(labs, "tasks array<struct<result:array<struct<items:array<struct<metrics:struct<organic:struct<etv:double,count:bigint>>>>>>>>")["tasks"], F.lit(0))["result"], F.lit(0))["items"], F.lit(0))["metrics"]["organic"]
     traffic = F.when(labs.isNotNull(), F.coalesce(organic["etv"], F.lit(0.0)))
-    capped = lambda c: F.bround(F.least(F.lit(10.0), c), 2)
+    capped = lambda c: rounded(F.least(F.lit(10.0), c), 2)
     return F.coalesce(capped(F.floor(rank) / 100), capped(F.log10(traffic + 1) * 2.5))
 
 
@@ -124,7 +127,7 @@ def search_rows(payloads: DataFrame) -> DataFrame:
 def search_entries(rows: DataFrame, dimension: str) -> DataFrame:
     """Entries of the current period, rounded; queries by position, pages by clicks and then position."""
     own = rows.where((C("period") == "current") & (C("dimension") == dimension) & C("key").isNotNull())
-    out = own.select("audit_id", "key", "clicks", "impressions", F.bround("ctr", 4).alias("ctr"), F.bround("position", 1).alias("position"))
+    out = own.select("audit_id", "key", "clicks", "impressions", rounded(C("ctr"), 4).alias("ctr"), rounded(C("position"), 1).alias("position"))
     return out.orderBy("audit_id", *(["position"] if dimension == "query" else [F.desc("clicks"), "position"]), "key")
 
 
@@ -133,8 +136,8 @@ def search_totals(rows: DataFrame) -> DataFrame:
     earlier one counts all rows and means positions as they are."""
     now, keyed = C("period") == "current", C("key").isNotNull()
     counted = rows.where((C("dimension") == "query") & (~now | keyed))
-    sums = counted.groupBy("audit_id", "period").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), F.avg(F.when(keyed, F.when(now, F.bround("position", 1)).otherwise(C("position")))).alias("p"))
-    return sums.select("audit_id", "period", "clicks", "impressions", F.coalesce(F.bround(F.try_divide(C("clicks").cast("double"), C("impressions")), 4), F.lit(0.0)).alias("ctr"), F.bround("p", 1).alias("avg_position"))
+    sums = counted.groupBy("audit_id", "period").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), steady_sum(F.when(keyed, F.when(now, rounded(C("position"), 1)).otherwise(C("position"))), POSITION_UNITS).alias("p"), F.count_if(keyed).alias("n"))
+    return sums.select("audit_id", "period", "clicks", "impressions", F.coalesce(rounded(F.try_divide(C("clicks").cast("double"), C("impressions")), 4), F.lit(0.0)).alias("ctr"), rounded(F.try_divide("p", "n"), 1).alias("avg_position"))
 
 
 def search_comparison(rows: DataFrame) -> DataFrame:
@@ -142,7 +145,7 @@ def search_comparison(rows: DataFrame) -> DataFrame:
     totals = search_totals(rows)
     side = lambda p, a: totals.where(C("period") == p).select("audit_id", *(C(c).alias(f"{a}_{c}") for c in ("clicks", "impressions", "ctr", "avg_position")))
     both = side("current", "current").join(side("previous", "previous"), "audit_id", "left").fillna(0, ["previous_clicks", "previous_impressions", "previous_ctr"])
-    delta = lambda c, d: F.bround(C(f"current_{c}") - C(f"previous_{c}"), d)
+    delta = lambda c, d: rounded(C(f"current_{c}") - C(f"previous_{c}"), d)
     return both.select("*", delta("clicks", 0).cast("bigint").alias("clicks_delta"), delta("impressions", 0).cast("bigint").alias("impressions_delta"), delta("ctr", 4).alias("ctr_delta"), delta("avg_position", 1).alias("position_delta"))
 
 
@@ -158,8 +161,8 @@ def search_windows(days: DataFrame, until: Column, n: int = 90, dimension: str =
         raise ValueError(f"a window has {WINDOW_DAYS[0]} to {WINDOW_DAYS[1]} days")
     ends = {"current": until.cast("date"), "previous": F.date_sub(until, n)}
     inside = F.filter(F.array(*(F.when(C("day").cast("date").between(F.date_sub(e, n), e), F.lit(p)) for p, e in ends.items())), lambda p: p.isNotNull())
-    sums = days.withColumn("period", F.explode(inside)).groupBy("audit_id", "period", "key").agg(F.sum("clicks").cast("bigint").alias("clicks"), F.sum("impressions").cast("bigint").alias("impressions"), F.sum(C("position") * C("impressions")).alias("p"), F.avg("position").alias("plain"))
-    position = F.coalesce(F.try_divide("p", "impressions"), "plain", F.lit(0.0))
+    sums = days.withColumn("period", F.explode(inside)).groupBy("audit_id", "period", "key").agg(F.sum("clicks").cast("bigint").alias("clicks"), F.sum("impressions").cast("bigint").alias("impressions"), steady_sum(C("position"), POSITION_UNITS, C("impressions")).alias("p"), steady_sum(C("position"), POSITION_UNITS).alias("plain"), F.count("position").alias("n"))
+    position = F.coalesce(F.try_divide("p", "impressions"), F.try_divide("plain", "n"), F.lit(0.0))
     return sums.select("audit_id", "period", F.lit(dimension).alias("dimension"), "key", "clicks", "impressions", F.coalesce(F.try_divide(C("clicks").cast("double"), C("impressions")), F.lit(0.0)).alias("ctr"), position.alias("position"))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import fetchable, host
 from ..schema import CAPTURE
+from .guard import Refused
 
 #: Pages of one host that are fetched at a time, and attempts per page.
 CONCURRENCY, ATTEMPTS = 5, 3
@@ -29,7 +30,8 @@ def fetch_wave(wave: DataFrame, get: Callable[[str], dict | None], concurrency:
     """wave(audit_id, url, crawl_delay) to captures (schema.CAPTURE): what `get` returned, by keys of that schema.
 
     A host's URLs are fetched in one task, `concurrency` at a time, or one after another with the host's crawl delay
-    between them. URLs that the request guard refuses, and those whose every attempt fails or gives None, drop out.
+    between them. URLs that the request guard refuses, and those whose every attempt fails or gives None, drop out;
+    `guard.guarded` makes a `get` that judges resolved addresses and every hop of a redirect, too.
     """
     names = [c.split()[0] for c in CAPTURE.split(", ")]
 
@@ -37,6 +39,8 @@ def fetch_wave(wave: DataFrame, get: Callable[[str], dict | None], concurrency:
         for n in range(attempts):
             try:
                 return get(url)
+            except Refused:
+                return None
             except (OSError, ValueError):
                 if n + 1 < attempts:
                     sleep(0.5 * 2**n)

@@ -345,14 +345,3 @@ def test_settings():
     s = config({"pillar_weights": {"seo": 0.5}, "criteria_overrides": {"meta.title": {"weight": 3}}, "crawl": {"max_pages": 10}})
     assert (s.pillar_weights["seo"], s.pillar_weights["geo"], s.max_pages, s.max_depth) == (0.5, 0.22, 10, 3)
     assert s.weights_of_rules() == {"meta.title": 3.0}
-
-
-def test_stream(spark, tmp_path):
-    rows = lambda *us: spark.createDataFrame([("a", u, None, 200, 0, f"<title>{t}</title><p>x", None) for u, t in us], schema.struct(schema.CAPTURE))
-    seen: list = []
-    for part in (rows(("https://a.example/1", "old")), rows(("https://a.example/1", "new"), ("https://a.example/2", "b"))):
-        part.write.mode("append").parquet(str(tmp_path / "in"))
-        q = streaming.start(streaming.read(spark, str(tmp_path / "in")), str(tmp_path / "signals"), str(tmp_path / "cp"), lambda df, n: seen.append((n, df.count())), available_now=True)
-        q.awaitTermination()
-    assert seen == [(0, 1), (1, 1)]
-    assert spark.read.parquet(str(tmp_path / "signals")).count() == 3
