@@ -9,6 +9,7 @@ from hashlib import sha256
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import commits
 from .rules import catalog
 from .scoring import issues, pillar_scores, report
 
@@ -82,20 +83,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def save_report(tables: dict[str, DataFrame], path: str, run: str) -> None:
+def save_report(tables: dict[str, DataFrame], path: str, run: str) -> int:
     """Saves a run's tables (audits, results, pillars, issues, readiness, signals), all audits of the run together, below the path.
 
     Saving a run again replaces what it saved, so a rerun doubles nothing. Pages are saved with all their columns, so
-    that they can be scored again.
+    that they can be scored again. All tables count at once or none: they are written to a folder of their own, and then
+    one manifest names them (`commits.commit`). Returns the number of that manifest.
     """
+    spark = next(iter(tables.values())).sparkSession
+    folder = commits.staged(path)
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}/run={run}")
+        df.withColumn("run", F.lit(run)).write.parquet(f"{folder}/{name}")
+    return commits.commit(spark, path, {run: {name: f"{folder}/{name}" for name in tables}})
 
 
-def load_tables(spark: SparkSession, path: str, audits: DataFrame | None = None) -> dict[str, DataFrame]:
-    """What `save_report` saved, of all audits or of those of audits(audit_id); of an audit that several runs have the last, by the run's name."""
-    base = path.rstrip("/")
-    every = {n: spark.read.option("mergeSchema", True).parquet(f"{base}/{n}").withColumn("run", C("run").cast("string")) for n in REPORT_TABLES if _exists(spark, f"{base}/{n}")}
+def load_tables(spark: SparkSession, path: str, audits: DataFrame | None = None, version: int | None = None) -> dict[str, DataFrame]:
+    """What `save_report` saved, of all audits or of those of audits(audit_id); of an audit that several runs have the last, by the run's name.
+
+    All tables are those of one manifest, the last or that of a version, whatever is saved meanwhile.
+    """
+    runs = commits.state(spark, path, version)
+    places = {n: sorted(t[n] for t in runs.values() if n in t) for n in REPORT_TABLES}
+    every = {n: spark.read.option("mergeSchema", True).parquet(*p) for n, p in places.items() if p}
     last = every["audits"].groupBy("audit_id").agg(F.max("run").alias("run"))
     last = last if audits is None else last.join(audits.select("audit_id").distinct(), "audit_id", "left_semi")
     return {n: df.join(last, ["audit_id", "run"], "left_semi").drop("run") for n, df in every.items()}
@@ -119,9 +128,14 @@ def load_report(spark: SparkSession, path: str, audits: DataFrame | None = None)
     return whole.select("audit_id", F.to_json(F.struct(*whole.columns)).alias("document"))
 
 
+def host_id(host: Column) -> Column:
+    """A host's id, which is the same wherever and whenever it is made: sixteen hex digits of its digest."""
+    return F.substr(F.sha2(F.lower(host).cast("binary"), 256), F.lit(1), F.lit(16))
+
+
 def new_domains(hosts: DataFrame, known: DataFrame) -> DataFrame:
-    """Hosts that aren't known yet, once each."""
-    return hosts.select("host").distinct().join(known, "host", "left_anti")
+    """(host, host_id) of hosts that aren't known yet, once each. As ids follow from hosts, two writers agree on them."""
+    return hosts.select(F.lower("host").alias("host")).distinct().join(known.select(F.lower("host").alias("host")), "host", "left_anti").withColumn("host_id", host_id(C("host")))
 
 
 def json_reports(results: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

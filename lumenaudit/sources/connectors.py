@@ -42,7 +42,7 @@ def authority(analytics: Column, labs: Column) -> Column:
     rank = F.get(F.get(_json(analytics, "tasks array<struct<result:array<struct<domain_rank:double>>>>")["tasks"], F.lit(0))["result"], F.lit(0))["domain_rank"]
     organic = F.get(F.get(F.get(_json(labs, "tasks array<struct<result:array<struct<items:array<struct<metrics:struct<organic:struct<etv:double,count:bigint>>>>>>>>")["tasks"], F.lit(0))["result"], F.lit(0))["items"], F.lit(0))["metrics"]["organic"]
     traffic = F.when(labs.isNotNull(), F.coalesce(organic["etv"], F.lit(0.0)))
-    capped = lambda c: rounded(F.least(F.lit(10.0), c), 2)
+    capped = lambda c: F.when(c.isNotNull(), rounded(F.least(F.lit(10.0), c)))  # noqa: E731  least() passes over nulls
     return F.coalesce(capped(F.floor(rank) / 100), capped(F.log10(traffic + 1) * 2.5))
 
 

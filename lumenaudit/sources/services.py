@@ -63,10 +63,13 @@ class _Searches:
     def days(self, first: dt.date, last: dt.date) -> list[Day]:
         return [] if self.site is None else [Day(first + dt.timedelta(k)) for k in range((last - first).days + 1)]
 
-    def read(self, partition: Day) -> Iterator[tuple]:
+    def read(self, partition: Day | None) -> Iterator[tuple]:
+        if partition is None:  # there are no days to read
+            return
         limit, most = int(self.options.get("row_limit", ROW_LIMIT)), int(self.options.get("max_rows", MAX_ROWS))
         body: dict = {"startDate": str(partition.day), "endDate": str(partition.day), "dimensions": [self.dimension]}
-        asked = [{"operator": "equals", "expressions": sorted(self.keys)}] * (self.keys is not None) + [{"operator": "contains", "expressions": [self.part]}] * (self.part is not None)
+        asked = [] if self.keys is None else [{"operator": "equals", "expressions": sorted(self.keys)}]
+        asked += [] if self.part is None else [{"operator": "contains", "expressions": [self.part]}]
         if asked:
             body["filters"] = [{"dimension": self.dimension} | a for a in asked]
         done = 0
@@ -156,7 +159,9 @@ class _Feed:
         size = int(self.options.get("range", RANGE))
         return [Numbers(k, min(last, k + size)) for k in range(first, last, size)]
 
-    def read(self, partition: Numbers) -> Iterator[tuple]:
+    def read(self, partition: Numbers | None) -> Iterator[tuple]:
+        if partition is None:
+            return
         size = int(self.options.get("page", ROW_LIMIT))
         for k in range(partition.first, partition.last, size):
             yield from again(lambda: self.fetch(k, min(partition.last, k + size)), self.attempts, self.wait)  # noqa: B023
