@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 C = F.col
@@ -29,7 +29,18 @@ def criteria(results: DataFrame, hidden: tuple[str, ...] = (), pillar: str | Non
     return shown.withColumn("group", F.element_at("pillars", 1))
 
 
-def table(rows: DataFrame, search: str, search_column: str, sort: str, descending: bool = False, first: int = 50) -> DataFrame:
-    """A sortable, searchable list such as that of queries or ranks."""
-    hit = rows.where(F.lower(C(search_column)).contains(search.lower()))
-    return hit.orderBy(C(sort).desc() if descending else C(sort).asc(), search_column).limit(first)
+def table(rows: DataFrame, search: str, search_column: str, sort: str, descending: bool = False, first: int = 50, locale: str = "UNICODE") -> DataFrame:
+    """A sortable, searchable list such as that of queries or ranks.
+
+    Texts are in the order of a locale (a name of Spark's collations, such as `fr` or `de_CI`), where case and accents
+    come after letters; the search passes over case, of any letters.
+    """
+    text = rows.schema[sort].dataType.typeName() == "string"
+    hit = rows.where(F.contains(F.collate(search_column, f"{locale.removesuffix('_CI')}_CI"), F.collate(F.lit(search), f"{locale.removesuffix('_CI')}_CI"))) if search else rows
+    key = F.collate(sort, locale) if text else C(sort)
+    return hit.orderBy(key.desc() if descending else key.asc(), F.collate(search_column, locale), search_column).limit(first)
+
+
+def placed(rows: DataFrame, by: str, column: str, locale: str = "UNICODE") -> DataFrame:
+    """rows with `place`: their position within each value of `by`, in a locale's order of a text."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.collate(column, locale), column)))

@@ -9,11 +9,14 @@ from hashlib import sha256
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import dropped, written
 from . import commits
 from .rules import catalog
 from .scoring import issues, pillar_scores, report
 
 C = F.col
+#: Rows of narrow tables (some ten bytes each) that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 # Extension of an artifact by type.
 EXTENSIONS = {"html_raw": "html.gz", "html_rendered": "html.gz", "report_json": "json", "report_markdown": "md", "report_html": "html", "report_pdf": "pdf", "screenshot": "png"}
 REPORT_TABLES = ("audits", "results", "pillars", "issues", "readiness", "signals")
@@ -56,25 +59,56 @@ def artifacts(contents: DataFrame) -> DataFrame:
     return _keyed(contents).select("object_key", "type", "sha256", F.octet_length("content").cast("bigint").alias("bytes")).groupBy("object_key").agg(F.first("type").alias("type"), F.first("sha256").alias("sha256"), F.first("bytes").alias("bytes"))
 
 
-def put_artifacts(contents: DataFrame, path: str) -> None:
-    """Stores contents under their keys, as a Parquet table by project and run; those that are there already aren't written again."""
-    spark = contents.sparkSession
-    new = _keyed(contents).select(F.trim("project_id").alias("project_id"), F.trim("run_id").alias("run_id"), "object_key", "type", "sha256", C("content").cast("binary").alias("content"))
-    if _exists(spark, path):
-        new = new.join(spark.read.parquet(path).select("object_key"), "object_key", "left_anti")
-    new.dropDuplicates(["object_key"]).write.mode("append").partitionBy("project_id", "run_id").parquet(path)
+def _bucket(digest: Column) -> Column:
+    return F.concat(F.lit("b"), F.substr(digest, F.lit(1), F.lit(2)))  # never read as a number
+
+
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has at most so many."""
+    return F.broadcast(df) if df.count() <= most else df
+
 
+def put_artifacts(contents: DataFrame, path: str, most: int = BROADCAST_ROWS) -> int:
+    """Stores contents(project_id, run_id, type, content) under their keys; how many keys are new.
 
-def get_artifacts(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """(object_key, type, sha256, content) of the keys that are there; a content that doesn't have its digest is an error."""
-    found = spark.read.parquet(path).join(keys.select("object_key").distinct(), "object_key", "left_semi")
+    Two tables in 256 buckets by digest: keys, and bodies, each content once. Only digests and keys are grouped and
+    compared with what is there. Then the contents are read once more, of which only the rows chosen go on: up to `most`
+    chosen rows are broadcast and no body is shuffled; beyond that the join shuffles them. Bodies are written before
+    keys, so a key that is there has its body. contents must give the same rows each time they are read, as files do.
+    """
+    spark = contents.sparkSession
+    keyed = _keyed(contents).withColumn("row", F.monotonically_increasing_id()).withColumn("bucket", _bucket(C("sha256")))
+    asked = keyed.groupBy("object_key").agg(F.min(F.struct("row", "sha256", "bucket", F.trim("project_id").alias("project_id"), F.trim("run_id").alias("run_id"), "type", F.octet_length(C("content").cast("binary")).cast("bigint").alias("bytes"))).alias("r")).select("object_key", "r.*")
+    first = not _exists(spark, f"{path}/keys")
+    fresh = written(asked if first else asked.join(spark.read.parquet(f"{path}/keys").select("object_key"), "object_key", "left_anti"))
+    bodies = fresh.groupBy("sha256").agg(F.min("row").alias("row"))
+    if not first:
+        # Bucket by bucket, digests meet digests.
+        bodies = bodies.join(spark.read.parquet(f"{path}/bodies").select("sha256"), "sha256", "left_anti")
+    chosen = written(bodies.select("row"))
+    found = keyed.select("row", "sha256", "bucket", C("content").cast("binary").alias("content")).join(_small(chosen, most), "row").drop("row")
+    found.write.mode("append").partitionBy("bucket").parquet(f"{path}/bodies")
+    fresh.drop("row").write.mode("append").partitionBy("bucket").parquet(f"{path}/keys")
+    n = fresh.count()
+    dropped(fresh, chosen)
+    return n
+
+
+def get_artifacts(spark: SparkSession, path: str, keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """(object_key, type, sha256, content) of the keys that are there; a content that doesn't have its digest is an error.
+
+    Only the buckets of the keys asked for are read, and up to `most` keys are broadcast to their bodies.
+    """
+    known = written(spark.read.parquet(f"{path}/keys").join(keys.select("object_key").distinct(), "object_key", "left_semi").select("object_key", "type", "sha256", "bucket"))
+    own = [r[0] for r in known.select("bucket").distinct().collect()]  # 256 at most
+    bodies = spark.read.schema("sha256 string, content binary, bucket string").parquet(f"{path}/bodies").where(C("bucket").isin(own)).select("sha256", "content")
     fine = F.when(F.sha2("content", 256) == C("sha256"), C("content")).otherwise(F.raise_error(F.concat(F.lit("content and digest differ: "), "object_key")))
-    return found.select("object_key", "type", "sha256", fine.alias("content"))
+    return bodies.join(_small(known.drop("bucket"), most), "sha256").select("object_key", "type", "sha256", fine.alias("content"))
 
 
 def artifacts_exist(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """keys(object_key) with `exists`."""
-    there = spark.read.parquet(path).select("object_key", F.lit(True).alias("exists"))
+    """keys(object_key) with `exists`; bodies aren't read."""
+    there = spark.read.parquet(f"{path}/keys").select("object_key", F.lit(True).alias("exists"))
     return keys.join(there, "object_key", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.messages import message
 from ..functions.text import words
-from ..operators import citation, compare, prompts, rules, scoring, sinks, states
+from ..operators import citation, compare, explorer, prompts, rules, scoring, sinks, states
 from ..shared import shared_dir, written
 from ..sources import connectors, discovery, guard, html, robots, services
 from . import analogs, markup
@@ -302,6 +302,28 @@ def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.page_view(analogs.pages(spark, sf_dir))
 
 
+#: Words in the order in which a dictionary has them.
+WORDS = ("apple", "arg", "Ärger", "eclair", "Éclair", "über", "Zebra", "zèbre")
+
+
+def locale_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts under words with case and accents, in each size's dictionary order, those that hold an `É` of any case."""
+    p = _table(spark, sf_dir, "part")
+    word = F.get(F.array(*map(F.lit, WORDS)), ((C("p_partkey") * 5 + C("p_size")) % len(WORDS)).cast("int"))
+    named = p.select(C("p_size").cast("string").alias("size"), F.concat_ws(" ", word, F.lpad(C("p_partkey").cast("string"), 9, "0")).alias("name"))
+    return explorer.placed(explorer.table(named, "É", "name", "name", first=2**31 - 1), "size", "name")
+
+
+def stored_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages stored twice, of which every third is got back: key, digest and size from the store itself."""
+    p = _table(spark, sf_dir, "pages").select("page_id", (C("page_id") % 5).cast("string").alias("project_id"), F.lit("r1").alias("run_id"), F.lit("html_raw").alias("type"), C("html").alias("content"))
+    path = shared_dir(spark)
+    for some in (p.where("page_id % 2 = 0"), p):
+        sinks.put_artifacts(some.drop("page_id"), path)
+    asked = sinks.artifacts(p.where("page_id % 3 = 0").drop("page_id")).select("object_key")
+    return sinks.get_artifacts(spark, path, asked).select("object_key", "sha256", F.octet_length("content").cast("bigint").alias("bytes"))
+
+
 def script_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All client-rendered pages with the words that scripts add."""
     return rules.offenders(analogs.pages(spark, sf_dir), None).select("audit_id", "url", "raw_words", "rendered_words", "delta", "parity_pct")

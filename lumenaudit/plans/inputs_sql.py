@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators import prompts
 from . import rules_sql as r
 from .analogs import sql, url_of
-from .inputs import HOSTS
+from .inputs import HOSTS, WORDS
 
 KEYS = "k AS (SELECT p_partkey AS k, p_partkey % 13 AS s, 'shop' || (p_partkey % 13) || '.example' AS audit_id, 'https://shop' || (p_partkey % 13) || '.example/p/' || p_partkey AS url FROM part)"
 #: Words of a markup page's main part; its navigation has three more.
@@ -65,6 +65,9 @@ SELECT audit_id, 'https://n.example/s/' || k || e AS url, asked, coalesce(CASE W
         "paged_searches": f"""WITH {DAYS}, s AS (SELECT day::VARCHAR AS day, key, clicks, impressions, clicks / 100::DOUBLE AS ctr, position FROM days)
 SELECT * FROM s WHERE day BETWEEN '2024-01-08' AND '2024-01-10' UNION ALL SELECT * FROM s WHERE key IN ('3', '14', '15') AND day > '2024-01-20' AND day <= '2024-01-31'""",
         "incremental_scores": f"{r.results(sql('WHERE o_orderkey % 10 <> 3'))} SELECT audit_id, key, score, status FROM r",
+        "locale_order": f"""WITH w(o, word) AS (VALUES {", ".join(f"({k}, '{w}')" for k, w in enumerate(WORDS))}), p AS (SELECT p_size::VARCHAR AS size, o, word || ' ' || lpad(p_partkey::VARCHAR, 9, '0') AS name FROM part JOIN w ON o = (p_partkey * 5 + p_size) % {len(WORDS)} WHERE contains(lower(word), 'é'))
+SELECT size, name, row_number() OVER (PARTITION BY size ORDER BY o, name)::INT AS place FROM p""",
+        "stored_artifacts": "SELECT DISTINCT 'projects/' || (page_id % 5) || '/runs/r1/html_raw/' || sha256(html) || '.html.gz' AS object_key, sha256(html) AS sha256, octet_length(encode(html))::BIGINT AS bytes FROM pages WHERE page_id % 3 = 0",
         "engine_answers": """WITH c AS (SELECT *, (conv_id + turn) % 4 AS e, 'www.a' || turn || '.example' AS d FROM conversations WHERE role = 'assistant')
 SELECT ['openai', 'anthropic', 'gemini', 'perplexity'][e + 1] AS engine, 'm' || (e + 1) AS model, conv_id::VARCHAR AS prompt_id, turn::INT AS repetition, text || CASE WHEN e = 2 THEN '!' ELSE '' END AS response_text,
   CASE e WHEN 1 THEN '1:' || d || ':t,2:' || d || ':t' WHEN 3 THEN '1:b.example:-,2:' || d || ':-' ELSE '1:' || d || ':t' END AS cites FROM c""",

@@ -317,14 +317,42 @@ def test_stored_artifacts(spark, tmp_path):
 
     path = str(tmp_path / "store")
     rows = spark.createDataFrame([("p", "r", "html_raw", "x"), ("p", "r", "html_raw", "x"), ("p", "r", "report_json", "{}"), ("..", "r", "html_raw", "z")], "project_id string, run_id string, type string, content string")
-    for _ in range(2):
-        sinks.put_artifacts(rows, path)
+    assert [sinks.put_artifacts(rows, path) for _ in range(2)] == [2, 0]
+    more = rows.union(spark.createDataFrame([("q", "r", "html_raw", "x"), ("q", "r", "html_raw", "new")], rows.schema))
+    assert sinks.put_artifacts(more, path, most=0) == 2  # a body that is there under another key isn't stored again
+    assert spark.read.parquet(f"{path}/bodies").count() == 3
     keys = sinks.artifacts(rows).select("object_key").union(spark.createDataFrame([("gone",)], "object_key string"))
     got = sinks.get_artifacts(spark, path, keys).select("type", F.col("content").cast("string").alias("c")).collect()
     assert sorted(map(tuple, got)) == [("html_raw", "x"), ("report_json", "{}")]
     assert sorted(r["exists"] for r in sinks.artifacts_exist(spark, path, keys).collect()) == [False, True, True]
 
 
+def test_store_reads_what_is_asked_for(spark, tmp_path):
+    """Bodies are in no exchange, and only the buckets of the keys asked for are read."""
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "store")
+    rows = spark.range(300).select(F.lit("p").alias("project_id"), F.lit("r").alias("run_id"), F.lit("html_raw").alias("type"), F.concat(F.lit("page "), "id").alias("content"))
+    sinks.put_artifacts(rows, path)
+    some = sinks.artifacts(rows.limit(3)).select("object_key")
+    got = sinks.get_artifacts(spark, path, some)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "[bucket").replace("[[", "[")
+    assert got.count() == 3 and sinks.get_artifacts(spark, path, some, most=0).count() == 3
+
+
+def test_locale_order(spark):
+    from lumenaudit.operators import explorer
+
+    words = ["zèbre", "Zebra", "eclair", "Éclair", "apple", "Ärger", "arg", "ECLAIR"]
+    df = spark.createDataFrame([(w, k) for k, w in enumerate(words)], "word string, n int")
+    order = lambda **o: [r["word"] for r in explorer.table(df, "", "word", "word", **o).collect()]
+    assert order() == ["apple", "arg", "Ärger", "eclair", "ECLAIR", "Éclair", "Zebra", "zèbre"]
+    assert order(locale="sv") == ["apple", "arg", "eclair", "ECLAIR", "Éclair", "Zebra", "zèbre", "Ärger"]
+    assert [r["word"] for r in explorer.table(df, "ÈB", "word", "n").collect()] == ["zèbre"]
+    assert [r["n"] for r in explorer.table(df, "", "word", "n", descending=True, first=2).collect()] == [7, 6]
+
+
 def test_messages(spark):
     from pyspark.sql import functions as F
 
