@@ -6,9 +6,10 @@ a stretch between separators that is shorter than the shortest phrase is left ou
 phrases are sought backward through the wavelet ranks, their places come from the sampled suffix positions, and
 overlapping places merge into spans of words.
 
-The benchmark is what is broadcast. It is dealt into blocks of about `BLOCK_WINDOWS` windows, whatever its size or that
-of an item; each block is one pass over the documents, whose hits are written before the next block is gathered, so the
-driver and a worker hold one block. A document is never split, so a place is found whole.
+The benchmark is what is broadcast, each distinct text of it once, however many items share it. It is dealt into blocks of
+about `BLOCK_WINDOWS` windows, whatever its size or that of an item; each block is one pass over the documents, whose hits
+are written before the next block is gathered, so the driver and a worker hold one block. Texts that several items share
+are found under a mark, and joined with their items at the end. A document is never split, so a place is found whole.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ ITEM_WORDS = 100_000
 WINDOW = 10
 #: Places that are resolved at a time.
 PLACES = 1 << 20
+#: Before the digest of a text that several items share, in the place of an item.
+MARK = "\x00"
 
 
 class Phrases:
@@ -92,6 +95,7 @@ class _Shard:
         lo, hi = index.search(self.of.patterns)
         hits = np.flatnonzero(hi > lo)
         docs, offsets = np.array(self.where, np.int64).T
+        pairs = np.zeros(0, np.int64)  # document and phrase, each pair once however often it stands there
         upto = np.cumsum((hi - lo)[hits])
         while len(hits):
             take = max(1, int(np.searchsorted(upto, PLACES)))
@@ -101,10 +105,11 @@ class _Shard:
             at, phrase = index.locate(row), np.repeat(part, many)
             run = np.searchsorted(starts, at, side="right") - 1
             begin = offsets[run] + at - starts[run]
-            for d, a, p in zip(docs[run].tolist(), begin.tolist(), phrase.tolist(), strict=True):
-                spans, items = out.setdefault(d, ([], set()))
-                spans.append((a, a + int(self.of.lengths[p])))
-                items.update(self.of.holders(p))
+            for d, a, n in zip(docs[run].tolist(), begin.tolist(), self.of.lengths[phrase].tolist(), strict=True):
+                out.setdefault(d, ([], set()))[0].append((a, a + n))
+            pairs = np.union1d(pairs, docs[run] * len(self.of.patterns) + phrase)
+        for d, p in zip(*(x.tolist() for x in np.divmod(pairs, len(self.of.patterns))), strict=True):
+            out[d][1].update(self.of.holders(p))
         return out
 
 
@@ -165,6 +170,18 @@ def windows(benchmark: DataFrame, window: int, item_col: str, item_text_col: str
     return picked.where("text is not null").mapInArrow(run, "item string, text binary, n long")
 
 
+def _named(found: DataFrame, pieces: DataFrame) -> DataFrame:
+    """found with the items of every text that several of them share, in the place of its mark."""
+    marked = lambda x: x.startswith(MARK)
+    kept = written(found)
+    owners = pieces.select(F.concat(F.lit(MARK), F.md5("text")).alias("mark"), "item").distinct()
+    hits = kept.where(F.exists("items", marked)).select("doc_id", "th", F.explode(F.filter("items", marked)).alias("mark")).distinct()
+    more = hits.join(owners, "mark").groupBy(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th")).agg(F.collect_set("item").alias("more"))
+    joined = kept.join(more, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th")), "left")
+    every = F.array_sort(F.array_union(F.filter("items", lambda x: ~marked(x)), F.coalesce("more", F.array().cast("array<string>"))))
+    return joined.select("doc_id", "th", "n_words", "spans", every.alias("items"))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_words: int = SHARD_WORDS, block_windows: int = BLOCK_WINDOWS, item_words: int = ITEM_WORDS) -> DataFrame:
     """Per row of docs: doc_id, th (a hash of the text), n_words, spans of hit words (merged, end exclusive), items.
 
@@ -172,15 +189,19 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
     string. Texts and items of any length are read whole. Ties: items of equal words are all named. Rows that repeat
     both id and text come back as often as they are. Empty tables give no rows or no hits; other columns are not read.
     """
-    items = written(windows(benchmark, window, item_col, item_text_col, item_words))
-    blocks = -(-(items.agg(F.sum("n")).first()[0] or 0) // block_windows) or 1
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
+    pieces = written(windows(benchmark, window, item_col, item_text_col, item_words))
+    owned = F.when(F.min("item") == F.max("item"), F.min("item")).otherwise(F.concat(F.lit(MARK), F.col("piece")))
+    items = written(pieces.groupBy(F.md5("text").alias("piece")).agg(F.first("text").alias("text"), F.first("n").alias("n"), owned.alias("item")))
+    total, shared = items.agg(F.sum("n"), F.count_if(F.col("item").startswith(MARK))).first()
+    blocks = -(-(total or 0) // block_windows) or 1
+    block = F.pmod(F.xxhash64("piece"), F.lit(blocks))
+    named = lambda found: _named(found, pieces) if shared else found
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
     every: list[DataFrame] = []
     for k in range(blocks):
         part = _pass(picked, [(r["item"], bytes(r["text"])) for r in items.where(block == k).collect()], window, shard_words)
         if blocks == 1:
-            return part
+            return named(part)
         # The first pass has a row for every row of docs; of the others only hits matter, once for each text.
         every.append(written(part if not every else part.where(F.size("spans") > 0).dropDuplicates(["doc_id", "th"])))
     first, more, *rest = every
@@ -195,7 +216,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(spans, _ARROW_SPANS), b.column(4)], names=b.schema.names)
 
     both = lambda a, b: F.when(F.col(b).isNull(), F.col(a)).otherwise(F.concat(a, b))
-    return joined.select("doc_id", "th", "n_words", both("spans", "more_spans").alias("spans"), F.array_sort(F.array_distinct(both("items", "more_items"))).alias("items")).mapInArrow(run, first.schema)
+    return named(joined.select("doc_id", "th", "n_words", both("spans", "more_spans").alias("spans"), F.array_sort(F.array_distinct(both("items", "more_items"))).alias("items")).mapInArrow(run, first.schema))
 
 
 def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -367,6 +367,21 @@ def test_decontamination_is_brute_force(spark, exam, more):
         assert rows_of(decontam.op10(frame(spark, docs), bench), *columns) == hits(docs, items)
 
 
+def test_many_items_of_one_text(spark, monkeypatch):
+    """Three hundred items share a text, and others a window of it: the text is sent once, and all are named."""
+    long = " ".join(f"w{k}" for k in range(25))
+    items = [(k, long) for k in range(300)] + [(1000 + k, " ".join(long.split()[k : k + 12]) + f" own{k}") for k in range(10)] + [(2000, long.upper())]
+    docs = [(1, f"a {long} b {long}", "s"), (2, " ".join(long.split()[3:14]), "s"), (3, "nothing of it", "s"), (1, f"a {long} b {long}", "s"), (None, long, "s")]
+    sent = []
+    plain = decontam._pass
+    monkeypatch.setattr(decontam, "_pass", lambda df, block, *more: (sent.append(len(block)), plain(df, block, *more))[1])
+    for more in ({}, {"block_windows": 20}):
+        found = decontam.find(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), **more)
+        got = sorted(((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), bool(r["spans"])) for r in found.collect()), key=repr)
+        assert got == hits(docs, items)
+    assert sent[0] == 11 == sum(sent[1:]) and len(sent) > 3
+
+
 def test_clean_text(spark, exam):
     docs, items = exam
     out = decontam.clean(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
