@@ -185,13 +185,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
 
     Rows with a null id or an unusable vector (null, or with null or non-finite components) take no part; an empty vector
     and any other shorter one are taken as filled with zeros. Rows that repeat an id count once, with the smallest of its
-    vectors, component by component. Ties go to the smaller id. No rows in, no rows out; other columns are not read.
+    vectors, component by component. Ties go to the smaller id. If a score might not fit 64 bits it is an error, not a wrong
+    result. No rows in, no rows out; other columns are not read.
     """
     flagged = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col), factor).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
     every = written(flagged.groupBy("id").agg(F.min("v").alias("v"), F.max("query").alias("query")))
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     n, m2, width = every.agg(F.count("*"), F.max(norm), F.max(F.size("v"))).first()
     n, m2, width = n, m2 or 0.0, width or 0
+    if m2 >= 2**63:  # no product of two vectors, nor of parts of them, is above the square of the largest norm
+        raise ValueError("components so large that scores may not fit 64 bits")
     sample = every.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     s_ids, s_vectors = np.array([r["id"] for r in sample], np.int64), _matrix([r["v"] for r in sample], width)
     centres = lifted(s_vectors[: min(pivots, max(1, -(-n // per_pivot)))], m2)

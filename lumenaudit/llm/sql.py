@@ -138,6 +138,48 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def _op11() -> str:
+    """A step of the recursion is a row of a conversation: the cheapest way into each of the four states, with its audit and rows."""
+    add = lambda x, cost, letter, out="": f"{{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 'o': {f'list_append({x}.o, {out})' if out else f'{x}.o'}}}"
+    least = lambda *ways: f"list_min([{', '.join(ways)}])"
+    none = "{'c': 1000000000::BIGINT, 'a': '', 'o': []::VARCHAR[]}"
+    on = lambda cost, letter, out, to: least(*(add(x, cost, letter, out.format(role="user" if to == "u" else "assistant")) for x in (("s", "m", "a") if to == "u" else ("u",))))
+    stays = lambda way: f"CASE WHEN gone THEN {none} ELSE {way} END"
+    kept = lambda kind, way: f"CASE WHEN gone OR kind <> '{kind}' THEN {none} ELSE {way} END"
+    step = {
+        "s": add("s", 2, "D"),
+        "m": least(add("m", 2, "D"), kept("s", add("s", "more", "K", "role || ':' || text"))),
+        "u": least(add("u", 2, "D"), stays(on("more + 1", "R", "'{role}:' || text", "u")), kept("u", on("more", "K", "role || ':' || text", "u"))),
+        "a": least(add("a", 2, "D"), stays(on("more + 1", "R", "'{role}:' || text", "a")), kept("a", on("more", "K", "role || ':' || text", "a"))),
+    }
+    closed = lambda source: f"SELECT conv_id, i, s, m, u, {least('a', add('u', 5, 'I', chr(39) + 'assistant:' + chr(39)))} AS a FROM (SELECT conv_id, i, s, m, {least('u', *(add(x, 5, 'I', chr(39) + 'user:' + chr(39)) for x in ('s', 'm', 'a')))} AS u, a FROM ({source}))"
+    begin = f"SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'o': []::VARCHAR[]}} AS s, {none} AS m, {none} AS u, {none} AS a FROM (SELECT DISTINCT conv_id FROM rows_)"
+    next_ = f"SELECT r.conv_id, r.i, {', '.join(f'{e} AS {n}' for n, e in step.items())} FROM w JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1"
+    return f"""
+WITH RECURSIVE t AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS code
+  FROM conversations, t
+), damaged AS (
+  SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM coded)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS i, left(role, 1) AS first, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS shown FROM damaged
+), faults AS (
+  SELECT *, CASE WHEN shown = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(first) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed
+), rows_ AS (SELECT *, first AS kind, fault IN ('blank', 'duplicate') AS gone, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS more FROM faults
+), w AS ({closed(begin)} UNION ALL {closed(next_)}),
+sums AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND before || first NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id
+), best AS (SELECT sums.*, list_min([s, a]) AS x FROM sums JOIN w ON w.conv_id IS NOT DISTINCT FROM sums.conv_id AND w.i = n)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(x.c, 0)::BIGINT AS cost, coalesce(x.a, '') AS audit,
+  sha256(coalesce(array_to_string(x.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 OP13 = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
@@ -164,5 +206,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": OP7,
         "op9_linewindows": OP9,
         "op10_decontam": OP10,
+        "op11_conversations": _op11(),
         "op13_negatives": OP13,
     }

@@ -586,6 +586,15 @@ def test_top_k_of_an_id_with_two_vectors(spark):
     assert rows_of(mtree.op4(df), "query_id", "rank", "vec_id", "score") == best_of([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.7, 0.7]), (20, [0.0, 1.0]), (21, [0.0, 0.0])])
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(20, [2.0**24, 1.0]), (1, [2.0**24, 3.0]), (2, [2.0**24, -2.0])]
+    frame_of = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in mtree.op4(frame_of(rows)).orderBy("rank").collect()]
+    assert got == [(1, 2**60 + 64 * 192), (2, 2**60 - 64 * 128)]
+    with pytest.raises(ValueError, match="64 bits"):
+        mtree.op4(frame_of([(20, [2.0**30])]))
+
+
 @pytest.mark.parametrize("clustered", [True, False])
 def test_top_k_over_many_shards(spark, clustered):
     """Dozens of pivots, shards, rounds and copies of trees."""
