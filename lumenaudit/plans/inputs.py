@@ -11,7 +11,7 @@ from ..functions.messages import message
 from ..functions.text import words
 from ..operators import citation, compare, explorer, prompts, rules, scoring, sinks, states
 from ..shared import shared_dir, written
-from ..sources import connectors, discovery, guard, html, robots, services
+from ..sources import connectors, discovery, guard, html, robots, services, structured
 from . import analogs, markup
 
 C = F.col
@@ -62,6 +62,15 @@ def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("audit_id", "url", "render_mode", "render_source", "raw_word_count", "rendered_word_count", "word_count")
 
 
+def structured_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks made of parts: graphs of up to three levels, a list of authors, actions, and broken ones; one row per page."""
+    block = """CASE p_partkey % 5 WHEN 0 THEN '{"@graph": [{"@type": ["Product", "Thing"], "offers": {"@type": "Offer", "potentialAction": [{"@type": "BuyAction", "target": {"@type": "EntryPoint"}}]}}]}'
+      WHEN 1 THEN '{"@type": "Article", "author": [{"@type": "Person", "jobTitle": "E"}], "datePublished": "2026-01-0' || (1 + p_partkey % 9) || '", "dateModified": 7}'
+      WHEN 2 THEN '{"@type": 5, "sameAs": ["https://github.com/' || p_partkey || '", 3, "https://x.com/y"]}' WHEN 3 THEN '{"@type": "Cut' ELSE '[{"author": null}, [{"@type": "Inner"}]]' END"""
+    p = _table(spark, sf_dir, "part").selectExpr("'a' || (p_partkey % 7) AS audit_id", "'u' || p_partkey AS url", f"{block} AS json")
+    return structured.facts(p).withColumns({c: _joined(c) for c in ("types", "actions", "same_as")})
+
+
 def content_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.content_types(analogs.pages(spark, sf_dir))
 

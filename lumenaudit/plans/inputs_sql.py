@@ -68,6 +68,8 @@ SELECT * FROM s WHERE day BETWEEN '2024-01-08' AND '2024-01-10' UNION ALL SELECT
         "locale_order": f"""WITH w(o, word) AS (VALUES {", ".join(f"({k}, '{w}')" for k, w in enumerate(WORDS))}), p AS (SELECT p_size::VARCHAR AS size, o, word || ' ' || lpad(p_partkey::VARCHAR, 9, '0') AS name FROM part JOIN w ON o = (p_partkey * 5 + p_size) % {len(WORDS)} WHERE contains(lower(word), 'é'))
 SELECT size, name, row_number() OVER (PARTITION BY size ORDER BY o, name)::INT AS place FROM p""",
         "stored_artifacts": "SELECT DISTINCT 'projects/' || (page_id % 5) || '/runs/r1/html_raw/' || sha256(html) || '.html.gz' AS object_key, sha256(html) AS sha256, octet_length(encode(html))::BIGINT AS bytes FROM pages WHERE page_id % 3 = 0",
+        "structured_data": """SELECT 'a' || (p_partkey % 7) AS audit_id, 'u' || p_partkey AS url, CASE p_partkey % 5 WHEN 0 THEN 'BuyAction EntryPoint Offer Product Thing' WHEN 1 THEN 'Article Person' WHEN 2 THEN '' ELSE 'Inner' END AS types, CASE p_partkey % 5 WHEN 0 THEN 'BuyAction EntryPoint' ELSE '' END AS actions,
+  CASE p_partkey % 5 WHEN 2 THEN 'https://github.com/' || p_partkey || ' https://x.com/y' ELSE '' END AS same_as, CASE p_partkey % 5 WHEN 1 THEN '2026-01-0' || (1 + p_partkey % 9) END AS newest, p_partkey % 5 IN (1, 4) AS has_author, p_partkey % 5 = 1 AS has_credentials FROM part WHERE p_partkey % 5 <> 3""",
         "engine_answers": """WITH c AS (SELECT *, (conv_id + turn) % 4 AS e, 'www.a' || turn || '.example' AS d FROM conversations WHERE role = 'assistant')
 SELECT ['openai', 'anthropic', 'gemini', 'perplexity'][e + 1] AS engine, 'm' || (e + 1) AS model, conv_id::VARCHAR AS prompt_id, turn::INT AS repetition, text || CASE WHEN e = 2 THEN '!' ELSE '' END AS response_text,
   CASE e WHEN 1 THEN '1:' || d || ':t,2:' || d || ':t' WHEN 3 THEN '1:b.example:-,2:' || d || ':-' ELSE '1:' || d || ':t' END AS cites FROM c""",
