@@ -71,6 +71,42 @@ TEMPLATES = (
     template("mpl-2.0", "[mozilla public license] v 2 0"),
     template("unlicense", "this is [free and unencumbered software released into the public domain]"),
     template("zlib", "this software is provided [as is without any express or implied warranty in no event will the authors be held liable] for any damages arising from the use of this software"),
+    # Whole texts and notices, without what each user fills in: most of their words must stand.
+    template("apache-2.0-notice", """licensed under the apache license version 2 0 the license [you may not use this file except in compliance with the license]
+        you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software
+        distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license
+        for the specific language governing permissions and limitations under the license"""),
+    template("bsd-2-clause-full", """[redistribution and use in source and binary forms with or without modification are permitted] provided that the following conditions are met
+        1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+        2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation
+        and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or
+        implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event
+        shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not
+        limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability
+        whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the
+        possibility of such damage"""),
+    template("gpl-notice", """this program is free software [you can redistribute it and or modify it under the terms of the gnu general public license] as published by the
+        free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be
+        useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public
+        license for more details you should have received a copy of the gnu general public license along with this program"""),
+    template("isc-full", """[permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted] provided that the above copyright
+        notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software
+        including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential
+        damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising
+        out of or in connection with the use or performance of this software"""),
+    template("mit-full", """[permission is hereby granted free of charge to any person obtaining a copy of this software] and associated documentation files the software to deal in
+        the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the
+        software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission
+        notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied
+        including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright
+        holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the
+        software or the use or other dealings in the software"""),
+    template("zlib-full", """this software is provided as is [without any express or implied warranty in no event will the authors be held liable] for any damages arising from the
+        use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute
+        it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original
+        software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source
+        versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any
+        source distribution"""),
 )
 
 
@@ -90,26 +126,40 @@ def rare_words(t: Template, df: dict[str, int]) -> list[tuple[str, int]]:
     return sorted(((t.words[k], k) for k in range(*t.key)), key=lambda x: (df.get(x[0], 0), x[1]))[:RARE]
 
 
-def _starts(t: Template, rare: list[tuple[str, int]]) -> Column:
-    """Structs (start, share) of the places that count, from the columns `__words` and `__posts`."""
+def _array(items: list[str]) -> str:
+    return f"array({', '.join(items)})"
 
-    def votes(word: str, offset: int) -> Column:
-        return F.transform(F.filter("__posts", lambda p: p["w"] == word), lambda p: p["i"] - offset)
 
-    voted = reduce(F.array_intersect, (votes(*r) for r in rare))
-    at = lambda c, k: F.coalesce(F.get("__words", c + k) == t.words[k], F.lit(False))
+def _found(templates: tuple[Template, ...], df: dict[str, int]) -> list[Column]:
+    """The templates that count, from the columns `__words` and `__posts`: a lookup per posting, whatever the number of templates.
+
+    The index maps a word to its entries: template, offset, and which of the template's rare words it is. A key phrase of
+    one word has that word in both places.
+    """
+    index: dict[str, list[str]] = {}
+    for k, t in enumerate(templates):
+        for n, (w, o) in enumerate((rare_words(t, df) * RARE)[:RARE]):
+            index.setdefault(w, []).append(f"named_struct('t', {k}, 'o', {o}, 'n', {n})")
+    entries = "map(" + ", ".join(f"'{w}', {_array(e)}" for w, e in sorted(index.items())) + ")"
+    words = F.expr(_array([_array([f"'{w}'" for w in t.words]) for t in templates]))
+    keys = F.expr(_array([f"sequence({t.key[0]}, {t.key[1] - 1})" for t in templates]))
+    sizes, labels, bases = (F.expr(_array([f(t) for t in templates])) for f in (lambda t: str(len(t.words)), lambda t: f"'{t.label}'", lambda t: str(t.base).lower()))
+    votes = F.flatten(F.transform("__posts", lambda p: F.transform(F.element_at(F.expr(entries), p["w"]), lambda e: F.struct(e["t"].alias("t"), (p["i"] - e["o"]).alias("s"), e["n"].alias("n")))))
+    of = lambda n: F.transform(F.filter("__votes", lambda v: v["n"] == n), lambda v: F.struct(v["t"], v["s"]))
 
     def judged(c: Column) -> Column:
-        verified = F.lit(True)
-        for k in range(*t.key):
-            verified = verified & at(c, k)
-        rest = [k for k in range(len(t.words)) if not t.key[0] <= k < t.key[1]]
-        agree = F.lit(t.key[1] - t.key[0])
-        for k in rest:
-            agree = agree + at(c, k).cast("int")
-        return F.when(verified, F.struct((c + t.key[0]).cast("long").alias("start"), (agree.cast("double") / len(t.words)).alias("share")))
+        own = F.get(words, c["t"])
+        same = lambda k: F.coalesce(F.get("__words", c["s"] + k) == F.get(own, k), F.lit(False))
+        size = F.get(sizes, c["t"])
+        agree = F.size(F.filter(F.sequence(F.lit(0), size - 1), same))
+        share = F.when(F.forall(F.get(keys, c["t"]), same), agree.cast("double") / size)
+        return F.struct(c["t"].alias("t"), (c["s"] + F.get(F.get(keys, c["t"]), F.lit(0))).cast("long").alias("start"), share.alias("share"))
 
-    return F.filter(F.transform(voted, judged), lambda s: s.isNotNull() & (s["share"] >= SHARE))
+    voted = reduce(F.array_intersect, map(of, range(RARE)))
+    counted = F.filter(F.transform(voted, judged), lambda s: F.coalesce(s["share"] >= SHARE, F.lit(False)))
+    places = lambda t: F.transform(F.filter("__hits", lambda h: h["t"] == t), lambda h: F.struct(h["start"].alias("start"), h["share"].alias("share")))
+    found = F.transform(F.array_sort(F.array_distinct(F.transform("__hits", lambda h: h["t"]))), lambda t: F.struct(F.get(labels, t).alias("label"), F.get(bases, t).alias("base"), places(t).alias("places")))
+    return [votes, counted, found]
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,14 +170,14 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col: s
     other columns are not read.
     """
     df = frequencies(docs, sorted({t.words[k] for t in templates for k in range(*t.key)}), text_col)
-    rare = {t: rare_words(t, df) for t in templates}
-    indexed = sorted({w for r in rare.values() for w, _ in r})
+    indexed = sorted({w for t in templates for w, _ in rare_words(t, df)})
     posts = F.filter(F.transform("__words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda p: p["w"].isin(indexed))
     held = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("__words")).withColumn("__posts", posts)
-    each = [F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), _starts(t, r).alias("places")) for t, r in rare.items()]
-    found = F.filter(F.array(*each), lambda f: F.size(f["places"]) > 0)
-    # Most files hold no indexed word; they skip the templates.
-    return held.select("doc_id", F.size("__words").cast("long").alias("n_words"), F.when(F.size("__posts") > 0, found).otherwise(F.array().cast(FOUND)).alias("found"))
+    none = F.array().cast(FOUND)
+    for name, c in zip(("__votes", "__hits", "__found"), _found(templates, df), strict=True):
+        held = held.withColumn(name, c)
+    # Most files hold no indexed word.
+    return held.select("doc_id", F.size("__words").cast("long").alias("n_words"), F.when(F.size("__posts") > 0, F.col("__found")).otherwise(none).alias("found"))
 
 
 def op6(docs: DataFrame) -> DataFrame:

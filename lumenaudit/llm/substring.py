@@ -3,9 +3,9 @@
 A unit is a line, a paragraph (lines between blank ones) or a sentence (a stretch up to closing marks or a line break, so
 that a passage inside a line is found too). It is normalised: A-Z lower-cased, white space collapsed. Equal units, known
 by a 128-bit digest, are grouped over all documents with partial aggregation, and that with the smallest (doc_id, text
-hash, offset) is the first. A document's repeated units that follow each other are a run, and a run of at least `least`
-code points goes. Short units that recur by chance or as a phrase (headings, list marks, greetings) thus stay, while a
-passage goes however short its sentences are; with least=1 every later occurrence goes.
+hash, offset) is the first; every later occurrence goes. A document's repeated units that follow each other are a run, and
+with `least` only runs of so many code points go: then short units that recur by chance or as a phrase (headings, list
+marks, greetings) stay, while a passage goes however short its sentences are. The query takes sentences and `LEAST`.
 
 First places are written before they meet the units again, so both sides of that join are plain shuffles and adaptive
 execution can split a digest that a third of all units share.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACED_TABLE, dropped, written
 
-#: Code points of a run of repeated units that goes; some thirty words.
+#: Code points of a run of repeated units that goes in the query; some thirty words.
 LEAST = 200
 UNITS = {
     "line": re.compile(r"[^\n]+\n?|\n"),
@@ -90,7 +90,7 @@ def runs(later: list[dict] | None, least: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def dedup(docs: DataFrame, unit: str = "sentence", least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, unit: str = "line", least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_units removed, removed (spans in code points of the original text, end exclusive), text (what is left).
 
     A unit goes with the marks, spaces and line break that end it. Null and empty texts have no units and come back as
@@ -121,8 +121,8 @@ def dedup(docs: DataFrame, unit: str = "sentence", least: int = LEAST, id_col: s
 
 
 def op3(docs: DataFrame) -> DataFrame:
-    """Sentences; spans as text, so that results compare simply. Nulls, ties and repeated rows as `dedup` has them."""
-    return dedup(docs).select(
+    """Sentences, runs of `LEAST` code points; spans as text, so that results compare simply. Nulls, ties and repeated rows as `dedup` has them."""
+    return dedup(docs, "sentence", LEAST).select(
         "doc_id",
         F.col("n_units").alias("n_removed"),
         F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("removed_chars"),

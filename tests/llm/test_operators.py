@@ -261,9 +261,11 @@ def test_repeated_units_are_brute_force(spark, unit, least):
 
 def test_repeated_units_of_one_id(spark):
     docs = frame(spark, [(1, "Same words here. More of one."), (1, "Same words here. Other of one."), (1, "Same words here. Other of one.")])
-    got = sorted(r["text"] for r in substring.dedup(docs, least=1).collect())
+    got = sorted(r["text"] for r in substring.dedup(docs, "sentence").collect())
     assert len(got) == 3 and len(set(got)) == 2 and sum(t.startswith("Same") for t in got) in (1, 2)
     assert substring.op3(docs.limit(0)).count() == 0
+    short = frame(spark, [(1, "a line\nb"), (2, "A  Line\nc\nb")])  # by itself the operator takes lines, and all repeats go
+    assert {r["doc_id"]: r["text"] for r in substring.dedup(short).collect()} == {1: "a line\nb", 2: "c\n"}
 
 
 def test_paragraphs(spark):
@@ -477,6 +479,9 @@ def test_licences(spark):
         (2, "Licensed under the Apache License, Version 2.0."),
         (11, "under the terms of the GNU General Public License version 3"),
         (12, "licensed under the Mozilla Public License v 2.0"),
+        (14, "Copyright X. " + " ".join(dict((t.label, t.words) for t in licenses.TEMPLATES)["mit-full"]).upper() + " end"),
+        (15, " ".join(w if k % 4 else "other" for k, w in enumerate(dict((t.label, t.words) for t in licenses.TEMPLATES)["isc-full"][15:]))),
+        (16, " ".join(w for t in licenses.TEMPLATES for w in t.words)),
         (13, "MIT LICENSE, İSC ÉCOLE \u212aey mit\u0130license MIT license\u212a"),
     ]
     got = rows_of(licenses.op6(frame(spark, rows)), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -503,7 +508,8 @@ def test_licences(spark):
                         shares[x.label] = max(share, shares.get(x.label, 0))
         assert labels[i] == (",".join(sorted(shares)), pytest.approx(max(shares.values(), default=0.0)))
     assert labels[9][0] == "mit-text" and 0.6 <= labels[9][1] < 1
-    assert labels[4] == labels[10] == ("", 0.0)
+    assert labels[4] == labels[10] == ("", 0.0) and labels[14][0] == "mit-full,mit-text" and labels[15][0] == ""
+    assert set(labels[16][0].split(",")) == {t.label for t in licenses.TEMPLATES}
     assert not re.search("Python|Pandas|Arrow", licenses.op6(frame(spark, rows))._jdf.queryExecution().toString())
     assert licenses.op6(frame(spark, [])).count() == 0
 
