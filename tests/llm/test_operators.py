@@ -638,14 +638,56 @@ def test_quality(spark):
     assert quality.op1(frame(spark, [])).count() == 0
 
 
+def votes_of(text):
+    """The nine votes, trait by trait, from the text alone: 1 good, -1 bad, 0 none."""
+    raw = (text or "").encode()
+    words, n = raw.split(), len(raw.split())
+    if not n:
+        return [0] * 9
+    mark, letter = rb"[^A-Za-z0-9\x80-\xff]", rb"[A-Za-z\x80-\xff]"
+    lines = [x.strip() for x in raw.split(b"\n") if x.strip()]
+    letters = len(re.findall(letter, raw))
+    triples = [tuple(words[k : k + 3]) for k in range(n - 2)]
+    function = sum(w in quality.FUNCTION_WORDS for w in words) / n
+    below = lambda x, good, bad: 1 if x <= good else -1 if x >= bad else 0
+    above = lambda x, good, bad: 1 if x >= good else -1 if x <= bad else 0
+    return [
+        below(sum(bool(re.search(mark + mark, w)) for w in words) / n, 0.02, 0.2) if n >= 16 else 0,
+        below(len(re.findall(rb"[A-Z]", raw)) / max(1, letters), 0.2, 0.5) if n >= 16 else 0,
+        below(max(0.0, 1 - len(set(triples)) / max(1, n - 2)), 0.1, 0.3) if n >= 20 else 0,
+        below(sum(bool(re.fullmatch(mark + b"+", w)) for w in words) / n, 0.05, 0.2) if n >= 16 else 0,
+        below(1 - len(set(lines)) / len(lines), 0.1, 0.3) if len(lines) >= 4 else 0,
+        above(letters / sum(map(len, words)), 0.9, 0.75) if n >= 16 else 0,
+        below(1 - len(set(words)) / n, 0.45, 0.7) if 20 <= n <= 2000 else 0,
+        below(abs(len(raw) / n - 6), 3, 6) if n >= 20 else 0,
+        above(function, 0.15, 0.08) if n >= 50 and function else 0,
+    ]
+
+
+def dense_fit(rows, rounds=200, rate=0.05, ridge=1e-4):
+    """The scorer's descent over a dense matrix of the buckets that any row has; rows: (buckets and values, probability of good)."""
+    used = sorted({b for f, _ in rows for b in f})
+    x = np.array([[f.get(b, 0.0) for b in used] + [1.0] for f, _ in rows])
+    y = np.array([p for _, p in rows])
+    w = np.r_[np.zeros(len(used)), 2.0]
+    first = second = np.zeros_like(w)
+    for t in range(1, rounds + 1):
+        gradient = x.T @ (1 / (1 + np.exp(-(x @ w))) - y) / len(rows) + ridge * w
+        first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
+        w = w - rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    return dict(zip(used, w[:-1], strict=True)), w[-1]
+
+
 def test_quality_is_brute_force(spark):
-    """EM document by document, and the scorer's features from the texts."""
+    """Votes from the texts, EM document by document, the scorer's features from the texts, and its fit over a dense matrix."""
     import math
     from collections import Counter
 
     rows = junky(150)
     got = {r["doc_id"]: r for r in quality.op1(frame(spark, rows)).collect()}
-    votes = {i: list(got[i]["votes"]) for i, _ in rows}
+    votes = {i: votes_of(t) for i, t in rows}
+    assert {i: list(r["votes"]) for i, r in got.items()} == votes
+    assert {x for v in votes.values() for x in v} == {-1, 0, 1}
     bad = {i: 0.9 if -1 in v else 0.05 for i, v in votes.items()}
     for _ in range(100):
         weight = 0.01 * len(rows)
@@ -658,7 +700,7 @@ def test_quality_is_brute_force(spark):
                 odds += math.log(held[0][k] / (1 - held[1][k])) if x < 0 else math.log((1 - held[0][k]) / held[1][k]) if x > 0 else 0
             bad[i] = 1 / (1 + math.exp(-max(-30, min(30, odds))))
     assert {i: round(1 - x, 5) for i, x in bad.items()} == {i: pytest.approx(r["weak"], abs=2e-5) for i, r in got.items()}
-    _, weights, bias = quality.train(frame(spark, rows))
+    features = {}
     for i, text in rows:
         words = text.encode().split()
         found = Counter()
@@ -671,8 +713,12 @@ def test_quality_is_brute_force(spark):
         buckets = Counter()
         for name, c in found.items():
             buckets[zlib.crc32(name) % quality.DIMENSIONS] += c
-        z = bias + sum(weights[b] * math.sqrt(c / len(words)) for b, c in buckets.items())
-        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=2e-6)
+        features[i] = {b: math.sqrt(c / len(words)) for b, c in buckets.items()}
+    weights, bias = dense_fit([(features[i], 1 - bad[i]) for i, _ in rows])
+    for i, f in features.items():
+        z = bias + sum(weights[b] * x for b, x in f.items())
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+        assert got[i]["keep"] == (got[i]["score"] >= 0.5)
 
 
 def test_label_model():
