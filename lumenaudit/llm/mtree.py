@@ -245,28 +245,33 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                     p = o[slot]
                     at.append(before[p] + (place[fit] - upto[slot] + ids[j]) % shards[p])
                     own.append(np.full(len(p), j))
-                own = np.concatenate(own) if own else np.zeros(0, np.int64)
-                near = order[:, 0][own]
-                take = pa.array(own)
-                yield pa.record_batch([pa.array(np.concatenate(at).astype(np.int32)), pa.array(near.astype(np.int32)), b.column(0).take(take), pa.array(floor[own]), pa.array([x.tobytes() for x in q.astype(narrow)], pa.binary()).take(take)], names=["shard", "near", "id", "floor", "payload"])
+                if not own or not sum(map(len, own)):
+                    continue
+                # Queries of a shard travel together, neighbours beside each other.
+                own, at = np.concatenate(own), np.concatenate(at)
+                by = np.lexsort((order[:, 0][own], at))
+                own, at = own[by], at[by]
+                cuts = np.flatnonzero(np.r_[True, np.diff(at) != 0])
+                cuts = np.concatenate([np.arange(s, e, BLOCK) for s, e in zip(cuts, [*cuts[1:], len(at)], strict=True)])
+                payload = q.astype(narrow)
+                blocks = [own[s:e] for s, e in zip(cuts, [*cuts[1:], len(at)], strict=True)]
+                columns = [pa.array(at[cuts].astype(np.int32)), pa.array([len(x) for x in blocks], pa.int32()), *(pa.array([v[x].tobytes() for x in blocks], pa.binary()) for v in (ids, floor, payload))]
+                yield pa.record_batch(columns, names=["shard", "n", "ids", "floors", "payload"])
 
         return run
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, held_shard = None, None
+        tree = held = None
         for b in parts:
-            shard_of, kinds = b.column(0).to_numpy(), b.column(2).to_numpy()
-            cuts = np.unique(np.r_[0, np.flatnonzero(np.diff(shard_of) | np.diff(kinds)) + 1, len(kinds)])
-            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if not kinds[s]:
-                    if held_shard != shard_of[s]:
-                        tree, held_shard = pickle.loads(b.column(6)[s].as_py()), shard_of[s]
+            for shard_of, is_block, ids, floors, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not is_block:
+                    if held != shard_of:
+                        tree, held = pickle.loads(payload), shard_of
                     continue
-                for at in range(s, e, BLOCK):
-                    part = b.slice(at, min(BLOCK, e - at))
-                    q = np.frombuffer(b"".join(part.column(6).to_pylist()), narrow).reshape(part.num_rows, width).astype(np.int64)
-                    found = tree.search(part.column(4).to_numpy(), q, k, part.column(5).to_numpy())
-                    yield pa.record_batch([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
+                own = np.frombuffer(ids, np.int64)
+                q = np.frombuffer(payload, narrow).reshape(len(own), width).astype(np.int64)
+                found = tree.search(own, q, k, np.frombuffer(floors, np.float64))
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 
     queries, best = routed.where("query").select("id", "v"), None
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -278,12 +283,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         else:
             floors = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
             state = queries.join(floors, F.col("id") == F.col("query_id"), "left").select("id", "v", F.when(F.col("n") >= k, F.col("least").cast("double")).alias("floor"))
-        wanted = written(state.mapInArrow(ask(first, last), "shard int, near int, id long, floor double, payload binary"))
-        counted = wanted.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(asked)).cast("int").alias("parts"))
+        wanted = written(state.mapInArrow(ask(first, last), "shard int, n int, ids binary, floors binary, payload binary"))
+        counted = wanted.groupBy("shard").agg(F.ceil(F.sum("n") / F.lit(asked)).cast("int").alias("parts"))
         # A shard that many queries want has a copy of its tree for each part of them.
-        copies = trees.join(counted, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(0).alias("near"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("floor"), F.col("tree").alias("payload"))
-        rows = wanted.join(counted, "shard").select("shard", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "near", "id", "floor", "payload")
-        met = copies.union(rows).repartition(max(1, min(10_000, total)), "shard", "part").sortWithinPartitions("shard", "part", "kind", "near")
+        none = F.lit(None).cast("binary")
+        copies = trees.join(counted, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), none.alias("ids"), none.alias("floors"), F.col("tree").alias("payload"))
+        rows = wanted.join(counted, "shard").select("shard", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "ids", "floors", "payload")
+        met = copies.union(rows).repartition(max(1, min(10_000, total)), "shard", "part").sortWithinPartitions("shard", "part", "kind").select("shard", "kind", "ids", "floors", "payload")
         found = met.mapInArrow(search, "query_id long, vec_id long, score long")
         ranked = (found if best is None else found.union(best)).withColumn("rank", rank).where(F.col("rank") <= k)
         done = best

@@ -592,6 +592,11 @@ def test_top_k_of_an_id_with_two_vectors(spark):
     assert rows_of(mtree.op4(df), "query_id", "rank", "vec_id", "score") == best_of([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.7, 0.7]), (20, [0.0, 1.0]), (21, [0.0, 0.0])])
 
 
+def test_top_k_of_empty_vectors(spark):
+    rows = spark.createDataFrame([(20, []), (1, []), (2, None), (40, [])], "vec_id long, embedding array<double>")
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in mtree.op4(rows).collect()) == [(20, 1, 1, 0), (20, 2, 40, 0), (40, 1, 1, 0), (40, 2, 20, 0)]
+
+
 def test_top_k_of_large_components(spark):
     rows = [(20, [2.0**24, 1.0]), (1, [2.0**24, 3.0]), (2, [2.0**24, -2.0])]
     frame_of = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
