@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+from functools import reduce
 from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -199,6 +200,22 @@ def markdown_reports(results: DataFrame) -> DataFrame:
     return whole.select("audit_id", text.alias("document"))
 
 
+def html_reports(results: DataFrame) -> DataFrame:
+    """(audit_id, document): every audit's report as a page, made in the engine as `html_report` makes one; all values are escaped."""
+    escape = lambda c: reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")), F.coalesce(c.cast("string"), F.lit("")))
+    row = lambda *cells: F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), escape(C(c)), F.lit("</td>")) for c in cells), F.lit("</tr>"))
+    rows = lambda df, order, *cells: df.select("audit_id", C(order).alias("o"), row(*cells).alias("l")).groupBy("audit_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "l"))), lambda s: s["l"]), "").alias(order))
+    head = lambda *names: "<tr>" + "".join(f"<th>{n}</th>" for n in names) + "</tr>"
+    pillars = rows(pillar_scores(results), "pillar", "pillar", "score")
+    plan = rows(issues(results), "rank", "rank", "key", "severity", "priority", "bucket")
+    whole = report(results).join(pillars, "audit_id").join(plan, "audit_id", "left").withColumn("name", escape(C("audit_id")))
+    text = F.concat(
+        F.lit('<!doctype html><html lang="en"><meta charset="utf-8"><title>Audit of '), "name", F.lit("</title><h1>Audit of "), "name", F.lit("</h1><p>Score "), C("score_global").cast("string"), F.lit(", coverage "), C("coverage").cast("string"),
+        F.lit(f"</p><h2>Pillars</h2><table>{head('pillar', 'score')}"), "pillar", F.lit(f"</table><h2>Issues</h2><table>{head('rank', 'key', 'severity', 'priority', 'bucket')}"), F.coalesce("rank", F.lit("")), F.lit("</table></html>"),
+    )
+    return whole.select("audit_id", text.alias("document"))
+
+
 def html_report(document: dict) -> str:
     """A report (the parsed JSON of one audit) as a page; every value is escaped."""
     e = lambda x: html.escape("" if x is None else str(x), quote=True)

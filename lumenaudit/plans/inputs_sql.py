@@ -107,6 +107,14 @@ i2 AS (SELECT audit_id, string_agg('| ' || concat_ws(' | ', rank, key, severity,
 p2 AS (SELECT audit_id, string_agg('| ' || concat_ws(' | ', pillar, score, coverage, measured, excluded) || ' |', chr(10) ORDER BY pillar) AS rows FROM ps GROUP BY audit_id)
 SELECT audit_id, '# Audit of ' || audit_id || chr(10) || chr(10) || 'Score: ' || gs.score || ', coverage ' || coverage || ' (' || CASE WHEN coverage >= 0.9 THEN 'complete' WHEN coverage >= 0.7 THEN 'substantial' WHEN coverage >= 0.4 THEN 'partial' ELSE 'insufficient' END || ')' || chr(10) || chr(10) || '## Pillars' || chr(10) || chr(10)
   || '| pillar | score | coverage | measured | excluded |' || chr(10) || '|---|---|---|---|---|' || chr(10) || p2.rows || chr(10) || chr(10) || '## Issues' || chr(10) || chr(10) || '| rank | rule | severity | priority | bucket |' || chr(10) || '|---|---|---|---|---|' || chr(10) || coalesce(i2.rows, '') || chr(10) AS document
+FROM gs JOIN c USING (audit_id) JOIN p2 USING (audit_id) LEFT JOIN i2 USING (audit_id)""",
+        "html_reports": f"""{issue}, {r.pillars()}, {r.totals()},
+c AS (SELECT audit_id, {r.coverage()} AS coverage FROM r GROUP BY audit_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY priority DESC, key) AS rank FROM q),
+i2 AS (SELECT audit_id, string_agg('<tr><td>' || concat_ws('</td><td>', rank, key, severity, priority, bucket) || '</td></tr>', '' ORDER BY rank) AS rows FROM k GROUP BY audit_id),
+p2 AS (SELECT audit_id, string_agg('<tr><td>' || concat_ws('</td><td>', pillar, score) || '</td></tr>', '' ORDER BY pillar) AS rows FROM ps GROUP BY audit_id)
+SELECT audit_id, '<!doctype html><html lang="en"><meta charset="utf-8"><title>Audit of ' || audit_id || '</title><h1>Audit of ' || audit_id || '</h1><p>Score ' || gs.score || ', coverage ' || coverage || '</p><h2>Pillars</h2><table><tr><th>pillar</th><th>score</th></tr>' || p2.rows
+  || '</table><h2>Issues</h2><table><tr><th>rank</th><th>key</th><th>severity</th><th>priority</th><th>bucket</th></tr>' || coalesce(i2.rows, '') || '</table></html>' AS document
 FROM gs JOIN c USING (audit_id) JOIN p2 USING (audit_id) LEFT JOIN i2 USING (audit_id)""",
         "affected_by_issue": f"""{issue}, gone AS (SELECT audit_id, url FROM (SELECT *, min(url) OVER (PARTITION BY s) AS home FROM p) WHERE url <> home AND url NOT IN (SELECT {url_of('linked')} FROM p WHERE linked IS NOT NULL)),
 e AS (

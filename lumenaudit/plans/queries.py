@@ -180,6 +180,10 @@ def markdown_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.markdown_reports(_results(spark, sf_dir))
 
 
+def html_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.html_reports(_results(spark, sf_dir))
+
+
 # --- comparison and history
 
 

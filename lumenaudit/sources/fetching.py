@@ -21,6 +21,8 @@ from .guard import Refused
 
 #: Pages of one host that are fetched at a time, and attempts per page.
 CONCURRENCY, ATTEMPTS = 5, 3
+#: Pages that a task holds at a time.
+BATCH = 50
 # Rows a page of search results, rows in all, and the forms under which a site may be a property.
 ROW_LIMIT, MAX_ROWS = 100, 1000
 PROPERTIES = ("sc-domain:{domain}", "https://{domain}/", "http://{domain}/")
@@ -30,8 +32,9 @@ def fetch_wave(wave: DataFrame, get: Callable[[str], dict | None], concurrency:
     """wave(audit_id, url, crawl_delay) to captures (schema.CAPTURE): what `get` returned, by keys of that schema.
 
     A host's URLs are fetched in one task, `concurrency` at a time, or one after another with the host's crawl delay
-    between them. URLs that the request guard refuses, and those whose every attempt fails or gives None, drop out;
-    `guard.guarded` makes a `get` that judges resolved addresses and every hop of a redirect, too.
+    between them; bodies leave the task `BATCH` at a time, however many the host has. URLs that the request guard
+    refuses, and those whose every attempt fails or gives None, drop out; `guard.guarded` makes a `get` that judges
+    resolved addresses and every hop of a redirect, too.
     """
     names = [c.split()[0] for c in CAPTURE.split(", ")]
 
@@ -46,23 +49,30 @@ def fetch_wave(wave: DataFrame, get: Callable[[str], dict | None], concurrency:
                     sleep(0.5 * 2**n)
         return None
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["audit_id", "url"])
-        delay = pdf["crawl_delay"].max()
-        if delay > 0:
-            found = []
-            for k, u in enumerate(pdf["url"]):
-                if k:
-                    sleep(delay)
-                found.append(once(u))
-        else:
-            with ThreadPoolExecutor(max(1, concurrency)) as pool:
-                found = list(pool.map(once, pdf["url"]))
-        rows = [{"audit_id": a, "url": u, "final_url": u, "status_code": 200, "redirects": 0, "html": None, "rendered_html": None} | f for a, u, f in zip(pdf["audit_id"], pdf["url"], found, strict=True) if f is not None]
-        return pd.DataFrame(rows, columns=names)
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None  # the host that was asked last
+        with ThreadPoolExecutor(max(1, concurrency)) as pool:
+            for pdf in parts:
+                for host_of, own in pdf.groupby("host", sort=False):
+                    for k in range(0, len(own), BATCH):
+                        some = own.iloc[k : k + BATCH]
+                        found = []
+                        if (delay := some["crawl_delay"].max()) > 0:
+                            for u in some["url"]:
+                                if last == host_of:
+                                    sleep(delay)
+                                found.append(once(u))
+                                last = host_of
+                        else:
+                            found, last = list(pool.map(once, some["url"])), host_of
+                        rows = [{"audit_id": a, "url": u, "final_url": u, "status_code": 200, "redirects": 0, "html": None, "rendered_html": None} | f for a, u, f in zip(some["audit_id"], some["url"], found, strict=True) if f is not None]
+                        yield pd.DataFrame(rows, columns=names)
 
     asked = wave.where(fetchable(F.col("url"))).select("audit_id", "url", F.coalesce(F.col("crawl_delay").cast("double"), F.lit(0.0)).alias("crawl_delay"), host(F.col("url")).alias("host"))
-    return asked.groupBy("host").applyInPandas(run, CAPTURE)
+    # The largest delay that any audit has for a host holds for all of them.
+    delays = asked.groupBy(F.col("host").alias("own")).agg(F.max("crawl_delay").alias("delay")).where("delay > 0")
+    polite = asked.join(delays, F.col("host") == F.col("own"), "left").select("audit_id", "url", F.coalesce("delay", F.lit(0.0)).alias("crawl_delay"), "host")
+    return polite.repartition("host").sortWithinPartitions("host", "audit_id", "url").mapInPandas(run, CAPTURE)
 
 
 def properties(domain: Column) -> Column:

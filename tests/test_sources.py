@@ -162,6 +162,13 @@ def test_fetch_wave(spark):
     assert sorted((r["final_url"], r["status_code"]) for r in got) == [("https://a.example/1/", 201), ("https://b.example/1/", 201), ("https://b.example/2/", 201)]
 
 
+def test_a_large_host_is_fetched_in_batches(spark):
+    wave = spark.range(130).selectExpr("'a' AS audit_id", "'https://a.example/' || id AS url", "CAST(NULL AS DOUBLE) AS crawl_delay").union(spark.createDataFrame([("b", "https://a.example/x", None)], "audit_id string, url string, crawl_delay double"))
+    got = fetching.fetch_wave(wave, lambda url: {"html": url[-3:]})
+    assert got.select("audit_id", "url").distinct().count() == got.count() == 131
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_search_pages(spark):
     held = [{"keys": [f"q{k}"], "clicks": k, "impressions": 2 * k, "ctr": 0.5, "position": 3.0} for k in range(250)]
 
@@ -298,6 +305,13 @@ def test_saved_signals_score_again(spark, sf_dir, tmp_path):
     assert sinks.load_report(spark, str(tmp_path), one).count() == 1
 
 
+def test_html_reports(spark):
+    rows = [("a<b>&'c", "k\"1", ["seo"], 10.0, "critical", 1.0, "standard"), ("a<b>&'c", "k2", ["geo"], 90.0, "ok", 1.0, "standard"), ("plain", "k2", ["geo"], 90.0, "ok", 1.0, "standard")]
+    results = spark.createDataFrame(rows, "audit_id string, key string, pillars array<string>, score double, status string, weight double, evidence_tier string")
+    documents = {r["audit_id"]: json.loads(r["document"]) for r in sinks.json_reports(results).collect()}
+    assert {r["audit_id"]: r["document"] for r in sinks.html_reports(results).collect()} == {a: sinks.html_report(d) for a, d in documents.items()}
+
+
 def test_pdf_report():
     import re
 
