@@ -14,7 +14,7 @@ bound reaches the floor are visited. No other block can hold a neighbour, so the
 1 / (1.05 - cosine). The vote is set against what it would have been on the examples, each left out of its own vote
 (isotonic regression), and that calibrated share is the score.
 
-The index is bounded by FIT_ROWS whatever the corpus, so it is sent to every task.
+The index is bounded by FIT_ROWS and FIT_WORDS whatever the corpus, so it is sent to every task.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, dropped, written
+from .common import ALNUM, alnum_words, dropped, written
 
-#: Labelled documents that are learnt from, at most.
-FIT_ROWS = 4_000
+#: Labelled documents that are learnt from, at most, and words of them.
+FIT_ROWS, FIT_WORDS = 4_000, 4_000_000
 #: How much more a term weighs that speaks for toxicity.
 BOOST = 3.0
 #: Such a term must stand in so many toxic examples and this share of them, exceed this chi-square, and be so many times
@@ -43,6 +43,8 @@ LEAST_DF, LEAST_SHARE, LEAST_CHI2, LEAST_LIFT = 3, 0.02, 12.0, 2.5
 NEIGHBOURS, BLOCK = 24, 64
 #: A term that stands in over this share of the entries is a row of the matrix.
 COMMON = 1 / 16
+#: Bytes of the matrix, at most.
+MATRIX_BYTES = 64 << 20
 #: Texts that are searched for at a time.
 BATCH = 64
 #: Weight of the base rate in a vote, in examples.
@@ -108,6 +110,9 @@ class BlockMaxIndex:
         entry = np.repeat(np.arange(self.size), [len(v[0]) for v in vectors])
         held = np.bincount(term, minlength=terms)
         common = np.flatnonzero(held > max(BLOCK, COMMON * self.size))
+        # The most frequent ones, as far as the matrix may grow; the others are postings like any.
+        most = MATRIX_BYTES // (8 * BLOCK * max(1, self.blocks))
+        common = np.sort(common[np.argsort(-held[common], kind="stable")][:most])
         self.row = np.full(terms, -1, np.int32)
         self.row[common] = np.arange(len(common))
         self.matrix = np.zeros((len(common), self.blocks * BLOCK))
@@ -268,11 +273,12 @@ def speaking_stems(vocabulary: list[bytes], labels: np.ndarray, words: list[np.n
     return sorted(names), rank[of]
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic") -> tuple[Model, Broadcast]:
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_words: int = FIT_WORDS, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic") -> tuple[Model, Broadcast]:
     """The model, and the numbers of its terms as executors have them. learn: which labels may be learnt from (default: those whose id isn't held out).
 
     Labels without an id, and other values than 0 and 1, are left out; of several labels of an id the highest counts,
-    of several texts that with the smallest hash, and an id without text is an empty text.
+    of several texts that with the smallest hash, and an id without text is an empty text. An example that would bring the
+    sample above fit_words words is passed over.
     """
     usable = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     usable = usable.where(~held_out(F.col("doc_id")) if learn is None else learn).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -281,6 +287,15 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, learn: C
     there = usable.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     sample = there.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(fit_rows)
     rows = written(texts.join(sample, "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+    # What the driver gathers is bounded in words, too: examples are taken in the sample's order while they fit.
+    sizes = rows.select("doc_id", F.xxhash64("doc_id", F.lit(5)).alias("h"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(ALNUM)), F.lit(0)).alias("n")).collect()
+    total, long = 0, []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        if total + r["n"] > fit_words:
+            long.append(r["doc_id"])
+        else:
+            total += r["n"]
+    rows = rows.where(~F.col("doc_id").isin(long)) if long else rows
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:

@@ -740,7 +740,9 @@ def test_label_model():
         assert m.right[0][k] == pytest.approx(b, abs=0.1) and m.right[1][k] == pytest.approx(g, abs=0.05)
 
 
-def test_block_max_is_exact():
+@pytest.mark.parametrize("rows", [40, 2, 0])
+def test_block_max_is_exact(monkeypatch, rows):
+    """With as many common terms in the matrix as there are, two, or none."""
     r = random.Random(11)
     vectors = []
     for _ in range(1000):
@@ -750,8 +752,9 @@ def test_block_max_is_exact():
     whole = np.zeros((1000, 40))
     for k, (t, w) in enumerate(vectors):
         whole[k, t] = w
+    monkeypatch.setattr(toxicity, "MATRIX_BYTES", rows * 8 * 1024)
     index = toxicity.BlockMaxIndex(vectors, 40)
-    assert 0 < len(index.matrix) < 40 and index.blocks > 10
+    assert (len(index.matrix) == rows if rows < 40 else 2 < len(index.matrix) < 40) and index.blocks > 10
     for v, (cosines, entries) in zip(vectors[:80], index.nearest(vectors[:80], 10), strict=True):
         every = np.round(sum(whole[:, t] * w for t, w in zip(*v, strict=True)), 9)
         want = sorted(((-s, k) for k, s in enumerate(every.tolist()) if s > 0))[:10]
@@ -789,6 +792,18 @@ def test_toxicity(spark):
     assert toxicity.op2(frame(spark, []), known).count() == 0
 
 
+def test_long_examples_are_passed_over(spark):
+    """The sample is bounded in words: a long example is no example, and the others still are."""
+    rows, labels = toxic_rows(120)
+    long = [(2000 + k, "vilefool " + " ".join(f"w{k}x{j}" for j in range(3000))) for k in range(4)]
+    known = spark.createDataFrame([*labels, *((i, 0) for i, _ in long)], "doc_id long, toxic int")
+    docs = frame(spark, [*rows, *long])
+    model, _ = toxicity.train(docs, known, fit_words=5_900)
+    learnt = {i for ids in model.ids for i in ids}
+    assert len(learnt) > 40 and len(learnt & {i for i, _ in long}) < 2
+    assert toxicity.op2(docs, known).count() == len(rows) + 4
+
+
 def test_toxicity_is_brute_force(spark):
     """The whole query again from the texts: every cosine with every example, votes, calibration."""
     import math
