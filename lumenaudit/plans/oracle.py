@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import inputs_sql, pages_sql
 from . import rules_sql as r
+from ..operators import prompts
 from ..operators.prompts import STOP_WORDS
 from ..operators.scoring import EFFORT
 from .analogs import sql, url_of
@@ -95,6 +96,37 @@ b AS (SELECT audit_id, list_concat(string_split_regex(lower(CASE WHEN contains(t
 w AS (SELECT audit_id, unnest(regexp_extract_all(lower(title), '[a-zà-ÿ0-9]+')) AS term FROM t),
 c AS (SELECT audit_id, term, count(*) AS n FROM w JOIN b USING (audit_id) WHERE length(term) >= 4 AND term NOT IN ({counts}) AND NOT list_contains(words, term) GROUP BY audit_id, term)
 SELECT audit_id, term, n, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY n DESC, term) AS rank FROM c) WHERE rank <= 12"""
+    fold = lambda c: f"replace(lower(strip_accents({c})), 'ß', 'ss')"
+    part = " ".join(f"WHEN contains(title, '{x}') AND trim(split_part(title, '{x}', 1)) <> '' THEN trim(split_part(title, '{x}', 1))" for x in prompts.SEPARATORS)
+    single = [(k, i, prompts.WORDING[i]) for k, i in enumerate(i for i in prompts.WORDING if i != "comparative")]
+    kinds = ", ".join(f"('{i}', {k}, {round(share * prompts.TARGET)}, {q}::DOUBLE)" for k, (i, (share, q)) in enumerate(prompts.INTENTS.items()))
+    says = lambda of: f"coalesce(trim({of}) <> '' AND regexp_matches(' ' || f || ' ', '[^\\p{{L}}\\p{{N}}_]' || regexp_escape({of}) || '[^\\p{{L}}\\p{{N}}_]'), FALSE)"
+    first, second = prompts.WORDING["comparative"].split("{x}")[1].split("{y}")
+    sets = f"""
+WITH {CAPTURES}, t AS (SELECT audit_id, url, {TITLE} AS title FROM caps),
+home AS (SELECT audit_id, arg_min(title, url) AS title, split_part({DOMAIN.format("audit_id")}, '.', 1) AS label FROM t GROUP BY audit_id),
+b AS (SELECT audit_id, label, CASE WHEN title = '' THEN NULL {part} ELSE trim(title) END AS brand FROM home),
+known AS (SELECT audit_id, {fold("brand")} AS brand, label, list_filter(string_split_regex({fold("concat_ws(' ', brand, label)")}, '[\\s_-]+'), lambda w: w <> '') AS words FROM b),
+w AS (SELECT audit_id, unnest(regexp_extract_all(lower(title), '{prompts.TOPIC}')) AS term FROM t),
+topics AS (
+  SELECT audit_id, term, row_number() OVER (PARTITION BY audit_id ORDER BY n DESC, term) AS rank FROM (SELECT audit_id, term, count(*) AS n FROM w WHERE length(term) >= 4 AND term NOT IN ({counts}) GROUP BY ALL)
+  JOIN known USING (audit_id) WHERE NOT list_contains(words, {fold("term")}) QUALIFY rank <= {prompts.TOPICS}
+), e AS (SELECT audit_id, unnest(regexp_extract_all(title, '{prompts.ENTITY}')) AS term FROM t),
+entities AS (
+  SELECT audit_id, term, row_number() OVER (PARTITION BY audit_id ORDER BY n DESC, term) AS rank FROM (SELECT audit_id, term, count(*) AS n FROM e WHERE length(term) >= 3 GROUP BY ALL)
+  JOIN known USING (audit_id) WHERE NOT list_has_any(words, string_split_regex({fold("term")}, '\\s+')) QUALIFY rank <= {prompts.ENTITIES}
+), enough AS (SELECT audit_id FROM entities GROUP BY audit_id HAVING count(*) >= 2),
+subjects AS (SELECT * FROM entities SEMI JOIN enough USING (audit_id) UNION ALL SELECT * FROM topics ANTI JOIN enough USING (audit_id)),
+every AS (
+  SELECT audit_id, step, intent, replace(wording, '{{x}}', term) AS text, term AS slot, rank, 0 AS other FROM topics, (VALUES {", ".join(f"({k}, '{i}', '{x}')" for k, i, x in single)}) v(step, intent, wording)
+  UNION ALL SELECT x.audit_id, {len(single)}, 'comparative', x.term || '{first}' || y.term || '{second}', x.term || ' ' || y.term, x.rank, y.rank FROM subjects x JOIN subjects y ON x.audit_id = y.audit_id AND x.rank < y.rank
+), once AS (SELECT *, {fold("text")} AS f FROM every QUALIFY row_number() OVER (PARTITION BY audit_id, {fold("text")} ORDER BY step, rank, other) = 1),
+pool AS (
+  SELECT audit_id, intent, text, place, quota, round_even(least(1.0::DOUBLE, q + CASE WHEN contains(trim(slot), ' ') THEN 0.1::DOUBLE ELSE 0 END), 4) AS quality
+  FROM once LEFT JOIN known USING (audit_id) JOIN (VALUES {kinds}) k(intent, place, quota, q) USING (intent) WHERE NOT {says("brand")} AND NOT {says("label")}
+), spared AS (SELECT *, (row_number() OVER (PARTITION BY audit_id, intent ORDER BY quality DESC, text) > quota)::INT AS spare FROM pool),
+chosen AS (SELECT * FROM spared QUALIFY row_number() OVER (PARTITION BY audit_id ORDER BY spare, quality DESC, text) <= {prompts.TARGET})
+SELECT audit_id, row_number() OVER (PARTITION BY audit_id ORDER BY place, quality DESC, text)::INT AS place, intent, text, quality FROM chosen"""
     cites = f"""
 WITH x AS (
   SELECT 'a' || (conv_id % 5) AS audit_id, 'e' || (conv_id % 3) AS engine, conv_id, turn % 4 <> 3 AS web, (conv_id + turn) % 4 AS kind,
@@ -198,6 +230,7 @@ SELECT conv_id::VARCHAR AS run_id, n * (conv_id % 5) AS calls, round_even(CASE W
         "page_speed": speed,
         "authority": authority,
         "theme_topics": topics,
+        "prompt_sets": sets,
         "artifact_store": f"SELECT DISTINCT 'projects/' || {HOST} || '/runs/r1/html_raw/' || sha256(html) || '.html.gz' AS object_key, sha256(html) AS sha256, octet_length(encode(html))::BIGINT AS bytes FROM pages",
         "event_windows": "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS from_ts, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     } | inputs_sql.oracle_sql() | pages_sql.oracle_sql()
