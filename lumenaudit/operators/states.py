@@ -187,7 +187,7 @@ def append(path: str, s: State, batch: str) -> None:
     """Adds a change to the log. A batch that is appended again replaces itself, so it counts once."""
     bucket = F.pmod(F.xxhash64("audit_id"), F.lit(BUCKETS)).cast("int")
     for name, df in (("counters", s.counters), ("keys", s.keys)):
-        df.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path.rstrip('/')}/{name}/batch={batch}")
+        df.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path.rstrip('/')}/{name}/batch={batch}")
 
 
 def read(spark: SparkSession, path: str, audits: DataFrame | None = None) -> State:

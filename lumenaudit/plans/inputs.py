@@ -178,10 +178,10 @@ def engine_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracking of every other conversation as a prompt, by two engines, in the first four turns."""
-    asked = _table(spark, sf_dir, "conversations").where(C("conv_id") % 2 == 0).select(F.lit("c").alias("audit_id"), C("conv_id").cast("string").alias("prompt_id")).distinct()
+    """Tracking of every conversation as a prompt, by two engines, in up to eight turns."""
+    asked = _table(spark, sf_dir, "conversations").select(F.lit("c").alias("audit_id"), C("conv_id").cast("string").alias("prompt_id")).distinct()
     targets = spark.createDataFrame([("c", "a1.example", "the", ["b.example"])], "audit_id string, domain string, brand string, competitors array<string>")
-    m = citation.tracking(asked, ["openai", "perplexity"], 4, connectors.answers(_payloads(spark, sf_dir)), targets)
+    m = citation.tracking(asked, ["openai", "perplexity"], 8, connectors.answers(_payloads(spark, sf_dir)), targets)
     return m.select(F.coalesce("engine", F.lit("all")).alias("engine"), "responses", "citation_rate", "mention_rate", "share_of_voice", "average_position", "repetitions", "prompts")
 
 
@@ -304,7 +304,7 @@ def stored_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def affected_by_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many pages each open issue names, and the first."""
     i = scoring.issues(_results(spark, sf_dir), rules.affected(analogs.pages(spark, sf_dir))).where("affected_pages is not null")
-    return i.where(C("key").isin("links.orphans", "geo.ssr", "geo.primary_sources", "meta.title", "content.depth")).select("audit_id", "key", F.size("affected_pages").alias("pages"), F.when(C("key") != "geo.ssr", F.element_at("affected_pages", 1)).alias("first_page"))
+    return i.select("audit_id", "key", F.size("affected_pages").alias("pages"), F.when(C("key") != "geo.ssr", F.element_at("affected_pages", 1)).alias("first_page"))
 
 
 def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,12 +324,12 @@ def locale_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages stored twice, of which every third is got back: key, digest and size from the store itself."""
+    """Pages stored in two batches, the second of which has all of them, and got back: key, digest and size from the store itself."""
     p = _table(spark, sf_dir, "pages").select("page_id", (C("page_id") % 5).cast("string").alias("project_id"), F.lit("r1").alias("run_id"), F.lit("html_raw").alias("type"), C("html").alias("content"))
     path = shared_dir(spark)
     for some in (p.where("page_id % 2 = 0"), p):
         sinks.put_artifacts(some.drop("page_id"), path)
-    asked = sinks.artifacts(p.where("page_id % 3 = 0").drop("page_id")).select("object_key")
+    asked = sinks.artifacts(p.drop("page_id")).select("object_key")
     return sinks.get_artifacts(spark, path, asked).select("object_key", "sha256", F.octet_length("content").cast("bigint").alias("bytes"))
 
 

@@ -30,7 +30,6 @@ def oracle_sql() -> dict[str, str]:
   SELECT audit_id, key, status AS severity, CASE WHEN weight < 1 THEN 1 WHEN weight < 1.8 THEN 2 ELSE 3 END AS impact, """ + _effort() + """ AS effort FROM r WHERE status IN ('warning', 'critical') AND evidence_tier = 'standard'
 ), j AS (SELECT *, round_even(impact * CASE severity WHEN 'critical' THEN 2 ELSE 1 END / effort::DOUBLE, 2) AS priority FROM i),
 q AS (SELECT *, CASE WHEN priority >= 3 THEN 'high' WHEN priority >= 1 THEN 'medium' ELSE 'low' END AS bucket FROM j)"""
-    title = "CASE WHEN coalesce(title, '') = '' THEN 0 WHEN length(title) < 30 THEN 60 WHEN length(title) > 60 THEN 70 ELSE 100 END"
     worded = ", ".join(f"({k + 1}, '{i}', {q}, '{t}')" for k, (i, q, t) in enumerate(prompts.MINIMAL))
     parity = "CASE WHEN rendered_word_count <= 0 THEN 1.0 ELSE least(1.0, raw_word_count::DOUBLE / rendered_word_count) END"
     return {
@@ -67,7 +66,7 @@ SELECT * FROM s WHERE day BETWEEN '2024-01-08' AND '2024-01-10' UNION ALL SELECT
         "incremental_scores": f"{r.results(sql('WHERE o_orderkey % 10 <> 3'))} SELECT audit_id, key, score, status FROM r",
         "locale_order": f"""WITH w(o, word) AS (VALUES {", ".join(f"({k}, '{w}')" for k, w in enumerate(WORDS))}), p AS (SELECT p_size::VARCHAR AS size, o, word || ' ' || lpad(p_partkey::VARCHAR, 9, '0') AS name FROM part JOIN w ON o = (p_partkey * 5 + p_size) % {len(WORDS)} WHERE contains(lower(word), 'é'))
 SELECT size, name, row_number() OVER (PARTITION BY size ORDER BY o, name)::INT AS place FROM p""",
-        "stored_artifacts": "SELECT DISTINCT 'projects/' || (page_id % 5) || '/runs/r1/html_raw/' || sha256(html) || '.html.gz' AS object_key, sha256(html) AS sha256, octet_length(encode(html))::BIGINT AS bytes FROM pages WHERE page_id % 3 = 0",
+        "stored_artifacts": "SELECT DISTINCT 'projects/' || (page_id % 5) || '/runs/r1/html_raw/' || sha256(html) || '.html.gz' AS object_key, sha256(html) AS sha256, octet_length(encode(html))::BIGINT AS bytes FROM pages",
         "structured_data": """SELECT 'a' || (p_partkey % 7) AS audit_id, 'u' || p_partkey AS url, CASE p_partkey % 5 WHEN 0 THEN 'BuyAction EntryPoint Offer Product Thing' WHEN 1 THEN 'Article Person' WHEN 2 THEN '' ELSE 'Inner' END AS types, CASE p_partkey % 5 WHEN 0 THEN 'BuyAction EntryPoint' ELSE '' END AS actions,
   CASE p_partkey % 5 WHEN 2 THEN 'https://github.com/' || p_partkey || ' https://x.com/y' ELSE '' END AS same_as, CASE p_partkey % 5 WHEN 1 THEN '2026-01-0' || (1 + p_partkey % 9) END AS newest, p_partkey % 5 IN (1, 4) AS has_author, p_partkey % 5 = 1 AS has_credentials FROM part WHERE p_partkey % 5 <> 3""",
         "engine_answers": """WITH c AS (SELECT *, (conv_id + turn) % 4 AS e, 'www.a' || turn || '.example' AS d FROM conversations WHERE role = 'assistant')
@@ -75,7 +74,7 @@ SELECT ['openai', 'anthropic', 'gemini', 'perplexity'][e + 1] AS engine, 'm' ||
   CASE e WHEN 1 THEN '1:' || d || ':t,2:' || d || ':t' WHEN 3 THEN '1:b.example:-,2:' || d || ':-' ELSE '1:' || d || ':t' END AS cites FROM c""",
         "tracking_metrics": """WITH c AS (
   SELECT CASE (conv_id + turn) % 4 WHEN 0 THEN 'openai' ELSE 'perplexity' END AS engine, conv_id, turn, turn = 1 AS cited, regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])the($|[^\\p{L}\\p{N}_])') AS said
-  FROM conversations WHERE role = 'assistant' AND conv_id % 2 = 0 AND (conv_id + turn) % 4 IN (0, 3) AND turn BETWEEN 1 AND 4
+  FROM conversations WHERE role = 'assistant' AND (conv_id + turn) % 4 IN (0, 3) AND turn BETWEEN 1 AND 8
 ), p AS (SELECT engine, conv_id, count(*) AS n, count(*) FILTER (cited) AS cited, count(*) FILTER (said) AS said, count(*) FILTER (engine = 'perplexity') AS rivals, sum(CASE WHEN cited THEN CASE engine WHEN 'openai' THEN 1 ELSE 2 END END) AS pos FROM c GROUP BY ALL)
 SELECT coalesce(engine, 'all') AS engine, sum(n)::BIGINT AS responses, round_even(sum(cited)::DOUBLE / sum(n), 4) AS citation_rate, round_even(sum(said)::DOUBLE / sum(n), 4) AS mention_rate, round_even(sum(cited)::DOUBLE / nullif(sum(cited) + sum(rivals), 0), 4) AS share_of_voice,
   round_even(sum(pos)::DOUBLE / nullif(sum(cited), 0), 2) AS average_position, max(n)::BIGINT AS repetitions, count(DISTINCT conv_id) AS prompts FROM p GROUP BY GROUPING SETS ((), (engine))""",
@@ -118,7 +117,7 @@ SELECT audit_id, '<!doctype html><html lang="en"><meta charset="utf-8"><title>Au
 FROM gs JOIN c USING (audit_id) JOIN p2 USING (audit_id) LEFT JOIN i2 USING (audit_id)""",
         "affected_by_issue": f"""{issue}, gone AS (SELECT audit_id, url FROM (SELECT *, min(url) OVER (PARTITION BY s) AS home FROM p) WHERE url <> home AND url NOT IN (SELECT {url_of('linked')} FROM p WHERE linked IS NOT NULL)),
 e AS (
-  SELECT audit_id, 'meta.title' AS key, url, 10 AS most FROM p WHERE {title} < 80 UNION ALL SELECT audit_id, 'content.depth', url, 10 FROM p WHERE round_even(least(100.0, word_count::DOUBLE / 800 * 100), 2) < 80 UNION ALL SELECT audit_id, 'links.orphans', url, 10 FROM gone UNION ALL
+  SELECT audit_id, key, url, 10 AS most FROM ({r.page_scores()}) WHERE score < 80 UNION ALL SELECT audit_id, 'links.orphans', url, 10 FROM gone UNION ALL
   SELECT audit_id, 'geo.primary_sources', url, 30 FROM p WHERE word_count >= 300 AND outside = 0 UNION ALL SELECT audit_id, 'geo.ssr', url, 1000000000 FROM p WHERE render_mode = 'csr'
 )
 SELECT audit_id, key, least(count(*), any_value(most))::INT AS pages, CASE WHEN key <> 'geo.ssr' THEN min(url) END AS first_page FROM e JOIN q USING (audit_id, key) GROUP BY audit_id, key""",

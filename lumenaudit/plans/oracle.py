@@ -42,12 +42,6 @@ def _effort() -> str:
     return f"CASE WHEN key IN ({listed(1)}) THEN 1 WHEN key IN ({listed(3)}) THEN 3 ELSE 2 END"
 
 
-def _page_scores() -> str:
-    """(audit_id, url, key, score) of the rules that score single pages: what their mean is taken of."""
-    single = [k for k, (_, _, e) in r.PAGES.items() if r.page_score(e) != e and k not in ("i18n.hreflang", "geo.noise_ratio", "geo.entity_density")]
-    return " UNION ALL ".join(f"SELECT audit_id, url, '{k}' AS key, {r.page_score(r.PAGES[k][2])} AS score FROM p" for k in single)
-
-
 def oracle_sql() -> dict[str, str]:
     page_scores = f"""
 WITH {CAPTURES}, f AS (
@@ -192,7 +186,7 @@ SELECT audit_id, row_number() OVER (PARTITION BY audit_id ORDER BY priority DESC
 SELECT audit_id, CASE WHEN has_webmcp AND n >= 2 THEN 'advanced' WHEN has_webmcp OR n >= 2 THEN 'ready' WHEN n >= 1 THEN 'basic' ELSE 'none' END AS readiness_level, has_webmcp OR n >= 2 AS agent_ready, has_webmcp, pot OR typ AS has_action_schema, has_agent_forms, has_openapi, n::INT AS action_signals,
   coalesce(endpoints, 0)::INT AS ai_discovery_endpoints, coalesce(nlweb = 'conformant', FALSE) AS has_nlweb, CASE WHEN brand = 2 THEN 50.0::DOUBLE END AS brand_coherence_score, blocked::INT AS blocked_agent_bots
 FROM h JOIN si USING (audit_id) JOIN ex USING (audit_id)""",
-        "rule_evidence": f"""{sql()}, e AS ({_page_scores()})
+        "rule_evidence": f"""{sql()}, e AS ({r.page_scores()})
 SELECT audit_id, key, string_agg(url, ' ' ORDER BY url) AS urls FROM (SELECT *, row_number() OVER (PARTITION BY audit_id, key ORDER BY url) AS n FROM e WHERE score < 80) WHERE n <= 10 GROUP BY audit_id, key""",
         "orphan_pages": f"{sql()} SELECT audit_id, url FROM (SELECT *, min(url) OVER (PARTITION BY s) AS home FROM p) WHERE url <> home AND url NOT IN (SELECT {url_of('linked')} FROM p WHERE linked IS NOT NULL)",
         "render_routes": f"""{sql()}, c AS (SELECT audit_id, {family} AS path, count(*) AS pages, count(*) FILTER (render_mode = 'ssr') AS ssr, count(*) FILTER (render_mode = 'csr') AS csr FROM p WHERE render_mode IS NOT NULL GROUP BY ALL)

@@ -305,6 +305,30 @@ def test_saved_signals_score_again(spark, sf_dir, tmp_path):
     assert sinks.load_report(spark, str(tmp_path), one).count() == 1
 
 
+def test_sitemaps_are_read_in_pieces(spark):
+    """What a file takes doesn't grow with what it unzips to; chunks together are the whole; a broken end makes it all invalid."""
+    import tracemalloc
+
+    def body(n):
+        return b"<urlset>" + b"".join(b"<url><loc>https://a.example/%08d</loc><lastmod>2026-01-01</lastmod></url>" % k for k in range(n)) + b"</urlset>"
+
+    peaks = []
+    for n in (3000, 60_000):
+        data = gzip.compress(body(n))
+        tracemalloc.start()
+        assert sum(x is not None for _, x in discovery.locations(data)) == n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 2 * peaks[0] + 500_000 and peaks[1] < 3_000_000
+    files = spark.createDataFrame([("a", "s.xml", body(25), None), ("a", "bad.xml", body(25)[:-3], None), ("a", "cut.gz", gzip.compress(body(2000))[:-40], None), ("a", "empty.xml", b"", None), ("a", "none.xml", None, None), ("a", "few.xml", b"<urlset/>", None)], "audit_id string, url string, content binary, content_type string")
+    got = {}
+    for r in discovery.sitemaps(files, chunk=10).collect():
+        got.setdefault((r["url"], r["valid"]), []).append(r["locs"])
+    assert [len(x) for x in got["s.xml", True]] == [10, 10, 5] and got["few.xml", True] == [[]]
+    assert {u for u, valid in got if not valid} == {"bad.xml", "cut.gz", "empty.xml", "none.xml"}
+    assert discovery.sitemap(body(25))["locs"] == [x for xs in got["s.xml", True] for x in xs]
+
+
 def test_html_reports(spark):
     rows = [("a<b>&'c", "k\"1", ["seo"], 10.0, "critical", 1.0, "standard"), ("a<b>&'c", "k2", ["geo"], 90.0, "ok", 1.0, "standard"), ("plain", "k2", ["geo"], 90.0, "ok", 1.0, "standard")]
     results = spark.createDataFrame(rows, "audit_id string, key string, pillars array<string>, score double, status string, weight double, evidence_tier string")
