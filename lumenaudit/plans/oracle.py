@@ -210,7 +210,7 @@ FROM (SELECT pair_id, pillar FROM pairs, {r.PILLAR_TABLE}) g LEFT JOIN ps_left l
         "compare_changes": f"{_deltas()} SELECT pair_id, rank::INT AS rank, key, delta FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY abs(delta) DESC, key) AS rank FROM d WHERE delta <> 0) WHERE rank <= 15",
         "scorecard_comparison": f"""{r.results()}, {r.pillars()}, {r.totals()}, x AS (SELECT * FROM r WHERE audit_id = 'site4'), y AS (SELECT * FROM r WHERE audit_id = 'site8')
 SELECT 'site4|site8' AS pair_id, x.key, x.score AS left_score, y.score AS right_score, round_even(y.score - x.score, 2) AS delta, x.status AS left_status, y.status AS right_status, round_even((SELECT score FROM gs WHERE audit_id = 'site8') - (SELECT score FROM gs WHERE audit_id = 'site4'), 2) AS global_delta, 'exact' AS comparability FROM x JOIN y USING (key)""",
-        "domain_audits": f"WITH {HISTORY}, n AS (SELECT lpad(l_orderkey::VARCHAR, 12, '0') AS audit_id, count(*) AS c FROM lineitem GROUP BY 1) SELECT audit_id, started_at, coalesce(c, 0) AS criteria FROM hist LEFT JOIN n USING (audit_id) WHERE host = 'h1'",
+        "domain_audits": f"WITH {HISTORY}, n AS (SELECT lpad(l_orderkey::VARCHAR, 12, '0') AS audit_id, count(*) AS c FROM lineitem GROUP BY 1) SELECT audit_id, strftime(started_at, '%Y-%m-%d') AS started_on, coalesce(c, 0) AS criteria FROM hist LEFT JOIN n USING (audit_id) WHERE host = 'h1'",
         "latest_audits": f"WITH {HISTORY} SELECT host, audit_id, score_global, audits FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY started_at DESC, audit_id DESC) AS n, count(*) OVER (PARTITION BY host) AS audits FROM hist) WHERE n = 1",
         "successive_audits": f"WITH {HISTORY} SELECT left_id || '|' || right_id AS pair_id, left_id, right_id FROM (SELECT audit_id AS right_id, lag(audit_id) OVER (PARTITION BY host ORDER BY started_at, audit_id) AS left_id FROM hist) WHERE left_id IS NOT NULL",
         "recalculated_scores": f"{r.results()}, {r.pillars()}, {r.totals()} SELECT audit_id, score AS score_global FROM gs",

@@ -224,7 +224,7 @@ def scorecard_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 def domain_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audits of one host, a line item being a rule's result."""
     results = _table(spark, sf_dir, "lineitem").select(F.lpad(C("l_orderkey").cast("string"), 12, "0").alias("audit_id"))
-    return compare.audits_of(_history(spark, sf_dir), results, "h1").select("audit_id", "started_at", "criteria")
+    return compare.audits_of(_history(spark, sf_dir), results, "h1").select("audit_id", F.date_format("started_at", "yyyy-MM-dd").alias("started_on"), "criteria")
 
 
 def latest_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
