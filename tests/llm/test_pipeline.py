@@ -39,7 +39,7 @@ def test_same_as_sql(name, spark, sf_dir, duck):
 
 
 def test_one_query_each():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))
 
 
 def test_stages(spark, sf_dir):
