@@ -34,6 +34,11 @@ def test_references_cut_off_in_titles(spark, cut_pages):
     agree("page_basics", spark, cut_pages)
 
 
+@pytest.mark.parametrize("name", ["page_signals", "page_rule_scores", "page_audits"])
+def test_references_cut_off_in_texts(name, spark, cut_pages):
+    agree(name, spark, cut_pages)
+
+
 def test_whole_references_only():
     page = "<p title='&lt'>a &lt &lt; &ampx; &#65 &#65; &notit; &nosuch; &copy</p>"
     assert html.Tree(page, bare=False).body.text() == "a &lt < &ampx; &#65 A &notit; &nosuch; &copy"
