@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.messages import message
@@ -128,28 +128,50 @@ def robots_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.allowed(pages, sites, ["GPTBot/1.2", "anyone"])
 
 
-def paged_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The days as a service that gives a hundred rows at a time, read through the data source with a filter on days and one on keys."""
-    folder = shared_dir(spark)
-    _days(spark, sf_dir).select(F.date_format("day", "yyyy-MM-dd").alias("on"), C("key").cast("long").alias("k"), "clicks", "impressions", "position").repartition("on").sortWithinPartitions("on", "k").write.partitionBy("on").parquet(folder)
+#: Rows of a file of the service; a page of rows is read from the files it touches.
+SHELF = 10_000
+
+
+def _shelves(rows: DataFrame, folder: str) -> None:
+    """The rows (on, k, ...) in folders by day and shelf: the rows of a day by key, SHELF to a shelf."""
+    place = F.row_number().over(Window.partitionBy("on").orderBy("k")) - 1
+    rows.withColumn("n", place).withColumn("shelf", F.floor(C("n") / SHELF)).write.partitionBy("on", "shelf").parquet(folder)
+
+
+def _shelf_service(folder: str) -> Callable[[str, dict], dict | None]:
+    """A service over `_shelves`, which reads no shelf but those that hold a page's rows, and of them what a filter names."""
     uri = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
 
     def query(site: str, body: dict) -> dict | None:
+        import pyarrow as pa
         import pyarrow.dataset as ds
         from pyarrow import fs
 
         if site != "https://shop.example/":
             return None
         system, path = fs.FileSystem.from_uri(f"{uri}/on={body['startDate']}")
-        if system.get_file_info(path).type == fs.FileType.NotFound:
-            return {}
-        rows = sorted(ds.dataset(path, filesystem=system).to_table().to_pylist(), key=lambda r: r["k"])
+        found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+        shelves = sorted((int(f.base_name.removeprefix("shelf=")), f.path) for f in found if f.base_name.startswith("shelf="))
+        first, last = body["startRow"], body["startRow"] + body["rowLimit"]
         wanted = [f["expressions"] for f in body.get("filters", []) if f["operator"] == "equals"]
-        rows = [r for r in rows if all(str(r["k"]) in w for w in wanted)][body["startRow"] : body["startRow"] + body["rowLimit"]]
+        if wanted:
+            keys = sorted(int(k) for k in set.intersection(*map(set, wanted)) if k.isdecimal() and k == str(int(k)))
+            held, chosen = ds.field("k").isin(pa.array(keys, pa.int64())), [p for _, p in shelves]
+        else:
+            held, chosen = (ds.field("n") >= first) & (ds.field("n") < last), [p for n, p in shelves if n * SHELF < last and first < (n + 1) * SHELF]
+        rows = sorted((r for p in chosen for r in ds.dataset(p, filesystem=system).to_table(filter=held).to_pylist()), key=lambda r: r["k"])
+        rows = rows[first:last] if wanted else rows
         return {"rows": [{"keys": [str(r["k"])], "clicks": r["clicks"], "impressions": r["impressions"], "ctr": r["clicks"] / 100, "position": r["position"]} for r in rows]}
 
-    services.register(spark, services.searches("paged_searches", query))
-    read = lambda: spark.read.format("paged_searches").option("domain", "shop.example").option("start_date", "2024-01-01").option("end_date", "2024-01-31").option("max_rows", 1_000_000).load()
+    return query
+
+
+def paged_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days as a service that gives a hundred rows at a time, read through the data source with a filter on days and one on keys."""
+    folder = shared_dir(spark)
+    _shelves(_days(spark, sf_dir).select(F.date_format("day", "yyyy-MM-dd").alias("on"), C("key").cast("long").alias("k"), "clicks", "impressions", "position"), folder)
+    services.register(spark, services.searches("paged_searches", _shelf_service(folder)))
+    read = lambda: spark.read.format("paged_searches").option("domain", "shop.example").option("start_date", "2024-01-01").option("end_date", "2024-01-31").option("max_rows", 2**62).load()
     week = read().where("day between '2024-01-08' and '2024-01-10'")
     some = read().where(C("key").isin("3", "14", "15") & (C("day") > F.lit("2024-01-20").cast("date")))
     return week.union(some).select(C("day").cast("string").alias("day"), "key", "clicks", "impressions", "ctr", "position")
