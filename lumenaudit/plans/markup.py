@@ -45,9 +45,14 @@ BODY = (
     "'</main></body></html>'",
 )
 
+#: Pages that a task parses at most, about.
+PAGES = 10_000
+
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The table is one row group; its keys are spread before pages are made of them.
-    keys = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS k", "p_partkey % 13 AS s").repartition(spark.sparkContext.defaultParallelism)
+    # The table is one row group; its keys are spread before pages are made of them, to tasks that don't grow with the table.
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-part.count() // PAGES))
+    keys = part.selectExpr("p_partkey AS k", "p_partkey % 13 AS s").repartition(tasks)
     html = " || ".join(f"({p})" for p in (*HEAD, *BODY))
     return keys.selectExpr("'shop' || s || '.example' AS audit_id", "'https://shop' || s || '.example/p/' || k AS url", "'https://shop' || s || '.example/p/' || k AS final_url", "200 AS status_code", "0 AS redirects", f"{html} AS html", "CAST(NULL AS STRING) AS rendered_html")
