@@ -25,34 +25,36 @@ def _joined(c, by: str = " "):
     return F.array_join(c, by)
 
 
-def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(markup.captures(spark, sf_dir))
+def _signals(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    return html.extract(markup.captures(spark, sf_dir), only=only)
 
 
 # --- extraction from markup
 
 
 def markup_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _signals(spark, sf_dir)
+    s = _signals(spark, sf_dir, "title", "meta_description", "meta_robots", "canonical", "open_graph", "twitter_card", "hreflang")
     return s.select("audit_id", "url", "title", "meta_description", "meta_robots", "canonical", F.size("open_graph").alias("og"), F.try_element_at("open_graph", F.lit("og:title")).alias("og_title"), F.size("twitter_card").alias("cards"), _joined(F.array_sort(F.map_keys("hreflang"))).alias("langs"), F.try_element_at("hreflang", F.lit("en")).alias("english"))
 
 
 def markup_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = lambda h: F.coalesce(F.try_element_at("headings", F.lit(h)), F.lit(0)).alias(h)
-    return _signals(spark, sf_dir).select("audit_id", "url", "h1_count", level("h2"), level("h4"), "word_count", "main_text_ratio", "lead_paragraph_words", "question_headings", "images_total", "images_with_alt", "svg_total", "svg_accessible", "tables_count", "definition_lists_count", "render_mode", "render_source")
+    counts = ("word_count", "main_text_ratio", "lead_paragraph_words", "question_headings", "images_total", "images_with_alt", "svg_total", "svg_accessible", "tables_count", "definition_lists_count", "render_mode", "render_source")
+    return _signals(spark, sf_dir, "h1_count", "headings", *counts).select("audit_id", "url", "h1_count", level("h2"), level("h4"), *counts)
 
 
 def markup_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _signals(spark, sf_dir).select("audit_id", "url", "internal_links", "external_links", _joined("internal_link_targets").alias("targets"), _joined("external_link_domains").alias("outside"), _joined("aso.openapi_links").alias("openapi"))
+    return _signals(spark, sf_dir, "internal_links", "external_links", "internal_link_targets", "external_link_domains", "aso.openapi_links").select("audit_id", "url", "internal_links", "external_links", _joined("internal_link_targets").alias("targets"), _joined("external_link_domains").alias("outside"), _joined("aso.openapi_links").alias("openapi"))
 
 
 def markup_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _signals(spark, sf_dir).select("audit_id", "url", _joined("structured_data_types").alias("types"), "has_author", "author_has_credentials", "has_structured_dates", "content_date", _joined("social_platforms").alias("platforms"), _joined("aso.potential_actions").alias("actions"), _joined("aso.action_schema_types").alias("action_types"))
+    said = ("structured_data_types", "has_author", "author_has_credentials", "has_structured_dates", "content_date", "social_platforms", "aso.potential_actions", "aso.action_schema_types")
+    return _signals(spark, sf_dir, *said).select("audit_id", "url", _joined("structured_data_types").alias("types"), "has_author", "author_has_credentials", "has_structured_dates", "content_date", _joined("social_platforms").alias("platforms"), _joined("aso.potential_actions").alias("actions"), _joined("aso.action_schema_types").alias("action_types"))
 
 
 def markup_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = lambda k: F.try_element_at("aso.agent_usable_forms_detail", F.lit(k)).alias(f"forms_{k}")
-    return _signals(spark, sf_dir).select("audit_id", "url", "aso.webmcp.has_register_tool", "aso.webmcp.has_tool_attributes", "aso.webmcp.tool_count", "aso.webmcp.partial_signals", C("aso.agent_usable_forms").alias("forms_usable"), form("found"), form("no_action"), form("no_fields"), form("no_label"))
+    return _signals(spark, sf_dir, "aso.webmcp", "aso.agent_usable_forms", "aso.agent_usable_forms_detail").select("audit_id", "url", "aso.webmcp.has_register_tool", "aso.webmcp.has_tool_attributes", "aso.webmcp.tool_count", "aso.webmcp.partial_signals", C("aso.agent_usable_forms").alias("forms_usable"), form("found"), form("no_action"), form("no_fields"), form("no_label"))
 
 
 def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
