@@ -60,8 +60,8 @@ def markup_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markup pages beside a rendering that adds up to 160 words: what both count, and what that says of the page."""
     more = F.concat(F.lit("<p>"), F.repeat(F.lit("more "), (40 * (F.substring_index("url", "/", -1).cast("int") % 5)).cast("int")), F.lit("</p></main>"))
-    s = html.extract(markup.captures(spark, sf_dir).withColumn("rendered_html", F.replace("html", F.lit("</main>"), more)))
-    return s.select("audit_id", "url", "render_mode", "render_source", "raw_word_count", "rendered_word_count", "word_count")
+    counts = ("render_mode", "render_source", "raw_word_count", "rendered_word_count", "word_count")
+    return html.extract(markup.captures(spark, sf_dir).withColumn("rendered_html", F.replace("html", F.lit("</main>"), more)), only=counts).select("audit_id", "url", *counts)
 
 
 def structured_data(spark: SparkSession, sf_dir: str) -> DataFrame:

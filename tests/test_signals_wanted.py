@@ -44,3 +44,12 @@ def test_columns_of_what_is_asked(spark):
     assert html.extract(pages, only=("aso",)).schema["aso"].dataType == whole.schema["aso"].dataType
     with pytest.raises(ValueError, match="nosuch"):
         html.extract(pages, only=("nosuch",))
+
+
+def test_rendered_pages_need_counts_only(monkeypatch, spark, sf_dir):
+    asked, real = [], html.extract
+    monkeypatch.setattr(inputs.html, "extract", lambda *a, **k: asked.append(k.get("only")) or real(*a, **k))
+    assert inputs.rendered_pages(spark, sf_dir).count() > 0
+    monkeypatch.setattr(html, "SIGNALS", {k: f if k in asked[0] else pytest.fail for k, f in html.SIGNALS.items()})
+    out = html._extracted("https://acme.example/w", PAGE, PAGE.replace("</main>", "<p>two more</main>"), True, only=frozenset(asked[0]))
+    assert out["rendered_word_count"] == out["word_count"] == out["raw_word_count"] + 2
